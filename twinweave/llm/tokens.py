@@ -8,15 +8,27 @@ from word to ids and sends only new words to the tokenizers library.
 from __future__ import annotations
 
 import os
+import re
+import struct
 from collections.abc import Iterable
 
-_MAX_WORDS = 250_000
+_MAX_WORDS = 600_000
 _CHUNK = 20_000
 _SPACES = str.maketrans("\t\n\r", "   ")
+_UNSURE = re.compile("[\x0b\x0c\x1c-\x1f\x85]")
 _CLOSERS = ".,!?;:"
+#: Letters whose lower case and byte form are one step from the model's alphabet: ASCII and Latin-1.
+_PLAIN = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
 _encoders: dict[str, WordEncoder] = {}
 
 
+def _byte_letters() -> dict[int, str]:
+    """Byte-level alphabet: printable Latin-1 stands for itself, other bytes for code points from 256 on."""
+    kept = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255]
+    others = [b for b in range(256) if b not in set(kept)]
+    return {b: chr(b) for b in kept} | {b: chr(256 + n) for n, b in enumerate(others)}
+
+
 class WordEncoder:
     """Ids of whole texts as little-endian unsigned 32-bit bytes."""
 
@@ -25,15 +37,28 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
+        self.letters = _byte_letters()
         self.known: dict[str, bytes] = {}
 
     def _pack(self, words: list[str]) -> None:
-        import numpy as np
-
-        for i in range(0, len(words), _CHUNK):
-            part = words[i : i + _CHUNK]
+        """Look words up: plain words go straight to the BPE model, the others through the whole tokenizer."""
+        other = []
+        for word in words:
+            if _PLAIN.fullmatch(word):
+                lower = word.lower()
+                if lower in self.known:
+                    self.known[word] = self.known[lower]
+                    continue
+                form = lower if lower.isascii() else "".join(map(self.letters.__getitem__, lower.encode()))
+                ids = [t.id for t in self.model.tokenize(form)]
+                self.known[word] = self.known[lower] = struct.pack(f"<{len(ids)}I", *ids)
+            else:
+                other.append(word)
+        for i in range(0, len(other), _CHUNK):
+            part = other[i : i + _CHUNK]
             for word, found in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                self.known[word] = np.array(found.ids, dtype="<u4").tobytes()
+                self.known[word] = struct.pack(f"<{len(found.ids)}I", *found.ids)
 
     def _learn(self, words: set[str]) -> None:
         """Add words to the map; closing punctuation after an ASCII letter is looked up apart from its word."""
@@ -51,19 +76,19 @@ class WordEncoder:
 
     def encode(self, texts: Iterable[str], end_id: int) -> list[bytes]:
         """Ids of each text without special tokens, then ``end_id``."""
-        split = [[w for w in t.translate(_SPACES).split(" ") if w] for t in texts]
-        if len(self.known) > _MAX_WORDS:
-            self.known.clear()
         end = int(end_id).to_bytes(4, "little")
         out = []
-        for i in range(0, len(split), 256):
-            part = split[i : i + 256]
-            if new := {w for words in part for w in words if w not in self.known}:
-                self._learn(new)
-            get = self.known.__getitem__
-            out.extend(b"".join([*map(get, words), end]) for words in part)
-            if len(self.known) > 2 * _MAX_WORDS:
+        for text in texts:
+            # str.split() also splits at characters that the pre-tokenizer keeps.
+            words = text.split() if not _UNSURE.search(text) else [w for w in text.translate(_SPACES).split(" ") if w]
+            if len(self.known) > _MAX_WORDS:
                 self.known.clear()
+            parts = list(map(self.known.get, words))
+            if None in parts:
+                self._learn({w for w, p in zip(words, parts, strict=True) if p is None})
+                parts = list(map(self.known.__getitem__, words))
+            parts.append(end)
+            out.append(b"".join(parts))
         return out
 
 
