@@ -7,14 +7,30 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from twinweave.llm import exact_dedup, packing, secret_scan, source_mix, token_store
+from twinweave.llm import audio_features, exact_dedup, language_kernel, packing, pu_quality, secret_scan, source_mix, token_store
 from twinweave.llm._common import table
 
 
+def op1_audio_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = audio_features.audio_features(audio_features.store_media(table(spark, sf_dir, "documents")))
+    payload, media = F.col("payload"), F.col("media")
+    feature = F.concat_ws(":", F.col("n_frames").cast("string"), F.size("spans").cast("string"), F.sha2("tensors", 256))
+    tail = F.crc32(F.substring(payload, -16, 16))
+    return rows.select("doc_id", "n_bytes", F.length(payload).cast("long").alias("payload_bytes"), F.sha2(payload, 256).alias("payload_sha256"), tail.alias("tail_crc32"), F.length(media).cast("long").alias("media_bytes"), F.sha2(media, 256).alias("media_sha256"), feature.alias("feature"))
+
+
 def op2_pack_swap_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed_digests(table(spark, sf_dir, "documents"))
 
 
+def op3_quality_pu(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pu_quality.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op5_language_kernel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_kernel.identify_languages(table(spark, sf_dir, "documents"))
+
+
 def op7_mix_pareto(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_mix.mix_copies(table(spark, sf_dir, "documents"))
 
@@ -35,7 +51,10 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_audio_features": op1_audio_features,
     "op2_pack_swap_search": op2_pack_swap_search,
+    "op3_quality_pu": op3_quality_pu,
+    "op5_language_kernel": op5_language_kernel,
     "op7_mix_pareto": op7_mix_pareto,
     "op8_token_parquet": op8_token_parquet,
     "op9_exact_dedup": op9_exact_dedup,
