@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from twinweave.llm import audio_features, exact_dedup, language_kernel, packing, pu_quality, secret_scan, source_mix, token_store
+from twinweave.llm import audio_features, exact_dedup, language_kernel, packing, pu_quality, secret_scan, source_mix, token_store, url_templates
 from twinweave.llm._common import table
 
 
@@ -27,6 +27,10 @@ def op3_quality_pu(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pu_quality.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op4_url_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_templates.judge_urls(table(spark, sf_dir, "pages"))
+
+
 def op5_language_kernel(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_kernel.identify_languages(table(spark, sf_dir, "documents"))
 
@@ -54,6 +58,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_audio_features": op1_audio_features,
     "op2_pack_swap_search": op2_pack_swap_search,
     "op3_quality_pu": op3_quality_pu,
+    "op4_url_templates": op4_url_templates,
     "op5_language_kernel": op5_language_kernel,
     "op7_mix_pareto": op7_mix_pareto,
     "op8_token_parquet": op8_token_parquet,
