@@ -184,3 +184,24 @@ def quality_scores(docs: DataFrame, labels: DataFrame, held_out: Column | None =
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out.alias("held_out"), text_or_empty("text").alias("text"))
     scored = rows.mapInArrow(_score(model), "doc_id long, held_out boolean, score double")
     return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+
+
+def _keep(model: PuModel | None, column: int, threshold: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import numpy as np
+
+        table = _byte_classes()
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1024):
+                rows = batch.slice(at, 1024)
+                x = np.stack([text_features(t.as_py() or "", table) for t in rows.column(column)])
+                yield rows.filter(pa.array(model.scores(x) >= threshold)) if model else rows
+
+    return run
+
+
+def keep_quality(docs: DataFrame, labels: DataFrame, held_out: Column | None = None, threshold: float = 0.3, **limits: int) -> DataFrame:
+    """The rows of ``docs`` whose score reaches the threshold, with all their columns; nothing is shuffled."""
+    held_out = bucket_of("doc_id") % 5 == 0 if held_out is None else held_out
+    model = train_quality(docs, labels, ~held_out, **limits)
+    return docs.mapInArrow(_keep(model, docs.columns.index("text"), threshold), docs.schema)

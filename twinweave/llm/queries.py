@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from twinweave.llm import audio_features, exact_dedup, language_kernel, packing, pu_quality, secret_scan, source_mix, token_store, url_templates
+from twinweave.llm import audio_features, exact_dedup, language_kernel, order_minhash, packing, pu_quality, secret_scan, source_mix, token_store, url_templates
 from twinweave.llm._common import table
 
 
@@ -35,6 +35,10 @@ def op5_language_kernel(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_kernel.identify_languages(table(spark, sf_dir, "documents"))
 
 
+def op6_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return order_minhash.near_duplicate_classes(table(spark, sf_dir, "documents"))
+
+
 def op7_mix_pareto(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_mix.mix_copies(table(spark, sf_dir, "documents"))
 
@@ -60,6 +64,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_quality_pu": op3_quality_pu,
     "op4_url_templates": op4_url_templates,
     "op5_language_kernel": op5_language_kernel,
+    "op6_order_minhash": op6_order_minhash,
     "op7_mix_pareto": op7_mix_pareto,
     "op8_token_parquet": op8_token_parquet,
     "op9_exact_dedup": op9_exact_dedup,
