@@ -1,9 +1,18 @@
-"""Name to query, and name to DuckDB SQL, over the derived knowledge graphs."""
+"""Name to query, and name to DuckDB SQL."""
+
+from __future__ import annotations
+
+import importlib
+
+from twinweave.plans.registry import ORACLES, QUERIES
+
+for _module in ("graph",):
+    importlib.import_module(f"twinweave.plans.queries_{_module}")
 
 
 def queries():
-    return {}
+    return dict(QUERIES.items())
 
 
 def oracle_sql():
-    return {}
+    return dict(ORACLES)
