@@ -15,42 +15,101 @@ from twinweave.functions import vectors as V
 BLOCK_ROWS, LEFT_ROWS = 16_384, 2_048
 
 
-def block_knn(left: DataFrame, right: DataFrame, k: int, metric: str = "inner", block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """e1, e2, score, rank: the k best right rows of each left row; both have id and embedding.
-
-    The right side is dealt into blocks of at most about ``block_rows`` rows, each left row meets each block once, and a
-    block keeps its k best, so no score matrix exists and nothing is broadcast. Ties go to the lower id.
-    """
+def _blocks(left: DataFrame, right: DataFrame, block_rows: int) -> tuple[DataFrame, DataFrame]:
+    """Both sides (id, embedding, bias) dealt by hash into blocks so that each left block meets each right block once."""
     blocks = max(1, -(-right.count() // block_rows))
     groups = max(1, -(-left.count() // (block_rows * 4)))
-    a = left.select("id", V.doubles(F.col("embedding")).alias("v"), F.pmod(F.xxhash64("id"), F.lit(groups)).alias("g"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("b"))
-    b = right.select("id", V.doubles(F.col("embedding")).alias("v"), F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("b"), F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).cast("long").alias("g"))
+    bias = lambda df: F.col("bias") if "bias" in df.columns else F.lit(0.0)
+    row = lambda df: (F.col("id").alias("id"), V.doubles(F.col("embedding")).alias("v"), bias(df).cast("double").alias("bias"))
+    a = left.select(*row(left), F.pmod(F.xxhash64("id"), F.lit(groups)).alias("g"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("b"))
+    b = right.select(*row(right), F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("b"), F.explode(F.sequence(F.lit(0), F.lit(groups - 1)).cast("array<bigint>")).alias("g"))
+    return a, b
+
+
+def _scores(one: pd.DataFrame, two: pd.DataFrame, metric: str, scale: float) -> Iterator[tuple[int, object]]:
+    """Offsets and score blocks of at most LEFT_ROWS rows of ``one`` against all of ``two``."""
+    import numpy as np
+
+    x, y = np.stack(one["v"]), np.stack(two["v"])
+    if metric == "cosine":
+        x, y = (m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12) for m in (x, y))
+    for at in range(0, len(x), LEFT_ROWS):
+        part = x[at : at + LEFT_ROWS]
+        scores = part @ y.T
+        if metric == "euclidean":
+            scores = 1 - np.sqrt(np.maximum(0, (part**2).sum(1)[:, None] + (y**2).sum(1)[None] - 2 * scores))
+        elif metric == "manhattan":
+            scores = 1 - np.stack([np.abs(y - row).sum(1) for row in part])
+        yield at, scale * scores - one["bias"].to_numpy()[at : at + LEFT_ROWS, None] - two["bias"].to_numpy()[None]
+
+
+def block_knn(left: DataFrame, right: DataFrame, k: int, metric: str = "inner", block_rows: int = BLOCK_ROWS, scale: float = 1.0) -> DataFrame:
+    """e1, e2, score, rank: the k best right rows of each left row; both have id, embedding and perhaps bias, which is
+    taken off ``scale`` times the metric's score.
+
+    The right side is dealt into blocks of about ``block_rows`` rows, each left row meets each block once, and a block
+    keeps its k best, so no score matrix exists and nothing is broadcast. Ties go to the lower id.
+    """
+    a, b = _blocks(left, right, block_rows)
 
     def best(one: pd.DataFrame, two: pd.DataFrame) -> pd.DataFrame:
         import numpy as np
 
-        if one.empty or two.empty:
-            return pd.DataFrame({"e1": [], "e2": [], "score": []}).astype({"e1": "int64", "e2": "int64", "score": "float64"})
-        two = two.sort_values("id")
-        x, y = np.stack(one["v"]), np.stack(two["v"])
-        if metric == "cosine":
-            x, y = (m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12) for m in (x, y))
-        ids, out = two["id"].to_numpy(), []
-        for at in range(0, len(x), LEFT_ROWS):
-            part = x[at : at + LEFT_ROWS]
-            scores = part @ y.T
-            if metric == "euclidean":
-                scores = 1 - np.sqrt(np.maximum(0, (part**2).sum(1)[:, None] + (y**2).sum(1)[None] - 2 * scores))
-            elif metric == "manhattan":
-                scores = 1 - np.stack([np.abs(y - row).sum(1) for row in part])
-            top = np.argsort(-scores, axis=1, kind="stable")[:, :k]
-            out.append(pd.DataFrame({"e1": np.repeat(one["id"].to_numpy()[at : at + LEFT_ROWS], top.shape[1]), "e2": ids[top].ravel(), "score": np.take_along_axis(scores, top, 1).ravel()}))
-        return pd.concat(out)
+        out = [pd.DataFrame({"e1": [], "e2": [], "score": []}).astype({"e1": "int64", "e2": "int64", "score": "float64"})]
+        if len(one) and len(two):
+            two = two.sort_values("id")
+            ids = two["id"].to_numpy()
+            for at, scores in _scores(one, two, metric, scale):
+                top = np.argsort(-scores, axis=1, kind="stable")[:, :k]
+                out.append(pd.DataFrame({"e1": np.repeat(one["id"].to_numpy()[at : at + LEFT_ROWS], top.shape[1]), "e2": ids[top].ravel(), "score": np.take_along_axis(scores, top, 1).ravel()}))
+        return pd.concat(out[1:] or out)
 
-    found = a.groupBy("b", "g").cogroup(b.groupBy("b", "g")).applyInPandas(lambda one, two: best(one, two), "e1 long, e2 long, score double")
+    found = a.groupBy("b", "g").cogroup(b.groupBy("b", "g")).applyInPandas(best, "e1 long, e2 long, score double")
     return rank_candidates(found, k)
 
 
+def csls_bias(left: DataFrame, right: DataFrame, k: int = 10, metric: str = "cosine", block_rows: int = BLOCK_ROWS) -> tuple[DataFrame, DataFrame]:
+    """Both sides with the bias of CSLS: each row's mean score with its k best on the other side."""
+    def biased(one: DataFrame, two: DataFrame) -> DataFrame:
+        means = block_knn(one.select("id", "embedding"), two.select("id", "embedding"), k, metric, block_rows).groupBy(F.col("e1").alias("id")).agg(F.avg("score").alias("bias"))
+        return one.select("id", "embedding").join(means, "id")
+
+    return biased(left, right), biased(right, left)
+
+
+def csls_knn(left: DataFrame, right: DataFrame, k: int, neighbours: int = 10, metric: str = "cosine", block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """``block_knn`` by CSLS: 2 * score less both sides' mean score with their nearest neighbours."""
+    a, b = csls_bias(left, right, neighbours, metric, block_rows)
+    return block_knn(a, b, k, metric, block_rows, 2.0)
+
+
+def block_gold_ranks(left: DataFrame, right: DataFrame, gold: DataFrame, metric: str = "inner", block_rows: int = BLOCK_ROWS, scale: float = 1.0) -> DataFrame:
+    """e1, e2, rank of each gold pair among all right rows, ties by id: blocks count the better ones, counts add up."""
+    wanted = right.select(F.col("id").alias("gold"), V.doubles(F.col("embedding")).alias("gv"), (F.col("bias") if "bias" in right.columns else F.lit(0.0)).cast("double").alias("gbias"))
+    asked = left.join(gold.select(F.col("e1").alias("id"), F.col("e2").alias("gold")), "id").join(wanted, "gold")
+    a, b = _blocks(asked, right, block_rows)
+    a = a.join(asked.select("id", "gold", "gv", "gbias"), "id")
+
+    def count(one: pd.DataFrame, two: pd.DataFrame) -> pd.DataFrame:
+        import numpy as np
+
+        out = [pd.DataFrame({"e1": [], "e2": [], "n": []}).astype("int64")]
+        if len(one) and len(two):
+            ids, golds = two["id"].to_numpy(), one["gold"].to_numpy()
+            for at, scores in _scores(one, two, metric, scale):
+                part = one.iloc[at : at + LEFT_ROWS]
+                own = pd.DataFrame({"v": part["gv"], "bias": part["gbias"], "id": part["gold"]})
+                mine = np.array([next(_scores(part.iloc[i : i + 1], own.iloc[i : i + 1], metric, scale))[1][0, 0] for i in range(len(part))])
+                other = ids[None] != golds[at : at + LEFT_ROWS, None]
+                # The answer meets itself in one block, where rounding must not part it from its own score.
+                better = (scores > mine[:, None] + 1e-12) | ((np.abs(scores - mine[:, None]) <= 1e-12) & (ids[None] < golds[at : at + LEFT_ROWS, None]))
+                out.append(pd.DataFrame({"e1": part["id"].to_numpy(), "e2": part["gold"].to_numpy(), "n": (better & other).sum(1)}))
+        return pd.concat(out)
+
+    counts = a.groupBy("b", "g").cogroup(b.groupBy("b", "g")).applyInPandas(count, "e1 long, e2 long, n long")
+    return counts.groupBy("e1", "e2").agg((1 + F.sum("n")).cast("long").alias("rank"))
+
+
 def score_pairs(left: DataFrame, right: DataFrame, pairs: DataFrame, score=V.cosine) -> DataFrame:
     """e1, e2, score of given pairs."""
     one, two = left.select(F.col("id").alias("e1"), F.col("embedding").alias("_a")), right.select(F.col("id").alias("e2"), F.col("embedding").alias("_b"))

@@ -6,7 +6,7 @@ import importlib
 
 from twinweave.plans.registry import ORACLES, QUERIES
 
-for _module in ("graph",):
+for _module in ("graph", "ranking"):
     importlib.import_module(f"twinweave.plans.queries_{_module}")
 
 
