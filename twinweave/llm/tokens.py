@@ -12,13 +12,14 @@ import re
 import struct
 from collections.abc import Iterable
 
-_MAX_WORDS = 600_000
-_CHUNK = 20_000
+_MAX_WORDS = 450_000
 _SPACES = str.maketrans("\t\n\r", "   ")
-_UNSURE = re.compile("[\x0b\x0c\x1c-\x1f\x85]")
-_CLOSERS = ".,!?;:"
+#: Characters at which str.split() parts words, though the pre-tokenizer may keep them.
+_UNSURE = "\x0b\x0c\x1c\x1d\x1e\x1f\x85"
+_CLOSERS = ".,!?;:%&*#$@+=~^/-_)]}"
 #: Letters whose lower case and byte form are one step from the model's alphabet: ASCII and Latin-1.
 _PLAIN = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
+_PACKERS = [struct.Struct(f"<{n}I").pack for n in range(16)]
 _encoders: dict[str, WordEncoder] = {}
 
 
@@ -29,66 +30,47 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in kept} | {b: chr(256 + n) for n, b in enumerate(others)}
 
 
-class WordEncoder:
-    """Ids of whole texts as little-endian unsigned 32-bit bytes."""
+class WordEncoder(dict):
+    """Ids of whole texts as little-endian unsigned 32-bit bytes; as a map, ids of the words seen so far."""
 
     def __init__(self, path: str):
+        super().__init__()
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
         self.letters = _byte_letters()
-        self.known: dict[str, bytes] = {}
-
-    def _pack(self, words: list[str]) -> None:
-        """Look words up: plain words go straight to the BPE model, the others through the whole tokenizer."""
-        other = []
-        for word in words:
-            if _PLAIN.fullmatch(word):
-                lower = word.lower()
-                if lower in self.known:
-                    self.known[word] = self.known[lower]
-                    continue
-                form = lower if lower.isascii() else "".join(map(self.letters.__getitem__, lower.encode()))
-                ids = [t.id for t in self.model.tokenize(form)]
-                self.known[word] = self.known[lower] = struct.pack(f"<{len(ids)}I", *ids)
-            else:
-                other.append(word)
-        for i in range(0, len(other), _CHUNK):
-            part = other[i : i + _CHUNK]
-            for word, found in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                self.known[word] = struct.pack(f"<{len(found.ids)}I", *found.ids)
-
-    def _learn(self, words: set[str]) -> None:
-        """Add words to the map; closing punctuation after an ASCII letter is looked up apart from its word."""
-        stems, composed = set(), []
-        for word in words:
-            stem = word.rstrip(_CLOSERS)
-            if stem and len(stem) < len(word) and stem[-1].isascii() and stem[-1].isalpha():
-                composed.append((word, stem, word[len(stem) :]))
-                stems.update(x for x in composed[-1][1:] if x not in self.known)
-            else:
-                stems.add(word)
-        self._pack(sorted(stems))
-        for word, stem, close in composed:
-            self.known[word] = self.known[stem] + self.known[close]
+
+    def __missing__(self, word: str) -> bytes:
+        found = self[word] = self._look_up(word)
+        return found
+
+    def _look_up(self, word: str) -> bytes:
+        """Plain words go straight to the BPE model, digits and closing punctuation apart, the others to the tokenizer."""
+        plain = word.isascii()
+        if word.isalpha() and (plain or _PLAIN.fullmatch(word)):
+            lower = word.lower()
+            if lower != word:
+                return self[lower]
+            ids = [t.id for t in self.model.tokenize(word if plain else "".join(map(self.letters.__getitem__, word.encode())))]
+            return _PACKERS[len(ids)](*ids) if len(ids) < len(_PACKERS) else struct.pack(f"<{len(ids)}I", *ids)
+        stem = word.rstrip(_CLOSERS)
+        if stem and len(stem) < len(word) and stem[-1].isascii() and stem[-1].isalnum():
+            return self[stem] + self[word[len(stem) :]]
+        if len(word) > 1 and plain and word.isdigit():
+            return b"".join(map(self.__getitem__, word))
+        ids = self.tokenizer.encode(word, add_special_tokens=False).ids
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def encode(self, texts: Iterable[str], end_id: int) -> list[bytes]:
         """Ids of each text without special tokens, then ``end_id``."""
-        end = int(end_id).to_bytes(4, "little")
-        out = []
+        end, get, out = int(end_id).to_bytes(4, "little"), self.__getitem__, []
         for text in texts:
-            # str.split() also splits at characters that the pre-tokenizer keeps.
-            words = text.split() if not _UNSURE.search(text) else [w for w in text.translate(_SPACES).split(" ") if w]
-            if len(self.known) > _MAX_WORDS:
-                self.known.clear()
-            parts = list(map(self.known.get, words))
-            if None in parts:
-                self._learn({w for w, p in zip(words, parts, strict=True) if p is None})
-                parts = list(map(self.known.__getitem__, words))
-            parts.append(end)
-            out.append(b"".join(parts))
+            if len(self) > _MAX_WORDS:
+                self.clear()
+            words = [w for w in text.translate(_SPACES).split(" ") if w] if any(c in text for c in _UNSURE) else text.split()
+            out.append(b"".join(map(get, words)) + end)
         return out
 
 
