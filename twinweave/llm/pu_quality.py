@@ -1,8 +1,8 @@
 """Quality classifier by positive-unlabelled learning.
 
 Trusted positives are training rows labelled good; unlabelled text is any training document. The class prior of the
-unlabelled text is estimated by the best-bin bound: over thresholds of a positive-versus-unlabelled classifier, the least
-ratio of the unlabelled to the positive share above it. A logistic model over text statistics then minimises the
+unlabelled text is estimated by the best-bin bound: over thresholds of a cross-fitted positive-versus-unlabelled
+classifier, the least ratio of the unlabelled to the positive share above it. A logistic model over text statistics then minimises the
 non-negative unbiased risk, so its sigmoid is the probability of a good text. Fitting uses bounded, hash-chosen samples;
 scoring reads every whole text.
 """
@@ -111,17 +111,30 @@ def _descend(positive, unlabelled, prior: float | None, steps: int = 300, rate:
     return w, b
 
 
-def estimate_prior(positive_scores, unlabelled_scores, slack: float = 1.0) -> float:
-    """Least upper-confidence ratio of unlabelled to positive share above a threshold."""
+#: The best-bin ratio bounds the prior from above; the risk takes this share of it, since too high a prior calls junk good.
+PRIOR_SHARE = 0.85
+
+
+def estimate_prior(positive_scores, unlabelled_scores) -> float:
+    """Least ratio of the unlabelled to the positive share above a threshold: an upper bound of the class prior."""
     import numpy as np
 
-    best = 1.0
-    n, k = len(unlabelled_scores), len(positive_scores)
-    for t in np.quantile(positive_scores, np.linspace(0, 0.9, 46)):
-        up, pp = (unlabelled_scores >= t).mean(), (positive_scores >= t).mean()
-        if pp > 0:
-            best = min(best, (up + slack * np.sqrt(up * (1 - up) / n) + slack * np.sqrt(pp * (1 - pp) / k) / 2) / pp)
-    return float(min(max(best, 0.05), 0.99))
+    ratios = [(unlabelled_scores >= t).mean() / (positive_scores >= t).mean() for t in np.quantile(positive_scores, np.linspace(0, 0.9, 46))]
+    return float(min(max(min(ratios), 0.05), 0.99))
+
+
+def _cross_scores(positive, unlabelled):
+    """Scores of a positive-versus-unlabelled classifier, each half of the rows by the model of the other half."""
+    import numpy as np
+
+    out = [np.zeros(len(positive)), np.zeros(len(unlabelled))]
+    halves = [np.arange(len(x)) % 2 for x in (positive, unlabelled)]
+    for k in (0, 1):
+        parts = [x[h != k] if (h != k).any() else x for x, h in zip((positive, unlabelled), halves, strict=True)]
+        w, b = _descend(*parts, None, steps=150)
+        for scores, x, h in zip(out, (positive, unlabelled), halves, strict=True):
+            scores[h == k] = x[h == k] @ w + b
+    return out
 
 
 def fit_pu(positive, unlabelled) -> PuModel:
@@ -133,8 +146,7 @@ def fit_pu(positive, unlabelled) -> PuModel:
     tails = np.quantile(both, [0.005, 0.02, 0.98, 0.995], axis=0).T
     edges = np.sort(np.concatenate([edges, tails], axis=1), axis=1)
     p, u = binned(positive, edges), binned(unlabelled, edges)
-    w, b = _descend(p, u, None, steps=150)
-    prior = estimate_prior(p @ w + b, u @ w + b)
+    prior = PRIOR_SHARE * estimate_prior(*_cross_scores(p, u))
     w, b = _descend(p, u, prior)
     return PuModel(edges, w, float(b), prior)
 
