@@ -71,4 +71,51 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_secret_scan": op10_secret_scan,
 }
 
-ORACLES: dict[str, str] = {}
+_LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_EXACT = f"""SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id IS NOT DISTINCT FROM max(doc_id) OVER w AS kept, sha256(t) AS text_sha256
+FROM (SELECT doc_id, {_LOWERED} AS t FROM documents) WINDOW w AS (PARTITION BY t)"""
+
+_MIX = """WITH sized AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents),
+classed AS (SELECT *, length(bin(size)) AS class FROM sized),
+per AS (SELECT source, CAST(sum(size) AS DOUBLE) AS s, CAST([5, 2, 1][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS DOUBLE) AS w FROM sized GROUP BY source),
+walked AS (SELECT *, 3 * s AS cap, sum(s) OVER () AS total, sum(s) OVER () - coalesce(sum(3 * s) OVER before, 0) AS rest, sum(w) OVER () - coalesce(sum(w) OVER before, 0) AS rest_w FROM per WINDOW before AS (ORDER BY 3 * s / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+capped AS (SELECT *, rest * w > cap * rest_w AS at_cap FROM walked),
+targets AS (SELECT source, CAST(s AS BIGINT) AS source_size, CASE WHEN at_cap THEN cap ELSE w * (total - sum(CASE WHEN at_cap THEN cap ELSE 0 END) OVER ()) / sum(CASE WHEN at_cap THEN 0 ELSE w END) OVER () END AS target FROM capped),
+classes AS (SELECT c.source, class, CAST(sum(size) AS BIGINT) AS words, any_value(source_size) AS source_size, any_value(target) AS target, class + 20 AS pull FROM classed c JOIN targets t ON c.source IS NOT DISTINCT FROM t.source GROUP BY c.source, class),
+masses AS (SELECT *, target - CAST(coalesce(sum(words) OVER before, 0) * 3 AS DOUBLE) AS rest, CAST(sum(words * pull) OVER onward AS DOUBLE) AS mass FROM classes WINDOW before AS (PARTITION BY source ORDER BY class DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), onward AS (PARTITION BY source ORDER BY class DESC ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)),
+flagged AS (SELECT *, rest * pull > mass * 3 AS at_cap FROM masses),
+scaled AS (SELECT *, arg_max(rest / mass, class) FILTER (NOT at_cap AND mass > 0) OVER (PARTITION BY source) AS scale FROM flagged),
+rates AS (SELECT source, class, source_size, target, words, CASE WHEN at_cap THEN CAST(3 AS DOUBLE) ELSE least(CAST(3 AS DOUBLE), greatest(CAST(0 AS DOUBLE), coalesce(scale, 0) * pull)) END AS rate FROM scaled),
+rests AS (SELECT *, target - CAST(sum(floor(rate) * words) OVER (PARTITION BY source) AS DOUBLE) AS need FROM rates),
+drawn AS (SELECT doc_id, c.source, size, source_size, target, need, floor(rate) AS whole, rate - floor(rate) AS p, (CAST(CAST('0x' || substr(md5('mix|' || doc_id), 1, 13) AS BIGINT) AS DOUBLE) + 0.5) / CAST(4503599627370496 AS DOUBLE) AS u FROM classed c JOIN rests r ON c.source IS NOT DISTINCT FROM r.source AND c.class = r.class),
+ranked AS (SELECT *, CASE WHEN p > 0 THEN (u / (1 - u)) / (p / (1 - p)) END AS q FROM drawn),
+taken AS (SELECT *, CASE WHEN q IS NOT NULL AND 2 * sum(size) OVER (PARTITION BY source, q IS NULL ORDER BY q, doc_id ROWS UNBOUNDED PRECEDING) - size <= 2 * need THEN 1 ELSE 0 END AS more FROM ranked)
+SELECT doc_id, size, source_size, target, CAST((whole + more) * size AS BIGINT) AS taken, CAST(whole + more AS BIGINT) AS copies FROM taken"""
+
+
+def _sql(pattern: str) -> str:
+    return "'" + pattern.replace("'", "''") + "'"
+
+
+def _span_sql(kind: str, pattern: str, test: str = "true") -> str:
+    return f"""SELECT doc_id, {secret_scan.KINDS.index(kind)} AS k, '{kind}' AS kind, m[i] AS m, CAST(coalesce(list_sum(list_transform(g[1:i], lambda x: length(x))), 0) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0) AS BIGINT) AS s
+FROM (SELECT doc_id, m, g, unnest(range(1, len(m) + 1)) AS i FROM (SELECT doc_id, regexp_extract_all(coalesce(text, ''), {_sql(pattern)}, 0) AS m, regexp_split_to_array(coalesce(text, ''), {_sql(pattern)}) AS g FROM documents)) WHERE {test}"""
+
+
+def _secrets_sql() -> str:
+    terms = "[" + ", ".join(map(str, secret_scan.TERMS)) + "]"
+    limits = "CASE " + " ".join(f"WHEN regexp_matches(m, {_sql(p)}) THEN {secret_scan.sum_limit(b)}" for _, p, b in secret_scan.CLASSES if p) + f" ELSE {secret_scan.sum_limit(secret_scan.CLASSES[-1][2])} END"
+    w = secret_scan.WINDOW
+    assign = f"length(regexp_extract(m[i], {_sql(secret_scan.ASSIGN)}, 2)) >= {secret_scan.MIN_ASSIGNED}"
+    base = " UNION ALL ".join(f"SELECT doc_id, k, kind, s, s + length(m) AS e FROM ({_span_sql(k, p, t)})" for k, p, t in (("assign", secret_scan.ASSIGN, assign), ("access", secret_scan.ACCESS, "true"), ("hex", secret_scan.HEX, "true")))
+    runs = f"SELECT * FROM ({_span_sql('entropy', secret_scan.RUN)}) WHERE NOT regexp_matches(lower(m), {_sql(secret_scan.ALLOWED)})"
+    return f"""WITH base AS ({base}), runs AS ({runs}), windows AS (SELECT doc_id, s, m, {limits} AS lim, unnest(range(0, length(m) - {w - 1})) AS i FROM runs),
+hits AS (SELECT doc_id, s, i FROM windows WHERE list_sum(list_transform(map_values(list_aggregate(string_split(substr(m, i + 1, {w}), ''), 'histogram')), lambda c: {terms}[CAST(c AS INTEGER) + 1])) <= lim),
+every AS (SELECT doc_id, k, kind, s, e FROM base UNION ALL SELECT doc_id, 3, 'entropy', s + min(i), s + max(i) + {w} FROM hits GROUP BY doc_id, s)
+SELECT d.doc_id, count(*) FILTER (k = 0) AS n_assign, count(*) FILTER (k = 1) AS n_access, count(*) FILTER (k = 2) AS n_hex,
+sha256(coalesce(string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, k) FILTER (k < 3), '')) AS base_sha256, coalesce(string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, k), '') AS spans
+FROM documents d LEFT JOIN every USING (doc_id) GROUP BY d.doc_id"""
+
+
+#: SQL can't express the others: tests hold them against plain Python, round trips or held-out rows.
+ORACLES: dict[str, str] = {"op7_mix_pareto": _MIX, "op9_exact_dedup": _EXACT, "op10_secret_scan": _secrets_sql()}
