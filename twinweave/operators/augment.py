@@ -15,6 +15,7 @@ from twinweave.operators.splits import keep_by_hash, pair_budget, ratio_count, w
 from twinweave.plans.kg import Dataset
 from twinweave.plans.ranks import global_row_number, hash_key
 from twinweave.plans.registry import AUGMENTERS
+from twinweave.plans.storage import cut
 
 Generator = Callable[[Column, Column], Column]
 
@@ -68,16 +69,17 @@ def bfs_seeds(data: Dataset, budget: int, depth: int, seed: int = 42) -> DataFra
     ends = pairs.select(F.lit(1).alias("kg"), F.col("e1").alias("node"), "e1", "e2").unionByName(pairs.select(F.lit(2).alias("kg"), F.col("e2").alias("node"), "e1", "e2"))
     links = edges(data.triples).select("kg", "node", "other").distinct()
     direct = links.join(ends, ["kg", "node"]).join(ends.toDF("kg", "other", "f1", "f2"), ["kg", "other"]).select("e1", "e2", "f1", "f2").distinct()
-    visited = keep_by_hash(pairs, seed, lambda n: F.greatest(F.lit(1), F.floor(F.lit(budget) / 4))).withColumn("depth", F.lit(0))
+    visited = cut(keep_by_hash(pairs, seed, lambda n: F.greatest(F.lit(1), F.floor(F.lit(budget) / 4))).withColumn("depth", F.lit(0)))
     for level in range(1, depth + 1):
         frontier = visited.where(F.col("depth") == level - 1)
-        found = direct.join(frontier.select("e1", "e2"), ["e1", "e2"], "left_semi").select(F.col("f1").alias("e1"), F.col("f2").alias("e2")).distinct().join(visited, ["e1", "e2"], "left_anti")
+        found = direct.join(frontier.select("e1", "e2"), ["e1", "e2"], "left_semi").select(F.col("f1").alias("e1"), F.col("f2").alias("e2")).distinct()
+        found = cut(found.join(visited, ["e1", "e2"], "left_anti"))
         if found.isEmpty():
             break
         visited = visited.unionByName(found.withColumn("depth", F.lit(level)))
     rest = pairs.join(visited, ["e1", "e2"], "left_anti").withColumn("depth", F.lit(depth + 1))
     ranked = global_row_number(visited.unionByName(rest).withColumn("_k", F.concat(F.lpad(F.col("depth").cast("string"), 6, "0"), hash_key(seed, "e1", "e2"))), ["_k", "e1", "e2"], "_rn")
-    return ranked.where(F.col("_rn") <= budget).select("e1", "e2", "depth")
+    return cut(ranked.where(F.col("_rn") <= budget).select("e1", "e2", "depth"))
 
 
 @AUGMENTERS.register("plm")

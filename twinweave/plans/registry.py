@@ -53,3 +53,11 @@ def query(name: str, sql: str | None = None, graphs: bool = True) -> Callable:
         return f
 
     return keep
+
+
+def autoload() -> None:
+    """Import every module that registers something."""
+    import importlib
+
+    for module in ("operators.splits", "operators.augment", "sources.files", "plans.catalog"):
+        importlib.import_module(f"twinweave.{module}")
