@@ -21,6 +21,7 @@ from twinweave.llm._common import bucket_of, make_importable, text_or_empty
 MAX_N, SLOT_BITS = 4, 13
 SLOTS = 1 << SLOT_BITS
 BLOCK = 128
+SALTS = 64
 CHUNK = 1 << 20
 LETTER = r"\p{L}"
 
@@ -91,9 +92,14 @@ def _presence_bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 
 def sample_ids(rows: DataFrame, key: str, per_key: int) -> list[int]:
-    """Ids of the first rows of each key by a hash of the id: a bounded sample, the same at each run."""
-    order = W.partitionBy(key).orderBy(F.xxhash64("doc_id"), "doc_id")
-    ranked = rows.where(F.col("doc_id").isNotNull()).select("doc_id", key).distinct().withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= per_key)
+    """Ids of the first rows of each key by a hash of the id: a bounded sample, the same at each run.
+
+    Salted first, so that a key with most rows is cut down in many tasks before its last ones meet.
+    """
+    ranked = rows.where(F.col("doc_id").isNotNull()).select("doc_id", key).distinct().withColumn("_hash", F.xxhash64("doc_id")).withColumn("_salt", F.pmod("_hash", F.lit(SALTS)))
+    for keys in ([key, "_salt"], [key]):
+        order = W.partitionBy(*keys).orderBy("_hash", "doc_id")
+        ranked = ranked.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= per_key).drop("_rank")
     return [r[0] for r in ranked.select("doc_id").collect()]
 
 
