@@ -187,7 +187,7 @@ def pack_pieces(pieces: DataFrame, capacity: int = 2048, shard_pieces: int = SHA
     shards = max(1, -(-short.count() // shard_pieces))
     dealt = short.withColumn("shard", F.pmod(F.xxhash64("row_id", "piece"), F.lit(shards)).cast("long"))
     packed = dealt.groupBy("shard").applyInArrow(_pack_shard(capacity), "row_id long, piece int, sequence_id long, offset long")
-    whole = sizes.where(F.col("length") == capacity).select("row_id", "piece", (-1 - (F.col("row_id") * 4096 + F.col("piece"))).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    whole = sizes.where(F.col("length") == capacity).select("row_id", "piece", (-1 - F.monotonically_increasing_id()).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     return packed.unionByName(whole)
 
 
