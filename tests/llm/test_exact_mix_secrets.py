@@ -45,6 +45,12 @@ def test_exact_odd_rows(odd, empty):
     assert kept.columns == odd.columns and sorted(r.doc_id for r in kept.collect()) == [5, 6]
 
 
+def test_exact_copies_keep_each_text_of_null_and_repeated_ids(spark):
+    rows = [(None, "one"), (None, "two"), (None, "TWO"), (None, "three"), (7, "three"), (8, "four"), (8, "five"), (8, "five"), (9, "five"), (None, None), (None, "")]
+    kept = exact_dedup.drop_exact_copies(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
+    assert Counter((r.doc_id, lower(r.text)) for r in kept.collect()) == Counter([(None, "one"), (None, "two"), (7, "three"), (8, "four"), (9, "five"), (None, "")])
+
+
 def mix_by_hand(rows, seed="mix"):
     size = {i: len(re.findall(r"[^\x20\x09-\x0D]+", t or "")) for i, t, *_ in rows}
     per = defaultdict(int)

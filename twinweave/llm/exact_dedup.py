@@ -16,6 +16,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from twinweave.llm._common import make_importable, materialise, text_or_empty
 
@@ -63,8 +64,25 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return found.select(F.col("_id").alias(id_col), F.col("_keep").alias("keep_id"), F.col("_n").alias("group_size"), F.col("_id").eqNullSafe(F.col("_keep")).alias("kept"), F.col("_digest").alias("text_sha256"))
 
 
+def _with_digest(at: int):
+    """Arrow batches of whole rows with the digest of column ``at`` behind them; the digests are those of exact_groups."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            text = pc.ascii_lower(pc.fill_null(batch.column(at), ""))
+            digests = pa.array([sha256_hex(x.as_buffer()) for x in text], pa.string())
+            yield pa.RecordBatch.from_arrays([*batch.columns, digests], [*batch.schema.names, "_stay_digest"])
+
+    return run
+
+
 def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = 16) -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns: one row for each distinct text. Ids must name one text each."""
-    stay = exact_groups(docs, id_col, text_col, salts).where("kept").select(F.col(id_col).alias("_stay_id")).distinct()
-    kept = docs.join(stay, docs[id_col].eqNullSafe(stay["_stay_id"]), "left_semi")
-    return kept.dropDuplicates([id_col])
+    """The rows of ``docs`` that stay, with all their columns: exactly one row for each distinct text.
+
+    The row with the largest id of a text stays, and null ids lose to any other. Rows are known by id and SHA-256 of the
+    normalised text together, so null or repeated ids with different texts are different documents.
+    """
+    stay = exact_groups(docs, id_col, text_col, salts).where("kept").select(F.col(id_col).alias("_stay_id"), F.col("text_sha256").alias("_stay_text")).distinct()
+    rows = docs.mapInArrow(_with_digest(docs.columns.index(text_col)), T.StructType([*docs.schema.fields, T.StructField("_stay_digest", T.StringType())]))
+    kept = rows.join(stay, (rows["_stay_digest"] == stay["_stay_text"]) & rows[id_col].eqNullSafe(stay["_stay_id"]), "left_semi")
+    return kept.dropDuplicates([id_col, "_stay_digest"]).drop("_stay_digest")
