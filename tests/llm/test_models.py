@@ -207,6 +207,14 @@ def test_templates_generalise_and_reject(spark):
     assert len(got) == len(rows)
 
 
+@pytest.mark.parametrize("sections", [60, 90])
+def test_verdicts_do_not_depend_on_the_number_of_sections(spark, sections):
+    urls = [f"http://example.com/de/{i}" for i in range(400)] + [f"http://example.com/s{k}/{i}" for k in range(sections) for i in range(2)]
+    got = url_templates.judge_urls(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")).collect()
+    assert {r.verdict for r in got if r.path.startswith("/de/")} == {"block"}
+    assert {r.verdict for r in got if r.path.startswith("/s")} == {"allow"}
+
+
 def test_urls_empty_and_repeated(spark):
     schema = "page_id long, url string, _seg string, purity double"
     assert url_templates.judge_urls(spark.createDataFrame([], schema)).count() == 0

@@ -3,7 +3,7 @@
 Level by level down to DEPTH path segments, a node is a host and a template of its first segments. Segments that look
 like numbers or long hex strings become wildcards by their shape. A branch with its own literal stays only while it
 differs from its siblings under the same node: siblings whose labelled rates and whose next segments' shapes agree within
-sampling error merge into one wildcard, and so do the branches of a node with more than MAX_BRANCHES. The labels are the
+sampling error merge into one wildcard; how many siblings there are plays no part. The labels are the
 rules' verdicts on the URLs they cover. A template's purity is its labelled share of blocks, smoothed towards its
 parent's; the root's and those of literals that stayed apart from their siblings are smoothed towards PRIOR; templates at or above REJECT block the URLs without a rule. Only counts per node
 are shuffled, added up before the exchange, so a host with a third of all pages is a few rows a task.
@@ -18,7 +18,7 @@ from twinweave.llm._common import materialise
 
 #: Host, path, verdict.
 RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
-DEPTH, MAX_BRANCHES = 3, 64
+DEPTH = 3
 STRENGTH, PRIOR, REJECT = 4.0, 0.2, 0.75
 #: Standard errors within which two rates agree.
 Z = 2.0
@@ -72,9 +72,9 @@ def path_templates(pages: DataFrame) -> DataFrame:
         # Wildcards and ends are no literals: they neither merge nor count as siblings.
         literal = (F.col("_branch") != "") & ~F.col("_branch").startswith("{")
         counts = ("n", "lab", "blk", *(f"s{i}" for i in range(len(SHAPES))))
-        totals = branches.where(literal).groupBy("host", "_node").agg(F.count(F.lit(1)).alias("_siblings"), *[F.sum(c).alias(f"t_{c}") for c in counts])
+        totals = branches.where(literal).groupBy("host", "_node").agg(*[F.sum(c).alias(f"t_{c}") for c in counts])
         branches = branches.join(totals, ["host", "_node"], "left")
-        branches = branches.withColumn("_keep", literal & ~_agrees(branches) & (F.col("_siblings") <= MAX_BRANCHES) | ~literal)
+        branches = branches.withColumn("_keep", literal & ~_agrees(branches) | ~literal)
         branches = materialise(branches.select("host", "_node", "_branch", "_up", "lab", "blk", F.when(F.col("_keep"), F.col("_branch")).otherwise("*").alias("_name")), "url-branches")
         merged = branches.groupBy("host", "_node", "_name").agg(F.first("_up").alias("_p"), F.sum("lab").alias("_l"), F.sum("blk").alias("_b"))
         # A literal that stayed differs from its siblings, so their common parent says nothing about it.
