@@ -298,6 +298,29 @@ def test_near_duplicates_against_all_pairs(spark, sf_dir):
             assert len(group) == 1 or any(i != j and (len(words[i]) == len(words[j]) == 0 or order_minhash.aligned([(words[i], words[j])])[0] or (words[i] == words[j]).all()) for j in group), c
 
 
+def test_pair_with_one_common_bucket(spark):
+    """Texts b and c align and share one bucket only, whose least member is a third text that aligns with neither."""
+    rng = random.Random(1)
+
+    def edited(words, n):
+        out = list(words)
+        for at in rng.sample(range(len(out)), n):
+            out[at] = f"z{rng.randrange(10**6)}"
+        return out
+
+    sketches = lambda words: set(order_minhash.order_sketches(order_minhash.word_ids(" ".join(words))).tolist())
+    while True:
+        base = [f"w{rng.randrange(10**6)}" for _ in range(24)]
+        b, c, a = edited(base, 2), edited(base, 2), base[:12] + [f"a{i}" for i in range(60)]
+        ids = [order_minhash.word_ids(" ".join(x)) for x in (a, b, c)]
+        shared = sketches(b) & sketches(c)
+        if len(shared) == 1 and shared <= sketches(a) and order_minhash.aligned([(ids[0], ids[1]), (ids[0], ids[2]), (ids[1], ids[2])]) == [False, False, True]:
+            break
+    rows = [(i, " ".join(x)) for i, x in enumerate((a, b, c))]
+    got = order_minhash.near_duplicate_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.class_id) for r in got) == [(0, 0), (1, 1), (2, 1)]
+
+
 @pytest.mark.parametrize("hot", [40])
 def test_hot_group(spark, hot):
     """One group of near copies beside texts that share a passage: one class, and the others stay alone."""

@@ -4,8 +4,8 @@ A text is its lower-cased words; k-mers are five words in a row, labelled by occ
 samples the ORDER least labelled k-mers and hashes them in text order, so a sketch agrees only where the same k-mers come
 in the same order. Equal word sequences collapse first; then each sketch value is a bucket, and its members are compared
 with its least member. A pair is linked when a banded alignment of the words gives an edit similarity of at least 0.8.
-Buckets that still hold several components are settled exactly for pairs that share two of them: all such pairs across
-components are aligned. Classes are connected components; no bucket is capped.
+Buckets that still hold several components are settled exactly: all pairs across components that share one of them, and
+whose lengths and bags of words allow the similarity, are aligned. Classes are connected components; no bucket is capped.
 """
 
 from __future__ import annotations
@@ -263,7 +263,7 @@ def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: st
 
 
 def _open_pairs(bands: DataFrame, found: DataFrame, bags: DataFrame) -> DataFrame:
-    """Pairs of different components that share two buckets and whose lengths and bags of words allow the similarity.
+    """Pairs of different components that share a bucket and whose lengths and bags of words allow the similarity.
 
     Both bounds are exact: no pair that would align is left out.
     """
@@ -271,18 +271,14 @@ def _open_pairs(bands: DataFrame, found: DataFrame, bags: DataFrame) -> DataFram
     labelled = materialise(labelled, "labelled")
     unsettled = labelled.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("key")
     left = labelled.join(unsettled, "key", "left_semi")
-    keys = left.groupBy("doc", "words", "root").agg(F.array_sort(F.collect_set("key")).alias("keys")).where(F.size("keys") > 1)
-    twos = F.expr("flatten(transform(keys, (x, i) -> transform(slice(keys, i + 2, size(keys)), y -> xxhash64(x, y))))")
-    twins = materialise(keys.select("doc", "words", "root", "keys", F.explode(twos).alias("two")), "twins")
-    several = twins.groupBy("two").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("two")
-    twins = materialise(twins.join(several, "two", "left_semi").join(bags.dropDuplicates(["doc"]), "doc"), "twins-with-bags")
-    x, y = twins.alias("x"), twins.alias("y")
+    keys = left.groupBy("doc", "words", "root").agg(F.array_sort(F.collect_set("key")).alias("keys"))
+    held = materialise(keys.join(bags.dropDuplicates(["doc"]), "doc").withColumn("key", F.explode("keys")), "held")
+    x, y = held.alias("x"), held.alias("y")
     apart = (F.col("x.root") < F.col("y.root")) & (F.least("x.words", "y.words") >= F.greatest("x.words", "y.words") * SIMILARITY)
-    # A pair meets at every two buckets it shares; it is taken at the first two only.
-    shared = F.array_intersect("x.keys", "y.keys")
-    first = F.xxhash64(F.element_at(shared, 1), F.element_at(shared, 2)) == F.col("x.two")
+    # A pair meets in every bucket it shares; it is taken in the first only.
+    first = F.element_at(F.array_intersect("x.keys", "y.keys"), 1) == F.col("x.key")
     common = F.aggregate(F.zip_with("x.bag", "y.bag", lambda p, q: F.least(p, q)), F.lit(0), lambda n, c: n + c)
-    pairs = x.join(y, (F.col("x.two") == F.col("y.two")) & apart & first & (common >= F.greatest("x.words", "y.words") * SIMILARITY))
+    pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & apart & first & (common >= F.greatest("x.words", "y.words") * SIMILARITY))
     return materialise(pairs.select(F.least("x.doc", "y.doc").alias("a"), F.greatest("x.doc", "y.doc").alias("b")).distinct(), "open-pairs")
 
 
