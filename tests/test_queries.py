@@ -118,6 +118,14 @@ def test_generators_are_seeded(spark):
     assert spark.range(1).select(G.nfc(F.lit("é")).alias("r")).first().r == "é"
 
 
+@pytest.mark.parametrize("name", ["creative_variation", "noise", "mask_span"])
+def test_generators_take_whole_texts(spark, tmp_path, name):
+    texts = [" ".join(f"word{i}x{k}" for k in range(200)) for i in range(4)]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"file://{tmp_path}/documents.parquet")
+    got = {r.doc_id: r.v for r in catalog.queries()[name](spark, f"file://{tmp_path}").collect()}
+    assert len(got) == 4 and all(len(got[i]) > 0.6 * len(t) and got[i] != t for i, t in enumerate(texts))
+
+
 def test_statistics_edges(spark):
     runs = spark.createDataFrame([("d", "baseline", 1.0), ("d", "augmented", 2.0)], "dataset string, stage string, value double")
     assert S.cohens_d(runs, "baseline", "augmented", "dataset").first().d is None

@@ -144,7 +144,7 @@ query("attribute_type", "SELECT DISTINCT p, CASE WHEN regexp_matches(lower(p), '
 query("duration_text", "SELECT event_id, CASE WHEN h > 0 THEN h || 'h ' || lpad(CAST(m AS VARCHAR), 2, '0') || 'm ' || lpad(CAST(x AS VARCHAR), 2, '0') || 's' WHEN m > 0 THEN m || 'm ' || lpad(CAST(x AS VARCHAR), 2, '0') || 's' ELSE x || 's' END AS v FROM (SELECT event_id, s // 3600 AS h, s % 3600 // 60 AS m, s % 60 AS x FROM (SELECT event_id, CAST(event_id * 7 AS BIGINT) AS s FROM events))", graphs=False)(lambda s, d: s.read.parquet(f"{d}/events.parquet").select("event_id", X.duration(F.col("event_id") * 7).alias("v")))
 query("json_metrics", "SELECT event_id, CAST(json_extract(props, '$.k') AS DOUBLE) AS k FROM events", graphs=False)(lambda s, d: s.read.parquet(f"{d}/events.parquet").select("event_id", F.from_json("props", "map<string,double>").alias("m")).select("event_id", F.explode("m").alias("metric", "k")).where("metric = 'k'").select("event_id", "k"))
 for name, f in (("creative_variation", lambda t: G.variation(t, F.md5(t))), ("noise", lambda t: G.noise(t, F.md5(t))), ("mask_span", lambda t: G.mask_span(t, F.md5(t)))):
-    query(name)(lambda s, d, f=f: docs(s, d).select("doc_id", f(F.substring("text", 1, 60)).alias("v")))
+    query(name)(lambda s, d, f=f: docs(s, d).select("doc_id", f(F.col("text")).alias("v")))
 query("sequence_ratio")(lambda s, d: two(s, d).select("doc_id", G.sequence_ratio("a", "b").alias("v")))
 query("creativity_score")(lambda s, d: two(s, d).select("doc_id", G.creativity_score("a", "b").alias("x")).select("doc_id", "x.score", "x.reason"))
 query("nfc")(lambda s, d: docs(s, d).select("doc_id", G.nfc("text").alias("v")))
