@@ -2,14 +2,14 @@ import hashlib
 import random
 import re
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from twinweave.llm import audio_features as A
-from twinweave.llm import language_kernel, order_minhash, pu_quality, url_templates
+from twinweave.llm import components, language_kernel, order_minhash, pu_quality, url_templates
 from twinweave.llm.queries import QUERIES
 
 from .conftest import corpus
@@ -321,6 +321,92 @@ def test_pair_with_one_common_bucket(spark):
     assert sorted((r.doc_id, r.class_id) for r in got) == [(0, 0), (1, 1), (2, 1)]
 
 
+def classes_by_hand(texts, any_pair):
+    """Least index of each text's component, over every pair that aligns, or that shares a cell and aligns."""
+    ids = [order_minhash.word_ids(t) for t in texts]
+    cells = [set(order_minhash.all_sketches(x).tolist()) for x in ids]
+    root = list(range(len(texts)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(len(texts)):
+        for j in range(i):
+            if (ids[i].tolist() == ids[j].tolist() or (any_pair or cells[i] & cells[j]) and order_minhash.aligned([(ids[i], ids[j])])[0]) and find(i) != find(j):
+                root[max(find(i), find(j))] = min(find(i), find(j))
+    return [find(i) for i in range(len(texts))]
+
+
+@pytest.mark.parametrize(("cell", "block"), [(16, 256), (1, 256), (0, 8)])
+def test_large_cells_lose_no_link(spark, monkeypatch, cell, block):
+    """Groups of loose copies, and texts of which a shared passage is a third or nine tenths, against all pairs."""
+    monkeypatch.setattr(order_minhash, "CELL", cell)
+    monkeypatch.setattr(order_minhash, "BLOCK", block)
+    monkeypatch.setattr(order_minhash, "CHUNK", 7)
+    rng = random.Random(12)
+    word = lambda: f"w{rng.randrange(3000)}"
+    base, passage = [word() for _ in range(90)], [word() for _ in range(40)]
+    texts = []
+    for i in range(30):
+        copy = list(base)
+        for at in rng.sample(range(90), 6 + i % 9):
+            copy[at] = word()
+        texts.append(copy)
+        texts.append([word() for _ in range(80)] + passage)
+        texts.append([word() for _ in range(6 + i % 8)] + passage)
+        texts.append([*texts[rng.randrange(len(texts))][:-3], word(), word()])
+    texts = [" ".join(t) for t in texts]
+    rng.shuffle(texts)
+    least, most = classes_by_hand(texts, False), classes_by_hand(texts, True)
+    got = order_minhash.near_duplicate_classes(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)).collect()
+    got = [r.class_id for r in sorted(got)]
+    # No link of a common cell is lost, and what is joined beyond them aligns too.
+    assert all(got[i] == got[least[i]] for i in range(len(texts)))
+    assert all(most[i] == most[got[i]] for i in range(len(texts)))
+    assert 5 < len(set(most)) <= len(set(got)) < 100
+
+
+@pytest.mark.parametrize(("words", "changed"), [(12, 1), (20, 1), (30, 2), (50, 4), (100, 8), (200, 16)])
+def test_recall_of_sketches(words, changed):
+    rng = random.Random(words)
+    found = 0
+    for _ in range(200):
+        a = [f"w{rng.randrange(10**6)}" for _ in range(words)]
+        b = list(a)
+        for at in rng.sample(range(words), changed):
+            b[at] = f"z{rng.randrange(10**6)}"
+        x, y = (order_minhash.word_ids(" ".join(t)) for t in (a, b))
+        assert edit_distance(a, b) <= 0.2 * words and order_minhash.aligned([(x, y)]) == [True]
+        found += bool(set(order_minhash.all_sketches(x)) & set(order_minhash.all_sketches(y)))
+    assert found >= 0.9 * 200
+
+
+def test_components_of_chains(spark, monkeypatch):
+    steps = []
+    real = components._jumped
+    monkeypatch.setattr(components, "_jumped", lambda parents: steps.append(1) or real(parents))
+    rng = random.Random(3)
+    for order in (list(range(1001)), rng.sample(range(1001), 1001)):
+        steps.clear()
+        edges = spark.createDataFrame(list(zip(order, order[1:], strict=False)) + [(2000, 2001), (5, 5)], "a long, b long")
+        found = {r.node: r.root for r in components.components(edges).collect()}
+        assert len(steps) <= 30 and all(found[i] == 0 for i in order) and found[2001] == 2000
+    assert components.components(edges.where("false")).count() == 0
+
+
+def test_near_copies_under_one_id(spark):
+    """Rows that repeat an id with unlike texts don't join their classes; one row of each class stays."""
+    a, b = (" ".join(f"{x}{i}" for i in range(20)) for x in "ab")
+    rows = [(1, a, 1), (1, b, 2), (2, a + " z", 3), (3, b + " z", 4), (1, a, 5), (None, a, 6), (None, b, 7)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, uid int")
+    got = Counter((r.doc_id, r.class_id, r.class_size) for r in order_minhash.near_duplicate_classes(docs).collect())
+    assert got == Counter({(1, 1, 3): 2, (1, 1, 2): 1, (2, 1, 3): 1, (3, 1, 2): 1, (None, None, None): 2})
+    kept = order_minhash.drop_near_copies(docs)
+    assert kept.columns == docs.columns and sorted((r.doc_id or 0, r.text) for r in kept.collect()) == [(0, a), (0, b), (1, a), (1, b)]
+
+
 @pytest.mark.parametrize("hot", [40])
 def test_hot_group(spark, hot):
     """One group of near copies beside texts that share a passage: one class, and the others stay alone."""

@@ -10,6 +10,9 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: A key with more than this share of a table's rows is hot; there are fewer than its inverse of them.
+HOT_SHARE, HOT_SALTS = 1 / 512, 32
+
 ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 _own_dir: str | None = None
 _tables: list[str] = []
@@ -68,5 +71,31 @@ def bucket_of(id_col: str, salt: str = "") -> Column:
     return F.crc32(F.concat(F.lit(salt), F.coalesce(F.col(id_col).cast("string"), F.lit(""))))
 
 
+def private(df: DataFrame, *names: str) -> list[str]:
+    """Column names like ``names`` that ``df`` does not have."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def hot_keys(counts: DataFrame, key: str, n: str, total: int) -> DataFrame:
+    """The keys of ``counts`` with over HOT_SHARE of ``total`` rows: at most 1 / HOT_SHARE of them, so small enough to broadcast."""
+    return counts.where(F.col(n) > max(1.0, total * HOT_SHARE)).select(key)
+
+
+def salted_join(big: DataFrame, small: DataFrame, key: str, hot: DataFrame, by: str) -> DataFrame:
+    """``big`` joined to ``small`` on ``key`` with the rows of each hot key dealt to HOT_SALTS tasks by a hash of ``by``."""
+    flag = F.broadcast(hot.select(key).withColumn("_hot", F.lit(True)))
+    is_hot = F.coalesce(F.col("_hot"), F.lit(False))
+    left = big.join(flag, key, "left").withColumn("_salt", F.when(is_hot, F.pmod(F.xxhash64(by), F.lit(HOT_SALTS))).otherwise(0).cast("int")).drop("_hot")
+    right = small.join(flag, key, "left").withColumn("_salt", F.explode(F.when(is_hot, F.sequence(F.lit(0), F.lit(HOT_SALTS - 1))).otherwise(F.array(F.lit(0))))).drop("_hot")
+    return left.join(right, [key, "_salt"]).drop("_salt")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -2,10 +2,22 @@
 
 A text is its lower-cased words; k-mers are five words in a row, labelled by occurrence. Each of SKETCHES hash functions
 samples the ORDER least labelled k-mers and hashes them in text order, so a sketch agrees only where the same k-mers come
-in the same order. Equal word sequences collapse first; then each sketch value is a bucket, and its members are compared
-with its least member. A pair is linked when a banded alignment of the words gives an edit similarity of at least 0.8.
-Buckets that still hold several components are settled exactly: all pairs across components that share one of them, and
-whose lengths and bags of words allow the similarity, are aligned. Classes are connected components; no bucket is capped.
+in the same order. One changed word spoils most k-mers of a short text, so short texts are sketched on shorter k-mers as
+well (SHORT). A sketch value is a cell. Texts of one cell are candidates, and a pair is linked when a banded alignment of
+the words gives an edit similarity of at least 0.8. Classes are connected components of the links.
+
+Every pair of different texts that shares a cell is settled, but not by listing all pairs of a large cell:
+
+* cells of at most CELL texts give all their pairs;
+* the members of larger cells are aligned with the cell's least member (one for each CHUNK of members), which joins the
+  bulk of a group of near copies; what follows looks only at pairs of different components;
+* large cells with at most CELL such pairs a member give them all;
+* texts of the cells still left are keyed by their rarest word pairs. At similarity 0.8 two texts have 0.6 n - 1 of n - 1
+  word pairs in common, so of the other 0.4 n + 1 rarest ones they share at least one; a passage in many texts has no rare
+  pairs. The same rule as for cells then says which keys give all their pairs;
+* texts that hold frequent word pairs even among those, because over 60 % of them stands in many texts, are compared
+  in blocks whose only output is links: a matrix product bounds the words in common, and pairs that a link already joins
+  are skipped.
 """
 
 from __future__ import annotations
@@ -16,13 +28,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from twinweave.llm._common import make_importable, materialise, text_or_empty
+from twinweave.llm._common import hot_keys, make_importable, materialise, private, salted_join, text_or_empty
 from twinweave.llm.components import components
 
-K, ORDER, SKETCHES = 5, 4, 24
-#: Hash slots of a text's bag of words; the smaller counts of two bags add up to at least what the texts have in common.
-BAG = 256
+K, ORDER, SKETCHES = 5, 2, 24
+#: Shorter k-mers, and the most words of a text that is sketched on them too.
+SHORT = ((3, 48), (2, 12))
 SIMILARITY = 0.8
+#: Texts of fewer words have no other text within the similarity.
+LEAST_WORDS = 4
+CELL, CHUNK, BLOCK = 16, 4096, 256
 _MAX_WORDS = 400_000
 
 
@@ -55,7 +70,7 @@ def _mix(x):
     return x ^ (x >> np.uint64(32))
 
 
-def order_sketches(ids, k: int = K, order: int = ORDER, sketches: int = SKETCHES):
+def order_sketches(ids, k: int = K, order: int = ORDER, sketches: int = SKETCHES, family: int = 0):
     """One 64-bit value a hash function; none for a text without words. Texts of fewer than k words are one k-mer."""
     import numpy as np
 
@@ -73,13 +88,17 @@ def order_sketches(ids, k: int = K, order: int = ORDER, sketches: int = SKETCHES
     occurrence = np.empty(n, np.uint64)
     occurrence[sort] = at - np.maximum.accumulate(np.where(new, at, 0))
     labelled = _mix(grams + occurrence * np.uint64(0xD6E8FEB86659FD93))
-    seeds = _mix(np.arange(1, sketches + 1, dtype=np.uint64) * np.uint64(0xA0761D6478BD642F))
+    seeds = _mix(np.arange(1, sketches + 1, dtype=np.uint64) * np.uint64(0xA0761D6478BD642F) + np.uint64(family))
     take = min(order, n)
     out = np.zeros(sketches, np.uint64)
-    step = max(1, (1 << 22) // n)
+    step = max(1, (1 << 20) // n)
     for first in range(0, sketches, step):
         ranks = _mix(labelled[None, :] ^ seeds[first : first + step, None])
-        least = np.argpartition(ranks, take - 1, axis=1)[:, :take] if take < n else np.broadcast_to(at, ranks.shape)
+        rows = np.arange(len(ranks))
+        least = np.empty((len(ranks), take), np.int64)
+        for i in range(take):
+            least[:, i] = ranks.argmin(axis=1)
+            ranks[rows, least[:, i]] = np.uint64(0xFFFFFFFFFFFFFFFF)
         chosen = grams[np.sort(least, axis=1)]
         value = np.zeros(len(ranks), np.uint64)
         for i in range(take):
@@ -88,20 +107,40 @@ def order_sketches(ids, k: int = K, order: int = ORDER, sketches: int = SKETCHES
     return out.view(np.int64)
 
 
+def all_sketches(ids):
+    """The sketches of every family that a text of so many words has."""
+    import numpy as np
+
+    if len(ids) < LEAST_WORDS:
+        return np.zeros(0, np.int64)
+    found = [order_sketches(ids)]
+    for family, (k, most) in enumerate(SHORT, 1):
+        if len(ids) <= most:
+            found.append(order_sketches(ids, k, family=family))
+    return np.concatenate(found)
+
+
 def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     import hashlib
 
     import numpy as np
 
+    from twinweave.llm.token_store import pieces_of
+
     for batch in batches:
-        sizes, keys, values, bags = [], [], [], []
-        for text in batch.column(1):
-            ids = word_ids(text.as_py())
-            sizes.append(len(ids))
-            keys.append(hashlib.blake2b(ids.tobytes(), digest_size=16).digest())
-            values.append(order_sketches(ids))
-            bags.append(np.bincount((ids >> np.uint64(56)).astype(np.int64), minlength=BAG).astype(np.int32))
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int32()), pa.array(keys, pa.binary()), pa.array(values, pa.list_(pa.int64())), pa.array(bags, pa.list_(pa.int32()))], ["doc", "words", "sequence", "sketches", "bag"])
+        for rows in pieces_of(batch, column=2):
+            sizes, keys, texts, values = [], [], [], []
+            for text in rows.column(2):
+                ids = word_ids(text.as_py())
+                sizes.append(len(ids))
+                keys.append(hashlib.blake2b(ids.tobytes(), digest_size=16).digest())
+                texts.append(ids.astype(np.uint32).tobytes())
+                values.append(all_sketches(ids))
+            arrays = [rows.column(0), rows.column(1), pa.array(sizes, pa.int32()), pa.array(keys, pa.binary()), pa.array(texts, pa.binary()), pa.array(values, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(arrays, ["uid", "doc", "words", "sequence", "ids", "cells"])
+
+
+SIGNED = "uid long, doc long, words int, sequence binary, ids binary, cells array<long>"
 
 
 def _common(a, b) -> int:
@@ -131,8 +170,8 @@ def _band(pairs: list, width: int) -> list[int]:
 
     p, n, m = len(pairs), max(len(a) for a, _ in pairs), max(len(b) for _, b in pairs)
     big = np.int32(1 << 29)
-    left = np.zeros((p, n), np.uint64)
-    right = np.zeros((p, n + 2 * width + 1 + max(0, m - n)), np.uint64)
+    left = np.zeros((p, n), pairs[0][0].dtype)
+    right = np.zeros((p, n + 2 * width + 1 + max(0, m - n)), left.dtype)
     real = np.zeros(right.shape, bool)
     for i, (a, b) in enumerate(pairs):
         left[i, : len(a)] = a
@@ -207,82 +246,217 @@ VERIFY_PAIRS = 512
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(a, b, ids_a, ids_b) to the linked (a, b)."""
+    import numpy as np
+
     for batch in batches:
         for at in range(0, batch.num_rows, VERIFY_PAIRS):
             rows = batch.slice(at, VERIFY_PAIRS)
-            known: dict[str, object] = {}
-            sides = []
-            for column in (rows.column(2), rows.column(3)):
-                ids = []
-                for text in column.to_pylist():
-                    if text not in known:
-                        known[text] = word_ids(text)
-                    ids.append(known[text])
-                sides.append(ids)
+            sides = [[np.frombuffer(x.as_buffer(), np.uint32) for x in rows.column(c)] for c in (2, 3)]
             keep = pa.array(aligned(list(zip(*sides, strict=True))), pa.bool_())
             yield pa.RecordBatch.from_arrays([rows.column(0).filter(keep), rows.column(1).filter(keep)], ["a", "b"])
 
 
 def _links(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose texts align."""
-    with_b = pairs.join(texts.toDF("b", "text_b"), "b")
-    both = with_b.join(texts.toDF("a", "text_a"), "a").select("a", "b", "text_a", "text_b")
+    """The pairs (a, b) whose texts (node, ids) align."""
+    with_b = pairs.join(texts.toDF("b", "ids_b"), "b")
+    both = with_b.join(texts.toDF("a", "ids_a"), "a").select("a", "b", "ids_a", "ids_b")
     return materialise(both.mapInArrow(_verify, "a long, b long"), "links")
 
 
-def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: doc_id, class_id (the least id of its class), class_size (rows).
+def _ordered(pairs: DataFrame) -> DataFrame:
+    """Distinct (a, b) with a < b from x, y and their numbers of words, without those whose lengths differ too much."""
+    fits = pairs.where(F.least("x_words", "y_words") >= F.greatest("x_words", "y_words") * SIMILARITY)
+    return fits.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
-    Null texts count as empty, and texts without words are equal to each other. Rows with a null id are not compared and
-    have a null class of size null. Rows that repeat an id are one document. Other columns are not read; an empty table
-    gives an empty table.
+
+def _rooted(rows: DataFrame, found: DataFrame) -> DataFrame:
+    """``rows`` with the root of each node's component; a node without links is its own."""
+    return rows.join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
+
+
+def _settle(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """From (key, node, words, root): the pairs of different roots of keys that have few of them, and the other keys' rows.
+
+    A key is dense when it has over CELL such pairs a member. In one that isn't, the members outside the largest root are
+    few (below 64), so they alone are paired with all members.
     """
-    make_importable(docs.sparkSession)
-    texts = docs.select(F.col(id_col).cast("long").alias("doc"), text_or_empty(text_col).alias("text"))
-    known = texts.where("doc is not null")
-    signed = materialise(known.mapInArrow(_signatures, "doc long, words int, sequence binary, sketches array<long>, bag array<int>"), "signatures")
-    sequences = materialise(signed.groupBy("sequence").agg(F.min("doc").alias("head")), "sequences")
-    members = signed.select("doc", "sequence").join(sequences, "sequence").select("doc", "head")
-    heads = signed.join(sequences.select(F.col("head").alias("doc")), "doc", "left_semi")
-    bands = materialise(heads.select("doc", "words", F.posexplode("sketches").alias("band", "value")).select("doc", "words", F.xxhash64("band", "value").alias("key")), "bands")
-    buckets = bands.groupBy("key").agg(F.min("doc").alias("least"), F.max("doc").alias("most")).where("least <> most").select("key", "least")
-    stars = bands.select("doc", "key").join(buckets, "key").where("doc <> least").select(F.col("least").alias("a"), F.col("doc").alias("b")).distinct()
-    links = _links(materialise(stars, "stars"), known)
-    # A repeated id whose texts differ belongs to several sequences: their heads are one class.
-    links = links.unionByName(members.where("doc <> head").select(F.col("head").alias("a"), F.col("doc").alias("b")).join(heads.select(F.col("doc").alias("b")), "b", "left_semi").select("a", "b"))
+    rows = materialise(rows, "keyed")
+    parts = rows.groupBy("key", "root").agg(F.count(F.lit(1)).alias("m"))
+    cells = parts.groupBy("key").agg(F.sum("m").alias("n"), F.sum(F.col("m") * F.col("m")).alias("same"), F.max(F.struct("m", "root"))["root"].alias("main"))
+    cells = cells.where("n * n > same").withColumn("dense", F.expr(f"(n * n - same) / 2 > {CELL} * n"))
+    cells = materialise(cells, "cells")
+    hot = hot_keys(cells, "key", "n", rows.count())
+    open_rows = materialise(salted_join(rows, cells.drop("same", "n"), "key", hot, "node"), "open")
+    few = open_rows.where("not dense and root <> main").select("key", F.col("node").alias("x"), F.col("words").alias("x_words"), F.col("root").alias("x_root"))
+    every = open_rows.where("not dense").select("key", F.col("node").alias("y"), F.col("words").alias("y_words"), F.col("root").alias("y_root"))
+    met = salted_join(every, few, "key", hot, "y").where("x_root <> y_root")
+    return _ordered(met), open_rows.where("dense").select("key", "node", "words", "root")
+
+
+def _word_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, ids) to (node, hashes of its word pairs labelled by occurrence)."""
+    import numpy as np
+
+    for batch in batches:
+        out = []
+        for text in batch.column(1):
+            ids = np.frombuffer(text.as_buffer(), np.uint32).astype(np.uint64)
+            pairs = _mix((ids[:-1] << np.uint64(32)) + ids[1:])
+            sort = np.argsort(pairs, kind="stable")
+            at = np.arange(len(pairs))
+            new = np.concatenate([[True], pairs[sort][1:] != pairs[sort][:-1]])[: len(pairs)]
+            nth = np.empty(len(pairs), np.uint64)
+            nth[sort] = at - np.maximum.accumulate(np.where(new, at, 0))
+            out.append(_mix(pairs + nth * np.uint64(0xD6E8FEB86659FD93)).view(np.int64))
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.int64()))], ["node", "pairs"])
+
+
+def _rare_pair_keys(nodes: DataFrame, texts: DataFrame) -> DataFrame:
+    """(key, node, words, root) for the word pairs of each node that a linked node must share one of: its rarest."""
+    found = nodes.join(texts, "node").select("node", "ids").mapInArrow(_word_pairs, "node long, pairs array<long>")
+    held = materialise(found.select("node", F.explode("pairs").alias("key")), "word-pairs")
+    often = materialise(held.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "pair-counts")
+    hot = hot_keys(often, "key", "n", held.count())
+    shared = salted_join(held, often, "key", hot, "node")
+    # Pairs of one text only come first in the order and make no key, so their number is all that counts.
+    ranked = shared.groupBy("node").agg(F.array_sort(F.collect_list(F.struct("n", "key"))).alias("known"))
+    ranked = nodes.join(ranked, "node")
+    take = F.expr("words - 1 - greatest(1, cast(ceil(0.6 * words - 1 - 1e-9) as int)) + 1") - (F.col("words") - 1 - F.size("known"))
+    keyed = ranked.where(take > 0).select("node", "words", "root", F.explode(F.slice("known", 1, F.greatest(F.lit(1), take))).alias("kept"))
+    return keyed.select("kept.key", "node", "words", "root")
+
+
+def _block_links(table: pa.Table) -> pa.Table:
+    """Links between the blocks i and j of a group: every pair of different roots is bounded, then aligned until joined."""
+    import numpy as np
+
+    nodes, roots, block = (table.column(c).to_numpy() for c in ("node", "root", "block"))
+    ids = [np.frombuffer(x.as_buffer(), np.uint32) for x in table.column("ids")]
+    size = np.array([len(x) for x in ids])
+    counts = np.zeros((len(ids), 8192), np.float32)
+    for row, x in zip(counts, ids, strict=True):
+        np.add.at(row, (x * np.uint32(2654435761)) >> np.uint32(19), 1)
+    left = np.flatnonzero(block == table.column("i")[0].as_py())
+    right = np.flatnonzero(block == table.column("j")[0].as_py())
+    # Words in common: at most the sum over slots of the smaller counts, at most that of the products of their roots.
+    common = np.sqrt(counts[left]) @ np.sqrt(counts[right]).T
+    longest = np.maximum(size[left][:, None], size[right][None, :])
+    open_ = (common >= SIMILARITY * longest - 1e-3) & (roots[left][:, None] != roots[right][None, :])
+    if left[0] == right[0]:
+        open_ = np.triu(open_)
+    top: dict[int, int] = {}
+
+    def find(r: int) -> int:
+        while r in top:
+            r = top[r]
+        return r
+
+    todo = sorted(zip(*np.nonzero(open_), strict=True), key=lambda p: -common[p] / longest[p])
+    a, b = [], []
+    while todo:
+        tried: dict[tuple[int, int], int] = {}
+        now, later = [], []
+        for p in todo:
+            x, y = find(int(roots[left[p[0]]])), find(int(roots[right[p[1]]]))
+            if x == y:
+                continue
+            pair = (min(x, y), max(x, y))
+            tried[pair] = tried.get(pair, 0) + 1
+            (now if tried[pair] <= 8 and len(now) < 2048 else later).append(p)
+        for p, linked in zip(now, aligned([(ids[left[i]], ids[right[j]]) for i, j in now]), strict=True):
+            if linked:
+                a.append(int(nodes[left[p[0]]]))
+                b.append(int(nodes[right[p[1]]]))
+                x, y = find(int(roots[left[p[0]]])), find(int(roots[right[p[1]]]))
+                if x != y:
+                    top[max(x, y)] = min(x, y)
+        todo = later
+    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+
+def _dense_links(keyed: DataFrame, texts: DataFrame, found: DataFrame) -> DataFrame:
+    """All links between nodes of different components that share one of the dense keys, block by block."""
+    least = keyed.groupBy("key").agg(F.min("node").alias("least"), F.count(F.lit(1)).alias("n"))
+    least = materialise(least, "dense-keys")
+    edges = salted_join(keyed.select("key", "node"), least.select("key", "least"), "key", hot_keys(least, "key", "n", keyed.count()), "node")
+    groups = components(edges.select(F.col("least").alias("a"), F.col("node").alias("b")).distinct()).toDF("node", "group")
+    groups = materialise(_rooted(groups, found), "dense-nodes")
+    sizes = groups.groupBy("group").agg(F.count(F.lit(1)).alias("n"))
+    dealt = salted_join(groups, sizes, "group", hot_keys(sizes, "group", "n", groups.count()), "node")
+    dealt = dealt.withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
+    met = dealt.join(texts, "node").select("group", "i", "j", "block", "node", "root", "ids")
+    return materialise(met.groupBy("group", "i", "j").applyInArrow(_block_links, "a long, b long"), "links")
+
+
+def _classes(rows: DataFrame) -> DataFrame:
+    """uid, doc, root for the rows (uid, doc, text); rows whose doc is null are left out. Roots are uids."""
+    make_importable(rows.sparkSession)
+    signed = materialise(rows.where("doc is not null").select("uid", "doc", "text").mapInArrow(_signatures, SIGNED), "signatures")
+    heads = materialise(signed.groupBy("sequence").agg(F.min("uid").alias("node"), F.count(F.lit(1)).alias("n")), "sequences")
+    members = salted_join(signed.select("uid", "doc", "sequence"), heads.select("sequence", "node"), "sequence", hot_keys(heads, "sequence", "n", signed.count()), "uid")
+    texts = signed.select(F.col("uid").alias("node"), "ids")
+    held = signed.select(F.col("uid").alias("node"), "words", "cells").join(heads.select("node"), "node", "left_semi")
+    cells = materialise(held.select("node", "words", F.explode("cells").alias("key")), "cells")
+    chunks = cells.groupBy("key", F.pmod(F.xxhash64("node"), F.lit(CHUNK)).alias("part")).agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("least"))
+    sizes = materialise(chunks.groupBy("key").agg(F.sum("n").alias("n"), F.min("least").alias("least")).where("n > 1"), "cell-sizes")
+    shared = materialise(salted_join(cells, sizes, "key", hot_keys(sizes, "key", "n", cells.count()), "node"), "shared-cells")
+    small, large = shared.where(F.col("n") <= CELL), shared.where(F.col("n") > CELL)
+    x = small.select("key", F.col("node").alias("x"), F.col("words").alias("x_words"))
+    y = small.select("key", F.col("node").alias("y"), F.col("words").alias("y_words"))
+    near = _ordered(x.join(y, "key").where("x < y"))
+    part = F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / CHUNK))
+    firsts = large.groupBy("key", part.alias("part")).agg(F.min(F.struct("node", "words")).alias("first"), F.min("least").alias("least"))
+    stars = large.withColumn("part", part).drop("least").join(firsts.select("key", "part", "first"), ["key", "part"]).select(F.col("first.node").alias("x"), F.col("first.words").alias("x_words"), F.col("node").alias("y"), F.col("words").alias("y_words"))
+    tops = firsts.select("least", "first").join(cells.select(F.col("node").alias("least"), F.col("words").alias("y_words")).distinct(), "least").select(F.col("first.node").alias("x"), F.col("first.words").alias("x_words"), F.col("least").alias("y"), "y_words")
+    pairs = materialise(near.unionByName(_ordered(stars.unionByName(tops).where("x <> y"))).distinct(), "pairs")
+    links = _links(pairs, texts)
     found = materialise(components(links), "components")
-    open_pairs = _open_pairs(bands, found, signed.select("doc", "bag"))
-    if not open_pairs.isEmpty():
-        more = _links(open_pairs, known)
-        if not more.isEmpty():
-            found = materialise(components(links.unionByName(more)), "components")
-    classed = members.join(found.toDF("head", "root"), "head", "left").select("doc", F.coalesce("root", "head").alias("class_id")).distinct()
-    rows = texts.select("doc").join(classed, "doc", "left")
-    sizes = rows.where("class_id is not null").groupBy("class_id").agg(F.count(F.lit(1)).alias("class_size"))
-    return rows.join(sizes, "class_id", "left").select(F.col("doc").alias(id_col), "class_id", "class_size")
+    more, dense = _settle(_rooted(large.select("key", "node", "words"), found))
+    nodes = materialise(dense.select("node", "words", "root").distinct(), "dense-cells")
+    if not nodes.isEmpty():
+        rare, dense = _settle(_rare_pair_keys(nodes, texts))
+        more = more.unionByName(rare).distinct()
+    more = materialise(more.join(pairs, ["a", "b"], "left_anti"), "pairs")
+    if not more.isEmpty():
+        links = links.unionByName(_links(more, texts))
+        found = materialise(components(links), "components")
+    if not nodes.isEmpty() and not dense.isEmpty():
+        last = _dense_links(dense, texts, found)
+        if not last.isEmpty():
+            found = materialise(components(links.unionByName(last)), "components")
+    return members.drop("sequence").join(found, "node", "left").select("uid", "doc", F.coalesce("root", "node").alias("root"))
+
+
+def _numbered(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(F.monotonically_increasing_id().alias("uid"), F.col(id_col).cast("long").alias("doc"), text_or_empty(text_col).alias("text"))
 
 
-def _open_pairs(bands: DataFrame, found: DataFrame, bags: DataFrame) -> DataFrame:
-    """Pairs of different components that share a bucket and whose lengths and bags of words allow the similarity.
+def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per input row: doc_id, class_id (the least id of its class), class_size (rows).
 
-    Both bounds are exact: no pair that would align is left out.
+    Null texts count as empty, and texts without words are equal to each other. Texts are read whole, however long. Rows
+    with a null id are not compared and have a null class of size null. Rows that repeat an id are each their own row, so
+    unlike texts under one id stay in different classes. Other columns are not read; an empty table gives an empty table.
     """
-    labelled = bands.join(found.toDF("doc", "root"), "doc", "left").select("key", "doc", "words", F.coalesce("root", "doc").alias("root"))
-    labelled = materialise(labelled, "labelled")
-    unsettled = labelled.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("key")
-    left = labelled.join(unsettled, "key", "left_semi")
-    keys = left.groupBy("doc", "words", "root").agg(F.array_sort(F.collect_set("key")).alias("keys"))
-    held = materialise(keys.join(bags.dropDuplicates(["doc"]), "doc").withColumn("key", F.explode("keys")), "held")
-    x, y = held.alias("x"), held.alias("y")
-    apart = (F.col("x.root") < F.col("y.root")) & (F.least("x.words", "y.words") >= F.greatest("x.words", "y.words") * SIMILARITY)
-    # A pair meets in every bucket it shares; it is taken in the first only.
-    first = F.element_at(F.array_intersect("x.keys", "y.keys"), 1) == F.col("x.key")
-    common = F.aggregate(F.zip_with("x.bag", "y.bag", lambda p, q: F.least(p, q)), F.lit(0), lambda n, c: n + c)
-    pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & apart & first & (common >= F.greatest("x.words", "y.words") * SIMILARITY))
-    return materialise(pairs.select(F.least("x.doc", "y.doc").alias("a"), F.greatest("x.doc", "y.doc").alias("b")).distinct(), "open-pairs")
+    rows = _numbered(docs, id_col, text_col)
+    classed = materialise(_classes(rows), "classes")
+    sizes = materialise(classed.groupBy("root").agg(F.min("doc").alias("class_id"), F.count(F.lit(1)).alias("class_size")), "class-sizes")
+    known = salted_join(classed, sizes, "root", hot_keys(sizes, "root", "class_size", classed.count()), "uid").select("doc", "class_id", "class_size")
+    lost = rows.where("doc is null").select("doc", F.lit(None).cast("long").alias("class_id"), F.lit(None).cast("long").alias("class_size"))
+    return known.unionByName(lost).withColumnRenamed("doc", id_col)
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns: the least id of each class, and rows with a null id."""
-    gone = near_duplicate_classes(docs, id_col, text_col).where("class_id is not null").where(F.col(id_col) != F.col("class_id")).select(F.col(id_col).alias("_gone"))
-    return docs.join(gone, docs[id_col] == gone["_gone"], "left_anti")
+    """The rows of ``docs`` that stay, with all their columns: one row of each class, and all rows with a null id.
+
+    The row with the least id of a class stays; of rows that repeat that id, one. Rows that repeat an id with unlike texts
+    are classes of their own. Null texts count as empty; extra columns may have any names; an empty table stays empty.
+    """
+    (uid,) = private(docs, "uid")
+    rows = materialise(docs.withColumn(uid, F.monotonically_increasing_id()), "near-rows")
+    known = rows.select(F.col(uid).alias("uid"), F.col(id_col).cast("long").alias("doc"), text_or_empty(text_col).alias("text"))
+    first = _classes(known).groupBy("root").agg(F.min(F.struct("doc", "uid"))["uid"].alias(uid))
+    stay = rows.where(F.col(id_col).isNotNull()).join(first.select(uid), uid, "left_semi")
+    return stay.unionByName(rows.where(F.col(id_col).isNull())).drop(uid)
