@@ -6,16 +6,21 @@ import os
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A key with more than this share of a table's rows is hot; there are fewer than its inverse of them.
 HOT_SHARE, HOT_SALTS = 1 / 512, 32
+#: Rows of a few numbers each that a join may broadcast, once counted.
+MOST_BROADCAST = 1 << 18
 
 ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 _own_dir: str | None = None
-_tables: list[str] = []
+_tables: dict[str, list[str]] = {}
+_scope = ""
 
 
 def make_importable(spark: SparkSession) -> None:
@@ -27,11 +32,13 @@ def make_importable(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a folder of our own only where that is unset."""
+    """The folder named by spark.checkpoint.dir; a folder of our own only where that is unset and the session is local."""
     global _own_dir
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if _own_dir is None:
         _own_dir = tempfile.mkdtemp(prefix="twinweave-")
         import atexit
@@ -42,7 +49,7 @@ def shared_dir(spark: SparkSession) -> str:
 
 def new_path(spark: SparkSession, name: str) -> str:
     path = f"{shared_dir(spark)}/twinweave/{name}-{uuid.uuid4().hex}"
-    _tables.append(path)
+    _tables.setdefault(_scope, []).append(path)
     return path
 
 
@@ -54,12 +61,30 @@ def materialise(df: DataFrame, name: str, **options: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession) -> None:
-    """Delete every intermediate table written so far; their DataFrames must no longer be read."""
-    hadoop = spark.sparkContext._jsc.hadoopConfiguration()
-    while _tables:
-        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_tables.pop())
-        path.getFileSystem(hadoop).delete(path, True)
+def delete(spark: SparkSession, path: str) -> None:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def release(spark: SparkSession, scope: str = "") -> None:
+    """Delete the intermediate tables of a scope; DataFrames that come from them must no longer be read.
+
+    Results of the operators read such tables, so their scope, the unnamed one, is for the caller to release.
+    """
+    for path in _tables.pop(scope, []):
+        delete(spark, path)
+
+
+@contextmanager
+def scratch(spark: SparkSession, scope: str) -> Iterator[None]:
+    """Tables written inside belong to ``scope``; those that it had before are deleted first."""
+    global _scope
+    release(spark, scope)
+    outer, _scope = _scope, scope
+    try:
+        yield
+    finally:
+        _scope = outer
 
 
 def text_or_empty(col: str) -> Column:
@@ -97,5 +122,16 @@ def salted_join(big: DataFrame, small: DataFrame, key: str, hot: DataFrame, by:
     return left.join(right, [key, "_salt"]).drop("_salt")
 
 
+def lookup_join(big: DataFrame, small: DataFrame, key: str, n: str, by: str) -> DataFrame:
+    """``big`` joined to the stored table ``small`` of numbers, one row a key, whose column ``n`` counts its rows in ``big``.
+
+    ``small`` is counted: it is broadcast if it has at most MOST_BROADCAST rows, and else hot keys are salted.
+    """
+    rows, total = small.agg(F.count(F.lit(1)), F.sum(n)).first()
+    if rows <= MOST_BROADCAST:
+        return big.join(F.broadcast(small), key)
+    return salted_join(big, small, key, hot_keys(small, key, n, total), by)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
