@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from twinweave.llm import audio_features as A
-from twinweave.llm import components, language_kernel, order_minhash, pu_quality, url_templates
+from twinweave.llm import _common, components, language_kernel, order_minhash, pu_quality, url_templates
 from twinweave.llm.queries import QUERIES
 
 from .conftest import corpus
@@ -339,12 +339,14 @@ def classes_by_hand(texts, any_pair):
     return [find(i) for i in range(len(texts))]
 
 
-@pytest.mark.parametrize(("cell", "block"), [(16, 256), (1, 256), (0, 8)])
-def test_large_cells_lose_no_link(spark, monkeypatch, cell, block):
+@pytest.mark.parametrize(("cell", "block", "few"), [(16, 256, 1 << 14), (1, 256, 0), (0, 8, 0), (0, 16, 1 << 14)])
+def test_large_cells_lose_no_link(spark, monkeypatch, cell, block, few):
     """Groups of loose copies, and texts of which a shared passage is a third or nine tenths, against all pairs."""
     monkeypatch.setattr(order_minhash, "CELL", cell)
     monkeypatch.setattr(order_minhash, "BLOCK", block)
     monkeypatch.setattr(order_minhash, "CHUNK", 7)
+    monkeypatch.setattr(order_minhash, "FEW", few)
+    monkeypatch.setattr(_common, "MOST_BROADCAST", few)
     rng = random.Random(12)
     word = lambda: f"w{rng.randrange(3000)}"
     base, passage = [word() for _ in range(90)], [word() for _ in range(40)]

@@ -17,7 +17,8 @@ Every pair of different texts that shares a cell is settled, but not by listing
   pairs. The same rule as for cells then says which keys give all their pairs;
 * texts that hold frequent word pairs even among those, because over 60 % of them stands in many texts, are compared
   in blocks whose only output is links: a matrix product bounds the words in common, and pairs that a link already joins
-  are skipped.
+  are skipped. Where the cells left hold at most FEW texts in all, blocks come at once: both ways find the same links,
+  and up to there blocks are the cheaper one.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from twinweave.llm._common import hot_keys, make_importable, materialise, private, salted_join, text_or_empty
+from twinweave.llm._common import hot_keys, lookup_join, make_importable, materialise, private, salted_join, text_or_empty
 from twinweave.llm.components import components
 
 K, ORDER, SKETCHES = 5, 2, 24
@@ -37,7 +38,7 @@ SHORT = ((3, 48), (2, 12))
 SIMILARITY = 0.8
 #: Texts of fewer words have no other text within the similarity.
 LEAST_WORDS = 4
-CELL, CHUNK, BLOCK = 16, 4096, 256
+CELL, CHUNK, BLOCK, FEW = 16, 4096, 512, 1 << 14
 _MAX_WORDS = 400_000
 
 
@@ -259,6 +260,8 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _links(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs (a, b) whose texts (node, ids) align."""
+    needed = materialise(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().withColumn("n", F.lit(1)), "needed")
+    texts = materialise(lookup_join(texts, needed, "node", "n", "node").drop("n"), "texts")
     with_b = pairs.join(texts.toDF("b", "ids_b"), "b")
     both = with_b.join(texts.toDF("a", "ids_a"), "a").select("a", "b", "ids_a", "ids_b")
     return materialise(both.mapInArrow(_verify, "a long, b long"), "links")
@@ -285,9 +288,9 @@ def _settle(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     parts = rows.groupBy("key", "root").agg(F.count(F.lit(1)).alias("m"))
     cells = parts.groupBy("key").agg(F.sum("m").alias("n"), F.sum(F.col("m") * F.col("m")).alias("same"), F.max(F.struct("m", "root"))["root"].alias("main"))
     cells = cells.where("n * n > same").withColumn("dense", F.expr(f"(n * n - same) / 2 > {CELL} * n"))
-    cells = materialise(cells, "cells")
-    hot = hot_keys(cells, "key", "n", rows.count())
-    open_rows = materialise(salted_join(rows, cells.drop("same", "n"), "key", hot, "node"), "open")
+    cells = materialise(cells.drop("same"), "cells")
+    hot = hot_keys(cells, "key", "n", cells.agg(F.sum("n")).first()[0] or 0)
+    open_rows = materialise(lookup_join(rows, cells, "key", "n", "node"), "open")
     few = open_rows.where("not dense and root <> main").select("key", F.col("node").alias("x"), F.col("words").alias("x_words"), F.col("root").alias("x_root"))
     every = open_rows.where("not dense").select("key", F.col("node").alias("y"), F.col("words").alias("y_words"), F.col("root").alias("y_root"))
     met = salted_join(every, few, "key", hot, "y").where("x_root <> y_root")
@@ -317,8 +320,7 @@ def _rare_pair_keys(nodes: DataFrame, texts: DataFrame) -> DataFrame:
     found = nodes.join(texts, "node").select("node", "ids").mapInArrow(_word_pairs, "node long, pairs array<long>")
     held = materialise(found.select("node", F.explode("pairs").alias("key")), "word-pairs")
     often = materialise(held.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "pair-counts")
-    hot = hot_keys(often, "key", "n", held.count())
-    shared = salted_join(held, often, "key", hot, "node")
+    shared = lookup_join(held, often, "key", "n", "node")
     # Pairs of one text only come first in the order and make no key, so their number is all that counts.
     ranked = shared.groupBy("node").agg(F.array_sort(F.collect_list(F.struct("n", "key"))).alias("known"))
     ranked = nodes.join(ranked, "node")
@@ -336,11 +338,11 @@ def _block_links(table: pa.Table) -> pa.Table:
     size = np.array([len(x) for x in ids])
     counts = np.zeros((len(ids), 8192), np.float32)
     for row, x in zip(counts, ids, strict=True):
-        np.add.at(row, (x * np.uint32(2654435761)) >> np.uint32(19), 1)
+        row[:] = np.sqrt(np.bincount((x * np.uint32(2654435761)) >> np.uint32(19), minlength=8192))
     left = np.flatnonzero(block == table.column("i")[0].as_py())
     right = np.flatnonzero(block == table.column("j")[0].as_py())
     # Words in common: at most the sum over slots of the smaller counts, at most that of the products of their roots.
-    common = np.sqrt(counts[left]) @ np.sqrt(counts[right]).T
+    common = counts[left] @ counts[right].T
     longest = np.maximum(size[left][:, None], size[right][None, :])
     open_ = (common >= SIMILARITY * longest - 1e-3) & (roots[left][:, None] != roots[right][None, :])
     if left[0] == right[0]:
@@ -377,13 +379,12 @@ def _block_links(table: pa.Table) -> pa.Table:
 
 def _dense_links(keyed: DataFrame, texts: DataFrame, found: DataFrame) -> DataFrame:
     """All links between nodes of different components that share one of the dense keys, block by block."""
-    least = keyed.groupBy("key").agg(F.min("node").alias("least"), F.count(F.lit(1)).alias("n"))
-    least = materialise(least, "dense-keys")
-    edges = salted_join(keyed.select("key", "node"), least.select("key", "least"), "key", hot_keys(least, "key", "n", keyed.count()), "node")
+    least = materialise(keyed.groupBy("key").agg(F.min("node").alias("least"), F.count(F.lit(1)).alias("n")), "dense-keys")
+    edges = lookup_join(keyed.select("key", "node"), least, "key", "n", "node")
     groups = components(edges.select(F.col("least").alias("a"), F.col("node").alias("b")).distinct()).toDF("node", "group")
     groups = materialise(_rooted(groups, found), "dense-nodes")
-    sizes = groups.groupBy("group").agg(F.count(F.lit(1)).alias("n"))
-    dealt = salted_join(groups, sizes, "group", hot_keys(sizes, "group", "n", groups.count()), "node")
+    sizes = materialise(groups.groupBy("group").agg(F.count(F.lit(1)).alias("n")), "dense-groups")
+    dealt = lookup_join(groups, sizes, "group", "n", "node")
     dealt = dealt.withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
     met = dealt.join(texts, "node").select("group", "i", "j", "block", "node", "root", "ids")
@@ -395,38 +396,43 @@ def _classes(rows: DataFrame) -> DataFrame:
     make_importable(rows.sparkSession)
     signed = materialise(rows.where("doc is not null").select("uid", "doc", "text").mapInArrow(_signatures, SIGNED), "signatures")
     heads = materialise(signed.groupBy("sequence").agg(F.min("uid").alias("node"), F.count(F.lit(1)).alias("n")), "sequences")
-    members = salted_join(signed.select("uid", "doc", "sequence"), heads.select("sequence", "node"), "sequence", hot_keys(heads, "sequence", "n", signed.count()), "uid")
+    members = lookup_join(signed.select("uid", "doc", "sequence"), heads, "sequence", "n", "uid").select("uid", "doc", "node")
     texts = signed.select(F.col("uid").alias("node"), "ids")
-    held = signed.select(F.col("uid").alias("node"), "words", "cells").join(heads.select("node"), "node", "left_semi")
-    cells = materialise(held.select("node", "words", F.explode("cells").alias("key")), "cells")
-    chunks = cells.groupBy("key", F.pmod(F.xxhash64("node"), F.lit(CHUNK)).alias("part")).agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("least"))
-    sizes = materialise(chunks.groupBy("key").agg(F.sum("n").alias("n"), F.min("least").alias("least")).where("n > 1"), "cell-sizes")
-    shared = materialise(salted_join(cells, sizes, "key", hot_keys(sizes, "key", "n", cells.count()), "node"), "shared-cells")
+    # A head is the first row of its sequence; rows of the others are no nodes.
+    one = heads.select("node", F.lit(1).alias("n"))
+    cells = lookup_join(signed.select(F.col("uid").alias("node"), "words", "cells"), one, "node", "n", "node")
+    cells = materialise(cells.select("node", "words", F.explode("cells").alias("key")), "cells")
+    sizes = materialise(cells.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("least")).where("n > 1"), "cell-sizes")
+    shared = materialise(lookup_join(cells, sizes, "key", "n", "node"), "shared-cells")
     small, large = shared.where(F.col("n") <= CELL), shared.where(F.col("n") > CELL)
     x = small.select("key", F.col("node").alias("x"), F.col("words").alias("x_words"))
     y = small.select("key", F.col("node").alias("y"), F.col("words").alias("y_words"))
     near = _ordered(x.join(y, "key").where("x < y"))
     part = F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / CHUNK))
-    firsts = large.groupBy("key", part.alias("part")).agg(F.min(F.struct("node", "words")).alias("first"), F.min("least").alias("least"))
-    stars = large.withColumn("part", part).drop("least").join(firsts.select("key", "part", "first"), ["key", "part"]).select(F.col("first.node").alias("x"), F.col("first.words").alias("x_words"), F.col("node").alias("y"), F.col("words").alias("y_words"))
-    tops = firsts.select("least", "first").join(cells.select(F.col("node").alias("least"), F.col("words").alias("y_words")).distinct(), "least").select(F.col("first.node").alias("x"), F.col("first.words").alias("x_words"), F.col("least").alias("y"), "y_words")
-    pairs = materialise(near.unionByName(_ordered(stars.unionByName(tops).where("x <> y"))).distinct(), "pairs")
+    large = large.withColumn("part", part)
+    large = large.withColumn("part", part).withColumn("chunk", F.xxhash64("key", "part"))
+    firsts = large.groupBy("chunk").agg(F.min(F.struct("node", "words")).alias("first"), F.min("least").alias("least"), F.count(F.lit(1)).alias("m"))
+    firsts = materialise(firsts.select("chunk", F.col("first.node").alias("x"), F.col("first.words").alias("x_words"), F.col("least").alias("top"), "m"), "firsts")
+    members_of = lookup_join(large.select("chunk", F.col("node").alias("y"), F.col("words").alias("y_words")), firsts, "chunk", "m", "y")
+    tops = firsts.select(F.least("x", "top").alias("a"), F.greatest("x", "top").alias("b"))
+    stars = _ordered(members_of).unionByName(tops).where("a <> b")
+    pairs = materialise(near.unionByName(stars).distinct(), "pairs")
     links = _links(pairs, texts)
     found = materialise(components(links), "components")
     more, dense = _settle(_rooted(large.select("key", "node", "words"), found))
     nodes = materialise(dense.select("node", "words", "root").distinct(), "dense-cells")
-    if not nodes.isEmpty():
+    if nodes.count() > FEW:
         rare, dense = _settle(_rare_pair_keys(nodes, texts))
         more = more.unionByName(rare).distinct()
     more = materialise(more.join(pairs, ["a", "b"], "left_anti"), "pairs")
     if not more.isEmpty():
         links = links.unionByName(_links(more, texts))
         found = materialise(components(links), "components")
-    if not nodes.isEmpty() and not dense.isEmpty():
+    if not dense.isEmpty():
         last = _dense_links(dense, texts, found)
         if not last.isEmpty():
             found = materialise(components(links.unionByName(last)), "components")
-    return members.drop("sequence").join(found, "node", "left").select("uid", "doc", F.coalesce("root", "node").alias("root"))
+    return members.join(found, "node", "left").select("uid", "doc", F.coalesce("root", "node").alias("root"))
 
 
 def _numbered(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -443,7 +449,7 @@ def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: st
     rows = _numbered(docs, id_col, text_col)
     classed = materialise(_classes(rows), "classes")
     sizes = materialise(classed.groupBy("root").agg(F.min("doc").alias("class_id"), F.count(F.lit(1)).alias("class_size")), "class-sizes")
-    known = salted_join(classed, sizes, "root", hot_keys(sizes, "root", "class_size", classed.count()), "uid").select("doc", "class_id", "class_size")
+    known = lookup_join(classed, sizes, "root", "class_size", "uid").select("doc", "class_id", "class_size")
     lost = rows.where("doc is null").select("doc", F.lit(None).cast("long").alias("class_id"), F.lit(None).cast("long").alias("class_size"))
     return known.unionByName(lost).withColumnRenamed("doc", id_col)
 
