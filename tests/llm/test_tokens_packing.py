@@ -88,22 +88,89 @@ def test_packing_of_documents(spark, sf_dir, docs, tokenizer):
     check_packing(packing.packed_digests(docs).collect(), tokenizer, {r[0]: r[1] for r in corpus()})
 
 
+def fills(lengths, bins):
+    fill = defaultdict(int)
+    for b, x in zip(bins, lengths, strict=True):
+        fill[b] += x
+    return fill
+
+
 def test_local_search_beats_best_fit():
     rng = random.Random(5)
     better = 0
     for _ in range(30):
         capacity = 100
         lengths = [rng.randint(18, 52) for _ in range(60)]
-        start, end = len(set(packing.pack_lengths(lengths, capacity, rounds=0))), packing.pack_lengths(lengths, capacity)
-        fill = defaultdict(int)
-        for b, x in zip(end, lengths, strict=True):
-            fill[b] += x
+        start, end = len(set(packing.first_come(lengths, capacity))), packing.pack_lengths(lengths, capacity)
+        fill = fills(lengths, end)
         assert max(fill.values()) <= capacity and len(fill) <= start
+        assert end == packing.pack_lengths(lengths, capacity)
         better += len(fill) < start
-    assert better
+    assert better > 20
     assert packing.pack_lengths([], 10) == [] and packing.pack_lengths([10, 10], 10) == [0, 1]
 
 
+def test_each_step_grows_squared_fill(monkeypatch):
+    """Moves, one-for-one and two-for-one exchanges all happen, and each makes the sum of squared fills larger."""
+    rng = random.Random(8)
+    lengths = [rng.randint(18, 52) for _ in range(300)]
+    search = packing._Search(lengths, packing.first_come(lengths, 100), 100)
+    squares = lambda: sum(f * f for f in fills(lengths, search.bin.tolist()).values())
+    real, kinds, last = search._step, set(), [squares()]
+
+    def step(donor):
+        before = search.bin.copy()
+        done = real(donor)
+        if done:
+            kinds.add(int((before != search.bin).sum()))
+            assert squares() > last[0]
+            last[0] = squares()
+        return done
+
+    monkeypatch.setattr(search, "_step", step)
+    search.run(0)
+    assert kinds == {1, 2, 3}
+    assert all(not real(b) for b, items in enumerate(search.items) if items and search.free[b])
+
+
+def test_search_empties_bins_of_documents(spark):
+    """On sf0.01 the search, not the start, reaches the least number of sequences, through several levels of shards."""
+    pieces = packing.token_pieces(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).select("row_id", "piece", "length").cache()
+    n = [r.length for r in pieces.collect()]
+    short = [x for x in n if x < 2048]
+    start, least = len(set(packing.first_come(short, 2048))), packing.least_bins(short, 2048)
+    for shard in (1024, 300):
+        got = packing.pack_pieces(pieces, shard_pieces=shard).join(pieces, ["row_id", "piece"]).collect()
+        bins = defaultdict(list)
+        for r in got:
+            bins[r.sequence_id].append((r.offset, r.length))
+        for parts in bins.values():
+            parts.sort()
+            assert [a for a, _ in parts] == [sum(x for _, x in parts[:k]) for k in range(len(parts))] and sum(x for _, x in parts) <= 2048
+        count = len(bins) - sum(x == 2048 for x in n)
+        assert len(got) == len(n) and count <= least + 1 and count < start
+
+
+def test_pieces_that_no_shard_can_pair(spark):
+    pieces = spark.createDataFrame([(i, 0, 1500 + i % 7) for i in range(300)], "row_id long, piece int, length long")
+    got = packing.pack_pieces(pieces, shard_pieces=64).collect()
+    assert len({r.sequence_id for r in got}) == 300 and {r.offset for r in got} == {0}
+
+
+def test_repeated_ids_with_other_texts(spark, tokenizer):
+    rows = [(1, "a b c"), (1, "d e"), (None, "f"), (None, "g h " * 3000), (1, "a b c")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    sizes = sorted(len(ids_of(tokenizer, t, 0)) for _, t in rows)
+    whole = defaultdict(int)
+    for r in packing.pack_documents(docs).collect():
+        assert len(r.ids) == 4 * r.length
+        whole[r.doc_id] += r.length
+    assert sorted(whole.values()) == sorted([sum(len(ids_of(tokenizer, t, 0)) for i, t in rows if i == key) for key in (1, None)]) and sum(sizes) == sum(whole.values())
+    stored = token_store.store_digests(docs).orderBy("start").collect()
+    assert [r.doc_id for r in stored] == [None, None, 1, 1, 1]
+    assert [r.start for r in stored] == [sum(x.n_tokens for x in stored[:k]) for k in range(5)]
+
+
 def test_odd_rows(odd, empty, tokenizer):
     assert packing.packed_digests(empty).count() == 0 and token_store.store_digests(empty).count() == 0
     rows = packing.packed_digests(odd).collect()

@@ -1,10 +1,11 @@
 """Best-fit packing of token pieces into sequences by swap-based local search.
 
 Documents are encoded once; their pieces (only documents longer than a sequence are cut) are stored in the shared folder,
-and only lengths travel to the packer. Pieces are dealt by hash to shards of a bounded number of pieces. In a shard, a
-best-fit-decreasing start is improved by moving a piece to another underfull bin, exchanging one piece for one shorter
-piece, or one for two shorter pieces, always so that the sum of squared fills grows; the emptiest bins are drained first
-until they are empty. Full pieces are sequences of their own and skip the search.
+and only lengths travel to the packer. Full pieces are sequences of their own. The others are dealt by hash to shards of
+a bounded number of pieces. In a shard, pieces go to the best fitting bin as they come; the local search then drains the
+emptiest bins: it moves a piece to another underfull bin, exchanges one piece for one shorter piece or one for two shorter
+ones, always so that the sum of squared fills grows, until the bins are as few as the lengths allow or no step is left.
+The underfull bins that shards are left with meet in fewer shards for another search, and so on.
 """
 
 from __future__ import annotations
@@ -20,112 +21,151 @@ from twinweave.llm._common import make_importable, materialise, text_or_empty
 from twinweave.llm.token_store import pieces_of
 from twinweave.llm.tokens import default_vocabulary
 
-SHARD_PIECES = 8192
-
-
-def pack_lengths(lengths: list[int], capacity: int, rounds: int = 3) -> list[int]:
-    """A bin number for each length (1 to capacity): best fit, longest first, then local search. Deterministic."""
-    order = sorted(range(len(lengths)), key=lambda i: -lengths[i])
-    bins: list[list[int]] = []
-    free: list[int] = []
-    by_free: list[list[int]] = [[] for _ in range(capacity + 1)]
-    levels: list[int] = []  # free amounts that some bin has, ascending
-
-    def put_level(b: int) -> None:
-        if not by_free[free[b]]:
-            insort(levels, free[b])
-        by_free[free[b]].append(b)
-
-    for i in order:
-        at = bisect_left(levels, lengths[i])
-        if at < len(levels):
-            level = levels[at]
-            b = by_free[level].pop()
-            if not by_free[level]:
-                levels.pop(at)
+SHARD_PIECES = 1024
+
+
+def first_come(lengths: list[int], capacity: int) -> list[int]:
+    """A bin number for each length (1 to capacity), in the order given: the fullest bin that still has room."""
+    free: list[tuple[int, int]] = []
+    out, bins = [], 0
+    for x in lengths:
+        at = bisect_left(free, (x, -1))
+        if at < len(free):
+            space, b = free.pop(at)
         else:
-            b = len(bins)
-            bins.append([])
-            free.append(capacity)
-        bins[b].append(i)
-        free[b] -= lengths[i]
-        put_level(b)
-    least = max(-(-sum(lengths) // capacity), sum(2 * x > capacity for x in lengths))
-    for _ in range(rounds):
-        live = sum(map(bool, bins))
-        if live <= least or not _improve(bins, free, lengths, capacity, live - least):
-            break
-    number = {b: n for n, b in enumerate(b for b in range(len(bins)) if bins[b])}
-    out = [0] * len(lengths)
-    for b, items in enumerate(bins):
-        for i in items:
-            out[i] = number[b]
+            space, b = capacity, bins
+            bins += 1
+        if space > x:
+            insort(free, (space - x, b))
+        out.append(b)
     return out
 
 
-def _improve(bins: list[list[int]], free: list[int], lengths: list[int], capacity: int, excess: int) -> bool:
-    """Drain the emptiest bins into the other underfull bins; whether any step was made.
+def least_bins(lengths: list[int], capacity: int) -> int:
+    """No packing has fewer bins: the lengths' sum, and no two lengths over half a bin in one."""
+    return max(-(-sum(lengths) // capacity), sum(2 * x > capacity for x in lengths))
 
-    Each step moves fill from the drained bin to one that ends fuller than the drained bin was, so squared fill grows.
-    """
-    changed = False
-    room = sorted((free[b], b) for b in range(len(bins)) if bins[b] and free[b])
-
-    def take(b: int, out: list[int], into: list[int]) -> None:
-        for i in out:
-            bins[b].remove(i)
-        bins[b].extend(into)
-        free[b] += sum(lengths[i] for i in out) - sum(lengths[i] for i in into)
-
-    def exchange(donor: int, target: int, item: int, back: list[int]) -> None:
-        room.pop(bisect_left(room, (free[target], target)))
-        take(donor, [item], back)
-        take(target, back, [item])
-        if free[target]:
-            insort(room, (free[target], target))
-
-    donors = [b for _, b in reversed(room)][: 4 * excess + 8]
-    for donor in donors:
-        if not bins[donor] or not free[donor]:
-            continue
-        room.pop(bisect_left(room, (free[donor], donor)))
-        moved = True
-        while moved and bins[donor]:
-            moved = False
-            fill = capacity - free[donor]
-            best: tuple[int, int, int, list[int]] | None = None
-            for item in sorted(bins[donor], key=lambda i: -lengths[i]):
-                size = lengths[item]
-                at = bisect_left(room, (size, -1))
-                if at < len(room) and capacity - room[at][0] + size > fill:
-                    best = (size, room[at][1], item, [])
+
+class _Search:
+    """Local search over the underfull bins of a packing; deterministic."""
+
+    def __init__(self, lengths, bins, capacity: int):
+        import numpy as np
+
+        self.n = np.asarray(lengths, np.int64)
+        self.bin = np.array(bins, np.int64)
+        self.free = capacity - np.bincount(self.bin, weights=self.n).astype(np.int64)
+        self.capacity = capacity
+        self.items: list[list[int]] = [[] for _ in self.free]
+        for i, b in enumerate(self.bin.tolist()):
+            self.items[b].append(i)
+        self.live = sum(map(bool, self.items))
+        self.single = np.flatnonzero(self.free[self.bin] > 0)
+        self.steps = 0
+        self.i = self.j = self.home = np.zeros(0, np.int64)
+        self.fresh = [b for b, items in enumerate(self.items) if len(items) > 1 and self.free[b]]
+
+    def _add_pairs(self) -> None:
+        """Pairs of pieces of the bins that changed; pieces of one length stand for each other, two are enough."""
+        import numpy as np
+
+        out: list[tuple[int, int, int]] = []
+        for b in dict.fromkeys(self.fresh):
+            seen: dict[int, int] = {}
+            some = []
+            for i in self.items[b]:
+                size = int(self.n[i])
+                seen[size] = seen.get(size, 0) + 1
+                if seen[size] <= 2:
+                    some.append(i)
+            out += [(i, j, b) for k, i in enumerate(some) for j in some[k + 1 :]]
+        self.fresh = []
+        if out:
+            new = np.array(out, np.int64)
+            alive = (self.bin[self.i] == self.home) & (self.bin[self.j] == self.home) & ~np.isin(self.home, np.unique(new[:, 2]))
+            self.i, self.j, self.home = (np.concatenate([old[alive], new[:, k]]) for k, old in enumerate((self.i, self.j, self.home)))
+
+    def _best(self, gain, home, donor: int, least: int) -> int:
+        """The candidate of most gain above ``least`` that fits its bin and leaves it fuller than the donor was; -1 if none."""
+        import numpy as np
+
+        room = self.free[home]
+        fits = (gain > least) & (gain <= room) & (room - gain < self.free[donor]) & (home != donor)
+        if not fits.any():
+            return -1
+        return int(np.where(fits, gain, -1).argmax())
+
+    def _place(self, item: int, b: int) -> None:
+        old = int(self.bin[item])
+        self.items[old].remove(item)
+        self.live += not self.items[b]
+        self.items[b].append(item)
+        self.free[old] += self.n[item]
+        self.free[b] -= self.n[item]
+        self.bin[item] = b
+        self.fresh += [old, b]
+        self.live -= not self.items[old]
+
+    def _step(self, donor: int) -> bool:
+        """The move, or else the exchange, that takes most out of the donor."""
+        import numpy as np
+
+        items = sorted(self.items[donor], key=lambda i: (-self.n[i], i))
+        for item in items:
+            size = self.n[item]
+            roomy = np.flatnonzero((self.free >= size) & (self.free < self.capacity) & (self.free - size < self.free[donor]))
+            roomy = roomy[roomy != donor]
+            if len(roomy):
+                self._place(item, int(roomy[self.free[roomy].argmin()]))
+                return True
+        best: tuple[int, int, tuple[int, ...]] | None = None
+        home = self.bin[self.single]
+        for item in items:
+            gain = self.n[item] - self.n[self.single]
+            at = self._best(gain, home, donor, best[0] if best else 0)
+            if at >= 0:
+                best = (int(gain[at]), item, (int(self.single[at]),))
+        self._add_pairs()
+        if len(self.i):
+            both = self.n[self.i] + self.n[self.j]
+            alive = (self.bin[self.i] == self.home) & (self.bin[self.j] == self.home)
+            for item in items:
+                gain = np.where(alive, self.n[item] - both, -1)
+                at = self._best(gain, self.home, donor, best[0] if best else 0)
+                if at >= 0:
+                    best = (int(gain[at]), item, (int(self.i[at]), int(self.j[at])))
+        if best is None:
+            return False
+        target = int(self.bin[best[2][0]])
+        for piece in best[2]:
+            self._place(piece, donor)
+        self._place(best[1], target)
+        return True
+
+    def run(self, least: int) -> None:
+        """Sweep over the donors until the bins are as few as ``least`` or nothing grows the squared fill any more."""
+        changed = True
+        while changed and self.live > least:
+            changed = False
+            for donor in sorted((b for b, items in enumerate(self.items) if items and self.free[b]), key=lambda b: (-self.free[b], b)):
+                while self.items[donor] and self.free[donor] and self.live > least and self._step(donor):
+                    changed = True
+                    self.steps += 1
+                if self.live <= least:
                     break
-                found = _exchange_for(item, room, bins, lengths, capacity - fill, best[0] if best else 0)
-                best = found or best
-            if best:
-                exchange(donor, *best[1:])
-                moved = changed = True
-        if bins[donor] and free[donor]:
-            insort(room, (free[donor], donor))
-    return changed
-
-
-def _exchange_for(item: int, room: list[tuple[int, int]], bins: list[list[int]], lengths: list[int], donor_free: int, least: int) -> tuple[int, int, int, list[int]] | None:
-    """The exchange of ``item`` for one or two pieces of another bin that gains most, above ``least``: gain, bin, item, pieces."""
-    best, size = None, lengths[item]
-    for space, b in reversed(room):
-        if space <= least:
-            break
-        items = bins[b]
-        for n, one in enumerate(items):
-            gain = size - lengths[one]
-            if least < gain <= space and space - gain < donor_free:
-                best, least = (gain, b, item, [one]), gain
-            for other in items[n + 1 :]:
-                both = gain - lengths[other]
-                if least < both <= space and space - both < donor_free:
-                    best, least = (both, b, item, [one, other]), both
-    return best
+
+
+def improve(lengths: list[int], bins: list[int], capacity: int) -> list[int]:
+    """A packing with as many bins as ``bins`` (numbered from 0) or fewer, in gapless numbers."""
+    search = _Search(lengths, bins, capacity)
+    search.run(least_bins(lengths, capacity))
+    number = {b: k for k, b in enumerate(sorted({*search.bin.tolist()}))}
+    return [number[b] for b in search.bin.tolist()]
+
+
+def pack_lengths(lengths: list[int], capacity: int) -> list[int]:
+    """A bin number for each length (1 to capacity): as they come, then local search. Deterministic."""
+    return improve(lengths, first_come(lengths, capacity), capacity) if lengths else []
 
 
 def _cut(path: str, end_id: int, capacity: int):
@@ -159,22 +199,32 @@ def token_pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return materialise(pieces, "pieces")
 
 
-def _pack_shard(capacity: int):
+SHARDED = "row_id long, piece int, length long, sequence_id long, offset long, fill long"
+
+
+def _pack_shard(capacity: int, level: int):
+    """Packs the pieces of a shard, or goes on from the sequences that they are in."""
+
     def run(table: pa.Table) -> pa.Table:
         import numpy as np
 
         table = table.sort_by([("row_id", "ascending"), ("piece", "ascending")])
-        lengths = table.column("length").to_pylist()
-        bins = np.array(pack_lengths(lengths, capacity), dtype=np.int64)
-        n = np.array(lengths, dtype=np.int64)
+        n = table.column("length").to_numpy().astype(np.int64)
+        if "sequence_id" in table.column_names:
+            _, start = np.unique(table.column("sequence_id").to_numpy(), return_inverse=True)
+            bins = np.array(improve(n.tolist(), start.tolist(), capacity), dtype=np.int64)
+        else:
+            bins = np.array(pack_lengths(n.tolist(), capacity), dtype=np.int64)
         order = np.lexsort((np.arange(len(n)), bins))
         ends = np.cumsum(n[order])
         starts = ends - n[order]
         first = np.concatenate([[True], bins[order][1:] != bins[order][:-1]])
         offsets = np.empty(len(n), dtype=np.int64)
         offsets[order] = starts - np.maximum.accumulate(np.where(first, starts, 0))
-        shard = table.column("shard").to_numpy()
-        return pa.table({"row_id": table.column("row_id"), "piece": table.column("piece"), "sequence_id": pa.array(shard.astype(np.int64) * (1 << 32) + bins), "offset": pa.array(offsets)})
+        fill = np.bincount(bins, weights=n).astype(np.int64)[bins]
+        # The level's bits lie above those of the shard and the bin (below SHARD_PIECES), so numbers can't clash.
+        ids = (np.int64(level) << 56) + table.column("shard").to_numpy().astype(np.int64) * (1 << 16) + bins
+        return pa.table([table.column("row_id"), table.column("piece"), table.column("length"), ids, offsets, fill], ["row_id", "piece", "length", "sequence_id", "offset", "fill"])
 
     return run
 
@@ -184,17 +234,35 @@ def pack_pieces(pieces: DataFrame, capacity: int = 2048, shard_pieces: int = SHA
     make_importable(pieces.sparkSession)
     sizes = pieces.select("row_id", "piece", "length")
     short = sizes.where(F.col("length") < capacity)
-    shards = max(1, -(-short.count() // shard_pieces))
-    dealt = short.withColumn("shard", F.pmod(F.xxhash64("row_id", "piece"), F.lit(shards)).cast("long"))
-    packed = dealt.groupBy("shard").applyInArrow(_pack_shard(capacity), "row_id long, piece int, sequence_id long, offset long")
     whole = sizes.where(F.col("length") == capacity).select("row_id", "piece", (-1 - F.monotonically_increasing_id()).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
-    return packed.unionByName(whole)
+    columns = whole.columns
+    left, key, done, level, bins = short.count(), F.xxhash64("row_id", "piece"), [whole], 0, None
+    while True:
+        shards = max(1, -(-left // shard_pieces))
+        dealt = short.withColumn("shard", F.pmod(key, F.lit(shards)).cast("long"))
+        packed = dealt.groupBy("shard").applyInArrow(_pack_shard(capacity, level), SHARDED)
+        if shards == 1:
+            break
+        packed = materialise(packed, "packed")
+        under = packed.where(F.col("fill") < capacity)
+        first = (F.col("offset") == 0).cast("long")
+        after, open_bins, open_pieces = packed.agg(F.sum(first), F.sum(F.when(F.col("fill") < capacity, first)), F.count(F.when(F.col("fill") < capacity, 1))).first()
+        # Shards that empty less than a bin for two of them, and fill few, have no more to give, as with pieces just over half a sequence.
+        if not open_pieces or bins is not None and 2 * (bins - after) < shards and 2 * open_pieces > left:
+            break
+        done.append(packed.where(F.col("fill") == capacity).select(columns))
+        left, bins = open_pieces, open_bins
+        short, key, level = under.drop("offset", "fill"), F.xxhash64("sequence_id"), level + 1
+    for more in done:
+        packed = packed.select(columns).unionByName(more)
+    return packed
 
 
 def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None, end_id: int = 0, capacity: int = 2048, shard_pieces: int = SHARD_PIECES) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids, sequence_id, offset.
 
-    Null texts count as empty: one piece with only the end id. Rows that repeat a doc_id are packed each for itself.
+    Null texts count as empty: one piece with only the end id; texts are encoded whole, however long. Rows that repeat a
+    doc_id are packed each for itself; equal lengths go in the order of rows.
     Other columns are not read; an empty table gives an empty table.
     """
     pieces = token_pieces(docs, id_col, text_col, vocabulary, end_id, capacity)
