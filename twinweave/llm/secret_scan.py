@@ -41,7 +41,11 @@ def sum_limit(bits: float) -> int:
 
 
 def _matches(text: Column, pattern: str) -> Column:
-    """array<struct<start,end,match>> of the leftmost non-overlapping matches, in code points."""
+    """array<struct<start,end,match>> of the leftmost non-overlapping matches, in code points.
+
+    Lengths are summed in runs of about the square root of the number of matches, then the runs' totals are summed, so
+    that appending to an array, which copies it, never costs the square of the number.
+    """
     between, found = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     pairs = F.zip_with(found, F.slice(between, F.lit(1), F.size(found)), lambda m, gap: F.struct(m.alias("m"), F.length(gap).alias("gap")))
     kind = "array<struct<start:int,end:int,m:string>>"
@@ -52,7 +56,22 @@ def _matches(text: Column, pattern: str) -> Column:
         end = start + F.length(x["m"])
         return F.struct(end.alias("at"), F.concat(state["out"], F.array(F.struct(start.alias("start"), end.alias("end"), x["m"].alias("m")))).alias("out"))
 
-    walked = F.aggregate(pairs, F.struct(F.lit(0).alias("at"), none.alias("out")), step)["out"]
+    def run_at(all_pairs: Column, run: Column):
+        return lambda first: F.aggregate(F.slice(all_pairs, first, run), F.struct(F.lit(0).alias("at"), none.alias("out")), step)
+
+    def runs_of(all_pairs: Column) -> Column:
+        run = F.greatest(F.lit(64), F.ceil(F.sqrt(F.size(all_pairs))).cast("int"))
+        return F.transform(F.sequence(F.lit(1), F.size(all_pairs), run), run_at(all_pairs, run))
+
+    def shifted(walked: Column, before: Column) -> Column:
+        return F.transform(walked["out"], lambda x: F.struct((x["start"] + before).alias("start"), (x["end"] + before).alias("end"), x["m"].alias("m")))
+
+    def placed(runs: Column) -> Column:
+        before = F.aggregate(runs, F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out")), lambda s, r: F.struct((s["at"] + r["at"]).alias("at"), F.concat(s["out"], F.array(s["at"])).alias("out")))["out"]
+        return F.flatten(F.zip_with(runs, before, shifted))
+
+    # One-element transforms stand for local names, so that neither the pairs nor the runs are computed twice.
+    walked = F.flatten(F.transform(F.transform(F.array(pairs), runs_of), placed))
     return F.when(text.rlike(pattern), walked).otherwise(none)
 
 
@@ -89,8 +108,8 @@ def _entropy_spans(text: Column) -> Column:
 def secret_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: doc_id, spans array<struct<start,kind_no,end,kind>> by start, then kind.
 
-    Null and empty texts have no spans. Positions count code points, the end is exclusive, a base span is the whole
-    match. Rows that repeat are scanned each for itself; other columns are not read; an empty table gives an empty one.
+    Null and empty texts have no spans. Texts are scanned whole, however many matches they hold. Positions count code
+    points, the end is exclusive, a base span is the whole match. Rows that repeat are scanned each for itself; other columns are not read; an empty table gives an empty one.
     """
     rows = docs.select(F.col(id_col).alias("_id"), text_or_empty(text_col).alias("_text"))
     text = F.col("_text")
