@@ -89,10 +89,47 @@ def test_mix(docs, seed):
 
 def test_mix_matches_full_sort(docs):
     """The two-level cut takes just the prefix of a full sort by Pareto rank."""
-    rows = source_mix.mix_copies(docs)
-    joined = rows.join(docs.select("doc_id", "source"), "doc_id").toPandas()
-    for _, part in joined.groupby("source", dropna=False):
-        assert part.copies.max() - part.copies.min() <= 2
+    rows = [r for r in source_mix.mix_copies(docs).join(docs.select("doc_id", "source"), "doc_id").collect()]
+    for source in {r.source for r in rows}:
+        own = [r for r in rows if r.source == source]
+        rate = rates_by_hand([(r.size, r.size.bit_length() or 1) for r in own], own[0].target)
+        p = {r.doc_id: rate[r.size.bit_length() or 1] % 1 for r in own}
+        whole = {r.doc_id: math.floor(rate[r.size.bit_length() or 1]) for r in own}
+        u = {i: (int(hashlib.md5(f"mix|{i}".encode()).hexdigest()[:13], 16) + 0.5) / 2**52 for i in p}
+        drawn = sorted((r for r in own if p[r.doc_id] > 0), key=lambda r: ((u[r.doc_id] / (1 - u[r.doc_id])) / (p[r.doc_id] / (1 - p[r.doc_id])), r.doc_id))
+        need, words, more = own[0].target - sum(whole[r.doc_id] * r.size for r in own), 0, set()
+        for r in drawn:
+            words += r.size
+            if 2 * words - r.size <= 2 * need:
+                more.add(r.doc_id)
+        assert {r.doc_id: r.copies for r in own} == {i: whole[i] + (i in more) for i in p}
+
+
+def rates_by_hand(sized, target, most=3, base=20):
+    """Copies expected of a document of each size class, so that the expected words meet the target."""
+    words = Counter()
+    for size, cls in sized:
+        words[cls] += size
+    capped = set()
+    while True:
+        mass = sum(w * (c + base) for c, w in words.items() if c not in capped)
+        scale = (target - sum(most * w for c, w in words.items() if c in capped)) / mass if mass else 0.0
+        over = {c for c in words if c not in capped and scale * (c + base) > most}
+        if not over:
+            return {c: float(most) if c in capped else max(0.0, scale * (c + base)) for c in words}
+        capped |= {max(over)}
+
+
+def test_mix_rows_of_null_and_repeated_ids(spark):
+    """Rows count each for itself, whatever their ids and their extra columns are called."""
+    rows = [(None if i % 3 == 0 else i % 5, f"w{i} " * (1 + i % 7), "s" if i % 2 else "t", i, i, i) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, _copies int, _copy int, _uid int")
+    taken = Counter((r.doc_id, r.size, r.copies) for r in source_mix.mix_copies(docs).collect())
+    mixed = source_mix.mix_rows(docs)
+    assert mixed.columns == docs.columns
+    per = Counter(r["_copies"] for r in mixed.collect())
+    assert Counter((r[0], 1 + r[3] % 7, per[r[3]]) for r in rows) == taken
+    assert Counter(map(tuple, mixed.collect())) == Counter(map(tuple, source_mix.mix_rows(docs.repartition(7)).collect()))
 
 
 def test_mix_odd(odd, empty):
@@ -145,6 +182,15 @@ def test_secrets(spark):
         assert got[i] == ",".join(spans_by_hand(t)), (i, t)
 
 
+def test_secrets_of_texts_with_many_matches(spark):
+    """More matches than one run of the sum of lengths holds."""
+    texts = [" ".join(f"{i:024x}{'é' * (i % 3)}" for i in range(n)) for n in (63, 64, 65, 130, 5000)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.spans for r in secret_scan.secret_spans(rows).select("doc_id", secret_scan.span_text(F.col("spans")).alias("spans")).collect()}
+    for i, t in enumerate(texts):
+        assert got[i] == ",".join(spans_by_hand(t)) and got[i].count("hex") == (63, 64, 65, 130, 5000)[i]
+
+
 def test_secrets_on_documents(spark, sf_dir, odd, empty):
     rows = QUERIES["op10_secret_scan"](spark, sf_dir).collect()
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}

@@ -73,3 +73,53 @@ def test_stages_keep_the_columns(spark, small):
     docs = spark.read.parquet(f"{small}/documents.parquet")
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs, small).columns == docs.columns
+
+
+def test_stages_on_odd_tables(spark, small, tmp_path):
+    """Null and repeated ids, null texts, and extra columns named as the operators name their own; then no rows at all."""
+    words = [" ".join(f"{c}{i}" for i in range(30)) for c in "pqrst"]
+    rows = [(None, words[0]), (None, words[1]), (7, words[2]), (7, words[3]), (8, words[4]), (8, words[4]), (9, None), (None, None), (10, ""), (11, words[2] + " end")]
+    extra = ["_copies", "_copy", "_gone", "_stay_id", "_digest", "_uid", "uid", "row_id"]
+    docs = spark.createDataFrame([(i, t, "en", "a", 1, *range(len(extra))) for i, t in rows], SCHEMA + "".join(f", {c} int" for c in extra))
+    stages = {}
+
+    def stored(name, stage):
+        def run(docs):
+            path = f"file://{tmp_path}/{name}-{docs.count()}"
+            stage(spark, docs, small).write.mode("overwrite").parquet(path)
+            return spark.read.parquet(path)
+
+        return run
+
+    for name, stage in corpus_pipeline.STAGES:
+        stages[name] = stored(name, stage)
+    texts = lambda df: sorted((r.doc_id or 0, r.text or "") for r in df.collect())
+    assert texts(stages["quality"](docs)) <= texts(docs)
+    exact = stages["exact dedup"](docs)
+    assert texts(exact) == sorted([(0, words[0]), (0, words[1]), (7, words[2]), (7, words[3]), (8, words[4]), (10, ""), (11, words[2] + " end")])
+    near = stages["near dedup"](exact)
+    assert texts(near) == sorted([(0, words[0]), (0, words[1]), (7, words[2]), (7, words[3]), (8, words[4]), (10, "")])
+    mixed = stages["mix"](near)
+    assert near.columns == exact.columns == mixed.columns == docs.columns
+    assert {t for _, t in texts(mixed)} <= {t for _, t in texts(near)}
+    packed = stages["pack"](docs).collect()
+    assert len(packed) == len(rows) and {r.offset for r in packed} >= {0}
+    for name, stage in stages.items():
+        assert stage(docs.where("false")).count() == 0, name
+
+
+def test_other_results_outlive_the_pipeline(spark, small):
+    """The pipeline deletes its own tables only, and leaves but the last of its stages' tables."""
+    import os
+    from pathlib import Path
+
+    from twinweave.llm._common import release, shared_dir
+
+    result = source_mix.mix_copies(spark.read.parquet(f"{small}/documents.parquet"))
+    folder = Path(shared_dir(spark).removeprefix("file://").removeprefix("file:"), "twinweave")
+    before = set(os.listdir(folder))
+    rows = corpus_pipeline.run(spark, small)
+    assert result.count() and rows.count()
+    assert [x.rsplit("-", 1)[0] for x in set(os.listdir(folder)) - before] == ["pipeline-pack"]
+    release(spark)
+    assert not any(x.startswith("pipeline") for x in os.listdir(folder))

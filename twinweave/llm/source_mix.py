@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from twinweave.llm._common import materialise, text_or_empty
+from twinweave.llm._common import materialise, private, text_or_empty
 
 #: Source weights by rank of the source's name, repeating.
 WEIGHTS = (5, 2, 1)
@@ -69,22 +69,31 @@ def _class_rates(sized: DataFrame, targets: DataFrame, max_repeat: int) -> DataF
 def _salted(big: DataFrame, small: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
     """Join a small per-source table to documents without one source's rows meeting in one task."""
     copies = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return big.withColumn("_salt", F.pmod(F.xxhash64("_id"), F.lit(SALTS)).cast("int")).join(copies, [*keys, "_salt"], how).drop("_salt")
+    return big.withColumn("_salt", F.pmod(F.xxhash64("_uid"), F.lit(SALTS)).cast("int")).join(copies, [*keys, "_salt"], how).drop("_salt")
 
 
 def mix_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, max_repeat: int = 3, seed: str = "mix") -> DataFrame:
     """One row per input row: doc_id, size, source_size, target, taken, copies.
 
-    Null texts have size 0; null sources are one source, ranked last. Equal ranks are ordered by id; rows that repeat an
-    id share its rank. Documents of size 0 take part but add no word. An empty table gives an empty table.
+    Null texts have size 0; null sources are one source, ranked last. Equal ranks are ordered by id, then size, then a
+    hash of the text, so only equal rows can change places; rows that repeat an id share its rank. A null id draws its
+    rank from its text. Documents of size 0 take part but add no word; texts are counted whole. Other columns are not
+    read; an empty table gives an empty table.
     """
-    sized = docs.select(F.col(id_col).alias("_id"), F.col(source_col).alias("_source"), word_count(text_col).alias("_size"))
+    rows = docs.select(F.monotonically_increasing_id().alias("_uid"), F.col(id_col).alias("_id"), F.col(source_col).alias("_source"), F.col(text_col).alias("_text"))
+    return _mixed(rows, weights, max_repeat, seed).select(F.col("_id").alias(id_col), F.col("_size").alias("size"), "source_size", "target", (F.col("copies") * F.col("_size")).alias("taken"), "copies")
+
+
+def _mixed(rows: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_repeat: int = 3, seed: str = "mix") -> DataFrame:
+    """_uid, _id, _size, source_size, target, copies for rows (_uid, _id, _source, _text); a row is known by its _uid."""
+    key = F.coalesce(F.col("_id").cast("string"), F.concat(F.lit("text|"), text_or_empty("_text")))
+    digits = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}|"), key)), 1, 13), 16, 10).cast("long")
+    sized = rows.select("_uid", "_id", "_source", word_count("_text").alias("_size"), ((digits.cast("double") + 0.5) / float(2**52)).alias("_u"), F.xxhash64(text_or_empty("_text")).alias("_tie"))
     sized = sized.withColumn("_key", F.when(F.col("_source").isNull(), "n").otherwise(F.concat(F.lit("s"), F.col("_source")))).withColumn("_class", F.length(F.bin("_size")))
     sized = materialise(sized, "mix-sizes")
     rates = _class_rates(sized, source_targets(sized, weights, max_repeat), max_repeat)
     ranked = _salted(sized, rates, ["_key", "_class"])
-    digits = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}|"), F.coalesce(F.col("_id").cast("string"), F.lit("")))), 1, 13), 16, 10).cast("long")
-    ranked = ranked.withColumn("_u", (digits.cast("double") + 0.5) / float(2**52)).withColumn("_whole", F.floor("_rate")).withColumn("_p", F.col("_rate") - F.floor("_rate"))
+    ranked = ranked.withColumn("_whole", F.floor("_rate")).withColumn("_p", F.col("_rate") - F.floor("_rate"))
     ranked = ranked.withColumn("_q", F.when(F.col("_p") > 0, (F.col("_u") / (1 - F.col("_u"))) / (F.col("_p") / (1 - F.col("_p")))))
     ranked = ranked.withColumn("_part", F.least(F.lit(PARTS * PARTS - 1), F.floor(F.col("_q") / (1 + F.col("_q")) * PARTS * PARTS)).cast("int"))
     ranked = materialise(ranked.drop("_u", "_p", "_rate"), "mix-ranks")
@@ -102,16 +111,22 @@ def mix_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     # Zero rates have no rank; a source whose fractions all fit has no cut.
     taken_part = F.col("_q").isNotNull() & (F.col("_at").isNull() | (F.col("_part") < F.col("_at")))
     on_cut = F.col("_q").isNotNull() & (F.col("_part") == F.col("_at"))
-    upto = F.sum("_size").over(W.partitionBy("_key").orderBy("_q", "_id").rowsBetween(W.unboundedPreceding, 0))
+    upto = F.sum("_size").over(W.partitionBy("_key").orderBy("_q", "_id", "_size", "_tie").rowsBetween(W.unboundedPreceding, 0))
     cut_rows = placed.where(on_cut).withColumn("_more", (2 * (F.col("_before") + upto) - F.col("_size") <= 2 * F.col("_rest")).cast("int"))
     rest = placed.where(~F.coalesce(on_cut, F.lit(False))).withColumn("_more", taken_part.cast("int"))
     out = rest.unionByName(cut_rows)
     copies = (F.col("_whole") + F.col("_more")).cast("long")
-    return out.select(F.col("_id").alias(id_col), F.col("_size").alias("size"), "source_size", "target", (copies * F.col("_size")).alias("taken"), copies.alias("copies"))
+    return out.select("_uid", "_id", "_size", "source_size", "target", copies.alias("copies"))
 
 
-def mix_rows(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """The documents of the mix with all their columns; a document taken k times is k rows."""
-    copies = mix_copies(docs, id_col, **options).where("copies > 0").groupBy(F.col(id_col).alias("_mix_id")).agg(F.max("copies").alias("_copies"))
-    joined = docs.join(copies, docs[id_col].eqNullSafe(copies["_mix_id"])).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int"))))
-    return joined.select(*[docs[c] for c in docs.columns])
+def mix_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
+    """The documents of the mix with all their columns; a document taken k times is k rows.
+
+    Each row takes its own number of copies, whether its id is null or repeated or not; see ``mix_copies`` for nulls and
+    ties. Extra columns may have any names; an empty table stays empty.
+    """
+    uid, copies, copy = private(docs, "_uid", "_copies", "_copy")
+    rows = materialise(docs.withColumn(uid, F.monotonically_increasing_id()), "mix-rows")
+    known = rows.select(F.col(uid).alias("_uid"), F.col(id_col).alias("_id"), F.col(source_col).alias("_source"), F.col(text_col).alias("_text"))
+    taken = _mixed(known, **options).where("copies > 0").select(F.col("_uid").alias(uid), F.col("copies").cast("int").alias(copies))
+    return rows.join(taken, uid).withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(copies)))).drop(uid, copies, copy)
