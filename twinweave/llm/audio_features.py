@@ -2,8 +2,9 @@
 
 Media are stored as WAV files (8-bit unsigned mono) in a Parquet column of the shared folder and read back from there.
 Features of a file are fixed-shape Arrow tensors: blocks of BLOCK_FRAMES x MELS half floats with their time spans, as one
-Arrow IPC stream a row, so a reader maps them without copies. A file is computed alone, in blocks of bounded size, so
-equal files give equal bytes whatever stands beside them.
+Arrow IPC stream a row, so a reader maps them without copies. They are stored with the spans of the segments in the shared
+folder too, and results come from what is read back. A file is computed alone, in blocks of bounded size, so equal files
+give equal bytes whatever stands beside them.
 """
 
 from __future__ import annotations
@@ -14,13 +15,14 @@ from collections.abc import Iterator
 from math import gcd
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from twinweave.llm._common import make_importable, materialise, text_or_empty
 
 SOURCE_RATE, RATE = 24_000, 16_000
-UNIT = 192
+UNIT, HEADER = 192, 44
 FRAME, HOP, FFT, MELS, BLOCK_FRAMES = 400, 160, 512, 40, 16
 HALF_TAPS = 8
 #: Decibels above and below a file's mean frame energy at which a segment opens and closes.
@@ -37,7 +39,7 @@ def wav_bytes(samples: bytes, rate: int = SOURCE_RATE) -> bytes:
 def wav_samples(media: bytes) -> tuple[int, bytes]:
     """Sample rate and samples of a WAV file as ``wav_bytes`` writes it."""
     rate, size = struct.unpack_from("<I", media, 24)[0], struct.unpack_from("<I", media, 40)[0]
-    return rate, bytes(media[44 : 44 + size])
+    return rate, bytes(media[HEADER : HEADER + size])
 
 
 @functools.cache
@@ -154,28 +156,33 @@ def _store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(sizes, pa.int64()), pa.array(media, pa.binary())], ["doc_id", "n_bytes", "media"])
 
 
-FEATURES = "doc_id long, n_bytes long, media binary, payload binary, n_frames long, spans array<struct<start_s:double,end_s:double>>, tensors binary"
+FEATURES = "n_frames long, spans array<struct<start_s:double,end_s:double>>, tensors binary"
 
 
-def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    import numpy as np
+def _features(at: int, keep_media: bool):
+    """Batches of rows with media in column ``at`` to the same rows with the features behind them."""
 
-    from twinweave.llm.token_store import pieces_of
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import numpy as np
 
-    span = pa.list_(pa.struct([("start_s", pa.float64()), ("end_s", pa.float64())]))
-    for batch in batches:
-        for rows in pieces_of(batch, column=2):
-            payloads, frames, spans, tensors = [], [], [], []
-            for media in rows.column(2):
-                rate, payload = wav_samples(media.as_buffer().to_pybytes())
-                x = (np.frombuffer(payload, np.uint8).astype(np.float32) - 128) / 128
-                mels, energy = log_mel(resample(x, rate))
-                payloads.append(payload)
-                frames.append(len(mels))
-                spans.append([{"start_s": a, "end_s": b} for a, b in segments(energy)])
-                tensors.append(tensor_stream(mels))
-            arrays = [*rows.columns, pa.array(payloads, pa.binary()), pa.array(frames, pa.int64()), pa.array(spans, span), pa.array(tensors, pa.binary())]
-            yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "n_bytes", "media", "payload", "n_frames", "spans", "tensors"])
+        from twinweave.llm.token_store import pieces_of
+
+        span = pa.list_(pa.struct([("start_s", pa.float64()), ("end_s", pa.float64())]))
+        for batch in batches:
+            for rows in pieces_of(batch, column=at):
+                frames, spans, tensors = [], [], []
+                for media in rows.column(at):
+                    rate, samples = wav_samples(media.as_buffer().to_pybytes())
+                    x = (np.frombuffer(samples, np.uint8).astype(np.float32) - 128) / 128
+                    mels, energy = log_mel(resample(x, rate))
+                    frames.append(len(mels))
+                    spans.append([{"start_s": a, "end_s": b} for a, b in segments(energy)])
+                    tensors.append(tensor_stream(mels))
+                kept = [i for i in range(rows.num_columns) if keep_media or i != at]
+                arrays = [*[rows.column(i) for i in kept], pa.array(frames, pa.int64()), pa.array(spans, span), pa.array(tensors, pa.binary())]
+                yield pa.RecordBatch.from_arrays(arrays, [*[rows.schema.names[i] for i in kept], "n_frames", "spans", "tensors"])
+
+    return run
 
 
 def store_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -185,11 +192,19 @@ def store_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return materialise(rows.mapInArrow(_store, "doc_id long, n_bytes long, media binary"), "media")
 
 
-def audio_features(media: DataFrame) -> DataFrame:
-    """doc_id, n_bytes, media, payload, n_frames, spans, tensors for stored media.
+def payload(media: Column) -> Column:
+    """The samples of a stored file: what follows the header of 44 bytes."""
+    return F.substring(media, HEADER + 1, 2**31 - 1)
+
+
+def audio_features(media: DataFrame, keep_media: bool = True) -> DataFrame:
+    """The rows of ``media`` with n_frames, spans and tensors of each stored file, read back from the shared folder.
 
-    Null and empty texts are one unit of spaces. Very long files are framed in chunks. Repeated rows and ids are rows of
-    their own, null ids stay null, other columns are not read, an empty table gives an empty table.
+    Without ``keep_media`` the files are not stored a second time. Null and empty texts are one unit of spaces. Very long
+    files are framed in chunks. Repeated rows and ids are rows of their own, null ids stay null, an empty table gives an
+    empty table; columns of ``media`` must not be called n_frames, spans or tensors.
     """
     make_importable(media.sparkSession)
-    return media.mapInArrow(_features, FEATURES)
+    kept = T.StructType([f for f in media.schema if keep_media or f.name != "media"])
+    schema = T.StructType([*kept, *T._parse_datatype_string(FEATURES)])
+    return materialise(media.mapInArrow(_features(media.columns.index("media"), keep_media), schema), "audio-features")

@@ -12,11 +12,14 @@ from twinweave.llm._common import table
 
 
 def op1_audio_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = audio_features.audio_features(audio_features.store_media(table(spark, sf_dir, "documents")))
-    payload, media = F.col("payload"), F.col("media")
-    feature = F.concat_ws(":", F.col("n_frames").cast("string"), F.size("spans").cast("string"), F.sha2("tensors", 256))
+    media, payload = F.col("media"), audio_features.payload(F.col("media"))
+    stored = audio_features.store_media(table(spark, sf_dir, "documents"))
     tail = F.crc32(F.substring(payload, -16, 16))
-    return rows.select("doc_id", "n_bytes", F.length(payload).cast("long").alias("payload_bytes"), F.sha2(payload, 256).alias("payload_sha256"), tail.alias("tail_crc32"), F.length(media).cast("long").alias("media_bytes"), F.sha2(media, 256).alias("media_sha256"), feature.alias("feature"))
+    read = stored.select("doc_id", "n_bytes", F.length(payload).cast("long").alias("payload_bytes"), F.sha2(payload, 256).alias("payload_sha256"), tail.alias("tail_crc32"), F.length(media).cast("long").alias("media_bytes"), F.sha2(media, 256).alias("media_sha256"), "media")
+    rows = audio_features.audio_features(read, keep_media=False)
+    edges = F.concat_ws(",", F.transform("spans", lambda s: F.concat_ws("-", s["start_s"].cast("string"), s["end_s"].cast("string"))))
+    feature = F.concat_ws(":", F.col("n_frames").cast("string"), F.size("spans").cast("string"), F.sha2(F.concat(F.col("tensors"), F.encode(edges, "utf-8")), 256))
+    return rows.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", feature.alias("feature"))
 
 
 def op2_pack_swap_search(spark: SparkSession, sf_dir: str) -> DataFrame:
