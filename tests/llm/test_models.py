@@ -63,7 +63,9 @@ def test_segments_and_frames():
 
 
 def test_audio_query(spark, sf_dir, docs, odd, empty):
-    rows = A.audio_features(A.store_media(docs)).collect()
+    stored = A.audio_features(A.store_media(docs))
+    assert all("audio-features" in f for f in stored.inputFiles())
+    rows = stored.withColumn("payload", A.payload(F.col("media"))).collect()
     texts = {r[0]: r[1] or "" for r in corpus()}
     assert sorted(r.doc_id for r in rows) == sorted(texts)
     for r in rows:
@@ -72,6 +74,10 @@ def test_audio_query(spark, sf_dir, docs, odd, empty):
         assert r.n_bytes == len(data) and bytes(r.payload) == data + b" " * pad
         assert A.wav_samples(bytes(r.media)) == (A.SOURCE_RATE, bytes(r.payload))
         table = A.read_tensors(bytes(r.tensors))
+        mels, energy = A.log_mel(A.resample((np.frombuffer(r.payload, np.uint8).astype(np.float32) - 128) / 128))
+        blocks = np.concatenate([np.array(b.as_py()).reshape(A.BLOCK_FRAMES, A.MELS) for b in table.column("log_mel").combine_chunks().storage])
+        assert np.allclose(blocks[: r.n_frames], mels, atol=0.02) and len(mels) == r.n_frames
+        assert [(s.start_s, s.end_s) for s in r.spans] == A.segments(energy)
         assert table.schema.field("log_mel").type.shape == [A.BLOCK_FRAMES, A.MELS]
         assert table.num_rows == -(-r.n_frames // A.BLOCK_FRAMES)
         assert table.column("start_s").to_pylist() == [i * A.BLOCK_FRAMES * A.HOP / A.RATE for i in range(table.num_rows)]
@@ -207,6 +213,100 @@ def test_templates_generalise_and_reject(spark):
     assert len(got) == len(rows)
 
 
+def tree_by_hand(rows):
+    """Template and purity of each (host, path, label), the tree walked host by host and level by level."""
+    U = url_templates
+
+    def shaped(segment):
+        name = re.sub(r"\.[A-Za-z0-9]{1,5}$", "", segment)
+        if re.search("^[0-9]+$", name):
+            return "{number}"
+        if re.search("^[0-9a-fA-F-]{8,}$", name) and re.search("[0-9]", name):
+            return "{hex}"
+        return segment.replace("*", "%2A").replace("{", "%7B")
+
+    def smooth(labels, prior):
+        return (sum(labels) + U.STRENGTH * prior) / (len(labels) + U.STRENGTH)
+
+    segments = [[shaped(s) for s in path.split("/") if s] for _, path, _ in rows]
+    place, purity = [""] * len(rows), [0.0] * len(rows)
+    hosts = defaultdict(list)
+    for i, (host, _, _) in enumerate(rows):
+        hosts[host].append(i)
+    known = lambda ids: [rows[i][2] for i in ids if rows[i][2] is not None]
+    for ids in hosts.values():
+        for i in ids:
+            purity[i] = smooth(known(ids), U.PRIOR)
+    for level in range(max(map(len, segments), default=0)):
+        nodes = defaultdict(lambda: defaultdict(list))
+        for i, seg in enumerate(segments):
+            if len(seg) > level:
+                nodes[rows[i][0], place[i]][seg[level]].append(i)
+        merged, template_labels = {}, defaultdict(list)
+        for node, branches in nodes.items():
+            literals = [i for b, ids in branches.items() if b[0] != "{" for i in ids]
+            for b, ids in branches.items():
+                rest = [i for i in literals if i not in set(ids)]
+                apart = b[0] != "{" and not (rest and similar(ids, rest, segments, level, known))
+                name = b if apart or b[0] == "{" else "*"
+                merged.setdefault((node, name), [[], apart])[0].extend(ids)
+        for (node, name), (ids, _) in merged.items():
+            template_labels[node[1] + "/" + name] += known(ids)
+        new = {}
+        for (node, name), (ids, apart) in merged.items():
+            every, own = template_labels[node[1] + "/" + name], known(ids)
+            elsewhere = (sum(every) - sum(own) + U.STRENGTH * U.PRIOR) / (len(every) - len(own) + U.STRENGTH)
+            prior = (purity[ids[0]] + elsewhere + 2 * U.PRIOR) / 4 if apart else purity[ids[0]]
+            for i in ids:
+                new[i] = (node[1] + "/" + name, smooth(own, prior))
+        for i, (t, p) in new.items():
+            place[i], purity[i] = t, p
+    return list(zip(place, purity, strict=True))
+
+
+def similar(ids, rest, segments, level, known):
+    def agree(a, n, b, m):
+        share = (a + b) / (n + m)
+        return abs(a / n - b / m) <= url_templates.Z * (share * (1 - share) * (1 / n + 1 / m)) ** 0.5
+
+    own, other = known(ids), known(rest)
+    if bool(own) != bool(other) or own and not agree(sum(own), len(own), sum(other), len(other)):
+        return False
+    kind = lambda i: "" if len(segments[i]) <= level + 1 else segments[i][level + 1] if segments[i][level + 1][0] == "{" else "word"
+    return all(agree(sum(kind(i) == k for i in ids), len(ids), sum(kind(i) == k for i in rest), len(rest)) for k in ("", "{number}", "{hex}", "word"))
+
+
+def test_tree_against_plain_python(spark):
+    """Every template and purity of made hosts, deep paths and literals that look like wildcards among them."""
+    rng = random.Random(6)
+    rows = []
+    for i in range(900):
+        path = "/" + rng.choice(["a", "b", "c", "*", "{x}", "7", "deadbeef01"])
+        for _ in range(rng.choice([0, 1, 1, 2, 6])):
+            path += "/" + rng.choice(["p", "q", "12", "{number}", "page.html", "99.htm", "0123456789abcdef"])
+        label = None if rng.random() < 0.4 else int(rng.random() < (0.9 if path.startswith(("/b", "/*")) else 0.2))
+        rows.append((rng.choice(["h1", "h2", "", "h3"]), path if i % 30 else "", label))
+    df = spark.createDataFrame([(i, *r, "x") for i, r in enumerate(rows)], "page_id long, host string, path string, label int, _n string").repartition(3)
+    got = {r.page_id: (r.template, r.purity) for r in url_templates.path_templates(df).collect()}
+    want = tree_by_hand(rows)
+    assert len(got) == len(rows) and all(got[i][0] == t and abs(got[i][1] - p) < 1e-9 for i, (t, p) in enumerate(want))
+    assert any(t.count("/") > 5 for t, _ in want) and any("/*" in t for t, _ in want) and any("%2A" in t for t, _ in want)
+
+
+@pytest.mark.parametrize("sf", ["sf0.01", "sf0.1"])
+def test_judged_pages_against_plain_python(spark, sf):
+    """Every row of the query; the method gives verdicts of both kinds, and no constant purity, where no rule decides."""
+    rows = QUERIES["op4_url_templates"](spark, f"/root/testdata/{sf}").collect()
+    says = {h + p: int(v == "block") for h, p, v in url_templates.RULES}
+    want = tree_by_hand([(r.host, r.path, says.get(r.rule)) for r in rows])
+    for r, (template, purity) in zip(rows, want, strict=True):
+        assert r.template == template and abs(r.purity - purity) < 1e-9
+        assert r.verdict == ("block" if (says[r.rule] if r.rule else r.purity >= url_templates.REJECT) else "allow")
+    free = [r for r in rows if not r.rule]
+    assert len({round(r.purity, 4) for r in free}) > 5 and sum(r.verdict == "block" for r in free) < 0.2 * len(free)
+    assert {r.verdict for r in free} == {"allow", "block"} or sf == "sf0.01"
+
+
 @pytest.mark.parametrize("sections", [60, 90])
 def test_verdicts_do_not_depend_on_the_number_of_sections(spark, sections):
     urls = [f"http://example.com/de/{i}" for i in range(400)] + [f"http://example.com/s{k}/{i}" for k in range(sections) for i in range(2)]

@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 
 #: A key with more than this share of a table's rows is hot; there are fewer than its inverse of them.
 HOT_SHARE, HOT_SALTS = 1 / 512, 32
-#: Rows of a few numbers each that a join may broadcast, once counted.
-MOST_BROADCAST = 1 << 18
+#: Bytes of a table that a join may broadcast, once they are counted: 64 a row and those of its strings.
+MOST_BROADCAST = 1 << 24
 
 ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 _own_dir: str | None = None
@@ -123,12 +123,13 @@ def salted_join(big: DataFrame, small: DataFrame, key: str, hot: DataFrame, by:
 
 
 def lookup_join(big: DataFrame, small: DataFrame, key: str, n: str, by: str) -> DataFrame:
-    """``big`` joined to the stored table ``small`` of numbers, one row a key, whose column ``n`` counts its rows in ``big``.
+    """``big`` joined to the stored table ``small``, one row a key, whose column ``n`` counts its rows in ``big``.
 
-    ``small`` is counted: it is broadcast if it has at most MOST_BROADCAST rows, and else hot keys are salted.
+    The bytes of ``small`` are counted: it is broadcast up to MOST_BROADCAST of them; else the rows of hot keys are salted.
     """
-    rows, total = small.agg(F.count(F.lit(1)), F.sum(n)).first()
-    if rows <= MOST_BROADCAST:
+    strings = [F.length(f.name) for f in small.schema if f.dataType.simpleString() in ("string", "binary")]
+    rows, total, letters = small.agg(F.count(F.lit(1)), F.sum(n), F.sum(sum(strings, F.lit(0)))).first()
+    if 64 * rows + 4 * (letters or 0) <= MOST_BROADCAST:
         return big.join(F.broadcast(small), key)
     return salted_join(big, small, key, hot_keys(small, key, n, total), by)
 

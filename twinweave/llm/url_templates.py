@@ -1,12 +1,15 @@
 """URL filter: host and path rules first, then a path-template tree for each host.
 
-Level by level down to DEPTH path segments, a node is a host and a template of its first segments. Segments that look
-like numbers or long hex strings become wildcards by their shape. A branch with its own literal stays only while it
-differs from its siblings under the same node: siblings whose labelled rates and whose next segments' shapes agree within
-sampling error merge into one wildcard; how many siblings there are plays no part. The labels are the
-rules' verdicts on the URLs they cover. A template's purity is its labelled share of blocks, smoothed towards its
-parent's; the root's and those of literals that stayed apart from their siblings are smoothed towards PRIOR; templates at or above REJECT block the URLs without a rule. Only counts per node
-are shuffled, added up before the exchange, so a host with a third of all pages is a few rows a task.
+Level by level, down to the deepest path, a node is a host and a template of its first segments. Segments that look like
+numbers or long hex strings become wildcards by their shape. A branch with its own literal stays only while it differs
+from its siblings under the same node: siblings whose labelled rates and whose next segments' shapes agree within
+sampling error merge into one wildcard; how many siblings there are plays no part. The labels are the rules' verdicts on
+the URLs they cover. A template's purity is its labelled share of blocks, smoothed towards its parent's. The root's is
+smoothed towards PRIOR. A literal that stayed apart differs from its siblings, so its parent alone says little: it is
+smoothed towards a mean of its parent's purity, that of the same template on other hosts, and PRIOR, which counts twice.
+So URLs without a label of their own are blocked only where both the host and the template are bad elsewhere. Templates
+at or above REJECT block the URLs without a rule. Only counts per node are shuffled, added up before the exchange, so a
+host with a third of all pages is a few rows a task, and joins are salted where a node has most of the branches.
 """
 
 from __future__ import annotations
@@ -14,12 +17,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from twinweave.llm._common import materialise
+from twinweave.llm._common import lookup_join, materialise, private
 
 #: Host, path, verdict.
 RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
-DEPTH = 3
-STRENGTH, PRIOR, REJECT = 4.0, 0.2, 0.75
+STRENGTH, PRIOR, REJECT = 4.0, 0.2, 0.5
 #: Standard errors within which two rates agree.
 Z = 2.0
 SHAPES = ("end", "number", "hex", "word")
@@ -46,47 +48,86 @@ def matching_rule(host: Column, path: Column, rules=RULES) -> tuple[Column, Colu
 
 
 def _shape(segment: Column) -> Column:
-    """A wildcard for a variable segment, else the segment itself; empty past the end."""
+    """A wildcard for a variable segment, else the segment itself, escaped where it looks like a wildcard."""
     name = F.regexp_replace(segment, r"\.[A-Za-z0-9]{1,5}$", "")
-    return F.when(segment.isNull(), "").when(name.rlike("^[0-9]+$"), "{number}").when(name.rlike("^[0-9a-fA-F-]{8,}$") & name.rlike("[0-9]"), "{hex}").otherwise(segment)
+    literal = F.replace(F.replace(segment, F.lit("*"), F.lit("%2A")), F.lit("{"), F.lit("%7B"))
+    return F.when(name.rlike("^[0-9]+$"), "{number}").when(name.rlike("^[0-9a-fA-F-]{8,}$") & name.rlike("[0-9]"), "{hex}").otherwise(literal)
 
 
 def _shape_no(shape: Column) -> Column:
     return F.when(shape == "", 0).when(shape == "{number}", 1).when(shape == "{hex}", 2).otherwise(3)
 
 
+def _smoothed(blocked: Column, labelled: Column, prior: Column) -> Column:
+    return (blocked + STRENGTH * prior) / (labelled + STRENGTH)
+
+
 def path_templates(pages: DataFrame) -> DataFrame:
-    """``pages`` has host, path, label (1 block, 0 allow, null). Adds template and purity."""
-    segments = F.filter(F.split("path", "/"), lambda s: s != "")
-    rows = pages.withColumn("_seg", F.transform(segments, _shape)).withColumn("_node", F.lit("")).withColumn("_purity", F.lit(None).cast("double"))
-    rate = lambda blocked, labelled, prior: (blocked + STRENGTH * prior) / (labelled + STRENGTH)
-    root = rows.groupBy("host").agg(F.count("label").alias("_lab"), F.sum("label").alias("_blk"))
-    root = root.select("host", rate(F.coalesce("_blk", F.lit(0)), F.col("_lab"), F.lit(PRIOR)).alias("_up"))
-    nodes = rows.groupBy("host", F.slice("_seg", 1, DEPTH + 1).alias("_seg")).agg(F.count(F.lit(1)).alias("_n"), F.count("label").alias("_lab"), F.coalesce(F.sum("label"), F.lit(0)).alias("_blk"))
-    nodes = materialise(nodes.join(root, "host").withColumn("_node", F.lit("")).withColumn("_at", F.col("_seg")), "url-nodes")
-    for level in range(1, DEPTH + 1):
-        own = F.coalesce(F.try_element_at("_at", F.lit(level)), F.lit(""))
-        after = _shape_no(F.coalesce(F.try_element_at("_at", F.lit(level + 1)), F.lit("")))
-        nodes = nodes.withColumn("_branch", own)
-        branches = nodes.groupBy("host", "_node", "_branch").agg(F.first("_up").alias("_up"), F.sum("_n").alias("n"), F.sum("_lab").alias("lab"), F.sum("_blk").alias("blk"), *[F.sum(F.when(after == i, F.col("_n")).otherwise(0)).alias(f"s{i}") for i in range(len(SHAPES))])
-        # Wildcards and ends are no literals: they neither merge nor count as siblings.
-        literal = (F.col("_branch") != "") & ~F.col("_branch").startswith("{")
-        counts = ("n", "lab", "blk", *(f"s{i}" for i in range(len(SHAPES))))
-        totals = branches.where(literal).groupBy("host", "_node").agg(*[F.sum(c).alias(f"t_{c}") for c in counts])
-        branches = branches.join(totals, ["host", "_node"], "left")
-        branches = branches.withColumn("_keep", literal & ~_agrees(branches) | ~literal)
-        branches = materialise(branches.select("host", "_node", "_branch", "_up", "lab", "blk", F.when(F.col("_keep"), F.col("_branch")).otherwise("*").alias("_name")), "url-branches")
-        merged = branches.groupBy("host", "_node", "_name").agg(F.first("_up").alias("_p"), F.sum("lab").alias("_l"), F.sum("blk").alias("_b"))
-        # A literal that stayed differs from its siblings, so their common parent says nothing about it.
-        inherited = F.when((F.col("_name") == "*") | (F.col("_name") == "") | F.col("_name").startswith("{"), F.col("_p")).otherwise(PRIOR)
-        merged = merged.withColumn("_next_up", rate(F.col("_b"), F.col("_l"), inherited))
-        names = branches.select("host", "_node", "_branch", "_name").join(merged.select("host", "_node", "_name", "_next_up"), ["host", "_node", "_name"])
-        nodes = nodes.join(names, ["host", "_node", "_branch"]).withColumn("_up", F.when(F.col("_branch") == "", F.col("_up")).otherwise(F.col("_next_up")))
-        nodes = nodes.withColumn("_node", F.when(F.col("_branch") == "", F.col("_node")).otherwise(F.concat("_node", F.lit("/"), "_name"))).drop("_branch", "_name", "_next_up")
-        nodes = materialise(nodes, "url-nodes")
-    templates = nodes.select("host", "_seg", F.concat("_node", F.when(F.size("_seg") > DEPTH, "/**").otherwise("")).alias("template"), F.col("_up").alias("purity"))
-    keyed = rows.withColumn("_cut", F.slice("_seg", 1, DEPTH + 1)).drop("_seg", "_node", "_purity")
-    return keyed.join(templates.withColumnRenamed("_seg", "_cut"), ["host", "_cut"]).drop("_cut")
+    """``pages`` has host, path, label (1 block, 0 allow, null). Adds template and purity; other columns stay."""
+    (seg,) = private(pages, "_seg")
+    host = F.coalesce("host", F.lit(""))
+    segments = F.filter(F.split(F.coalesce("path", F.lit("")), "/"), lambda s: s != "")
+    rows = pages.withColumn(seg, F.concat_ws("/", F.transform(segments, _shape)))
+    paths = rows.groupBy(host.alias("host"), F.col(seg).alias("path")).agg(F.count(F.lit(1)).alias("n"), F.count("label").alias("lab"), F.coalesce(F.sum("label"), F.lit(0)).alias("blk"))
+    paths = materialise(paths, "url-paths")
+    root = paths.groupBy("host").agg(_smoothed(F.sum("blk"), F.sum("lab"), F.lit(PRIOR)).alias("up"), F.count(F.lit(1)).alias("of"))
+    # node is the template so far, ends marks paths that end at it.
+    nodes = lookup_join(paths, materialise(root, "url-hosts"), "host", "of", "path").drop("of")
+    nodes = materialise(nodes.withColumn("node", F.lit("")).withColumn("ends", F.col("path") == ""), "url-nodes")
+    done = []
+    level = 0
+    while True:
+        done.append(nodes.where("ends").select("host", "path", F.col("node").alias("template"), F.col("up").alias("purity")))
+        nodes = nodes.where("not ends").drop("ends")
+        if nodes.isEmpty():
+            break
+        level += 1
+        nodes = materialise(_descend(nodes, level), "url-nodes")
+    templates = done[0]
+    for more in done[1:]:
+        templates = templates.unionByName(more)
+    of = paths.select(F.concat("host", F.lit("\n"), "path").alias("_key"), "n")
+    templates = templates.select(F.concat("host", F.lit("\n"), "path").alias("_key"), "template", "purity").join(of, "_key")
+    templates = materialise(templates.select("_key", "template", "purity", "n"), "url-templates")
+    (key,) = private(rows, "_key")
+    keyed = rows.withColumn(key, F.concat(host, F.lit("\n"), seg)).drop(seg)
+    uid, n, template, purity = private(keyed, "_uid", "_n", "template", "purity")
+    joined = lookup_join(keyed.withColumn(uid, F.monotonically_increasing_id()), templates.toDF(key, template, purity, n), key, n, uid)
+    return joined.drop(key, uid, n)
+
+
+def _descend(nodes: DataFrame, level: int) -> DataFrame:
+    """The nodes one level down: node, up and ends of each path that goes on."""
+    part = lambda k: F.coalesce(F.try_element_at(F.split("path", "/"), F.lit(k)), F.lit(""))
+    after = _shape_no(part(level + 1))
+    nodes = nodes.withColumn("branch", part(level)).withColumn("key", F.concat("host", F.lit("\n"), "node"))
+    sums = [F.sum(F.when(after == i, F.col("n")).otherwise(0)).alias(f"s{i}") for i in range(len(SHAPES))]
+    branches = nodes.groupBy("key", "node", "branch").agg(F.first("up").alias("up"), F.sum("n").alias("n"), F.sum("lab").alias("lab"), F.sum("blk").alias("blk"), F.count(F.lit(1)).alias("paths"), *sums)
+    literal = ~F.col("branch").startswith("{")
+    branches = materialise(branches.withColumn("literal", literal), "url-branches")
+    # Wildcards are no literals: they neither merge nor count as siblings.
+    counts = ("n", "lab", "blk", *(f"s{i}" for i in range(len(SHAPES))))
+    totals = branches.groupBy("key").agg(*[F.sum(F.when(F.col("literal"), F.col(c)).otherwise(0)).alias(f"t_{c}") for c in counts], F.count(F.lit(1)).alias("of"))
+    judged = lookup_join(branches, materialise(totals, "url-totals"), "key", "of", "branch")
+    stays = ~F.col("literal") | ~_agrees(judged)
+    judged = judged.select("key", "node", "branch", "up", "lab", "blk", "paths", F.when(stays, F.col("branch")).otherwise("*").alias("name"), (F.col("literal") & stays).alias("apart"))
+    judged = materialise(judged, "url-judged")
+    merged = judged.groupBy("key", "node", "name", "apart").agg(F.first("up").alias("up"), F.sum("lab").alias("lab"), F.sum("blk").alias("blk"), F.count(F.lit(1)).alias("branches"))
+    merged = materialise(merged.withColumn("template", F.concat("node", F.lit("/"), "name")), "url-merged")
+    shared = merged.groupBy("template").agg(F.sum("lab").alias("all_lab"), F.sum("blk").alias("all_blk"), F.count(F.lit(1)).alias("of"))
+    merged = lookup_join(merged, materialise(shared, "url-shared"), "template", "of", "key")
+    elsewhere = _smoothed(F.col("all_blk") - F.col("blk"), F.col("all_lab") - F.col("lab"), F.lit(PRIOR))
+    prior = F.when(F.col("apart"), (F.col("up") + elsewhere + 2 * PRIOR) / 4).otherwise(F.col("up"))
+    merged = merged.select("key", "name", "template", "branches", _smoothed(F.col("blk"), F.col("lab"), prior).alias("purity"))
+    # Many branches of one node may be one wildcard.
+    merged = merged.withColumn("merged", F.concat("key", F.lit("/"), "name")).drop("key", "name")
+    merged = materialise(merged, "url-purities")
+    names = lookup_join(judged.select(F.concat("key", F.lit("/"), "name").alias("merged"), F.concat("key", F.lit("/"), "branch").alias("edge"), "paths"), merged, "merged", "branches", "edge")
+    names = materialise(names.select("edge", "template", "purity", "paths"), "url-names")
+    edges = nodes.select("host", "path", "n", "lab", "blk", F.concat("key", F.lit("/"), "branch").alias("edge"))
+    found = lookup_join(edges, names, "edge", "paths", "path")
+    ends = F.size(F.split("path", "/")) == level
+    return found.select("host", "path", "n", "lab", "blk", F.col("purity").alias("up"), F.col("template").alias("node"), ends.alias("ends"))
 
 
 def _agrees(branches: DataFrame) -> Column:
@@ -108,8 +149,9 @@ def _agrees(branches: DataFrame) -> Column:
 def judge_urls(pages: DataFrame, rules=RULES, reject: float = REJECT) -> DataFrame:
     """page_id, host, path, rule, verdict, template, purity for each row.
 
-    Null urls and urls without ``://`` have empty host and path and share one node. Repeated rows count and are judged
-    each for itself; other columns are not read; an empty table gives an empty table.
+    Null urls and urls without ``://`` have empty host and path and share one node. Long paths are judged to their last
+    segment, one round of counting a level. Repeated rows count and are judged each for itself; other columns are not
+    read; an empty table gives an empty table.
     """
     host, path = host_and_path(F.col("url"))
     rows = pages.select("page_id", host.alias("host"), path.alias("path"))
