@@ -22,22 +22,24 @@ from twinweave.llm.token_store import pieces_of
 from twinweave.llm.tokens import default_vocabulary
 
 SHARD_PIECES = 1024
+#: Pieces that come to the bins together, longest first.
+BATCH = 128
 
 
-def first_come(lengths: list[int], capacity: int) -> list[int]:
-    """A bin number for each length (1 to capacity), in the order given: the fullest bin that still has room."""
+def first_come(lengths: list[int], capacity: int, batch: int = BATCH) -> list[int]:
+    """A bin number for each length (1 to capacity): the fullest bin that still has room, batch by batch in the order given."""
     free: list[tuple[int, int]] = []
-    out, bins = [], 0
-    for x in lengths:
-        at = bisect_left(free, (x, -1))
-        if at < len(free):
-            space, b = free.pop(at)
-        else:
-            space, b = capacity, bins
-            bins += 1
-        if space > x:
-            insort(free, (space - x, b))
-        out.append(b)
+    out, bins = [0] * len(lengths), 0
+    for begin in range(0, len(lengths), batch):
+        for i in sorted(range(begin, min(begin + batch, len(lengths))), key=lambda i: -lengths[i]):
+            at = bisect_left(free, (lengths[i], -1))
+            if at < len(free):
+                space, out[i] = free.pop(at)
+            else:
+                space, out[i] = capacity, bins
+                bins += 1
+            if space > lengths[i]:
+                insort(free, (space - lengths[i], out[i]))
     return out
 
 
@@ -85,15 +87,18 @@ class _Search:
             alive = (self.bin[self.i] == self.home) & (self.bin[self.j] == self.home) & ~np.isin(self.home, np.unique(new[:, 2]))
             self.i, self.j, self.home = (np.concatenate([old[alive], new[:, k]]) for k, old in enumerate((self.i, self.j, self.home)))
 
-    def _best(self, gain, home, donor: int, least: int) -> int:
-        """The candidate of most gain above ``least`` that fits its bin and leaves it fuller than the donor was; -1 if none."""
+    def _best(self, size, sums, home, donor: int, least: int) -> tuple[int, int, int]:
+        """Gain, item and candidate of the most gain above ``least`` for items of ``size`` against candidates of ``sums`` in
+        their bins, where the candidate's bin has room and ends fuller than the donor was; item -1 if there is none."""
         import numpy as np
 
         room = self.free[home]
-        fits = (gain > least) & (gain <= room) & (room - gain < self.free[donor]) & (home != donor)
-        if not fits.any():
-            return -1
-        return int(np.where(fits, gain, -1).argmax())
+        gain = size[:, None] - sums[None, :]
+        fits = (gain <= room) & (gain > np.maximum(least, room - self.free[donor]))
+        gain = np.where(fits, gain, 0)
+        at = int(gain.argmax())
+        item, k = divmod(at, len(sums)) if len(sums) else (0, 0)
+        return (int(gain[item, k]), item, k) if gain.size and gain[item, k] > 0 else (least, -1, -1)
 
     def _place(self, item: int, b: int) -> None:
         old = int(self.bin[item])
@@ -110,36 +115,31 @@ class _Search:
         """The move, or else the exchange, that takes most out of the donor."""
         import numpy as np
 
-        items = sorted(self.items[donor], key=lambda i: (-self.n[i], i))
-        for item in items:
-            size = self.n[item]
-            roomy = np.flatnonzero((self.free >= size) & (self.free < self.capacity) & (self.free - size < self.free[donor]))
-            roomy = roomy[roomy != donor]
-            if len(roomy):
-                self._place(item, int(roomy[self.free[roomy].argmin()]))
-                return True
-        best: tuple[int, int, tuple[int, ...]] | None = None
+        # Pieces of one length stand for each other, so there are few to try however full of small ones the donor is.
+        size, first = np.unique(-self.n[self.items[donor]], return_index=True)
+        size, items = -size, [self.items[donor][k] for k in first]
+        open_ = np.flatnonzero((self.free > 0) & (self.free < self.capacity))
+        room = self.free[open_]
+        roomy = (room[None, :] >= size[:, None]) & (room[None, :] - size[:, None] < self.free[donor]) & (open_ != donor)[None, :]
+        if roomy.any():
+            item = int(roomy.any(axis=1).argmax())
+            self._place(items[item], int(open_[np.where(roomy[item], room, self.capacity).argmin()]))
+            return True
         home = self.bin[self.single]
-        for item in items:
-            gain = self.n[item] - self.n[self.single]
-            at = self._best(gain, home, donor, best[0] if best else 0)
-            if at >= 0:
-                best = (int(gain[at]), item, (int(self.single[at]),))
+        away = self.single[(home != donor) & (self.free[home] > 0)]
+        gain, item, k = self._best(size, self.n[away], self.bin[away], donor, 0)
+        back = (int(away[k]),) if item >= 0 else ()
         self._add_pairs()
-        if len(self.i):
-            both = self.n[self.i] + self.n[self.j]
-            alive = (self.bin[self.i] == self.home) & (self.bin[self.j] == self.home)
-            for item in items:
-                gain = np.where(alive, self.n[item] - both, -1)
-                at = self._best(gain, self.home, donor, best[0] if best else 0)
-                if at >= 0:
-                    best = (int(gain[at]), item, (int(self.i[at]), int(self.j[at])))
-        if best is None:
+        two = np.flatnonzero((self.bin[self.i] == self.home) & (self.bin[self.j] == self.home) & (self.home != donor) & (self.free[self.home] > 0))
+        _, other, k = self._best(size, self.n[self.i[two]] + self.n[self.j[two]], self.home[two], donor, gain)
+        if other >= 0:
+            item, back = other, (int(self.i[two[k]]), int(self.j[two[k]]))
+        if item < 0:
             return False
-        target = int(self.bin[best[2][0]])
-        for piece in best[2]:
+        target = int(self.bin[back[0]])
+        for piece in back:
             self._place(piece, donor)
-        self._place(best[1], target)
+        self._place(items[item], target)
         return True
 
     def run(self, least: int) -> None:
@@ -247,8 +247,8 @@ def pack_pieces(pieces: DataFrame, capacity: int = 2048, shard_pieces: int = SHA
         under = packed.where(F.col("fill") < capacity)
         first = (F.col("offset") == 0).cast("long")
         after, open_bins, open_pieces = packed.agg(F.sum(first), F.sum(F.when(F.col("fill") < capacity, first)), F.count(F.when(F.col("fill") < capacity, 1))).first()
-        # Shards that empty less than a bin for two of them, and fill few, have no more to give, as with pieces just over half a sequence.
-        if not open_pieces or bins is not None and 2 * (bins - after) < shards and 2 * open_pieces > left:
+        # Shards that empty less than a bin each, and fill few, have little more to give, as with pieces just over half a sequence.
+        if not open_pieces or bins is not None and bins - after < shards and 2 * open_pieces > left:
             break
         done.append(packed.where(F.col("fill") == capacity).select(columns))
         left, bins = open_pieces, open_bins

@@ -12,7 +12,7 @@ import re
 import struct
 from collections.abc import Iterable
 
-_MAX_WORDS = 450_000
+_MAX_WORDS = 800_000
 _SPACES = str.maketrans("\t\n\r", "   ")
 #: Characters at which str.split() parts words, though the pre-tokenizer may keep them.
 _UNSURE = "\x0b\x0c\x1c\x1d\x1e\x1f\x85"
