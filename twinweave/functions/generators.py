@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import difflib
 import random
+import re
+import string
 import unicodedata
 
 import pandas as pd
@@ -11,11 +13,37 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from twinweave.functions.text import is_plausible_name  # noqa: F401
+from twinweave.functions.text import FILLERS
 
 #: Short forms.
 SHORT = {"street": "st", "saint": "st", "doctor": "dr", "company": "co", "incorporated": "inc", "university": "univ", "department": "dept"}
-KEYS = {"a": "qs", "e": "wr", "i": "uo", "o": "ip", "u": "yi", "s": "ad", "t": "ry", "n": "bm", "r": "et", "l": "k"}
+SIMILAR = {
+    "a": ("a", "e", "o"),
+    "e": ("e", "a", "i"),
+    "i": ("i", "e", "y"),
+    "o": ("o", "a", "u"),
+    "u": ("u", "o", "v"),
+    "b": ("b", "p", "d"),
+    "p": ("p", "b"),
+    "d": ("d", "b", "t"),
+    "t": ("t", "d"),
+    "g": ("g", "j", "q"),
+    "j": ("j", "g"),
+    "c": ("c", "k", "s"),
+    "k": ("k", "c"),
+    "s": ("s", "c", "z"),
+    "z": ("z", "s"),
+    "n": ("n", "m"),
+    "m": ("m", "n"),
+    "w": ("w", "v"),
+    "v": ("v", "w", "u"),
+    "f": ("f", "v", "ph"),
+    "l": ("l", "r"),
+    "r": ("r", "l"),
+}
+
+
+KEPT = string.whitespace + string.punctuation
 
 
 @F.pandas_udf(T.StringType())
@@ -64,24 +92,35 @@ def variation(values: pd.Series, keys: pd.Series) -> pd.Series:
     return pd.Series([None if v is None else _vary(v, random.Random(k)) for v, k in zip(values, keys, strict=True)])
 
 
+def _similar(c: str, rng: random.Random) -> str:
+    """A character that is taken for ``c``, in its case."""
+    found = rng.choice(SIMILAR.get(c.lower(), (c.lower(),)))
+    return found.upper() if c.isupper() else found
+
+
 def _noise(value: str, rng: random.Random, rate: float) -> str:
-    out = []
-    for c in value:
-        if not c.isalnum() or rng.random() >= rate:
+    """Texts of under three characters, white space and punctuation stay."""
+    if len(value) < 3:
+        return value
+    out, at = [], 0
+    while at < len(value):
+        c, after = value[at], value[at + 1 : at + 2]
+        at += 1
+        kind = rng.choice(("substitute", "swap", "delete", "insert")) if c not in KEPT and rng.random() < rate else ""
+        if kind == "substitute" and c.isalpha():
+            out.append(_similar(c, rng))
+        elif kind == "swap" and after.isalpha():
+            out.append(after + c)
+            at += 1
+        elif kind == "insert":
+            out.append(c + (_similar(c, rng) if c.isalpha() else c))
+        elif kind != "delete":
             out.append(c)
-            continue
-        kind = rng.randrange(4)
-        if kind == 1:
-            out.append(rng.choice(KEYS.get(c.lower(), c)))
-        elif kind == 2:
-            out.extend((c, c))
-        elif kind == 3 and out:
-            out.insert(len(out) - 1, c)
     return "".join(out)
 
 
 def noise(value: Column, key: Column, rate: float = 0.1) -> Column:
-    """Deletes, replaces by a keyboard neighbour, doubles or swaps characters at ``rate``."""
+    """Replaces by a similar character, swaps, deletes or inserts characters at ``rate``."""
     @F.pandas_udf(T.StringType())
     def run(values: pd.Series, keys: pd.Series) -> pd.Series:
         return pd.Series([None if v is None else _noise(v, random.Random(k), rate) for v, k in zip(values, keys, strict=True)])
@@ -129,61 +168,188 @@ def eda_variants(value: Column, key: Column, alpha: float = 0.1, count: int = 4,
     return run(value, key)
 
 
-def _word_kind(word: str, others: set[str]) -> float:
+#: Endings that are no variation, short forms without a vowel, words that only a prompt has.
+LAZY_SUFFIXES = ("jr", "jr.", "sr", "sr.", "ii", "iii", "iv")
+VOICELESS = ("jr", "sr", "mr", "dr", "st", "nd", "rd", "th")
+PROMPT_WORDS = ("rewrite", "paraphrase")
+SHORT_WORDS = 5
+
+
+def _alike(a: str, b: str) -> float:
+    return difflib.SequenceMatcher(None, a.lower(), b.lower()).ratio()
+
+
+def _words(text: str) -> list[str]:
+    return re.findall(r"\w+", text.lower())
+
+
+def is_lazy_suffix(given: str, made: str) -> bool:
+    """The given words and one ending that is no variation."""
+    x, y = given.lower().split(), made.lower().split()
+    return len(y) == len(x) + 1 and y[:-1] == x and y[-1] in LAZY_SUFFIXES
+
+
+def unpronounceable(text: str) -> int:
+    """Words of three letters or more without a vowel, y among the vowels."""
+    return sum(len(w) > 2 and w not in VOICELESS and not set("aeiouy") & set(w) for w in _words(text))
+
+
+def is_abbreviation(short: str, full: str) -> bool:
+    starts = full.lower().startswith(short.lower())
+    return starts and (len(short) == 1 or len(short) <= 3 < len(full))
+
+
+def is_char_swap(a: str, b: str) -> bool:
+    """Two neighbouring characters have changed places, and that is all."""
+    a, b = a.lower(), b.lower()
+    differ = [i for i, pair in enumerate(zip(a, b, strict=False)) if pair[0] != pair[1]]
+    if len(a) != len(b) or len(differ) != 2 or differ[1] != differ[0] + 1:
+        return False
+    i, j = differ
+    return a[i] == b[j] and a[j] == b[i]
+
+
+def char_swaps(made: str, given: str) -> int:
+    """Words that are a swap of the given word in their place; none if a word is another one altogether."""
+    x, y = given.lower().split(), made.lower().split()
+    changed = [(p, q) for p, q in zip(x, y, strict=False) if p != q]
+    swapped = [is_char_swap(p, q) for p, q in changed]
+    if len(x) != len(y) or any(not ok and _alike(q, p) < 0.7 for ok, (p, q) in zip(swapped, changed, strict=True)):
+        return 0
+    return sum(swapped)
+
+
+def connection(word: str, others: set[str]) -> float:
+    """1 for a word of ``others``, 0.7 for an abbreviation of one, the best similarity from 0.5 on, else 0."""
     if word in others:
         return 1.0
-    if any(o.startswith(word.rstrip(".")) or word.startswith(o.rstrip(".")) for o in others if len(o.rstrip(".")) > 0 and len(word.rstrip(".")) > 0):
+    if any(is_abbreviation(word, o) for o in others):
         return 0.7
-    best = max((difflib.SequenceMatcher(None, word, o).ratio() for o in others), default=0.0)
+    best = max((_alike(word, o) for o in others if len(o) > 1), default=0.0)
     return best if best >= 0.5 else 0.0
 
 
-def _short_score(a: str, b: str) -> tuple[float, str]:
-    x, y = a.lower().split(), b.lower().split()
-    if not y or any(ord(c) < 32 for c in b):
+def _every_word_new(x: list[str], y: list[str]) -> bool:
+    """No given word is in its place any more, and none was only dropped; one word is not enough."""
+    return len(y) >= len(x) and len(y) >= 2 and all(p != q for p, q in zip(x, y, strict=False))
+
+
+def _connected(words: set[str], first: set[str], second: set[str]) -> tuple[bool, bool]:
+    """Whether any word comes from the first and from the second text; a word about as close to both comes from both."""
+    sides = [False, False]
+    for word in words:
+        near = connection(word, first), connection(word, second)
+        top = max(near)
+        for k in (0, 1):
+            sides[k] |= near[k] > 0.4 and (near[k] == top and near[1 - k] != top or top - near[k] < 0.15)
+    return sides[0], sides[1]
+
+
+def _short_score(given: str, made: str, other: str) -> tuple[float, str]:
+    g, m, o = (t.strip().lower() for t in (given, made, other))
+    if len(re.findall("u00[a-f0-9]{2}", m)) >= 2:
         return 0.05, "garbage"
-    if not any(c in "aeiouy0123456789" for c in b.lower()):
+    if unpronounceable(m):
         return 0.0, "unpronounceable"
-    if x == y:
+    if m in (g, o):
         return 0.0, "identity"
-    if len(y) == len(x) and any(q != p and q.startswith(p) and len(q) - len(p) <= 2 for p, q in zip(x, y, strict=True)):
+    if is_lazy_suffix(g, m):
         return 0.1, "lazy suffix"
-    if set(y) < set(x):
+    x, y = g.split(), m.split()
+    if len(y) < len(x) and set(y) <= set(x):
         return 0.15, "removal"
-    if sorted(x) == sorted(y):
-        return 0.15, "shuffle"
-    kinds = [_word_kind(w, set(x)) for w in y]
-    if all(0.5 <= k < 1 for k in kinds):
+    if _every_word_new(x, y):
         return 1.0, "all modified"
-    if difflib.SequenceMatcher(None, a.lower(), b.lower()).ratio() > 0.95:
+    swaps = max(char_swaps(m, g), char_swaps(m, o) if o else 0)
+    if swaps:
+        return (0.7 if len(y) == 1 else 1.0 if swaps >= len(y) else round(0.2 + 0.4 * swaps / len(y), 2)), "swap"
+    if max(_alike(m, g), _alike(m, o) if o else 0.0) > 0.9:
         return 0.2, "near copy"
-    if any(0 < k < 1 for k in kinds):
-        return (0.8 if len(y) > 2 else 0.7), "partial"
-    return (1.0, "mix") if any(kinds) else (0.1, "garbage")
+    new, first, second = set(_words(m)), set(_words(g)), set(_words(o))
+    added, lost = new - first - second, (first | second) - new
+    if added and added <= set(FILLERS) and not lost:
+        return 0.15, "filler"
+    if lost and added <= set(FILLERS):
+        return 0.15, "removal and filler"
+    if len(new) > 1 and not added:
+        return 0.15, "shuffle"
+    from_first, from_second = _connected(new, first, second)
+    same = bool(o) and g == o
+    if from_first and from_second and not same:
+        return 1.0, "mix"
+    if from_first or from_second:
+        return (0.8 if same else 0.7), "partial"
+    return 0.1, "garbage"
+
+
+def _meaning(a: str, b: str) -> float:
+    """Stands for a sentence model: common words by the larger number of distinct words."""
+    x, y = set(_words(a)), set(_words(b))
+    return len(x & y) / max(len(x), len(y)) if x and y else 0.0
+
+
+def _long_score(given: str, made: str, other: str) -> tuple[float, str]:
+    m, texts = made.strip(), [t.strip() for t in (given, other) if t.strip()]
+    if len(re.findall("u00[a-f0-9]{2}", m.lower())) >= 2:
+        return 0.05, "garbage"
+    letters = max(_alike(m, t) for t in texts)
+    if letters > 0.9:
+        return (0.0, "identity") if letters > 0.95 else (0.2, "near copy")
+    meaning = max(_meaning(m, t) for t in texts)
+    if meaning > 0.75:
+        return (1.0, "rephrase") if letters < 0.7 else (0.6, "similar")
+    bands = ((0.5, 0.7, "partial"), (0.3, 0.4, "weak"))
+    return next(((score, why) for above, score, why in bands if meaning > above), (0.1, "garbage"))
+
+
+def score_text(given: str | None, made: str | None, other: str | None = None) -> tuple[float, str]:
+    """(score, reason) of a made text against the given one and, where there is one, the text of the other side."""
+    given, made, other = given or "", made or "", other or ""
+    if len(made.strip()) < 2:
+        return -1.0, "empty"
+    if any(w in made.lower() for w in PROMPT_WORDS):
+        return -1.0, "leaked"
+    if len(_words(given)) <= SHORT_WORDS:
+        return _short_score(given, made, other)
+    return _long_score(given, made, other)
+
+
+def _shared(a: str, b: str) -> set[str]:
+    """Words of both texts, and words of the first that resemble one of the second."""
+    x, y = set(_words(a)), set(_words(b))
+    both = x & y
+    return both | {w for w in x - both if any(_alike(w, v) > 0.7 for v in y - both)}
+
+
+def coherence(in_a: str, in_b: str, out_a: str, out_b: str) -> float:
+    """0.15, up to 0.3, for each shared word varied alike on both sides; 0.1 if shared words stayed; else 0."""
+    given, made = _shared(in_a, in_b), _shared(out_a, out_b)
+    varied = sum(0.5 < _alike(m, g) < 0.95 for m in made for g in given)
+    return min(0.3, 0.15 * varied) if varied else 0.1 if given & made else 0.0
 
 
 SCORE = T.StructType([T.StructField("score", T.DoubleType()), T.StructField("reason", T.StringType())])
 
 
 @F.pandas_udf(SCORE)
-def creativity_score(source: pd.Series, target: pd.Series) -> pd.DataFrame:
-    """struct(score, reason): ordered rules for short texts; word overlap, best in the middle, for texts of over five words;
-    -1 for empty or leaked targets."""
-    rows = []
-    for a, b in zip(source, target, strict=True):
-        if not a or not b or "<" in b:
-            rows.append((-1.0, "empty or leaked"))
-        elif len(b.split()) <= 5:
-            rows.append(_short_score(a, b))
-        else:
-            x, y = set(a.lower().split()), set(b.lower().split())
-            share = len(x & y) / max(1, len(x | y))
-            rows.append((round(1 - abs(share - 0.6) / 0.6, 6) if share < 1 else 0.0, "overlap"))
-    return pd.DataFrame(rows, columns=["score", "reason"])
-
-
-def pair_score(source_score: Column, target_score: Column) -> Column:
-    """Mean of both scores, with a bonus that fills what is missing: 0.15 for each good side, at most 0.3."""
-    base = (source_score + target_score) / 2
-    good = F.when(source_score >= 0.7, 1).otherwise(0) + F.when(target_score >= 0.7, 1).otherwise(0)
-    return F.when((source_score < 0) | (target_score < 0), -1.0).otherwise(base + (1 - base) * F.least(F.lit(0.3), 0.15 * good))
+def _scores(source: pd.Series, target: pd.Series, other: pd.Series) -> pd.DataFrame:
+    rows = [score_text(*x) for x in zip(source, target, other, strict=True)]
+    return pd.DataFrame(rows, columns=["score", "reason"]).astype({"score": "float64"})
+
+
+def creativity_score(source: Column | str, target: Column | str, other: Column | str | None = None) -> Column:
+    """struct(score, reason): ordered rules for given texts of up to five words, bands of letters and words for longer ones,
+    -1 for empty or leaked targets; ``other`` is the text of the other side, if there is one."""
+    return _scores(source, target, F.lit("") if other is None else other)
+
+
+@F.pandas_udf(T.DoubleType())
+def pair_score(in_a: pd.Series, in_b: pd.Series, out_a: pd.Series, out_b: pd.Series) -> pd.Series:
+    """Mean of both sides' scores, a failed side as 0; bonuses for coherence and for two good sides fill what is missing to 1."""
+    out = []
+    for a, b, x, y in zip(*(s.fillna("") for s in (in_a, in_b, out_a, out_b)), strict=True):
+        sides = [max(0.0, score_text(a, x, b)[0]), max(0.0, score_text(b, y, a)[0])]
+        base = sum(sides) / 2
+        bonus = coherence(a, b, x, y) + (0.1 if min(sides) >= 0.6 else 0.0)
+        out.append(min(1.0, base + bonus * (1 - base)))
+    return pd.Series(out, dtype="float64")

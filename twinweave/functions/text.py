@@ -5,11 +5,32 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Fixed values.
-FILLERS = ("the", "a", "an", "of", "in", "on", "at", "to", "for", "and", "or", "is", "was")
-STOPWORDS = ("the", "a", "an", "of", "in", "on", "at", "to", "for", "and", "or", "is", "was", "by", "with", "from")
-NAME_KEYWORDS, DATE_KEYWORDS, NUMBER_KEYWORDS = "name|label|title|alias", "date|time|year|birth|death", "count|number|age|population|area|height|weight|balance"
-PLACE_KEYWORDS, TEXT_KEYWORDS, ID_KEYWORDS = "place|city|country|location|address", "description|abstract|comment|summary", "id$|identifier|code|isbn"
+#: Words that carry no content, words to skip in scores, and what names a kind of attribute.
+FILLERS = ("the", "a", "an", "and", "or", "of", "to", "in", "on", "at", "by", "for")
+STOPWORDS = ("a", "an", "the", "in", "on", "at", "to", "of", "and", "or", "is", "are", "was", "were", "be", "been", "by")
+TYPE_KEYWORDS = {
+    "name": ("name", "label", "title", "username"),
+    "date": ("date", "time", "year", "birth", "death", "founded"),
+    "number": ("age", "count", "population", "height", "weight", "score"),
+    "location": ("location", "place", "city", "country", "address"),
+    "description": ("description", "comment", "bio", "summary", "abstract"),
+    "identifier": ("id", "uri", "url", "code", "isbn"),
+}
+NAME_KEYWORDS = "|".join(TYPE_KEYWORDS["name"])
+LONG_TEXT_KEYWORDS = ("comment", "description", "bio", "biography", "summary", "abstract", "note", "text", "content", "article", "review")
+INVARIANT_VALUES = ("yes", "no", "true", "false", "none", "null", "n/a", "na", "unknown")
+MONTHS = ("january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december", "jan", "feb", "mar", "apr", "jun", "jul", "aug", "sep", "oct", "nov", "dec")
+IMPOSSIBLE_STARTS = (
+    "sn", "sr", "sb", "sd", "sf", "sg", "sv", "sz", "nm", "ng", "nr", "nl", "nb", "nd", "mr", "ml", "mn", "mt", "md", "lr", "lm", "ln", "lt", "ld", "lk",
+    "tn", "tm", "tk", "tp", "tb", "td", "pn", "pm", "pk", "pb", "pd", "bn", "bm", "bk", "bp", "bd", "dn", "dm", "dk", "dp", "db",
+)
+ABBREVIATIONS = ("Dr", "Mr", "Mrs", "Ms", "Inc", "Ltd", "Sr", "Jr", "etc")
+GARBAGE = r"(?i)u00[a-f0-9]{2}|&#x[a-f0-9]{2,4};|&#[0-9]{2,4};|%[a-f0-9]{2}"
+
+
+def stripped(value: Column) -> Column:
+    """Without white space at both ends."""
+    return F.regexp_replace(value, r"^\s+|\s+$", "")
 
 
 def tokens(value: Column) -> Column:
@@ -17,14 +38,21 @@ def tokens(value: Column) -> Column:
     return F.filter(F.split(F.lower(value), r"\s+"), lambda w: w != "")
 
 
+def repaired(value: Column) -> Column:
+    """``u00e9`` and ``\\u00e9`` as the characters they mean."""
+    bits = F.split(value, r"\\?u(?=00[0-9a-fA-F]{2})", -1)
+    code = lambda x: F.char(F.conv(F.substring(x, 3, 2), 16, 10).cast("long"))
+    rest = F.transform(F.slice(bits, 2, F.greatest(F.lit(1), F.size(bits))), lambda x: F.concat(code(x), F.substring(x, F.lit(5), F.length(x))))
+    return F.when(value.contains("u00"), F.concat(F.get(bits, F.lit(0)), F.array_join(rest, ""))).otherwise(value)
+
+
 def simple_clean(value: Column) -> Column:
-    """Without links, doubled spaces, odd characters, immediately repeated words and single letters at the ends."""
-    v = F.regexp_replace(value, r"http\S+", "")
-    v = F.regexp_replace(v, r"[^A-Za-z0-9_\s.\-']", "")
-    v = F.regexp_replace(v, r"\s+", " ")
-    words = F.filter(F.split(v, " "), lambda w: (w != "") & ((F.length(w) > 1) | ~w.rlike("[A-Za-z]")))
-    once = F.filter(F.transform(words, lambda w, i: F.struct(w.alias("w"), i.alias("i"))), lambda x: (x["i"] == 0) | (F.get(words, x["i"] - 1) != x["w"]))
-    return F.regexp_replace(F.array_join(F.transform(once, lambda x: x["w"]), " "), r"^[ .\-]+|[ .\-]+$", "")
+    """Repaired, without links, odd characters, immediately repeated words, single letters, and spaces, dots and dashes at the ends."""
+    v = F.regexp_replace(repaired(value), r"http\S+", "")
+    v = F.regexp_replace(F.regexp_replace(v, r"\s+", " "), r"[^\p{L}\p{N}_\s.\-']", " ")
+    v = F.regexp_replace(v, r"(?iU)\b(\w+)( \1\b)+", "$1")
+    v = F.regexp_replace(v, r"(?U)\b[A-Za-z]\b", "")
+    return F.regexp_replace(F.regexp_replace(v, r"\s+", " "), r"^[ .\-]+|[ .\-]+$", "")
 
 
 def expand_predicate(name: Column, labels: Column | None = None) -> Column:
@@ -43,8 +71,10 @@ def levenshtein_ratio(a: Column, b: Column) -> Column:
 def grams(value: Column, n: int = 3) -> Column:
     """Distinct character n-grams of the lower-cased value with a space on each side."""
     padded = F.concat(F.lit(" "), F.lower(value), F.lit(" "))
-    starts = F.sequence(F.lit(1), F.greatest(F.length(padded) - (n - 1), F.lit(1)))
-    return F.array_distinct(F.transform(starts, lambda i: F.substring(padded, i, F.lit(n))))
+    # A one-element transform names the characters, so that they are split once and each gram takes constant time.
+    cut = lambda chars: F.transform(F.sequence(F.lit(0), F.size(chars) - n), lambda i: F.concat(*[F.get(chars, i + k) for k in range(n)]))
+    every = F.flatten(F.transform(F.array(F.split(padded, "")), lambda chars: F.when(F.size(chars) < n, F.array(F.array_join(chars, ""))).otherwise(cut(chars))))
+    return F.array_distinct(every)
 
 
 def jaccard(a: Column, b: Column) -> Column:
@@ -65,34 +95,48 @@ def token_jaccard(a: Column, b: Column) -> Column:
     return jaccard(content_words(a), content_words(b))
 
 
-def token_overlap(a: Column, b: Column) -> Column:
-    """Common words by the smaller number of distinct words."""
-    x, y = F.array_distinct(tokens(a)), F.array_distinct(tokens(b))
-    least = F.least(F.size(x), F.size(y))
-    return F.when(least == 0, 0.0).otherwise(F.size(F.array_intersect(x, y)) / least)
+def token_overlap(given: Column, made: Column) -> Column:
+    """Share of the made text's words, repeats counted, that the given one has; stop words count on neither side."""
+    stop = F.array(*map(F.lit, STOPWORDS))
+    words = F.filter(tokens(made), lambda w: ~F.array_contains(stop, w))
+    known = F.array_distinct(tokens(given))
+    return F.when(F.size(words) == 0, 0.0).otherwise(F.size(F.filter(words, lambda w: F.array_contains(known, w))) / F.size(words))
+
+
+def prompted(value: Column) -> Column:
+    """What follows the first ``: ``, or the whole value."""
+    return stripped(F.when(value.contains(": "), F.substring(value, F.instr(value, ": ") + 2, F.length(value))).otherwise(value))
 
 
 def is_token_swap(a: Column, b: Column) -> Column:
     """Same words in another order or number of repeats."""
     key = lambda c: F.array_sort(F.array_distinct(tokens(c)))
-    return (F.lower(a) != F.lower(b)) & (key(a) == key(b))
+    return (F.lower(prompted(a)) != F.lower(stripped(b))) & (key(prompted(a)) == key(b))
 
 
 def differs_by_fillers(a: Column, b: Column) -> Column:
     fillers = F.array(*map(F.lit, FILLERS))
     rest = lambda c: F.filter(tokens(c), lambda w: ~F.array_contains(fillers, w))
-    return (F.lower(a) != F.lower(b)) & (rest(a) == rest(b))
+    return (F.lower(prompted(a)) != F.lower(stripped(b))) & (rest(prompted(a)) == rest(b))
+
+
+def is_garbage(value: Column) -> Column:
+    """Has remains of escapes of any kind."""
+    return value.rlike(GARBAGE)
 
 
 def keeps_training_row(source: Column, target: Column, least_ratio: float = 0.1) -> Column:
     """Neither garbage, nor a swap, nor a filler difference, nor a pair with hardly an edit in common."""
-    garbage = lambda c: c.rlike(r"\\u[0-9a-fA-F]{4}|u00[0-9a-fA-F]{2}")
-    return ~garbage(source) & ~garbage(target) & ~is_token_swap(source, target) & ~differs_by_fillers(source, target) & ((source == target) | (levenshtein_ratio(source, target) >= least_ratio))
+    return ~is_garbage(source) & ~is_garbage(target) & ~is_token_swap(source, target) & ~differs_by_fillers(source, target) & ((source == target) | (levenshtein_ratio(source, target) >= least_ratio))
 
 
 def value_type(value: Column) -> Column:
-    """date, number, id or text."""
-    return F.when(value.rlike(r"^[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}|^[0-9]{1,2}[/.][0-9]{1,2}[/.][0-9]{2,4}"), "date").when(F.regexp_replace(value, "[, ]", "").rlike(r"^-?[0-9]+(\.[0-9]+)?$"), "number").when(value.rlike("^[A-Z]{1,5}[0-9#-]+[A-Z0-9#-]*$"), "id").otherwise("text")
+    """date (parts by dash or slash, one a number of four digits or more), number, id (short, with a digit) or text."""
+    parts = F.split(F.replace(value, F.lit("/"), F.lit("-")), "-")
+    date = (F.size(parts) >= 2) & F.exists(parts, lambda x: x.rlike("^[0-9]{4,}$"))
+    number = F.replace(value, F.lit(","), F.lit("")).rlike(r"^\s*[+-]?(([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?|(?i)(nan|inf|infinity))\s*$")
+    code = (F.length(value) < 20) & ~value.contains(" ") & value.rlike("[0-9]")
+    return F.when(value == "", "unknown").when(date, "date").when(number, "number").when(code, "id").otherwise("text")
 
 
 def first_number(value: Column) -> Column:
@@ -101,25 +145,29 @@ def first_number(value: Column) -> Column:
 
 def attribute_type(predicate: Column, value: Column) -> Column:
     """By keywords of the predicate, then by the value."""
-    p = F.lower(predicate)
-    rules = ((NAME_KEYWORDS, "name"), (DATE_KEYWORDS, "date"), (NUMBER_KEYWORDS, "number"), (PLACE_KEYWORDS, "location"), (TEXT_KEYWORDS, "description"), (ID_KEYWORDS, "identifier"))
-    found = F.when(p.rlike(rules[0][0]), rules[0][1])
-    for words, kind in rules[1:]:
-        found = found.when(p.rlike(words), kind)
-    by_value = F.when(value.rlike(r"^-?[0-9]+(\.[0-9]+)?$"), "number").when(value.rlike("[0-9]{4}-[0-9]{2}-[0-9]{2}"), "date").otherwise("other")
-    return F.coalesce(found, by_value)
+    has = {kind: F.lower(predicate).rlike("|".join(words)) for kind, words in TYPE_KEYWORDS.items()}
+    found = F.when(has["name"], "name")
+    for kind in list(has)[1:]:
+        found = found.when(has[kind], kind)
+    found = found.when(F.translate(value, "-/:", "").rlike("^[0-9]+$"), "date").when(F.translate(value, ".,", "").rlike("^[0-9]+$"), "number")
+    return found.when(F.size(tokens(value)) > 10, "description").otherwise("other")
 
 
 def content_type(value: Column) -> Column:
-    """invariant, numeric, short (three words at most) or long."""
-    v = F.trim(value)
-    return F.when((v == "") | v.rlike("^(http|www)|@"), "invariant").when(v.rlike(r"^[0-9\s.,/-]+$"), "numeric").when(F.size(tokens(v)) <= 3, "short").otherwise("long")
+    """invariant (constants), numeric (dates, numbers, codes, links, addresses), short (three words at most) or long."""
+    v = stripped(value)
+    words = tokens(v)
+    dated = F.exists(words, lambda w: w.isin(*MONTHS)) & F.exists(words, lambda w: w.rlike("^[0-9]{4}$"))
+    numeric = v.rlike(r"^[0-9]{4}[-/][0-9]{2}[-/][0-9]{2}|^[0-9]{2}[-/][0-9]{2}[-/][0-9]{4}|^[0-9\s\-/:.]+$") | dated
+    numeric = numeric | v.rlike(r"^[A-Za-z0-9\-_]{5,}$") & v.rlike("[0-9]") | v.rlike("^https?://") | v.contains("@")
+    return F.when(F.lower(v).isin(*INVARIANT_VALUES), "invariant").when(numeric, "numeric").when(F.size(words) <= 3, "short").otherwise("long")
 
 
 def is_plausible_name(value: Column) -> Column:
-    """Has a vowel, no run of four consonants, no unlikely start."""
-    v = F.lower(value)
-    return v.rlike("[aeiouy]") & ~v.rlike("[bcdfghjklmnpqrstvwxz]{4}") & ~v.rlike("^(bk|bz|dk|fz|gk|hk|hz|jz|kz|mz|pz|qz|tk|vz|xz|zx)")
+    """Has a vowel, no run of four consonants, no unlikely start; texts of under two characters can't be judged."""
+    v = F.lower(stripped(value))
+    long_run = F.regexp_replace(v, "[aeiou]", " ").rlike(r"\p{L}{4}")
+    return (F.length(v) < 2) | v.rlike("[aeiou]") & ~long_run & ~F.substring(v, 1, 2).isin(*IMPOSSIBLE_STARTS)
 
 
 def eda_clean(value: Column) -> Column:
@@ -130,10 +178,11 @@ def eda_clean(value: Column) -> Column:
 
 def sentences(value: Column) -> Column:
     """Sentences: breaks after . ! ? before a space and a capital, not after abbreviations, and at newlines."""
-    held = F.regexp_replace(value, r"\b(Mr|Mrs|Dr|Prof|St|vs|etc|Jr|Sr)\.", "$1\u0001")
+    held = F.regexp_replace(value, f"({'|'.join(ABBREVIATIONS)})\\.", "$1\u0001")
+    held = F.regexp_replace(held, r"(e)\.(g)\.|(i)\.(e)\.", "$1$3\u0001$2$4\u0001")
     marked = F.regexp_replace(held, r"([.!?])\s+([A-Z])", "$1\u0002$2")
     parts = F.split(F.regexp_replace(marked, r"\n+", "\u0002"), "\u0002")
-    return F.filter(F.transform(parts, lambda s: F.trim(F.translate(s, "\u0001", "."))), lambda s: s != "")
+    return F.filter(F.transform(parts, lambda s: stripped(F.translate(s, "\u0001", "."))), lambda s: s != "")
 
 
 def chunks(value: Column, most: int = 80) -> Column:
@@ -156,7 +205,16 @@ def align_chunks(a: Column, b: Column) -> Column:
 
 
 def is_long_text_predicate(predicate: Column) -> Column:
-    return F.lower(predicate).rlike("abstract|description|comment|summary|biography|overview|text|content")
+    return F.lower(predicate).rlike("|".join(LONG_TEXT_KEYWORDS))
+
+
+def reordered(given: Column, made: Column) -> Column:
+    """Words made for the sorted words of ``given``, put in the order of ``given``; the made text itself if none has a place."""
+    sides = F.struct(tokens(given).alias("order"), F.array_sort(tokens(given)).alias("normal"), F.filter(F.split(made, r"\s+"), lambda w: w != "").alias("out"))
+    place = lambda r: F.transform(r["order"], lambda w: F.get(r["out"], F.array_position(r["normal"], w).cast("int") - 1))
+    # A one-element transform names the three lists, so that they are made once.
+    placed = F.filter(F.flatten(F.transform(F.array(sides), place)), lambda w: w.isNotNull())
+    return F.when(F.size(placed) > 0, F.array_join(placed, " ")).otherwise(made)
 
 
 def cache_key(value: Column) -> Column:

@@ -130,7 +130,7 @@ def training_rows(data: Dataset, repeats: int = 3, seed: int = 42, with_context:
     """input, target: matched literals in both directions, ``repeats`` times, behind the predicate's token, filtered and in
     hash order of the row."""
     tokens = predicate_token_map(data).where("kg = 1").select(F.col("p").alias("p1"), "token")
-    pairs = aligned_attributes(data).join(F.broadcast(tokens), "p1")
+    pairs = aligned_attributes(data).join(tokens, "p1")
     both = pairs.select("e1", "token", F.col("v1").alias("a"), F.col("v2").alias("b")).unionByName(pairs.select("e1", "token", F.col("v2").alias("a"), F.col("v1").alias("b")))
     rows = both.where(X.keeps_training_row(F.col("a"), F.col("b"))).withColumn("copy", F.explode(F.sequence(F.lit(1), F.lit(repeats))))
     if with_context:

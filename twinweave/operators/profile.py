@@ -109,7 +109,7 @@ def typed_values(triples: DataFrame) -> DataFrame:
     from twinweave.operators.relational import sorted_ids
 
     types = sorted_ids(attribute_triples(triples), "p").withColumnRenamed("id", "type")
-    rows = attribute_triples(triples).join(F.broadcast(types), "p")
+    rows = attribute_triples(triples).join(types, "p")
     lists = rows.groupBy("kg", "s").agg(F.array_sort(F.collect_list(F.struct("type", "o"))).alias("v"))
     return lists.select("kg", "s", F.transform("v", lambda x: x["o"]).alias("o_values"), F.transform("v", lambda x: x["type"]).alias("types"))
 

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from twinweave.functions import vectors as V
+from twinweave.operators.ranking import nearest_distance
 from twinweave.operators.relational import attribute_triples
 
 
@@ -55,8 +56,7 @@ def embedding_diversity(sample: DataFrame, originals: DataFrame) -> DataFrame:
     sums = unit.select(F.posexplode("u").alias("i", "x")).groupBy("i").agg(F.sum("x").alias("s"))
     n = F.col("n").cast("double")
     inside = sums.agg(F.sum(F.col("s") * F.col("s")).alias("q")).crossJoin(unit.agg(F.count(F.lit(1)).alias("n"))).select((1 - (F.col("q") - n) / (n * (n - 1))).alias("pairwise_distance"))
-    other = originals.select(V.normalised(V.doubles(F.col("embedding"))).alias("w"))
-    nearest = unit.crossJoin(other).groupBy("id").agg(F.min(1 - V.dot(F.col("u"), F.col("w"))).alias("d")).agg(F.avg("d").alias("distance_to_original"))
+    nearest = nearest_distance(sample, originals).agg(F.avg("distance").alias("distance_to_original"))
     return long_form(inside.crossJoin(nearest))
 
 
@@ -158,26 +158,28 @@ def cooccurrence(original: DataFrame, synthetic: DataFrame) -> DataFrame:
     return long_form(sums.select(F.coalesce(F.try_divide(F.col("ab"), F.sqrt(F.col("aa")) * F.sqrt(F.col("bb"))), F.lit(0.0)).alias("cooccurrence")))
 
 
-def style_consistency(one: DataFrame, two: DataFrame, window: int = 9, cross: int = 20) -> DataFrame:
-    """Mean cosine with the next ``window`` rows inside each graph's sample less the mean cosine across; rows have i, embedding."""
+def style_consistency(one: DataFrame, two: DataFrame, window: int = 9) -> DataFrame:
+    """Mean cosine with the next ``window`` rows inside each graph less the mean cosine across; rows have i, embedding.
+
+    The mean over all pairs across is the product of both sides' mean unit vectors, so no pairs are listed.
+    """
     def inside(df: DataFrame) -> DataFrame:
         a = df.select("i", V.doubles(F.col("embedding")).alias("u"), F.explode(F.sequence(F.col("i") + 1, F.col("i") + window)).alias("j"))
         return a.join(df.select(F.col("i").alias("j"), V.doubles(F.col("embedding")).alias("w")), "j").select(V.cosine(F.col("u"), F.col("w")).alias("c"))
 
+    def mean(df: DataFrame, name: str) -> DataFrame:
+        unit = df.select(F.posexplode(V.normalised(V.doubles(F.col("embedding")))).alias("k", "x"))
+        return unit.groupBy("k").agg(F.avg("x").alias(name))
+
     within = inside(one).unionByName(inside(two)).agg(F.avg("c").alias("within"))
-    a, b = one.where(F.col("i") < cross).select(V.doubles(F.col("embedding")).alias("u")), two.where(F.col("i") < cross).select(V.doubles(F.col("embedding")).alias("w"))
-    across = a.crossJoin(b).agg(F.avg(V.cosine(F.col("u"), F.col("w"))).alias("across"))
+    across = mean(one, "x").join(mean(two, "y"), "k").agg(F.sum(F.col("x") * F.col("y")).alias("across"))
     return long_form(within.crossJoin(across).withColumn("style", F.col("within") - F.col("across")))
 
 
 def nndr(synthetic: DataFrame, original: DataFrame) -> DataFrame:
     """Mean and deviation of the distance to the nearest original by the least positive distance to a synthetic row."""
-    s = synthetic.select("id", V.normalised(V.doubles(F.col("embedding"))).alias("u"))
-    o = original.select(V.normalised(V.doubles(F.col("embedding"))).alias("w"))
-    to_original = s.crossJoin(o).groupBy("id").agg(F.min(1 - V.dot(F.col("u"), F.col("w"))).alias("d"))
-    t = s.select(F.col("id").alias("other"), F.col("u").alias("w"))
-    distance = 1 - V.dot(F.col("u"), F.col("w"))
-    to_own = s.crossJoin(t).where("id <> other").withColumn("x", distance).where("x > 1e-9").groupBy("id").agg(F.min("x").alias("e"))
+    to_original = nearest_distance(synthetic, original).withColumnRenamed("distance", "d")
+    to_own = nearest_distance(synthetic, synthetic, others=True).withColumnRenamed("distance", "e")
     return long_form(to_original.join(to_own, "id").select((F.col("d") / F.col("e")).alias("r")).agg(F.avg("r").alias("nndr_mean"), F.stddev_pop("r").alias("nndr_std")))
 
 

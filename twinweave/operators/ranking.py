@@ -68,6 +68,28 @@ def block_knn(left: DataFrame, right: DataFrame, k: int, metric: str = "inner",
     return rank_candidates(found, k)
 
 
+def nearest_distance(left: DataFrame, right: DataFrame, others: bool = False, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """id, distance: each left row's least cosine distance to a right row; with ``others``, to one of another id at a
+    distance above 1e-9. Block by block, as in ``block_knn``."""
+    a, b = _blocks(left, right, block_rows)
+
+    def least(one: pd.DataFrame, two: pd.DataFrame) -> pd.DataFrame:
+        import numpy as np
+
+        out = [pd.DataFrame({"id": [], "distance": []}).astype({"id": "int64", "distance": "float64"})]
+        if len(one) and len(two):
+            for at, scores in _scores(one, two, "cosine", 1.0):
+                ids = one["id"].to_numpy()[at : at + LEFT_ROWS]
+                distance = 1 - scores
+                if others:
+                    distance = np.where((distance > 1e-9) & (ids[:, None] != two["id"].to_numpy()[None]), distance, np.inf)
+                out.append(pd.DataFrame({"id": ids, "distance": distance.min(axis=1)}))
+        return pd.concat(out[1:] or out)
+
+    found = a.groupBy("b", "g").cogroup(b.groupBy("b", "g")).applyInPandas(least, "id long, distance double")
+    return found.where("distance < double('infinity')").groupBy("id").agg(F.min("distance").alias("distance"))
+
+
 def csls_bias(left: DataFrame, right: DataFrame, k: int = 10, metric: str = "cosine", block_rows: int = BLOCK_ROWS) -> tuple[DataFrame, DataFrame]:
     """Both sides with the bias of CSLS: each row's mean score with its k best on the other side."""
     def biased(one: DataFrame, two: DataFrame) -> DataFrame:
@@ -207,14 +229,20 @@ def both_directions(scores: DataFrame, gold: DataFrame, **options) -> DataFrame:
 
 
 def score_shift(before: DataFrame, after: DataFrame, gold: DataFrame, k: int) -> DataFrame:
-    """e1, e2, is_true, score and rank before and after, and their changes, over the k best of either and the true pairs."""
+    """e1, e2, is_true, score and rank before and after, and their changes, over the k best of either and the true pairs.
+
+    Scores are given to six places; changes are rounded to four, half away from zero.
+    """
     sides = []
     for name, scores in (("before", before), ("after", after)):
         ranked = rank_candidates(scores)
         kept = ranked.where(F.col("rank") <= k).unionByName(ranked.join(gold, ["e1", "e2"], "left_semi")).distinct()
         sides.append(kept.select("e1", "e2", F.col("score").alias(f"score_{name}"), F.col("rank").alias(f"rank_{name}")))
+    # Scores have six places; whole millionths keep half-way changes exact.
+    millionths = F.round(F.col("score_after") * 1e6).cast("long") - F.round(F.col("score_before") * 1e6).cast("long")
+    change = F.signum(millionths) * F.floor((F.abs(millionths) + 50) / 100) / 10000
     joined = sides[0].join(sides[1], ["e1", "e2"], "full").join(gold.select("e1", "e2", F.lit(True).alias("is_true")), ["e1", "e2"], "left")
-    return joined.select("e1", "e2", F.coalesce("is_true", F.lit(False)).alias("is_true"), "score_before", "score_after", F.round(F.col("score_after") - F.col("score_before"), 4).alias("score_change"), (F.col("rank_after") - F.col("rank_before")).alias("rank_change"))
+    return joined.select("e1", "e2", F.coalesce("is_true", F.lit(False)).alias("is_true"), "score_before", "score_after", change.alias("score_change"), (F.col("rank_after") - F.col("rank_before")).alias("rank_change"))
 
 
 def score_shift_summary(shift: DataFrame) -> DataFrame:

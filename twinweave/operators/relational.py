@@ -36,7 +36,7 @@ def local_name(uri: Column) -> Column:
 def clean_predicates(triples: DataFrame, attr_names: DataFrame) -> DataFrame:
     """kg, p, name: the given label, else the local name."""
     used = triples.select("kg", "p").distinct()
-    return used.join(F.broadcast(attr_names), ["kg", "p"], "left").select("kg", "p", F.coalesce(F.expr("nullif(trim(label), '')"), local_name(F.col("p"))).alias("name"))
+    return used.join(attr_names, ["kg", "p"], "left").select("kg", "p", F.coalesce(F.expr("nullif(trim(label), '')"), local_name(F.col("p"))).alias("name"))
 
 
 def predicate_token(p: Column) -> Column:
@@ -47,7 +47,7 @@ def predicate_token(p: Column) -> Column:
 def remap_predicates(triples: DataFrame, attr_match: DataFrame) -> DataFrame:
     """Graph 2's predicates by their matched graph-1 names; of several matches the greatest name counts."""
     best = attr_match.groupBy(F.col("p2").alias("p")).agg(F.max("p1").alias("_to"))
-    left, right = triples.where("kg = 1"), triples.where("kg = 2").join(F.broadcast(best), "p", "left").withColumn("p", F.coalesce("_to", "p")).drop("_to")
+    left, right = triples.where("kg = 1"), triples.where("kg = 2").join(best, "p", "left").withColumn("p", F.coalesce("_to", "p")).drop("_to")
     return left.unionByName(right)
 
 
@@ -55,7 +55,7 @@ def canonical_only(triples: DataFrame, attr_match: DataFrame) -> DataFrame:
     """Drops graph 2's attribute triples whose remapped predicate isn't one of graph 1's."""
     remapped = remap_predicates(triples, attr_match)
     known = attribute_triples(triples).where("kg = 1").select("p").distinct()
-    kept = attribute_triples(remapped).where("kg = 2").join(F.broadcast(known), "p", "left_semi").select(triples.columns)
+    kept = attribute_triples(remapped).where("kg = 2").join(known, "p", "left_semi").select(triples.columns)
     return attribute_triples(remapped).where("kg = 1").unionByName(kept).unionByName(relation_triples(remapped))
 
 
@@ -74,7 +74,7 @@ def scrub_literal(value: Column) -> Column:
 def frequent_attributes(triples: DataFrame, least: int = 10) -> DataFrame:
     """Attribute triples of predicates used at least ``least`` times, scrubbed, without links."""
     used = attribute_triples(triples).groupBy("kg", "p").count().where(F.col("count") >= least).select("kg", "p")
-    rows = attribute_triples(triples).join(F.broadcast(used), ["kg", "p"], "left_semi").withColumn("o", scrub_literal(F.col("o")))
+    rows = attribute_triples(triples).join(used, ["kg", "p"], "left_semi").withColumn("o", scrub_literal(F.col("o")))
     return rows.where(~F.col("o").contains("http")).select(triples.columns)
 
 
@@ -85,7 +85,7 @@ def without_long_numbers(triples: DataFrame) -> DataFrame:
 
 def priority_attribute(triples: DataFrame, priority: DataFrame) -> DataFrame:
     """kg, s, value of the entity's best predicate: least priority, then least value; typed values are cut."""
-    rows = attribute_triples(triples).join(F.broadcast(priority), "p")
+    rows = attribute_triples(triples).join(priority, "p")
     return rows.groupBy("kg", "s").agg(F.min_by(F.regexp_replace("o", r"\^\^<.*$", ""), F.struct("priority", "o")).alias("value"))
 
 
@@ -115,10 +115,18 @@ def aligned_attributes(data: Dataset) -> DataFrame:
     """e1, p1, v1, p2, v2: an aligned pair's literals under matched predicates, the first match of each source value."""
     left = attribute_triples(data.graph(1)).select(F.col("s").alias("e1"), F.col("p").alias("p1"), F.col("o").alias("v1"))
     right = attribute_triples(data.graph(2)).select(F.col("s").alias("e2"), F.col("p").alias("p2"), F.col("o").alias("v2"))
-    found = left.join(F.broadcast(data.attr_match), "p1").join(data.alignment, "e1").join(right, ["e2", "p2"])
+    found = left.join(data.attr_match, "p1").join(data.alignment, "e1").join(right, ["e2", "p2"])
     return found.groupBy("e1", "p1", "v1").agg(F.min(F.struct("e2", "p2", "v2")).alias("m")).select("e1", "p1", "v1", "m.p2", "m.v2")
 
 
+def matched_values(data: Dataset) -> DataFrame:
+    """e1, e2, p1, p2, o1, o2: every pair of literals of an aligned pair under matched predicates."""
+    left = attribute_triples(data.graph(1)).select(F.col("s").alias("e1"), F.col("p").alias("p1"), F.col("o").alias("o1"))
+    right = attribute_triples(data.graph(2)).select(F.col("s").alias("e2"), F.col("p").alias("p2"), F.col("o").alias("o2"))
+    found = left.join(data.attr_match, "p1").join(data.alignment, "e1").join(right, ["e2", "p2"])
+    return found.select("e1", "e2", "p1", "p2", "o1", "o2")
+
+
 def common_predicates(data: Dataset) -> DataFrame:
     """e1, e2, name, v1, v2: predicates with the same token on both sides; the greatest value counts."""
     names = {1: "e1", 2: "e2"}
@@ -133,7 +141,7 @@ def predicate_value_pairs(triples: DataFrame, matches: DataFrame, per_side: int
         rank = F.row_number().over(W.partitionBy("p").orderBy(F.md5("o"), "o"))
         return values.withColumn("_r", rank).where(F.col("_r") <= per_side).select(F.col("p").alias(f"p{kg}"), F.col("o").alias(f"v{kg}"))
 
-    pairs = side(1).join(F.broadcast(matches), "p1").join(side(2), "p2")
+    pairs = side(1).join(matches, "p1").join(side(2), "p2")
     rank = F.row_number().over(W.partitionBy("p1", "p2").orderBy(F.md5(F.concat_ws("|", "v1", "v2")), "v1", "v2"))
     return pairs.withColumn("_r", rank).where(F.col("_r") <= per_predicate).select("p1", "p2", "v1", "v2")
 

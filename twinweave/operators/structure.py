@@ -55,7 +55,7 @@ def weighted_predicates(triples: DataFrame, matches: DataFrame, default: float =
     scaled = matches.crossJoin(least).withColumn("_w", F.when(F.col("_min") < 1, 1 - (1 - F.col("similarity")) * 0.5 / (1 - F.col("_min"))).otherwise(1.0))
     names = scaled.select(F.lit(1).alias("kg"), F.col("p1").alias("p"), F.col("p2").alias("_to"), "_w").unionByName(scaled.select(F.lit(2).alias("kg"), F.col("p2").alias("p"), F.col("p1").alias("_to"), "_w"))
     best = names.groupBy("kg", "p").agg(F.max(F.struct("_w", "_to")).alias("m"))
-    return triples.join(F.broadcast(best), ["kg", "p"], "left").select("kg", "s", F.coalesce("m._to", "p").alias("p"), "o", F.coalesce("m._w", F.lit(default)).alias("weight"))
+    return triples.join(best, ["kg", "p"], "left").select("kg", "s", F.coalesce("m._to", "p").alias("p"), "o", F.coalesce("m._w", F.lit(default)).alias("weight"))
 
 
 def updated_matches(initial: DataFrame, latent: DataFrame, weight: float = 0.7, soft: float = 0.5) -> DataFrame:

@@ -97,7 +97,7 @@ query("predicate_value_pairs", f"SELECT p1, p2, v1, v2 FROM (SELECT p1, p2, a.o
 SETKG = "setkg AS (SELECT DISTINCT coalesce('set:' || a.e1 || '|' || a.e2, t.s) AS s, p, coalesce('set:' || b.e1 || '|' || b.e2, t.o) AS o, o_kind FROM triples t LEFT JOIN alignment a ON (kg = 1 AND t.s = a.e1) OR (kg = 2 AND t.s = a.e2) LEFT JOIN alignment b ON o_kind = 'uri' AND ((kg = 1 AND t.o = b.e1) OR (kg = 2 AND t.o = b.e2)))"
 query("set_kg", f"WITH {SETKG} SELECT * FROM setkg")(lambda s, d: R.set_graph(derived(s, d)))
 query("neighbors", "SELECT * FROM edges")(lambda s, d: R.edges(T(s, d)))
-query("bridged_neighbors", "WITH f AS (SELECT 1 AS kg, e1 AS node FROM alignment WHERE right(e1, 1) = '3' AND length(e1) <= 4), i AS (SELECT DISTINCT kg, node, other FROM edges WHERE (kg, node) IN (SELECT (kg, node) FROM f) AND (kg, other) NOT IN (SELECT (kg, node) FROM f)) SELECT DISTINCT x.kg, x.node AS a, y.node AS b FROM i x JOIN i y ON x.kg = y.kg AND x.other = y.other AND x.node < y.node")(lambda s, d: R.bridged(T(s, d), derived(s, d).alignment.where("right(e1, 1) = '3' and length(e1) <= 4").select(F.lit(1).alias("kg"), F.col("e1").alias("entity"))))
+query("bridged_neighbors", "WITH f AS (SELECT 1 AS kg, e1 AS node FROM alignment), i AS (SELECT DISTINCT kg, node, other FROM edges WHERE (kg, node) IN (SELECT (kg, node) FROM f) AND (kg, other) NOT IN (SELECT (kg, node) FROM f)) SELECT DISTINCT x.kg, x.node AS a, y.node AS b FROM i x JOIN i y ON x.kg = y.kg AND x.other = y.other AND x.node < y.node")(lambda s, d: R.bridged(T(s, d), derived(s, d).alignment.select(F.lit(1).alias("kg"), F.col("e1").alias("entity"))))
 query("dictionary_sorted", "SELECT entity, row_number() OVER (ORDER BY entity) - 1 AS id FROM (SELECT DISTINCT s AS entity FROM triples)")(lambda s, d: R.sorted_ids(T(s, d).select(F.col("s").alias("entity")), "entity"))
 FIRST = "f AS (SELECT kg, entity, row_number() OVER (PARTITION BY kg ORDER BY min(pos)) - 1 AS i FROM (SELECT kg, s AS entity, 2 * rn AS pos FROM o UNION ALL SELECT kg, o, 2 * rn + 1 FROM o WHERE o_kind = 'uri') GROUP BY kg, entity)"
 FIRST = "o AS (SELECT *, row_number() OVER (PARTITION BY kg ORDER BY s, p, o) AS rn FROM triples), " + FIRST

@@ -98,7 +98,7 @@ q("filtered_ranks", f", {CAND}, f AS (SELECT * FROM cand WHERE e1 = e2 OR e2 % 3
 LINK = ", ".join(f"round(count(*) FILTER (rank <= {k}) / count(*), 9)" for k in (1, 3, 10))
 q("link_prediction_metrics", f", {CAND}, f AS (SELECT * FROM cand WHERE e1 = e2 OR e2 % 3 <> 0), rk AS (SELECT g.e1, count(*) FILTER (c.score > g.score OR (c.score = g.score AND c.e2 < g.e2)) + 1 AS rank FROM f c JOIN f g ON g.e1 = g.e2 AND c.e1 = g.e1 GROUP BY 1) SELECT unnest(['hits@1', 'hits@3', 'hits@10', 'mr', 'mrr']) AS metric, unnest([{LINK}, round(avg(rank), 9), round(avg(CAST(1 AS DOUBLE) / rank), 9)]) AS value FROM rk")(lambda s, d: (lambda c: K.metrics(K.filtered_ranks(c, gold(emb(s, d)[0]), c.where("e2 % 3 = 0").select("e1", "e2")), ks=(1, 3, 10), digits=9))(_cand(s, d)))
 SHIFT = f"""{CAND}, cand2 AS (SELECT e1, e2, round(score * CAST(2 AS DOUBLE) + (e2 % 7) * CAST(0.01 AS DOUBLE), 6) AS score FROM cand), b AS (SELECT *, row_number() OVER (PARTITION BY e1 ORDER BY score DESC, e2) AS rank FROM cand), a AS (SELECT *, row_number() OVER (PARTITION BY e1 ORDER BY score DESC, e2) AS rank FROM cand2),
- sh AS (SELECT coalesce(b.e1, a.e1) AS e1, coalesce(b.e2, a.e2) AS e2, coalesce(b.e1, a.e1) = coalesce(b.e2, a.e2) AS is_true, b.score AS score_before, a.score AS score_after, round(a.score - b.score, 4) AS score_change, a.rank - b.rank AS rank_change FROM (SELECT * FROM b WHERE rank <= 3 OR e1 = e2) b FULL JOIN (SELECT * FROM a WHERE rank <= 3 OR e1 = e2) a ON a.e1 = b.e1 AND a.e2 = b.e2)"""
+ sh AS (SELECT coalesce(b.e1, a.e1) AS e1, coalesce(b.e2, a.e2) AS e2, coalesce(b.e1, a.e1) = coalesce(b.e2, a.e2) AS is_true, b.score AS score_before, a.score AS score_after, sign(md) * ((abs(md) + 50) // 100) / CAST(10000 AS DOUBLE) AS score_change, a.rank - b.rank AS rank_change FROM (SELECT * FROM b WHERE rank <= 3 OR e1 = e2) b FULL JOIN (SELECT * FROM a WHERE rank <= 3 OR e1 = e2) a ON a.e1 = b.e1 AND a.e2 = b.e2, LATERAL (SELECT CAST(round(a.score * 1000000) AS BIGINT) - CAST(round(b.score * 1000000) AS BIGINT) AS md))"""
 
 
 def _shift(s, d):
@@ -112,22 +112,27 @@ q("score_shift_summary", f", {SHIFT} SELECT count(*) AS pairs, round(avg(score_c
 q("hard_negatives", f", {CAND} SELECT e1, e1 AS e2, e2 AS negative, k FROM (SELECT e1, e2, row_number() OVER (PARTITION BY e1 ORDER BY md5('42|' || e1 || '|' || e1 || '|' || e2), e2) AS k FROM cand WHERE e1 <> e2) WHERE k <= 3")(lambda s, d: K.hard_negatives(gold(emb(s, d)[0]), _cand(s, d), 3))
 
 
-@q("dual_aggregation", " SELECT a.id AS e1, a.id AS e2, CAST(k AS INTEGER) AS kernel, round(sum(exp(-(c - mu) * (c - mu) / CAST(0.01 AS DOUBLE))), 6) AS sum, round(max(exp(-(c - mu) * (c - mu) / CAST(0.01 AS DOUBLE))), 6) AS max FROM (SELECT x.id, list_cosine_similarity(x.v, y.v) AS c FROM (SELECT b.id, n.v FROM v1 b JOIN v1 n ON n.id IN (b.id, (b.id + 1) % 500, (b.id + 2) % 500) WHERE b.id % 10 = 0) x JOIN (SELECT b.id, n.v FROM v1 b JOIN v2 n ON n.id IN (b.id, (b.id + 1) % 500, (b.id + 2) % 500) WHERE b.id % 10 = 0) y USING (id)) a, (SELECT k, 1 - k * CAST(2 AS DOUBLE) / 20 AS mu FROM range(21) t(k)) GROUP BY ALL")
+NEAR = "(SELECT b.id, n.v FROM v1 b JOIN {0} n ON n.id IN (b.id, (b.id + 1) % (SELECT count(*) FROM v1), (b.id + 2) % (SELECT count(*) FROM v1)))"
+
+
+@q("dual_aggregation", f" SELECT a.id AS e1, a.id AS e2, CAST(k AS INTEGER) AS kernel, round(sum(exp(-(c - mu) * (c - mu) / CAST(0.01 AS DOUBLE))), 6) AS sum, round(max(exp(-(c - mu) * (c - mu) / CAST(0.01 AS DOUBLE))), 6) AS max FROM (SELECT x.id, list_cosine_similarity(x.v, y.v) AS c FROM {NEAR.format('v1')} x JOIN {NEAR.format('v2')} y USING (id)) a, (SELECT k, 1 - k * CAST(2 AS DOUBLE) / 20 AS mu FROM range(21) t(k)) GROUP BY ALL")
 def _dual(s, d):
     a, b = emb(s, d)
-    near = a.where("id % 10 = 0").select("id", F.explode(F.array(F.col("id"), (F.col("id") + 1) % 500, (F.col("id") + 2) % 500)).alias("n"))
+    near = a.select("id").crossJoin(F.broadcast(a.agg(F.count(F.lit(1)).alias("m"))))
+    near = near.select("id", F.explode(F.array(F.col("id"), (F.col("id") + 1) % F.col("m"), (F.col("id") + 2) % F.col("m"))).alias("n"))
     around = lambda v: near.join(v.select(F.col("id").alias("n"), "embedding"), "n").select("id", "embedding")
-    return rounded(K.dual_aggregation(gold(a.where("id % 10 = 0")), around(a), around(b)), "sum", "max")
+    return rounded(K.dual_aggregation(gold(a), around(a), around(b)), "sum", "max")
 
 
-q("embedding_diversity", """, u AS (SELECT id, list_transform(v, lambda x: x / sqrt(list_dot_product(v, v))) AS w FROM v1 WHERE id % 5 = 0), o AS (SELECT list_transform(v, lambda x: x / sqrt(list_dot_product(v, v))) AS w FROM v1 WHERE id % 5 = 1)
- SELECT 'pairwise_distance' AS metric, round(avg(1 - list_dot_product(a.w, b.w)), 6) AS value FROM u a, u b WHERE a.id <> b.id UNION ALL SELECT 'distance_to_original', round(avg(m), 6) FROM (SELECT min(1 - list_dot_product(u.w, o.w)) AS m FROM u, o GROUP BY u.id)""")(lambda s, d: rounded((lambda a: Q.embedding_diversity(a.where("id % 5 = 0"), a.where("id % 5 = 1")))(emb(s, d)[0]), "value"))
-q("nndr", """, u AS (SELECT id, list_transform(v, lambda x: x / sqrt(list_dot_product(v, v))) AS w FROM v1 WHERE id % 5 = 0), o AS (SELECT list_transform(v, lambda x: x / sqrt(list_dot_product(v, v))) AS w FROM v1 WHERE id % 5 = 1),
- r AS (SELECT d / e AS r FROM (SELECT u.id, min(1 - list_dot_product(u.w, o.w)) AS d FROM u, o GROUP BY u.id) JOIN (SELECT a.id, min(1 - list_dot_product(a.w, b.w)) AS e FROM u a, u b WHERE a.id <> b.id AND 1 - list_dot_product(a.w, b.w) > 1e-9 GROUP BY a.id) USING (id)) SELECT 'nndr_mean' AS metric, round(avg(r), 6) AS value FROM r UNION ALL SELECT 'nndr_std', round(stddev_pop(r), 6) FROM r""")(lambda s, d: rounded((lambda a: Q.nndr(a.where("id % 5 = 0"), a.where("id % 5 = 1")))(emb(s, d)[0]), "value"))
+UNIT = "list_transform(v, lambda x: x / sqrt(list_dot_product(v, v)))"
+q("embedding_diversity", f""", u AS (SELECT id, {UNIT} AS w FROM v2), o AS (SELECT {UNIT} AS w FROM v1)
+ SELECT 'pairwise_distance' AS metric, round(avg(1 - list_dot_product(a.w, b.w)), 6) AS value FROM u a, u b WHERE a.id <> b.id UNION ALL SELECT 'distance_to_original', round(avg(m), 6) FROM (SELECT min(1 - list_dot_product(u.w, o.w)) AS m FROM u, o GROUP BY u.id)""")(lambda s, d: rounded((lambda a, b: Q.embedding_diversity(b, a))(*emb(s, d)), "value"))
+q("nndr", f""", u AS (SELECT id, {UNIT} AS w FROM v2), o AS (SELECT {UNIT} AS w FROM v1),
+ r AS (SELECT d / e AS r FROM (SELECT u.id, min(1 - list_dot_product(u.w, o.w)) AS d FROM u, o GROUP BY u.id) JOIN (SELECT a.id, min(1 - list_dot_product(a.w, b.w)) AS e FROM u a, u b WHERE a.id <> b.id AND 1 - list_dot_product(a.w, b.w) > 1e-9 GROUP BY a.id) USING (id)) SELECT 'nndr_mean' AS metric, round(avg(r), 6) AS value FROM r UNION ALL SELECT 'nndr_std', round(stddev_pop(r), 6) FROM r""")(lambda s, d: rounded((lambda a, b: Q.nndr(b, a))(*emb(s, d)), "value"))
 q("alignment_consistency", " SELECT 'consistency_mean' AS metric, round(avg(score), 6) AS value FROM cosines WHERE e1 = e2 UNION ALL SELECT 'consistency_std', round(stddev_pop(score), 6) FROM cosines WHERE e1 = e2")(lambda s, d: rounded((lambda a, b: Q.alignment_consistency(gold(a), a, b))(*emb(s, d)), "value"))
 q("alignment_preservation", ", r AS (SELECT id, row_number() OVER (ORDER BY md5('42|' || id || '|' || id), id) AS rn, count(*) OVER () AS n FROM v1) SELECT 'preservation' AS metric, round(avg(CAST(own.score > away.score AS INTEGER)), 6) AS value FROM r JOIN r t ON t.rn = r.rn % r.n + 1 JOIN cosines own ON own.e1 = r.id AND own.e2 = r.id JOIN cosines away ON away.e1 = r.id AND away.e2 = t.id")(lambda s, d: rounded((lambda a, b: Q.alignment_preservation(gold(a), a, b))(*emb(s, d)), "value"))
 q("semantic_coherence", ", g AS (SELECT a.id // 5 AS e, avg(list_cosine_similarity(a.v, b.v)) AS c FROM v1 a JOIN v1 b ON a.id // 5 = b.id // 5 AND a.id <> b.id GROUP BY 1) SELECT 'coherence_mean' AS metric, round(avg(c), 6) AS value FROM g UNION ALL SELECT 'coherence_std', round(stddev_pop(c), 6) FROM g")(lambda s, d: rounded(Q.semantic_coherence(emb(s, d)[0].select(F.floor(F.col("id") / 5).alias("entity"), "embedding")), "value"))
-q("style_consistency", ", w AS (SELECT list_cosine_similarity(a.v, b.v) AS c FROM v1 a JOIN v1 b ON b.id BETWEEN a.id + 1 AND a.id + 9 WHERE a.id < 50 AND b.id < 50 UNION ALL SELECT list_cosine_similarity(a.v, b.v) FROM v2 a JOIN v2 b ON b.id BETWEEN a.id + 1 AND a.id + 9 WHERE a.id < 50 AND b.id < 50), m AS (SELECT (SELECT avg(c) FROM w) AS x, (SELECT avg(score) FROM cosines WHERE e1 < 20 AND e2 < 20) AS y) SELECT unnest(['within', 'across', 'style']) AS metric, unnest([round(x, 6), round(y, 6), round(x - y, 6)]) AS value FROM m")(lambda s, d: rounded((lambda a, b: Q.style_consistency(*[v.where("id < 50").select(F.col("id").alias("i"), "embedding") for v in (a, b)]))(*emb(s, d)), "value"))
+q("style_consistency", ", w AS (SELECT list_cosine_similarity(a.v, b.v) AS c FROM v1 a JOIN v1 b ON b.id BETWEEN a.id + 1 AND a.id + 9 UNION ALL SELECT list_cosine_similarity(a.v, b.v) FROM v2 a JOIN v2 b ON b.id BETWEEN a.id + 1 AND a.id + 9), m AS (SELECT (SELECT avg(c) FROM w) AS x, (SELECT avg(score) FROM cosines) AS y) SELECT unnest(['within', 'across', 'style']) AS metric, unnest([round(x, 6), round(y, 6), round(x - y, 6)]) AS value FROM m")(lambda s, d: rounded((lambda a, b: Q.style_consistency(*[v.select(F.col("id").alias("i"), "embedding") for v in (a, b)]))(*emb(s, d)), "value"))
 
 
 @query("diverse_sample", graphs=False)

@@ -9,6 +9,7 @@ from twinweave.functions import text as X
 from twinweave.operators import augment as A
 from twinweave.operators import predicates as P
 from twinweave.operators import quality as Q
+from twinweave.operators import relational as R
 from twinweave.operators import splits as S
 from twinweave.operators import structure as M
 from twinweave.operators import validate as C
@@ -85,7 +86,9 @@ query("predicate_name_similarity", f"WITH {PREDS} SELECT p1, p2, round(similarit
 query("predicate_threshold_matches", f"WITH {PREDS} SELECT p1, p2, round(similarity, 6) AS similarity FROM sim WHERE similarity >= 0.2")(lambda s, d: r6(P.threshold_matches(names(s, d), 0.2)))
 query("predicate_mutual_matches", f"WITH {PREDS} SELECT p1, p2, round(similarity, 6) AS similarity FROM (SELECT *, row_number() OVER (PARTITION BY p1 ORDER BY similarity DESC, p2) AS a, row_number() OVER (PARTITION BY p2 ORDER BY similarity DESC, p1) AS b FROM sim) WHERE a = 1 AND b = 1 AND similarity > 0.1")(lambda s, d: r6(P.mutual_matches(names(s, d), 0.1)))
 query("predicate_match_statistics", f"WITH {PREDS} SELECT count(*) AS n, round(avg(similarity), 6) AS mean, round(min(similarity), 6) AS min, round(max(similarity), 6) AS max, round(stddev_pop(similarity), 6) AS std, count(*) FILTER (similarity >= 0.85) AS high FROM sim")(lambda s, d: r6(P.match_statistics(names(s, d))))
-TYPE = "CASE WHEN regexp_matches(o, '^[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}|^[0-9]{1,2}[/.][0-9]{1,2}[/.][0-9]{2,4}') THEN 'date' WHEN regexp_matches(regexp_replace(o, '[, ]', '', 'g'), '^-?[0-9]+(\\.[0-9]+)?$') THEN 'number' WHEN regexp_matches(o, '^[A-Z]{1,5}[0-9#-]+[A-Z0-9#-]*$') THEN 'id' ELSE 'text' END"
+PARTS = "string_split(replace(o, '/', '-'), '-')"
+NUMBER = "^\\s*[+-]?(([0-9]+\\.?[0-9]*|\\.[0-9]+)([eE][+-]?[0-9]+)?|(?i)(nan|inf|infinity))\\s*$"
+TYPE = f"CASE WHEN o = '' THEN 'unknown' WHEN len({PARTS}) >= 2 AND len(list_filter({PARTS}, lambda x: regexp_matches(x, '^[0-9]{{4,}}$'))) > 0 THEN 'date' WHEN regexp_matches(replace(o, ',', ''), '{NUMBER}') THEN 'number' WHEN length(o) < 20 AND NOT contains(o, ' ') AND regexp_matches(o, '[0-9]') THEN 'id' ELSE 'text' END"
 TYPES = f"ty AS (SELECT kg, p, CASE WHEN max(n) / sum(n) >= 0.6 THEN arg_max(t, (n, t)) ELSE 'mixed' END AS type FROM (SELECT kg, p, {TYPE} AS t, count(*) AS n FROM triples WHERE o_kind = 'lit' GROUP BY 1, 2, 3) GROUP BY 1, 2)"
 query("value_types", f"WITH {TYPES} SELECT * FROM ty")(lambda s, d: P.value_types(T(s, d)))
 VALUES = f"""{TYPES}, vv AS (SELECT DISTINCT kg, p, lower(o) AS v FROM triples WHERE o_kind = 'lit'), ww AS (SELECT DISTINCT kg, p, w FROM (SELECT kg, p, unnest(list_filter(regexp_split_to_array(v, '\\s+'), lambda w: w <> '')) AS w FROM vv)),
@@ -95,9 +98,9 @@ VALUES = f"""{TYPES}, vv AS (SELECT DISTINCT kg, p, lower(o) AS v FROM triples W
 query("value_similarity", f"WITH {VALUES} SELECT p1, p2, round(similarity, 6) AS similarity FROM vs")(lambda s, d: r6(P.value_similarity(T(s, d))))
 query("hybrid_predicate_alignment", f"WITH {PREDS}, {VALUES}, nm AS (SELECT p1, p2, 1.0 AS name FROM attr_match UNION ALL SELECT p1, p2, similarity FROM sim ANTI JOIN attr_match USING (p1, p2) WHERE similarity >= 0.1) SELECT p1, p2, round(CAST(0.6 AS DOUBLE) * name + CAST(0.4 AS DOUBLE) * coalesce(similarity, 0), 6) AS combined FROM nm LEFT JOIN vs USING (p1, p2)")(lambda s, d: r6(P.hybrid_alignment(names(s, d), P.value_similarity(T(s, d)), derived(s, d).attr_match, threshold=0.1)))
 
-query("augment_relations", "WITH ends AS (SELECT 1 AS kg, e1 AS e, e1 || '_aug' || n AS a FROM (SELECT *, row_number() OVER (ORDER BY e1, e2) AS n FROM aug_pairs) UNION ALL SELECT 2, e2, e2 || '_aug' || n FROM (SELECT *, row_number() OVER (ORDER BY e1, e2) AS n FROM aug_pairs)) SELECT DISTINCT t.kg, coalesce(x.a, s) AS s, p, coalesce(y.a, o) AS o, o_kind FROM triples t LEFT JOIN ends x ON x.kg = t.kg AND x.e = s LEFT JOIN ends y ON y.kg = t.kg AND y.e = o WHERE o_kind = 'uri' AND (x.a IS NOT NULL OR y.a IS NOT NULL)")(lambda s, d: A.mirrored_relations(T(s, d), A.expand_pairs(derived(s, d).alignment.where("right(e1, 1) = '3'"))))
-query("augment_literals", "WITH n AS (SELECT e1, e2, e1 || '_aug' || row_number() OVER (ORDER BY e1, e2) AS a1, e2 || '_aug' || row_number() OVER (ORDER BY e1, e2) AS a2 FROM aug_pairs), l AS (SELECT a1, a2, p, o FROM triples JOIN n ON (kg = 1 AND s = e1) OR (kg = 2 AND s = e2) WHERE o_kind = 'lit') SELECT 1 AS kg, a1 AS s, p, o, 'lit' AS o_kind FROM l UNION SELECT 2, a2, p, o, 'lit' FROM l")(lambda s, d: A.copied_literals(T(s, d), A.expand_pairs(derived(s, d).alignment.where("right(e1, 1) = '3'"))))
-query("augment_expand", "SELECT e1, e2, e1 || '_aug' || n AS a1, e2 || '_aug' || n AS a2, n FROM (SELECT *, row_number() OVER (ORDER BY e1, e2) AS n FROM aug_pairs)")(lambda s, d: A.expand_pairs(derived(s, d).alignment.where("right(e1, 1) = '3'")))
+query("augment_relations", "WITH ends AS (SELECT 1 AS kg, e1 AS e, e1 || '_aug' || n AS a FROM (SELECT *, row_number() OVER (ORDER BY e1, e2) AS n FROM alignment) UNION ALL SELECT 2, e2, e2 || '_aug' || n FROM (SELECT *, row_number() OVER (ORDER BY e1, e2) AS n FROM alignment)) SELECT DISTINCT t.kg, coalesce(x.a, s) AS s, p, coalesce(y.a, o) AS o, o_kind FROM triples t LEFT JOIN ends x ON x.kg = t.kg AND x.e = s LEFT JOIN ends y ON y.kg = t.kg AND y.e = o WHERE o_kind = 'uri' AND (x.a IS NOT NULL OR y.a IS NOT NULL)")(lambda s, d: A.mirrored_relations(T(s, d), A.expand_pairs(derived(s, d).alignment)))
+query("augment_literals", "WITH n AS (SELECT e1, e2, e1 || '_aug' || row_number() OVER (ORDER BY e1, e2) AS a1, e2 || '_aug' || row_number() OVER (ORDER BY e1, e2) AS a2 FROM alignment), l AS (SELECT a1, a2, p, o FROM triples JOIN n ON (kg = 1 AND s = e1) OR (kg = 2 AND s = e2) WHERE o_kind = 'lit') SELECT 1 AS kg, a1 AS s, p, o, 'lit' AS o_kind FROM l UNION SELECT 2, a2, p, o, 'lit' FROM l")(lambda s, d: A.copied_literals(T(s, d), A.expand_pairs(derived(s, d).alignment)))
+query("augment_expand", "SELECT e1, e2, e1 || '_aug' || n AS a1, e2 || '_aug' || n AS a2, n FROM (SELECT *, row_number() OVER (ORDER BY e1, e2) AS n FROM alignment)")(lambda s, d: A.expand_pairs(derived(s, d).alignment))
 query("augment_bfs")(lambda s, d: A.bfs_seeds(derived(s, d), 60, 2))
 query("augment_plm")(lambda s, d: A.augment(derived(s, d), 0.2).triples)
 query("augment_eda")(lambda s, d: A.augment_eda(derived(s, d), 0.2).triples)
@@ -108,43 +111,62 @@ query("entity_context", "WITH h AS (SELECT kg, s, regexp_extract(p, '([^#/]*)$',
 
 
 def two(s, d):
-    """Neighbouring short texts: the first 60 characters of a document and of the next."""
-    t = docs(s, d).select("doc_id", F.substring("text", 1, 60).alias("a"))
+    """Neighbouring texts: each document and the next, whole."""
+    t = docs(s, d).select("doc_id", F.col("text").alias("a"))
     return t.join(t.select((F.col("doc_id") - 1).alias("doc_id"), F.col("a").alias("b")), "doc_id")
 
 
-TWO = "tw AS (SELECT a.doc_id, left(coalesce(a.text, ''), 60) AS a, left(coalesce(b.text, ''), 60) AS b FROM documents a JOIN documents b ON b.doc_id = a.doc_id + 1)"
+TWO = "tw AS (SELECT a.doc_id, coalesce(a.text, '') AS a, coalesce(b.text, '') AS b FROM documents a JOIN documents b ON b.doc_id = a.doc_id + 1)"
 TOK = "list_filter(regexp_split_to_array(lower({0}), '\\s+'), lambda w: w <> '')"
 tw = lambda name, sql, f: query(name, f"WITH {TWO} SELECT doc_id, {sql} AS v FROM tw", graphs=False)(lambda s, d: r6(two(s, d).select("doc_id", f(F.col("a"), F.col("b")).alias("v"))))
-GRAM = "list_distinct(list_transform(range(1, greatest(length({0}), 1) + 1), lambda i: substr(' ' || lower({0}) || ' ', i, 3)))"
+CHARS = "string_split(' ' || lower({0}) || ' ', '')"
 JAC = "CASE WHEN len(list_distinct(list_concat({0}, {1}))) = 0 THEN 0 ELSE CAST(len(list_intersect({0}, {1})) AS DOUBLE) / len(list_distinct(list_concat({0}, {1}))) END"
 ASCII = "regexp_replace({0}, '[^ -~]', '', 'g')"
-tw("trigram_jaccard", f"round({JAC.format(GRAM.format('a'), GRAM.format('b'))}, 6)", X.trigram_jaccard)
+G3 = "list_distinct(list_transform(range(1, greatest(len({0}) - 1, 2)), lambda i: {0}[i] || {0}[i + 1] || coalesce({0}[i + 2], '')))"
+query("trigram_jaccard", f"WITH {TWO}, ch AS (SELECT doc_id, {CHARS.format('a')} AS a, {CHARS.format('b')} AS b FROM tw), gr AS (SELECT doc_id, {G3.format('a')} AS a, {G3.format('b')} AS b FROM ch) SELECT doc_id, round({JAC.format('a', 'b')}, 6) AS v FROM gr", graphs=False)(lambda s, d: r6(two(s, d).select("doc_id", X.trigram_jaccard(F.col("a"), F.col("b")).alias("v"))))
 STOP = "[" + ", ".join(f"'{w}'" for w in X.STOPWORDS) + "]"
 CONTENT = "list_distinct(list_filter(" + TOK + ", lambda w: NOT list_contains(" + STOP + ", w)))"
 tw("token_jaccard", f"round({JAC.format(CONTENT.format('a'), CONTENT.format('b'))}, 6)", X.token_jaccard)
 DT = "list_distinct(" + TOK + ")"
-tw("token_overlap", f"round(CASE WHEN least(len({DT.format('a')}), len({DT.format('b')})) = 0 THEN 0 ELSE CAST(len(list_intersect({DT.format('a')}, {DT.format('b')})) AS DOUBLE) / least(len({DT.format('a')}), len({DT.format('b')})) END, 6)", X.token_overlap)
-tw("token_swap", f"lower(a) <> lower(b) AND list_sort({DT.format('a')}) = list_sort({DT.format('b')})", X.is_token_swap)
-FILL = "[" + ", ".join(f"'{w}'" for w in X.FILLERS) + "]"
-REST = "list_filter(" + TOK + ", lambda w: NOT list_contains(" + FILL + ", w))"
-tw("filler_difference", f"lower(a) <> lower(b) AND {REST.format('a')} = {REST.format('b')}", X.differs_by_fillers)
+LIST = lambda words: "[" + ", ".join(f"'{w}'" for w in words) + "]"
+STRIP = "regexp_replace({0}, '^\\s+|\\s+$', '', 'g')"
+MADE = "list_filter(" + TOK.format("b") + f", lambda w: NOT list_contains({STOP}, w))"
+query("token_overlap", f"WITH {TWO}, tk AS (SELECT doc_id, list_distinct({TOK.format('a')}) AS x, {MADE} AS y FROM tw) SELECT doc_id, round(CASE WHEN len(y) = 0 THEN 0 ELSE CAST(len(list_filter(y, lambda w: list_contains(x, w))) AS DOUBLE) / len(y) END, 6) AS v FROM tk", graphs=False)(lambda s, d: r6(two(s, d).select("doc_id", X.token_overlap(F.col("a"), F.col("b")).alias("v"))))
+DT = "list_distinct(" + TOK + ")"
+VAL = STRIP.format("CASE WHEN contains(a, ': ') THEN substr(a, instr(a, ': ') + 2) ELSE a END")
+tw("token_swap", f"lower({VAL}) <> lower({STRIP.format('b')}) AND list_sort({DT.format(VAL)}) = list_sort({DT.format('b')})", X.is_token_swap)
+REST = "list_filter(" + TOK + f", lambda w: NOT list_contains({LIST(X.FILLERS)}, w))"
+tw("filler_difference", f"lower({VAL}) <> lower({STRIP.format('b')}) AND {REST.format(VAL)} = {REST.format('b')}", X.differs_by_fillers)
 one = lambda name, sql, f: query(name, f"SELECT doc_id, {sql} AS v FROM (SELECT doc_id, coalesce(text, '') AS text FROM documents)", graphs=False)(lambda s, d: docs(s, d).select("doc_id", f(F.col("text")).alias("v")))
-one("levenshtein_ratio", f"round(1 - CAST(levenshtein(left({ASCII.format('text')}, 40), right({ASCII.format('text')}, 40)) AS DOUBLE) / greatest(1, greatest(length(left({ASCII.format('text')}, 40)), length(right({ASCII.format('text')}, 40)))), 6)", lambda t: F.round(1 - F.levenshtein(F.substring(F.regexp_replace(t, "[^ -~]", ""), 1, 40), F.right(F.regexp_replace(t, "[^ -~]", ""), F.lit(40))) / F.greatest(F.lit(1), F.greatest(F.length(F.substring(F.regexp_replace(t, "[^ -~]", ""), 1, 40)), F.length(F.right(F.regexp_replace(t, "[^ -~]", ""), F.lit(40))))), 6))
+query("levenshtein_ratio", "SELECT e1, e2, a.p AS p1, b.p AS p2, a.o AS o1, b.o AS o2, round(1 - CAST(levenshtein(a.o, b.o) AS DOUBLE) / greatest(1, length(a.o), length(b.o)), 6) AS v FROM alignment JOIN triples a ON a.kg = 1 AND a.s = e1 AND a.o_kind = 'lit' JOIN attr_match m ON m.p1 = a.p JOIN triples b ON b.kg = 2 AND b.s = e2 AND b.p = m.p2 AND b.o_kind = 'lit'")(lambda s, d: r6(R.matched_values(derived(s, d)).withColumn("v", X.levenshtein_ratio(F.col("o1"), F.col("o2")))))
 one("eda_clean", "trim(regexp_replace(regexp_replace(lower(regexp_replace(regexp_replace(text, '[''\"’]', '', 'g'), '[-\\t\\n]', ' ', 'g')), '[^a-z ]', ' ', 'g'), ' +', ' ', 'g'))", X.eda_clean)
 one("cache_key", "array_to_string(list_sort(" + TOK.format("text") + "), ' ')", X.cache_key)
-one("content_type", "CASE WHEN trim(text) = '' OR regexp_matches(trim(text), '^(http|www)|@') THEN 'invariant' WHEN regexp_matches(trim(text), '^[0-9\\s.,/-]+$') THEN 'numeric' WHEN len(" + TOK.format("trim(text)") + ") <= 3 THEN 'short' ELSE 'long' END", X.content_type)
-one("plausible_name", "regexp_matches(lower(text), '[aeiouy]') AND NOT regexp_matches(lower(text), '[bcdfghjklmnpqrstvwxz]{4}') AND NOT regexp_matches(lower(text), '^(bk|bz|dk|fz|gk|hk|hz|jz|kz|mz|pz|qz|tk|vz|xz|zx)')", X.is_plausible_name)
+ST, WORDS = STRIP.format("text"), TOK.format("text")
+DATED = f"len(list_filter({WORDS}, lambda w: list_contains({LIST(X.MONTHS)}, w))) > 0 AND len(list_filter({WORDS}, lambda w: regexp_matches(w, '^[0-9]{{4}}$'))) > 0"
+NUMERIC = f"regexp_matches({ST}, '^[0-9]{{4}}[-/][0-9]{{2}}[-/][0-9]{{2}}|^[0-9]{{2}}[-/][0-9]{{2}}[-/][0-9]{{4}}|^[0-9\\s\\-/:.]+$|^https?://|@') OR {DATED} OR regexp_matches({ST}, '^[A-Za-z0-9\\-_]{{5,}}$') AND regexp_matches(text, '[0-9]')"
+one("content_type", f"CASE WHEN list_contains({LIST(X.INVARIANT_VALUES)}, lower({ST})) THEN 'invariant' WHEN {NUMERIC} THEN 'numeric' WHEN len({WORDS}) <= 3 THEN 'short' ELSE 'long' END", X.content_type)
+PLAUSIBLE = f"length(n) < 2 OR regexp_matches(n, '[aeiou]') AND NOT regexp_matches(regexp_replace(n, '[aeiou]', ' ', 'g'), '\\p{{L}}{{4}}') AND NOT list_contains({LIST(X.IMPOSSIBLE_STARTS)}, left(n, 2))"
+query("plausible_name", f"SELECT DISTINCT w AS name, {PLAUSIBLE} AS v FROM (SELECT w, lower(w) AS n FROM (SELECT unnest({WORDS}) AS w FROM (SELECT coalesce(text, '') AS text FROM documents)))", graphs=False)(lambda s, d: docs(s, d).select(F.explode(X.tokens(F.col("text"))).alias("name")).distinct().withColumn("v", X.is_plausible_name(F.col("name"))))
 one("clean_markup", "trim(regexp_replace(regexp_replace(regexp_replace(text, '<[^>]*>', '', 'g'), '[!-/:-@\\[-`{-~]', ' ', 'g'), '\\s+', ' ', 'g'))", X.clean_markup)
-one("sentence_count", "len(list_filter(list_transform(regexp_split_to_array(regexp_replace(regexp_replace(regexp_replace(text, '\\b(Mr|Mrs|Dr|Prof|St|vs|etc|Jr|Sr)\\.', '\\1' || chr(1), 'g'), '([.!?])\\s+([A-Z])', '\\1' || chr(2) || '\\2', 'g'), '\\n+', chr(2), 'g'), chr(2)), lambda s: trim(s)), lambda s: s <> ''))", lambda t: F.size(X.sentences(t)).cast("long"))
+HELD = f"regexp_replace(regexp_replace(regexp_replace(text, '({'|'.join(X.ABBREVIATIONS)})\\.', '\\1' || chr(1), 'g'), 'e\\.g\\.', 'e' || chr(1) || 'g' || chr(1), 'g'), 'i\\.e\\.', 'i' || chr(1) || 'e' || chr(1), 'g')"
+BROKEN = f"regexp_split_to_array(regexp_replace(regexp_replace({HELD}, '([.!?])\\s+([A-Z])', '\\1' || chr(2) || '\\2', 'g'), '\\n+', chr(2), 'g'), chr(2))"
+SENTENCES = f"list_filter(list_transform({BROKEN}, lambda s: {STRIP.format('replace(s, chr(1), chr(46))')}), lambda s: s <> '')"
+one("sentence_count", f"len({SENTENCES})", lambda t: F.size(X.sentences(t)).cast("long"))
+query("sentences", f"SELECT doc_id, CAST(i AS INTEGER) AS n, x[i] AS sentence FROM (SELECT doc_id, x, unnest(range(1, len(x) + 1)) AS i FROM (SELECT doc_id, {SENTENCES} AS x FROM (SELECT doc_id, coalesce(text, '') AS text FROM documents)))", graphs=False)(lambda s, d: docs(s, d).select("doc_id", F.posexplode(X.sentences(F.col("text"))).alias("n", "sentence")).withColumn("n", F.col("n") + 1))
 one("latex_escape", "regexp_replace(text, '([&%$#_{}])', '\\\\\\1', 'g')", X.latex_escape)
 query("sentence_chunks")(lambda s, d: docs(s, d).select("doc_id", F.posexplode(X.chunks(F.col("text"))).alias("n", "chunk")))
 query("simple_clean")(lambda s, d: docs(s, d).select("doc_id", X.simple_clean(F.col("text")).alias("v")))
-query("attribute_type", "SELECT DISTINCT p, CASE WHEN regexp_matches(lower(p), 'name|label|title|alias') THEN 'name' WHEN regexp_matches(lower(p), 'date|time|year|birth|death') THEN 'date' WHEN regexp_matches(lower(p), 'count|number|age|population|area|height|weight|balance') THEN 'number' WHEN regexp_matches(lower(p), 'place|city|country|location|address') THEN 'location' WHEN regexp_matches(lower(p), 'description|abstract|comment|summary') THEN 'description' WHEN regexp_matches(lower(p), 'id$|identifier|code|isbn') THEN 'identifier' WHEN regexp_matches(o, '^-?[0-9]+(\\.[0-9]+)?$') THEN 'number' WHEN regexp_matches(o, '[0-9]{4}-[0-9]{2}-[0-9]{2}') THEN 'date' ELSE 'other' END AS v FROM triples WHERE o_kind = 'lit'")(lambda s, d: T(s, d).where("o_kind = 'lit'").select("p", X.attribute_type(F.col("p"), F.col("o")).alias("v")).distinct())
+BY_WORD = " ".join(f"WHEN regexp_matches(lower(p), '{'|'.join(words)}') THEN '{kind}'" for kind, words in X.TYPE_KEYWORDS.items())
+query("attribute_type", f"SELECT DISTINCT p, CASE {BY_WORD} WHEN regexp_matches(regexp_replace(o, '[-/:]', '', 'g'), '^[0-9]+$') THEN 'date' WHEN regexp_matches(regexp_replace(o, '[.,]', '', 'g'), '^[0-9]+$') THEN 'number' WHEN len({TOK.format('o')}) > 10 THEN 'description' ELSE 'other' END AS v FROM triples WHERE o_kind = 'lit'")(lambda s, d: T(s, d).where("o_kind = 'lit'").select("p", X.attribute_type(F.col("p"), F.col("o")).alias("v")).distinct())
+WO = TOK.format("o")
+query("token_reorder", f"SELECT DISTINCT o, CASE WHEN len({WO}) = 0 THEN '' ELSE array_to_string(list_transform({WO}, lambda w: upper(w)), ' ') END AS v FROM triples WHERE o_kind = 'lit'")(lambda s, d: T(s, d).where("o_kind = 'lit'").select("o").distinct().withColumn("v", X.reordered(F.col("o"), F.upper(X.cache_key(F.col("o"))))))
+query("long_text_predicates", f"SELECT DISTINCT kg, p, regexp_matches(lower(p), '{'|'.join(X.LONG_TEXT_KEYWORDS)}') AS v FROM triples")(lambda s, d: T(s, d).select("kg", "p", X.is_long_text_predicate(F.col("p")).alias("v")).distinct())
 query("duration_text", "SELECT event_id, CASE WHEN h > 0 THEN h || 'h ' || lpad(CAST(m AS VARCHAR), 2, '0') || 'm ' || lpad(CAST(x AS VARCHAR), 2, '0') || 's' WHEN m > 0 THEN m || 'm ' || lpad(CAST(x AS VARCHAR), 2, '0') || 's' ELSE x || 's' END AS v FROM (SELECT event_id, s // 3600 AS h, s % 3600 // 60 AS m, s % 60 AS x FROM (SELECT event_id, CAST(event_id * 7 AS BIGINT) AS s FROM events))", graphs=False)(lambda s, d: s.read.parquet(f"{d}/events.parquet").select("event_id", X.duration(F.col("event_id") * 7).alias("v")))
 query("json_metrics", "SELECT event_id, CAST(json_extract(props, '$.k') AS DOUBLE) AS k FROM events", graphs=False)(lambda s, d: s.read.parquet(f"{d}/events.parquet").select("event_id", F.from_json("props", "map<string,double>").alias("m")).select("event_id", F.explode("m").alias("metric", "k")).where("metric = 'k'").select("event_id", "k"))
 for name, f in (("creative_variation", lambda t: G.variation(t, F.md5(t))), ("noise", lambda t: G.noise(t, F.md5(t))), ("mask_span", lambda t: G.mask_span(t, F.md5(t)))):
     query(name)(lambda s, d, f=f: docs(s, d).select("doc_id", f(F.col("text")).alias("v")))
-query("sequence_ratio")(lambda s, d: two(s, d).select("doc_id", G.sequence_ratio("a", "b").alias("v")))
-query("creativity_score")(lambda s, d: two(s, d).select("doc_id", G.creativity_score("a", "b").alias("x")).select("doc_id", "x.score", "x.reason"))
+MATCHED = ["e1", "e2", "p1", "p2", "o1", "o2"]
+query("sequence_ratio")(lambda s, d: r6(R.matched_values(derived(s, d)).withColumn("v", G.sequence_ratio("o1", "o2"))))
+query("creativity_score")(lambda s, d: r6(R.matched_values(derived(s, d)).withColumn("x", G.creativity_score("o1", "o2")).select(*MATCHED, "x.score", "x.reason")))
+query("pair_score")(lambda s, d: r6(R.matched_values(derived(s, d)).withColumn("v", G.pair_score("o1", "o2", F.reverse("o1"), F.reverse("o2")))))
 query("nfc")(lambda s, d: docs(s, d).select("doc_id", G.nfc("text").alias("v")))

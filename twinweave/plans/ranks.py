@@ -6,33 +6,26 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-BOUNDS = 255
-
+from twinweave.plans.storage import cut
 
 def hash_key(seed: int | str, *cols: str) -> Column:
     """md5 of the seed and the columns: the order of every seeded sample and shuffle."""
     return F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.col(c).cast("string") for c in cols]))
 
 
-def global_row_number(df: DataFrame, keys: list[str | Column], name: str = "rn", bounds: int = BOUNDS) -> DataFrame:
+def global_row_number(df: DataFrame, keys: list[str | Column], name: str = "rn") -> DataFrame:
     """``name`` numbers the rows from 1 in the order of ``keys`` (nulls first).
 
-    At most ``bounds`` values of the first key, chosen by hash, split the table into ranges; rows are numbered inside
-    their range and moved up by the sizes of the ranges before it, a table of at most ``bounds`` + 1 rows.
+    A range partition by all keys deals the rows out, so ties of the first key are split by the next ones; rows are
+    numbered in their range, stored, and moved up by the sizes of the ranges before it, a table of one row a range.
     """
-    first = F.col(keys[0]) if isinstance(keys[0], str) else keys[0]
-    keyed = df.withColumn("__key", first)
-    cuts = sorted({r[0] for r in keyed.select("__key").where(F.col("__key").isNotNull()).orderBy(F.xxhash64("__key")).limit(bounds).collect()})
-    part = F.lit(0)
-    if cuts:
-        kind = keyed.schema["__key"].dataType
-        part = F.coalesce(F.size(F.filter(F.array(*[F.lit(c).cast(kind) for c in cuts]), lambda c: c <= F.col("__key"))), F.lit(0))
-    keyed = keyed.withColumn("__part", part)
-    sizes = keyed.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"))
+    place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    ranged = df.repartitionByRange(*keys).sortWithinPartitions(*keys)
+    numbered = cut(ranged.select("*", F.spark_partition_id().alias("__part"), place.alias("__place")))
+    sizes = numbered.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"))
     before = sizes.select("__part", (F.sum("__n").over(W.orderBy("__part")) - F.col("__n")).alias("__before"))
-    order = W.partitionBy("__part").orderBy("__key", *keys[1:])
-    numbered = keyed.withColumn("__rn", F.row_number().over(order)).join(F.broadcast(before), "__part")
-    return numbered.withColumn(name, (F.col("__before") + F.col("__rn")).cast("long")).drop("__key", "__part", "__rn", "__before")
+    joined = numbered.join(F.broadcast(before), "__part")
+    return joined.withColumn(name, (F.col("__before") + F.col("__place") + 1).cast("long")).drop("__part", "__place", "__before")
 
 
 def top_by_hash(df: DataFrame, count: Column | int, seed: int | str, cols: list[str]) -> DataFrame:

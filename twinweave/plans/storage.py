@@ -2,14 +2,32 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+_own_dir: str | None = None
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names; one of our own only where it names none and the session is local."""
+    global _own_dir
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    if _own_dir is None:
+        _own_dir = tempfile.mkdtemp(prefix="twinweave-")
+        atexit.register(shutil.rmtree, _own_dir, ignore_errors=True)
+    return f"file://{_own_dir}"
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """``df`` checkpointed: computed once, read from the shared folder afterwards. A folder of our own only where none is named."""
-    sc = df.sparkSession.sparkContext
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="twinweave-"))
-    return df.checkpoint()
+    """``df`` written once as Parquet in the shared folder and read from there afterwards."""
+    path = f"{shared_dir(df.sparkSession)}/twinweave/cut-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
