@@ -10,6 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from twinweave.functions import vectors as V
+from twinweave.plans.registry import RANKERS
 
 #: Rows of the right side in one block of the k-NN join, and left rows scored at a time.
 BLOCK_ROWS, LEFT_ROWS = 16_384, 2_048
@@ -285,3 +286,35 @@ def iterative_alignment(stages: list[DataFrame], rounds: int) -> DataFrame:
             break
         added = new if added is None else added.unionByName(new)
     return added
+
+
+def fused_ranks(first: DataFrame, second: DataFrame) -> DataFrame:
+    """e1, e2, rank: the worse of two ranks of each pair that both know."""
+    return first.join(second.withColumnRenamed("rank", "_other"), ["e1", "e2"]).select("e1", "e2", F.greatest("rank", "_other").alias("rank"))
+
+
+#: The score by which each model's embeddings are ranked here, and whether CSLS corrects it.
+MODEL_METRICS = {
+    "stub": ("cosine", False),
+    "hybea": ("cosine", False),
+    "bert_int": ("cosine", False),
+    "rrea": ("cosine", True),
+    "multiKE": ("inner", False),
+    "attrE": ("cosine", False),
+    "sdea": ("cosine", False),
+    "bert_intA": ("cosine", False),
+}
+
+
+def model_ranker(model: str):
+    """A function of left and right embeddings and k: the model's k best candidates of each left row."""
+    metric, corrected = MODEL_METRICS[model]
+
+    def rank(left: DataFrame, right: DataFrame, k: int = 10) -> DataFrame:
+        return csls_knn(left, right, k, metric=metric) if corrected else block_knn(left, right, k, metric)
+
+    return rank
+
+
+for _model in MODEL_METRICS:
+    RANKERS.add(_model, model_ranker(_model))

@@ -155,7 +155,7 @@ def stratified_targets(counts: DataFrame, strategy: str = "sqrt", low: int = 10,
     """p, n, target: rows to sample from each predicate."""
     average = F.broadcast(counts.agg(F.avg("n").alias("_avg")))
     rows = counts.crossJoin(average)
-    raw = {"uniform": F.col("_avg"), "sqrt": F.sqrt("n") * F.sqrt("_avg"), "log": F.log1p("n") / F.log1p("_avg") * F.col("_avg")}[strategy]
+    raw = {"uniform": F.col("n"), "sqrt": F.sqrt("n") * F.sqrt("_avg"), "log": F.log1p("n") * F.col("_avg") / F.log1p("_avg")}[strategy]
     return rows.select("p", "n", F.greatest(F.lit(low), F.least(F.lit(high), F.floor(raw))).cast("long").alias("target"))
 
 

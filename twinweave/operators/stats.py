@@ -164,12 +164,14 @@ def improvement_ranking(pairs: DataFrame) -> DataFrame:
 
 
 def synthetic_comparison(runs: DataFrame) -> DataFrame:
-    """Per dataset: means of baseline, augmented and synthetic_only, the gap and benefit in percent, and their bands."""
+    """Per dataset: means of baseline, augmented and synthetic_only, the gap and benefit in percent, their bands, the
+    transferability (synthetic by baseline) and what it says."""
     mean = lambda s: F.avg(F.when(F.col("stage") == s, F.col("value")))
     rows = runs.groupBy("dataset").agg(mean("baseline").alias("baseline"), mean("augmented").alias("augmented"), mean("synthetic_only").alias("synthetic_only"))
     gap = F.try_divide((F.col("baseline") - F.col("synthetic_only")) * 100, F.col("baseline"))
     benefit = F.try_divide((F.col("augmented") - F.col("baseline")) * 100, F.col("baseline"))
-    rows = rows.withColumns({"gap": gap, "benefit": benefit})
+    transfer = F.when(F.col("synthetic_only") > F.col("baseline"), "artifacts").when(F.col("synthetic_only") >= 0.95 * F.col("baseline"), "transfers").otherwise("gap")
+    rows = rows.withColumns({"gap": gap, "benefit": benefit, "transferability": F.try_divide(F.col("synthetic_only"), F.col("baseline")), "transfer": transfer})
     return rows.withColumns({"quality": F.when(F.col("gap") < 5, "excellent").when(F.col("gap") < 15, "good").otherwise("poor"), "effect": F.when(F.col("benefit") > 10, "high").when(F.col("benefit") > 5, "moderate").when(F.col("benefit") > 0, "low").otherwise("none")})
 
 

@@ -6,7 +6,7 @@ import importlib
 
 from twinweave.plans.registry import ORACLES, QUERIES
 
-for _module in ("graph", "ranking", "stats", "values"):
+for _module in ("graph", "ranking", "stats", "values", "selection"):
     importlib.import_module(f"twinweave.plans.queries_{_module}")
 
 

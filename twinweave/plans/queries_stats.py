@@ -63,7 +63,7 @@ q("best_worst", BW, lambda s, d: S.best_and_worst(runs(s, d), "dataset", "metric
 q("tracking_summary", f"SELECT metric, count(*) AS n, string_agg(CAST(CAST(floor(best_value * 1000) AS BIGINT) AS VARCHAR), ',' ORDER BY best_value) AS best_values FROM ({BW}) GROUP BY 1", lambda s, d: S.tracking_summary(S.best_and_worst(runs(s, d), "dataset", "metric")).withColumn("best_values", F.array_join(F.transform("best_values", lambda v: F.floor(v * 1000).cast("long").cast("string")), ",")))
 q("top_n", "SELECT dataset, experiment, event_id, value, rank FROM (SELECT *, row_number() OVER (PARTITION BY dataset ORDER BY value DESC, experiment) AS rank FROM runs) WHERE rank <= 5", lambda s, d: S.top_n(runs(s, d), 5, "dataset").select("dataset", "experiment", "event_id", "value", "rank"))
 q("improvement_ranking", f", {PAIRS} SELECT dataset, experiment, round(b - a, 6) AS delta, round(CASE WHEN a = 0 THEN 0 ELSE (b - a) / a * 100 END, 6) AS delta_percent, row_number() OVER (PARTITION BY dataset ORDER BY b - a DESC, experiment) AS rank FROM pairs", lambda s, d: r9(S.improvement_ranking(pairs(s, d))))
-q("synthetic_comparison", "SELECT *, CASE WHEN gap < 5 THEN 'excellent' WHEN gap < 15 THEN 'good' ELSE 'poor' END AS quality, CASE WHEN benefit > 10 THEN 'high' WHEN benefit > 5 THEN 'moderate' WHEN benefit > 0 THEN 'low' ELSE 'none' END AS effect FROM (SELECT dataset, round({0}, 6) AS baseline, round({1}, 6) AS augmented, round({2}, 6) AS synthetic_only, round(({0} - {2}) * 100 / {0}, 6) AS gap, round(({1} - {0}) * 100 / {0}, 6) AS benefit FROM runs GROUP BY 1)".format(M("baseline"), M("augmented"), M("synthetic_only")), lambda s, d: r9(S.synthetic_comparison(runs(s, d))))
+q("synthetic_comparison", "SELECT *, CASE WHEN gap < 5 THEN 'excellent' WHEN gap < 15 THEN 'good' ELSE 'poor' END AS quality, CASE WHEN benefit > 10 THEN 'high' WHEN benefit > 5 THEN 'moderate' WHEN benefit > 0 THEN 'low' ELSE 'none' END AS effect FROM (SELECT dataset, round({0}, 6) AS baseline, round({1}, 6) AS augmented, round({2}, 6) AS synthetic_only, round(({0} - {2}) * 100 / {0}, 6) AS gap, round(({1} - {0}) * 100 / {0}, 6) AS benefit, round({2} / {0}, 6) AS transferability, CASE WHEN {2} > {0} THEN 'artifacts' WHEN {2} >= CAST(0.95 AS DOUBLE) * {0} THEN 'transfers' ELSE 'gap' END AS transfer FROM runs GROUP BY 1)".format(M("baseline"), M("augmented"), M("synthetic_only")), lambda s, d: r9(S.synthetic_comparison(runs(s, d))))
 q("heatmap_pivot", "SELECT dataset, round(avg(value) FILTER (model = 'a'), 6) AS a, round(avg(value) FILTER (model = 'b'), 6) AS b FROM runs GROUP BY 1", lambda s, d: r9(S.heatmap(runs(s, d), "dataset", "model", ["a", "b"])))
 TIMES = "times AS (SELECT *, value * (CASE WHEN event_id % 50 = 0 THEN 100000 ELSE 10 END) AS seconds FROM runs)"
 

@@ -59,5 +59,5 @@ def autoload() -> None:
     """Import every module that registers something."""
     import importlib
 
-    for module in ("operators.splits", "operators.augment", "sources.files", "plans.catalog"):
+    for module in ("operators.splits", "operators.augment", "operators.ranking", "sources.files", "plans.catalog"):
         importlib.import_module(f"twinweave.{module}")
