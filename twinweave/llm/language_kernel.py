@@ -21,7 +21,6 @@ from twinweave.llm._common import bucket_of, make_importable, text_or_empty
 MAX_N, SLOT_BITS = 4, 13
 SLOTS = 1 << SLOT_BITS
 BLOCK = 128
-SALTS = 64
 CHUNK = 1 << 20
 LETTER = r"\p{L}"
 
@@ -94,12 +93,16 @@ def _presence_bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 def sample_ids(rows: DataFrame, key: str, per_key: int) -> list[int]:
     """Ids of the first rows of each key by a hash of the id: a bounded sample, the same at each run.
 
-    Salted first, so that a key with most rows is cut down in many tasks before its last ones meet.
+    A key's ids are counted, and only those with a hash in the share of the range where some eight times as many as wanted
+    are expected are ranked, so that few rows of a key meet however large it is.
     """
-    ranked = rows.where(F.col("doc_id").isNotNull()).select("doc_id", key).distinct().withColumn("_hash", F.xxhash64("doc_id")).withColumn("_salt", F.pmod("_hash", F.lit(SALTS)))
-    for keys in ([key, "_salt"], [key]):
-        order = W.partitionBy(*keys).orderBy("_hash", "doc_id")
-        ranked = ranked.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= per_key).drop("_rank")
+    distinct = rows.where(F.col("doc_id").isNotNull()).select("doc_id", key).distinct().withColumn("_hash", F.xxhash64("doc_id"))
+    counts = distinct.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).collect()
+    share = F.create_map(*[F.lit(v) for r in counts for v in (r[0], min(1.0, (8.0 * per_key + 64) / r[1]))]) if counts else F.create_map()
+    place = F.col("_hash").cast("double") / 2.0**64 + 0.5
+    few = distinct.where(place <= share[F.col(key)]) if counts else distinct
+    order = W.partitionBy(key).orderBy("_hash", "doc_id")
+    ranked = few.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= per_key)
     return [r[0] for r in ranked.select("doc_id").collect()]
 
 
@@ -112,7 +115,9 @@ def train_languages(docs: DataFrame, train: Column, per_language: int = 400) ->
     ids = sample_ids(rows, "label", per_language)
     if not ids:
         return None
-    found = rows.where(F.col("doc_id").isin(ids)).mapInArrow(_presence_bits, "doc_id long, label string, bits binary").collect()
+    found = rows.where(F.col("doc_id").isin(ids)).mapInArrow(_presence_bits, "doc_id long, label string, bits binary")
+    # One row an id and label, so that what reaches the driver stays bounded where ids repeat.
+    found = found.groupBy("doc_id", "label").agg(F.min("bits").alias("bits")).collect()
     found = sorted(found, key=lambda r: (r.label, r.doc_id, bytes(r.bits)))
     bits = np.stack([np.unpackbits(np.frombuffer(r.bits, np.uint8)) for r in found]).astype(np.float32)
     return fit_kernel(bits, [r.label for r in found])
@@ -139,7 +144,7 @@ def identify_languages(docs: DataFrame, held_out: Column | None = None, per_lang
     """doc_id, held_out, lang_pred, score for each row.
 
     Texts that are null or without a letter are ``und`` with score 0, and so are all if there is nothing to learn from.
-    Texts are read whole. Repeated rows and ids are scored each for itself; an empty table gives an empty table.
+    Texts are read whole, however long. Of rows that repeat an id and language one is learned from. Repeated rows and ids are scored each for itself; an empty table gives an empty table.
     """
     held_out = bucket_of("doc_id") % 4 == 2 if held_out is None else held_out
     model = train_languages(docs, ~held_out, per_language)
