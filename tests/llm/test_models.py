@@ -525,3 +525,58 @@ def test_hot_group(spark, hot):
     got = order_minhash.near_duplicate_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert {r.class_id for r in got if r.doc_id < hot} == {0}
     assert all(r.class_id == r.doc_id for r in got if r.doc_id >= hot)
+
+
+def test_training_samples_are_bounded_where_ids_repeat(spark):
+    """Many languages, one of them with most rows, and an id that repeats with many texts."""
+    rows = [(i % 50 if i % 3 else i, f"text {i} of many words", f"l{i % 7}" if i % 4 == 0 else "hot") for i in range(3000)]
+    docs = spark.createDataFrame([(i, t, x, None) for i, t, x in rows], "doc_id long, text string, lang string, source string")
+    for per_key in (1, 5, 400):
+        ids = language_kernel.sample_ids(docs, "lang", per_key)
+        per = defaultdict(set)
+        for i, _, x in rows:
+            per[x].add(i)
+        assert len(ids) == sum(min(per_key, len(v)) for v in per.values())
+    model = language_kernel.train_languages(docs, F.lit(True), 5)
+    assert model.languages == sorted(per) and len(model.landmarks) <= 40 * len(per)
+    labels = spark.createDataFrame([(i, int(i % 2), 0) for i in range(0, 60)], "doc_id long, quality int, toxic int")
+    assert pu_quality.quality_scores(docs, labels, max_positive=10, max_unlabelled=20).count() == 3000
+
+
+def test_risk_against_its_definition():
+    """The fitted model has a lower non-negative risk, computed by its definition, than its neighbours in weight space."""
+    rng = np.random.default_rng(4)
+    p, u = rng.normal(0.6, 1, (300, 3)).astype(np.float32), rng.normal(0, 1, (600, 3)).astype(np.float32)
+    prior = 0.4
+
+    def risk(w, b):
+        loss = lambda z: np.log1p(np.exp(-z))
+        plus = prior * np.mean([loss(x @ w + b) for x in p])
+        minus = np.mean([loss(-(x @ w + b)) for x in u]) - prior * np.mean([loss(-(x @ w + b)) for x in p])
+        return plus + max(0.0, minus) + 0.5e-3 * float(w @ w)
+
+    w, b = pu_quality._descend(p, u, prior)
+    best = risk(w, b)
+    for k in range(3):
+        for step in (-0.3, 0.3):
+            moved = w.copy()
+            moved[k] += step
+            assert risk(moved, b) > best - 1e-3
+    assert risk(w, b + 0.4) > best and risk(w, b - 0.4) > best and best < risk(w * 0, 0.0)
+
+
+def test_ridge_against_its_definition():
+    """Weights solve the balanced ridge problem in the span of the landmarks."""
+    rng = np.random.default_rng(5)
+    rows = (rng.random((40, 200)) < 0.2).astype(np.float32)
+    labels = [("a", "b", "c")[i % 3] for i in range(40)]
+    model = language_kernel.fit_kernel(rows, labels, per_language_landmarks=40, ridge=1e-2)
+    unit = rows / np.linalg.norm(rows, axis=1, keepdims=True)
+    kernel = (unit @ unit.T).astype(np.float64)
+    weight = np.array([1 / labels.count(x) for x in labels])
+    for k, lang in enumerate(model.languages):
+        y = np.where(np.array(labels) == lang, 1.0, -1.0)
+        # With every row a landmark, the dual solution of weighted kernel ridge regression gives the same scores.
+        alpha = np.linalg.solve(kernel + 1e-2 * np.diag(1 / weight), y)
+        order = np.concatenate([np.flatnonzero(np.array(labels) == x) for x in model.languages])
+        assert np.allclose(unit @ model.landmarks.T @ model.weights[:, k], kernel @ alpha, atol=1e-3) and len(order) == 40

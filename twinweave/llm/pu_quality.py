@@ -163,7 +163,9 @@ def train_quality(docs: DataFrame, labels: DataFrame, train: Column, max_positiv
     ids = set(_first_ids(labels.where((F.col("quality") == 1) & train), max_positive))
     other = set(_first_ids(docs.where(train), max_unlabelled))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty("text").alias("text")).where(F.col("doc_id").isin(sorted(ids | other)))
-    found = sorted(((r.doc_id, bytes(r.x)) for r in rows.mapInArrow(_feature_rows, "doc_id long, x binary").collect()))
+    # One row an id, so that what reaches the driver stays bounded where ids repeat.
+    each = rows.mapInArrow(_feature_rows, "doc_id long, x binary").groupBy("doc_id").agg(F.min("x").alias("x"))
+    found = sorted((r.doc_id, bytes(r.x)) for r in each.collect())
     positive = [np.frombuffer(x, np.float32) for i, x in found if i in ids]
     unlabelled = [np.frombuffer(x, np.float32) for i, x in found if i in other]
     return fit_pu(np.stack(positive), np.stack(unlabelled)) if positive and unlabelled else None
@@ -187,7 +189,7 @@ def _score(model: PuModel | None):
 def quality_scores(docs: DataFrame, labels: DataFrame, held_out: Column | None = None, threshold: float = 0.3, **limits: int) -> DataFrame:
     """doc_id, held_out, score, predicted for each row.
 
-    Null texts count as empty; empty texts are scored by their statistics, all 0. Without positives every score is 0.5.
+    Null texts count as empty; empty texts are scored by their statistics, all 0; texts are read whole, however long. Without positives every score is 0.5.
     Labels that are null are not used; ids with several labels count as good if one of them is. Repeated rows and ids are
     scored each for itself; other columns are not read; an empty table gives an empty table.
     """
@@ -213,7 +215,10 @@ def _keep(model: PuModel | None, column: int, threshold: float):
 
 
 def keep_quality(docs: DataFrame, labels: DataFrame, held_out: Column | None = None, threshold: float = 0.3, **limits: int) -> DataFrame:
-    """The rows of ``docs`` whose score reaches the threshold, with all their columns; nothing is shuffled."""
+    """The rows of ``docs`` whose score reaches the threshold, with all their columns; only the training sample is shuffled.
+
+    Null texts count as empty; each row is judged for itself, whatever its id; without positives all rows stay.
+    """
     held_out = bucket_of("doc_id") % 5 == 0 if held_out is None else held_out
     model = train_quality(docs, labels, ~held_out, **limits)
     return docs.mapInArrow(_keep(model, docs.columns.index("text"), threshold), docs.schema)
