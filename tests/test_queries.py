@@ -241,3 +241,67 @@ def test_nearest_distance(spark):
     own[own <= 1e-9] = np.inf
     got = {r.id: r.distance for r in K.nearest_distance(frame(x), frame(x), True, block_rows=7).collect()}
     assert np.allclose([got[i] for i in range(40)], own.min(axis=1))
+
+
+def small_dataset(spark, triples, aligned):
+    return Dataset(spark.createDataFrame(triples, "kg int, s string, p string, o string, o_kind string"), spark.createDataFrame(aligned, "e1 string, e2 string"), spark.createDataFrame([], "p1 string, p2 string"))
+
+
+def test_bridges_start_anew(spark):
+    """a-b are set neighbours; b and c share the hub h outside the alignment, c-d are set neighbours again; z is apart."""
+    from twinweave.operators import augment as A
+
+    triples = [(1, "a", "r", "b", "uri"), (1, "b", "r", "h", "uri"), (1, "c", "r", "h", "uri"), (1, "c", "r", "d", "uri"), (2, "a2", "n", "v", "lit"), (1, "z", "n", "v", "lit")]
+    data = small_dataset(spark, triples, [(x, f"{x}2") for x in "abcdz"])
+    order = [r.e1 for r in splits.keep_by_hash(data.alignment, 42, lambda n: F.lit(5)).withColumn("h", F.md5(F.concat_ws("|", F.lit("42"), "e1", "e2"))).orderBy("h").collect()]
+    links = {"a": {"b"}, "b": {"a"}, "c": {"d"}, "d": {"c"}, "z": set()}
+    bridge = {"b": {"c"}, "c": {"b"}}
+    for budget, depth in ((4, 3), (4, 1), (5, 3)):
+        seen, frontier = {order[0]: 0}, {order[0]: 0}
+        while len(seen) < budget and frontier:
+            new = {}
+            for x, at in frontier.items():
+                for y in links[x] if at < depth else ():
+                    new[y] = min(new.get(y, 99), at + 1)
+                for y in bridge.get(x, ()) if at + 2 <= depth else ():
+                    new[y] = 0
+            frontier = {y: at for y, at in new.items() if y not in seen}
+            seen |= frontier
+        got = {r.e1: r.depth for r in A.bfs_seeds(data, budget, depth).collect()}
+        assert len(got) == budget and all(got[x] == (seen[x] if x in seen else depth + 1) for x in got)
+
+
+def test_provenance_of_fused_relations(spark):
+    from twinweave.operators import selection as C
+
+    triples = [(1, "A", "rel", "B", "uri"), (1, "A", "name", "Alpha", "lit"), (2, "a", "rel2", "C", "uri"), (2, "D", "back", "a", "uri"), (2, "a", "name2", "Alfa", "lit")]
+    got = {(r.node, r.origin, r.p, r.other, r.direction) for r in C.relation_provenance(small_dataset(spark, triples, [("A", "a")])).collect()}
+    node = "set:A|a"
+    assert got == {(node, "source", "rel", "B", "out"), (node, "source", "name", "Alpha", "out"), (node, "target", "rel2", "C", "out"), (node, "target", "back", "D", "in"), (node, "target", "name2", "Alfa", "out")}
+
+
+def test_twins_of_neighbours_outside(spark):
+    from twinweave.operators import augment as A
+
+    triples = [(1, "A", "rel", "B", "uri"), (1, "B", "name", "bee", "lit"), (2, "D", "back", "a", "uri"), (2, "a", "rel", "B", "uri")]
+    data = small_dataset(spark, triples, [("A", "a")])
+    got = {(r.kg, r.s, r.p, r.o) for r in A.non_set_expansion(data, A.expand_pairs(data.alignment), A.keep_value).collect()}
+    assert got == {(1, "A_aug1", "rel", "B_aug1"), (1, "B_aug1", "name", "bee"), (2, "D_aug3", "back", "a_aug1"), (2, "a_aug1", "rel", "B_aug2")}
+
+
+def test_rankers_by_model_and_open_hits(spark):
+    from twinweave.plans.registry import RANKERS, autoload
+
+    autoload()
+    assert "rrea" in RANKERS.list() and "multiKE" in RANKERS.list()
+    vectors = spark.createDataFrame([(i, [float(i == k) for k in range(4)]) for i in range(4)], "id long, embedding array<double>")
+    for model in RANKERS.list():
+        best = {r.e1: r.e2 for r in RANKERS.get(model)(vectors, vectors, 1).collect()}
+        assert best == {i: i for i in range(4)}, model
+    ranks = spark.createDataFrame([("a", "x", 1), ("b", "y", 3), ("c", "z", None)], "e1 string, e2 string, rank long")
+    got = {r.metric: r.value for r in K.metrics(ranks, ks=(1, 3, 10), candidates=5).collect()}
+    assert got["hits@1"] == pytest.approx(1 / 3) and got["hits@3"] == pytest.approx(2 / 3) and got["hits@10"] == 0
+    scores = spark.createDataFrame([("a", x, 1.0) for x in "pqrs"], "e1 string, e2 string, score double")
+    gold = spark.createDataFrame([("a", "r")], "e1 string, e2 string")
+    rank = {t: K.gold_ranks(scores, gold, t).first()["rank"] for t in ("ordinal", "top", "bottom", "random")}
+    assert (rank["ordinal"], rank["top"], rank["bottom"]) == (3, 1, 4) and 1 <= rank["random"] <= 4

@@ -63,23 +63,55 @@ def generated_literals(data: Dataset, expanded: DataFrame, generator: Generator
 
 
 def bfs_seeds(data: Dataset, budget: int, depth: int, seed: int = 42) -> DataFrame:
-    """e1, e2, depth: pairs reached level by level from hash-ordered seeds, over set neighbours and, one level further,
-    over a node outside the alignment; at most ``budget`` pairs. Each level is one join; levels are checkpointed."""
+    """e1, e2, depth: at most ``budget`` pairs, reached round by round from hash-ordered seeds at depth 0.
+
+    A set neighbour of a pair at depth d is one deeper, down to ``depth``. A pair that shares a neighbour outside the
+    alignment is a bridge: it starts anew at depth 0, but only where d + 2 is still within ``depth``. Pairs of earlier rounds
+    come first, then hash order; pairs that no round reaches fill the budget, at depth + 1. A neighbour is taken once a
+    round however many pairs lead to it, so a hub costs its edges, not their square; rounds are stored.
+    """
     pairs = data.alignment.select("e1", "e2")
     ends = pairs.select(F.lit(1).alias("kg"), F.col("e1").alias("node"), "e1", "e2").unionByName(pairs.select(F.lit(2).alias("kg"), F.col("e2").alias("node"), "e1", "e2"))
-    links = edges(data.triples).select("kg", "node", "other").distinct()
-    direct = links.join(ends, ["kg", "node"]).join(ends.toDF("kg", "other", "f1", "f2"), ["kg", "other"]).select("e1", "e2", "f1", "f2").distinct()
-    visited = cut(keep_by_hash(pairs, seed, lambda n: F.greatest(F.lit(1), F.floor(F.lit(budget) / 4))).withColumn("depth", F.lit(0)))
-    for level in range(1, depth + 1):
-        frontier = visited.where(F.col("depth") == level - 1)
-        found = direct.join(frontier.select("e1", "e2"), ["e1", "e2"], "left_semi").select(F.col("f1").alias("e1"), F.col("f2").alias("e2")).distinct()
-        found = cut(found.join(visited, ["e1", "e2"], "left_anti"))
+    links = edges(data.triples).select("kg", "node", "other").distinct().join(ends, ["kg", "node"]).select("kg", "other", "e1", "e2")
+    inside = ends.select("kg", F.col("node").alias("other"), F.col("e1").alias("f1"), F.col("e2").alias("f2"))
+    direct = cut(links.join(inside, ["kg", "other"]).select("e1", "e2", "f1", "f2").distinct())
+    outside = cut(links.join(inside.select("kg", "other").distinct(), ["kg", "other"], "left_anti"))
+    visited = cut(keep_by_hash(pairs, seed, lambda n: F.greatest(F.lit(1), F.floor(F.lit(budget) / 4))).select("e1", "e2", F.lit(0).alias("depth"), F.lit(0).alias("turn")))
+    turn = 0
+    while visited.count() < budget:
+        frontier = visited.where(F.col("turn") == turn)
+        near = direct.join(frontier.where(F.col("depth") < depth), ["e1", "e2"]).select(F.col("f1").alias("e1"), F.col("f2").alias("e2"), (F.col("depth") + 1).alias("depth"))
+        shared = outside.join(frontier.where(F.col("depth") + 2 <= depth).select("e1", "e2"), ["e1", "e2"], "left_semi").select("kg", "other").distinct()
+        bridged = outside.join(shared, ["kg", "other"], "left_semi").select("e1", "e2", F.lit(0).alias("depth"))
+        turn += 1
+        found = near.unionByName(bridged).groupBy("e1", "e2").agg(F.min("depth").alias("depth")).join(visited.select("e1", "e2"), ["e1", "e2"], "left_anti")
+        found = cut(found.withColumn("turn", F.lit(turn)))
         if found.isEmpty():
             break
-        visited = visited.unionByName(found.withColumn("depth", F.lit(level)))
-    rest = pairs.join(visited, ["e1", "e2"], "left_anti").withColumn("depth", F.lit(depth + 1))
-    ranked = global_row_number(visited.unionByName(rest).withColumn("_k", F.concat(F.lpad(F.col("depth").cast("string"), 6, "0"), hash_key(seed, "e1", "e2"))), ["_k", "e1", "e2"], "_rn")
-    return cut(ranked.where(F.col("_rn") <= budget).select("e1", "e2", "depth"))
+        visited = cut(visited.unionByName(found))
+    rest = pairs.join(visited, ["e1", "e2"], "left_anti").withColumns({"depth": F.lit(depth + 1), "turn": F.lit(turn + 1)})
+    ranked = global_row_number(visited.unionByName(rest).withColumn("_k", hash_key(seed, "e1", "e2")), ["turn", "_k", "e1", "e2"], "_rn")
+    return ranked.where(F.col("_rn") <= budget).select("e1", "e2", "depth")
+
+
+def keep_value(value: Column, key: Column) -> Column:
+    """A generator that makes nothing new."""
+    return value
+
+
+def non_set_expansion(data: Dataset, expanded: DataFrame, generator: Generator = variation) -> DataFrame:
+    """kg, s, p, o, o_kind: twins of the neighbours outside the alignment of expanded pairs, with generated literals of their
+    own, tied to the synthetic entities as the originals are. A twin exists in the graphs that have its original; its number
+    is the neighbour's place in order, one higher in the second graph."""
+    aligned = data.alignment.select(F.lit(1).alias("kg"), F.col("e1").alias("other")).unionByName(data.alignment.select(F.lit(2).alias("kg"), F.col("e2").alias("other")))
+    near = edges(data.triples).join(expanded_ends(expanded).withColumnRenamed("e", "node"), ["kg", "node"]).join(aligned, ["kg", "other"], "left_anti")
+    numbered = global_row_number(near.select("other").distinct(), ["other"], "n")
+    twins = near.select("kg", "other").distinct().join(numbered, "other").select("kg", "other", X.minted(F.col("other"), F.col("n") + F.col("kg") - 1).alias("twin"))
+    out = F.col("direction") == "out"
+    tied = near.join(twins, ["kg", "other"]).select("kg", F.when(out, F.col("a")).otherwise(F.col("twin")).alias("s"), "p", F.when(out, F.col("twin")).otherwise(F.col("a")).alias("o"), F.lit("uri").alias("o_kind"))
+    made = attribute_triples(data.triples).withColumnRenamed("s", "other").join(twins, ["kg", "other"])
+    literals = made.select("kg", F.col("twin").alias("s"), "p", generator(F.col("o"), F.md5(X.cache_key(F.col("o")))).alias("o"), F.lit("lit").alias("o_kind"))
+    return tied.unionByName(literals).distinct()
 
 
 @AUGMENTERS.register("plm")
@@ -138,4 +170,4 @@ def training_rows(data: Dataset, repeats: int = 3, seed: int = 42, with_context:
     return rows.select(F.concat_ws(" ", "token", "a").alias("input"), F.col("b").alias("target"), "copy", hash_key(seed, "token", "a", "b", "copy").alias("position"))
 
 
-__all__ = ["augment", "augment_eda", "bfs_seeds", "context_text", "copied_literals", "expand_pairs", "generated_literals", "mirrored_relations", "predicate_token_map", "ratio_count", "training_rows", "with_total"]
+__all__ = ["augment", "augment_eda", "bfs_seeds", "context_text", "copied_literals", "expand_pairs", "generated_literals", "keep_value", "mirrored_relations", "non_set_expansion", "predicate_token_map", "ratio_count", "training_rows", "with_total"]

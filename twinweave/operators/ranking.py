@@ -184,9 +184,9 @@ def reciprocal_pairs(first: DataFrame, second: DataFrame) -> DataFrame:
 
 
 def gold_ranks(scores: DataFrame, gold: DataFrame, ties: str = "ordinal") -> DataFrame:
-    """e1, e2, rank of each gold pair: counts of better candidates; ``ties``: ordinal (by e2), top or bottom."""
+    """e1, e2, rank of each gold pair: counts of better candidates; ``ties``: ordinal (by e2), top, bottom, or random (by hash)."""
     target = gold.join(scores, ["e1", "e2"]).select("e1", F.col("e2").alias("_g"), F.col("score").alias("_s"))
-    better = (F.col("score") > F.col("_s")) | {"ordinal": (F.col("score") == F.col("_s")) & (F.col("e2") < F.col("_g")), "top": F.lit(False), "bottom": (F.col("score") == F.col("_s")) & (F.col("e2") != F.col("_g"))}[ties]
+    better = (F.col("score") > F.col("_s")) | {"ordinal": (F.col("score") == F.col("_s")) & (F.col("e2") < F.col("_g")), "random": (F.col("score") == F.col("_s")) & (F.md5(F.concat_ws("|", "e1", "e2")) < F.md5(F.concat_ws("|", "e1", "_g"))), "top": F.lit(False), "bottom": (F.col("score") == F.col("_s")) & (F.col("e2") != F.col("_g"))}[ties]
     return scores.join(target, "e1").groupBy("e1", F.col("_g").alias("e2")).agg((1 + F.count(F.when(better, 1))).cast("long").alias("rank"))
 
 
@@ -196,14 +196,14 @@ def filtered_ranks(scores: DataFrame, gold: DataFrame, known: DataFrame, ties: s
     return gold_ranks(scores.join(others, ["e1", "e2"], "left_anti"), gold, ties)
 
 
-def metrics(ranks: DataFrame, total: DataFrame | int | None = None, ks: tuple[int, ...] = (1, 5, 10), percent: bool = False, digits: int | None = None, found_only: bool = True) -> DataFrame:
-    """metric, value: hits@k, mr, mrr. Hits divide by ``total`` (the ranked rows if None); mr and mrr by the ranked rows,
+def metrics(ranks: DataFrame, total: DataFrame | int | None = None, ks: tuple[int, ...] = (1, 5, 10), percent: bool = False, digits: int | None = None, found_only: bool = True, candidates: int | None = None) -> DataFrame:
+    """metric, value: hits@k, mr, mrr. With fewer than k ``candidates`` a row hits@k is 0. Hits divide by ``total`` (the ranked rows if None); mr and mrr by the ranked rows,
     or by ``total`` if not ``found_only``. Null ranks are misses."""
     n = F.count(F.lit(1)) if total is None else F.lit(total)
     below = F.count("rank") if found_only else n
     scale = 100.0 if percent else 1.0
     shown = lambda c: F.round(c, digits) if digits is not None else c
-    row = ranks.agg(*[shown(F.count(F.when(F.col("rank") <= k, 1)) * scale / n).alias(f"hits@{k}") for k in ks], shown(F.sum("rank") / below).alias("mr"), shown(F.sum(1.0 / F.col("rank")) / below).alias("mrr"))
+    row = ranks.agg(*[shown(F.count(F.when((F.col("rank") <= k) & F.lit(candidates is None or k <= candidates), 1)) * scale / n).alias(f"hits@{k}") for k in ks], shown(F.sum("rank") / below).alias("mr"), shown(F.sum(1.0 / F.col("rank")) / below).alias("mrr"))
     return row.select(F.explode(F.create_map(*[x for c in row.columns for x in (F.lit(c), F.col(c).cast("double"))])).alias("metric", "value"))
 
 
