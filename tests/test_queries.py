@@ -305,3 +305,25 @@ def test_rankers_by_model_and_open_hits(spark):
     gold = spark.createDataFrame([("a", "r")], "e1 string, e2 string")
     rank = {t: K.gold_ranks(scores, gold, t).first()["rank"] for t in ("ordinal", "top", "bottom", "random")}
     assert (rank["ordinal"], rank["top"], rank["bottom"]) == (3, 1, 4) and 1 <= rank["random"] <= 4
+
+
+def test_mixup_rows(spark, sf_dir):
+    """With a generator that appends, every row follows from its kind's rule, and the shares are near theirs."""
+    from collections import Counter
+
+    from twinweave.operators import augment as A
+
+    data = derived(spark, sf_dir)
+    rows = A.mixup_rows(data, lambda v, k: F.concat(v, F.lit("son"))).collect()
+    kinds = Counter(r.kind for r in rows)
+    assert set(kinds) == {"aligned", "synthetic", "orphan", "flip", "name"} and kinds["flip"] == 2 * 3 * len(A.FLIP_PAIRS)
+    ways = {(r.v1, r.v2) for r in relational.aligned_attributes(data).collect()}
+    ways = {w for a, b in ways for w in ((a, b), (b, a)) if a.strip().lower() != b.strip().lower()}
+    aligned = Counter((r.source, r.target) for r in rows if r.kind == "aligned")
+    assert set(aligned) <= ways and all(n % 3 == 0 for n in aligned.values())
+    assert all(r.target == r.source + "son" for r in rows if r.kind in ("synthetic", "orphan", "name"))
+    literals = {r.o.strip() for r in data.triples.where("o_kind = 'lit'").collect()}
+    orphans = [r for r in rows if r.kind == "orphan"]
+    assert {r.source for r in orphans} <= literals and max(Counter(r.token for r in orphans).values()) <= 100
+    assert 0.1 < kinds["synthetic"] / sum(aligned.values()) * 3 < 0.5
+    assert sorted(map(tuple, rows)) == sorted(map(tuple, A.mixup_rows(data, lambda v, k: F.concat(v, F.lit("son"))).collect()))

@@ -98,9 +98,10 @@ def token_jaccard(a: Column, b: Column) -> Column:
 def token_overlap(given: Column, made: Column) -> Column:
     """Share of the made text's words, repeats counted, that the given one has; stop words count on neither side."""
     stop = F.array(*map(F.lit, STOPWORDS))
-    words = F.filter(tokens(made), lambda w: ~F.array_contains(stop, w))
-    known = F.array_distinct(tokens(given))
-    return F.when(F.size(words) == 0, 0.0).otherwise(F.size(F.filter(words, lambda w: F.array_contains(known, w))) / F.size(words))
+    sides = F.struct(F.filter(tokens(made), lambda w: ~F.array_contains(stop, w)).alias("made"), F.array_distinct(tokens(given)).alias("given"))
+    share = lambda r: F.size(F.filter(r["made"], lambda w: F.array_contains(r["given"], w))) / F.size(r["made"])
+    # A one-element transform names the word lists, so that they are made once.
+    return F.get(F.transform(F.array(sides), lambda r: F.when(F.size(r["made"]) == 0, 0.0).otherwise(share(r))), F.lit(0))
 
 
 def prompted(value: Column) -> Column:

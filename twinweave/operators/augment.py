@@ -170,4 +170,62 @@ def training_rows(data: Dataset, repeats: int = 3, seed: int = 42, with_context:
     return rows.select(F.concat_ws(" ", "token", "a").alias("input"), F.col("b").alias("target"), "copy", hash_key(seed, "token", "a", "b", "copy").alias("position"))
 
 
-__all__ = ["augment", "augment_eda", "bfs_seeds", "context_text", "copied_literals", "expand_pairs", "generated_literals", "keep_value", "mirrored_relations", "non_set_expansion", "predicate_token_map", "ratio_count", "training_rows", "with_total"]
+#: Words that training rows flip.
+FLIP_PAIRS = {
+    "yes": "no",
+    "no": "yes",
+    "true": "false",
+    "false": "true",
+    "left": "right",
+    "right": "left",
+    "up": "down",
+    "down": "up",
+    "top": "bottom",
+    "bottom": "top",
+    "start": "end",
+    "end": "start",
+    "on": "off",
+    "off": "on",
+    "active": "inactive",
+    "inactive": "active",
+    "enabled": "disabled",
+    "disabled": "enabled",
+}
+
+
+def hash_share(seed: int, *cols: str) -> Column:
+    """A number from 0 to 1 by the hash of the columns."""
+    return F.conv(F.substring(hash_key(seed, *cols), 1, 8), 16, 10).cast("double") / 2.0**32
+
+
+def mixup_rows(data: Dataset, generator: Generator = variation, repeats: int = 3, synthetic: float = 0.3, per_token: int = 100, orphans: float = 0.5, per_name: int = 10, seed: int = 42) -> DataFrame:
+    """kind, token, source, target, copy, position: rows that teach a generator, in the order of position.
+
+    ``aligned``: matched literals that differ, both ways, ``repeats`` times. ``synthetic``: a share of them with a generated
+    target. ``orphan``: at most ``per_token`` values of a token by hash, a share of them with a generated target. Those three
+    pass the quality filter. ``flip``: fixed opposites and the words themselves. ``name``: variations of the many-worded
+    names among the rows.
+    """
+    tokens = predicate_token_map(data)
+    pairs = aligned_attributes(data).join(tokens.where("kg = 1").select(F.col("p").alias("p1"), "token"), "p1").where("lower(trim(v1)) <> lower(trim(v2))")
+    ways = pairs.select("token", F.explode(F.array(F.struct(F.col("v1").alias("a"), F.col("v2").alias("b")), F.struct(F.col("v2").alias("a"), F.col("v1").alias("b")))).alias("w")).select("token", "w.a", "w.b")
+    count = lambda df, n: df.withColumn("copy", F.explode(F.sequence(F.lit(1), F.lit(n))))
+    rows = count(ways.select(F.lit("aligned").alias("kind"), "token", F.col("a").alias("source"), F.col("b").alias("target")), repeats)
+    made = ways.where(hash_share(seed, "token", "a", "b") < synthetic).withColumn("target", generator(F.col("a"), F.md5("a"))).where("target <> a and target <> b")
+    rows = rows.unionByName(count(made.select(F.lit("synthetic").alias("kind"), "token", F.col("a").alias("source"), "target"), 1))
+    values = attribute_triples(data.triples).join(tokens, ["kg", "p"]).select("token", F.trim("o").alias("source")).where("source <> ''").distinct().withColumn("_h", hash_key(seed, "token", "source"))
+    ranked = global_row_number(values, ["token", "_h", "source"], "_rn")
+    ranked = ranked.join(ranked.groupBy("token").agg((F.min("_rn") - 1).alias("_before")), "token").where(F.col("_rn") - F.col("_before") <= per_token)
+    alone = ranked.where(hash_share(seed + 1, "token", "source") < orphans).withColumn("target", generator(F.col("source"), F.md5("source"))).where("target <> source and length(target) > 2")
+    rows = rows.unionByName(count(alone.select(F.lit("orphan").alias("kind"), "token", "source", "target"), 1))
+    rows = rows.where(X.keeps_training_row(F.col("source"), F.col("target")))
+    spark = data.triples.sparkSession
+    flips = [("flip", "<value>", a, t) for a, b in FLIP_PAIRS.items() for t in (b, a)]
+    rows = rows.unionByName(count(spark.createDataFrame(flips, "kind string, token string, source string, target string"), repeats))
+    names = rows.where(F.lower("token").contains("<name>") & (F.size(X.tokens(F.col("source"))) >= 2) & (F.length("source") < 50)).select("token", "source").distinct()
+    varied = count(names, per_name).withColumn("target", generator(F.col("source"), F.md5(F.concat_ws("|", "source", "copy")))).where("lower(target) <> lower(source)")
+    rows = rows.unionByName(varied.select(F.lit("name").alias("kind"), "token", "source", "target", "copy"))
+    return rows.withColumn("position", hash_key(seed, "kind", "token", "source", "target", "copy"))
+
+
+__all__ = ["augment", "augment_eda", "bfs_seeds", "context_text", "copied_literals", "expand_pairs", "generated_literals", "keep_value", "mirrored_relations", "mixup_rows", "non_set_expansion", "predicate_token_map", "ratio_count", "training_rows", "with_total"]

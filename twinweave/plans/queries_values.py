@@ -107,6 +107,7 @@ query("augment_non_set", f"WITH {ENDS}, nr AS (SELECT x.kg, x.p, x.other, x.dire
 query("augment_plm")(lambda s, d: A.augment(derived(s, d), 0.2).triples)
 query("augment_eda")(lambda s, d: A.augment_eda(derived(s, d), 0.2).triples)
 query("mixup_training_rows")(lambda s, d: A.training_rows(derived(s, d)))
+query("mixup_rows")(lambda s, d: A.mixup_rows(derived(s, d)))
 query("context_training_rows")(lambda s, d: A.training_rows(derived(s, d), with_context=True))
 query("predicate_token_map", "SELECT DISTINCT kg, p, '<' || upper(regexp_extract(coalesce(p1, p), '([^#/]*)$', 1)) || '>' AS token FROM triples LEFT JOIN attr_match ON kg = 2 AND p = p2 WHERE o_kind = 'lit'")(lambda s, d: A.predicate_token_map(derived(s, d)))
 query("entity_context", "WITH h AS (SELECT kg, s, regexp_extract(p, '([^#/]*)$', 1) || ': ' || o AS c, md5('42|' || s || '|' || p || '|' || o) AS h FROM triples WHERE o_kind = 'lit' AND length(o) < 50), r AS (SELECT *, row_number() OVER (PARTITION BY kg, s ORDER BY h) AS rn FROM (SELECT DISTINCT * FROM h)) SELECT t.kg, t.s, coalesce(string_agg(c, '; ' ORDER BY h) FILTER (rn <= 2), 'generic') AS context FROM (SELECT DISTINCT kg, s FROM triples) t LEFT JOIN r ON r.kg = t.kg AND r.s = t.s GROUP BY 1, 2")(lambda s, d: A.context_text(T(s, d), 2))
