@@ -327,3 +327,12 @@ def test_mixup_rows(spark, sf_dir):
     assert {r.source for r in orphans} <= literals and max(Counter(r.token for r in orphans).values()) <= 100
     assert 0.1 < kinds["synthetic"] / sum(aligned.values()) * 3 < 0.5
     assert sorted(map(tuple, rows)) == sorted(map(tuple, A.mixup_rows(data, lambda v, k: F.concat(v, F.lit("son"))).collect()))
+
+
+def test_retries_keep_the_best():
+    from twinweave.operators.selection import improve_until
+
+    made = [0.4, 0.7, 0.55, 0.9]
+    assert improve_until(lambda i: made[i], lambda x: x, 0.5, 0.1, 4) == (0.7, 0.7, 2)
+    assert improve_until(lambda i: made[i], lambda x: x, 0.8, 0.2, 3) == (0.7, 0.7, 3)
+    assert improve_until(lambda i: made[i], lambda x: x, 0.0, attempts=0) == (None, None, 0)

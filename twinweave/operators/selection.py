@@ -111,3 +111,26 @@ def select_names(entities: DataFrame, names: DataFrame, preferred: list[str], by
     name = F.when(none & F.lit(random_start), "no_value").when(none | F.lit(by_url), url_name(F.col("e"))).otherwise(F.col("c.cleaned"))
     source = F.when(none & F.lit(random_start), "random").when(none | F.lit(by_url), "url").when(F.col("c.k") == "a", "prior").otherwise("non_prior")
     return rows.select("kg", "e", name.alias("name"), source.alias("source"))
+
+
+def learned_variations(values: DataFrame) -> DataFrame:
+    """word, variation, n: words that stand in the same place of two values (o1, o2) of equally many words and differ, both
+    ways; n counts the value pairs."""
+    sides = values.select("o1", "o2").distinct().select(X.tokens(F.col("o1")).alias("x"), X.tokens(F.col("o2")).alias("y")).where("size(x) = size(y)")
+    met = sides.select(F.explode(F.arrays_zip("x", "y")).alias("w")).select(F.col("w.x").alias("word"), F.col("w.y").alias("variation")).where("word <> variation")
+    both = met.unionByName(met.select(F.col("variation").alias("word"), F.col("word").alias("variation")))
+    return both.groupBy("word", "variation").agg(F.count(F.lit(1)).alias("n"))
+
+
+def improve_until(attempt, score, baseline: float, least: float = 0.0, attempts: int = 3):
+    """(result, score, tries): calls ``attempt(i)`` until its score passes the baseline by ``least``, at most ``attempts``
+    times, and keeps the best; ``attempt`` makes a plan and ``score`` runs it."""
+    best, top, tries = None, None, 0
+    for i in range(attempts):
+        result = attempt(i)
+        value, tries = score(result), i + 1
+        if top is None or value > top:
+            best, top = result, value
+        if value - baseline >= least:
+            break
+    return best, top, tries

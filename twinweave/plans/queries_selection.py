@@ -109,3 +109,16 @@ def _rankings(s, d):
         out = out.unionByName(part)
     return out.select("model", "e1", "e2", "score", "rank")
 
+
+WORDS_OF = "list_filter(regexp_split_to_array(lower({0}), '\\s+'), lambda w: w <> '')"
+
+
+def _parts(s, d):
+    """Names and types of neighbouring parts, as pairs of values."""
+    rows = s.read.parquet(f"{d}/part.parquet").select("p_partkey", F.concat_ws(" ", "p_name", "p_type").alias("o1"))
+    return rows.join(rows.select((F.col("p_partkey") - 1).alias("p_partkey"), F.col("o1").alias("o2")), "p_partkey")
+
+
+PARTS = "mv AS (SELECT concat_ws(' ', a.p_name, a.p_type) AS o1, concat_ws(' ', b.p_name, b.p_type) AS o2 FROM part a JOIN part b ON b.p_partkey = a.p_partkey + 1)"
+query("learned_variations", f"WITH {PARTS}, tk AS (SELECT {WORDS_OF.format('o1')} AS x, {WORDS_OF.format('o2')} AS y FROM (SELECT DISTINCT o1, o2 FROM mv)), wd AS (SELECT unnest(x) AS a, unnest(y) AS b FROM tk WHERE len(x) = len(y)), df AS (SELECT a AS word, b AS variation FROM wd WHERE a <> b UNION ALL SELECT b, a FROM wd WHERE a <> b) SELECT word, variation, count(*) AS n FROM df GROUP BY ALL", graphs=False)(lambda s, d: C.learned_variations(_parts(s, d)))
+q("adaptive_alpha", " SELECT e1, e2, round(greatest(0.05, least(0.95, CAST(0.5 AS DOUBLE) + CAST(0.3 AS DOUBLE) * score)), 6) AS alpha FROM cosines WHERE e1 = e2")(lambda s, d: (lambda a, b: rounded(K.score_pairs(a, b, gold(a)).select("e1", "e2", X.adaptive_alpha(F.col("score")).alias("alpha")), "alpha"))(*emb(s, d)))
