@@ -35,6 +35,20 @@ def test_word_encoder_is_exact(text):
         assert ENCODER.encode([t], 7)[0] == ids_of(ENCODER.tokenizer, t, 7).tobytes()
 
 
+def test_other_vocabularies_are_encoded_whole(tmp_path):
+    """A vocabulary that keeps spaces in its words would differ word by word."""
+    from tokenizers import Tokenizer, models, pre_tokenizers
+
+    letters = sorted(pre_tokenizers.ByteLevel.alphabet())
+    other = Tokenizer(models.BPE(vocab={c: i for i, c in enumerate(letters)}, merges=[]))
+    other.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False)
+    other.save(str(tmp_path / "other.json"))
+    made = WordEncoder(str(tmp_path / "other.json"))
+    assert not made.by_word and ENCODER.by_word
+    for t in ("a b  c\nd", "", "don't stop"):
+        assert made.encode([t], 3)[0] == ids_of(made.tokenizer, t, 3).tobytes()
+
+
 def test_store(docs, tokenizer):
     got = sorted(map(tuple, token_store.store_digests(docs).collect()))
     start, expected = 0, []

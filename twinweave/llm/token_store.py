@@ -23,6 +23,7 @@ from twinweave.llm.tokens import default_vocabulary
 #: Parquet settings of the store; the ids keep their dictionary, the document columns are delta encoded.
 LAYOUT = {"compression": "zstd", "parquet.block.size": str(32 << 20), "parquet.page.size": str(1 << 20), "parquet.page.row.count.limit": "20000", "parquet.writer.version": "PARQUET_2_0", "parquet.enable.dictionary": "true", "parquet.enable.dictionary#doc_id": "false", "parquet.enable.dictionary#n_tokens": "false", "parquet.enable.dictionary#start_in_part": "false"}
 BATCH_BYTES = 4 << 20
+RANGE_DOCS = 1 << 17
 
 
 def _encode(path: str, end_id: int):
@@ -62,11 +63,12 @@ def pieces_of(batch: pa.RecordBatch, column: int = 1, most: int = BATCH_BYTES) -
 
 
 def write_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None, end_id: int = 2, layout: dict[str, str] = LAYOUT) -> None:
-    """Write the store. Null texts count as empty and hold only the end id; null ids come first; rows that repeat an id
+    """Write the store. Texts are encoded whole, however long. Null texts count as empty and hold only the end id; null ids come first; rows that repeat an id
     stay beside each other, shorter texts first. Other columns are not read; an empty table gives a store of no rows."""
     make_importable(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # Ranges of a bounded number of documents, so that tasks and files don't grow with the table.
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-docs.count() // RANGE_DOCS))
     ordered = rows.repartitionByRange(parts, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.length("text"), "text")
     schema = "doc_id long, part int, start_in_part long, n_tokens long, tokens array<int>"
     ordered.mapInArrow(_encode(vocabulary or default_vocabulary(), end_id), schema).write.options(**layout).parquet(path)

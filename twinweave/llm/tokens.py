@@ -19,6 +19,8 @@ _UNSURE = "\x0b\x0c\x1c\x1d\x1e\x1f\x85"
 _CLOSERS = ".,!?;:%&*#$@+=~^/-_)]}"
 #: Letters whose lower case and byte form are one step from the model's alphabet: ASCII and Latin-1.
 _PLAIN = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
+#: Texts that show whether a vocabulary parts words as this module takes for granted.
+_PROBES = ("Hello, world! It's 2024.", " two  spaces\tand\na line ", "naïve Été—über (x_y) #tag a1b2 don't", "word. (word) [word]; x=1,234.5%", "日本語 текст 𝒳 e\u0301 \u00a0 ß", "ALLCAPS camelCase under_score 'quoted' \"double\"")
 _PACKERS = [struct.Struct(f"<{n}I").pack for n in range(16)]
 _encoders: dict[str, WordEncoder] = {}
 
@@ -31,7 +33,10 @@ def _byte_letters() -> dict[int, str]:
 
 
 class WordEncoder(dict):
-    """Ids of whole texts as little-endian unsigned 32-bit bytes; as a map, ids of the words seen so far."""
+    """Ids of whole texts as little-endian unsigned 32-bit bytes; as a map, ids of the words seen so far.
+
+    A vocabulary whose ids of the probe texts differ by words and by whole texts is never taken word by word.
+    """
 
     def __init__(self, path: str):
         super().__init__()
@@ -41,6 +46,14 @@ class WordEncoder(dict):
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
         self.letters = _byte_letters()
+        self.by_word = True
+        # A vocabulary that joins words otherwise is encoded text by text.
+        self.by_word = self.encode(_PROBES, 0) == [self._whole(t, 0) for t in _PROBES]
+        self.clear()
+
+    def _whole(self, text: str, end_id: int) -> bytes:
+        ids = [*self.tokenizer.encode(text, add_special_tokens=False).ids, end_id]
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def __missing__(self, word: str) -> bytes:
         found = self[word] = self._look_up(word)
@@ -65,6 +78,8 @@ class WordEncoder(dict):
 
     def encode(self, texts: Iterable[str], end_id: int) -> list[bytes]:
         """Ids of each text without special tokens, then ``end_id``."""
+        if not self.by_word:
+            return [self._whole(text, end_id) for text in texts]
         end, get, out = int(end_id).to_bytes(4, "little"), self.__getitem__, []
         for text in texts:
             if len(self) > _MAX_WORDS:
