@@ -97,3 +97,11 @@ def test_streaming(spark, tmp_path):
         query.stop()
     assert spark.sql("select * from once").count() == 2
     assert rows(spark.sql("select kg, triples, relations from stats")) == [(1, 2, 2), (2, 0, 1)]
+
+
+def test_latex_table(spark, tmp_path):
+    from twinweave.sources.files import write_table
+
+    write_table(spark.createDataFrame([("a_b", 1.5), ("50 % & more", None)], "name_x string, v double").coalesce(1), f"{tmp_path}/t", "tex")
+    lines = next((tmp_path / "t").glob("part-*")).read_text().splitlines()
+    assert lines == ["\\begin{tabular}{ll}", "\\toprule", "name\\_x & v \\\\", "\\midrule", "a\\_b & 1.5 \\\\", "50 \\% \\& more &  \\\\", "\\bottomrule", "\\end{tabular}"]

@@ -11,6 +11,7 @@ from twinweave.operators.relational import attribute_triples, first_seen_ids, re
 from twinweave.operators.splits import split_positions
 from twinweave.operators.structure import equivalence_expansion, masked, merged_triples
 from twinweave.plans.kg import Dataset
+from twinweave.functions.text import latex_escape
 from twinweave.plans.ranks import global_row_number
 from twinweave.plans.registry import READERS, WRITERS
 
@@ -287,8 +288,17 @@ def with_name_vectors(names: DataFrame, vectors: DataFrame, width: int) -> DataF
 
 
 def write_table(rows: DataFrame, path: str, form: str = "csv") -> None:
-    """csv, tsv or md (a Markdown table)."""
-    if form == "md":
+    """csv, tsv, md (a Markdown table) or tex (a LaTeX table with escaped cells)."""
+    if form == "tex":
+        cells = [latex_escape(F.coalesce(F.col(c).cast("string"), F.lit(""))) for c in rows.columns]
+        lines = rows.select(F.monotonically_increasing_id().alias("at"), F.concat(F.concat_ws(" & ", *cells), F.lit(" \\\\")).alias("value"))
+        spark = rows.sparkSession
+        names = spark.range(1).select(F.concat(F.concat_ws(" & ", *[latex_escape(F.lit(c)) for c in rows.columns]), F.lit(" \\\\"))).first()[0]
+        edge = lambda at, texts: spark.createDataFrame([(at + i, t) for i, t in enumerate(texts)], "at long, value string")
+        head = edge(-9, ["\\begin{tabular}{" + "l" * len(rows.columns) + "}", "\\toprule", names, "\\midrule"])
+        tail = edge(2**62, ["\\bottomrule", "\\end{tabular}"])
+        head.unionByName(lines).unionByName(tail).coalesce(1).sortWithinPartitions("at").select("value").write.mode("overwrite").text(path)
+    elif form == "md":
         head = ["| " + " | ".join(rows.columns) + " |", "| " + " | ".join("---" for _ in rows.columns) + " |"]
         lines = rows.select(F.concat(F.lit("| "), F.concat_ws(" | ", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in rows.columns]), F.lit(" |")).alias("value"))
         spark = rows.sparkSession
