@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from twinweave.operators.relational import attribute_triples, edges, entities, relation_triples, subjects
@@ -55,21 +56,28 @@ def functionality(triples: DataFrame) -> DataFrame:
     return rows.groupBy("kg", "p").agg((F.countDistinct("s") / F.count(F.lit(1))).alias("value"))
 
 
+def first_of(rows: DataFrame, keys: list[str], order: list[str], most: int) -> DataFrame:
+    """The first ``most`` distinct rows of each key. A limit by rank is also applied before the exchange, so a hub sends at
+    most that many rows a task and its list is never gathered whole."""
+    rank = F.row_number().over(W.partitionBy(*keys).orderBy(*order))
+    return rows.select(*keys, *order).distinct().withColumn("_rank", rank).where(F.col("_rank") <= most).drop("_rank")
+
+
 def padded_neighbours(triples: DataFrame, most: int, pad: str = "") -> DataFrame:
     """kg, node, neighbours: sorted distinct neighbours in both directions, cut and padded to ``most``."""
-    lists = edges(triples).groupBy("kg", "node").agg(F.sort_array(F.collect_set("other")).alias("n"))
+    lists = first_of(edges(triples), ["kg", "node"], ["other"], most).groupBy("kg", "node").agg(F.sort_array(F.collect_list("other")).alias("n"))
     return lists.select("kg", "node", F.slice(F.concat("n", F.array_repeat(F.lit(pad), most)), 1, most).alias("neighbours"))
 
 
 def relation_neighbours(triples: DataFrame, most: int = 1000) -> DataFrame:
     """kg, node, facts: (relation, neighbour) with inverse relations as ``p-``, sorted, at most ``most``."""
     rows = edges(triples).select("kg", "node", F.when(F.col("direction") == "in", F.concat("p", F.lit("-"))).otherwise(F.col("p")).alias("p"), "other")
-    return rows.groupBy("kg", "node").agg(F.slice(F.array_sort(F.collect_set(F.struct("p", "other"))), 1, most).alias("facts"))
+    return first_of(rows, ["kg", "node"], ["p", "other"], most).groupBy("kg", "node").agg(F.array_sort(F.collect_list(F.struct("p", "other"))).alias("facts"))
 
 
 def entity_values(triples: DataFrame, most: int, pad: str = "") -> DataFrame:
     """kg, s, o_values: sorted distinct literals, cut and padded."""
-    lists = attribute_triples(triples).groupBy("kg", "s").agg(F.sort_array(F.collect_set("o")).alias("v"))
+    lists = first_of(attribute_triples(triples), ["kg", "s"], ["o"], most).groupBy("kg", "s").agg(F.sort_array(F.collect_list("o")).alias("v"))
     return lists.select("kg", "s", F.slice(F.concat("v", F.array_repeat(F.lit(pad), most)), 1, most).alias("o_values"))
 
 
