@@ -23,7 +23,7 @@ from twinweave.llm.tokens import default_vocabulary
 
 SHARD_PIECES = 1024
 #: Pieces that come to the bins together, longest first.
-BATCH = 128
+BATCH = 256
 
 
 def first_come(lengths: list[int], capacity: int, batch: int = BATCH) -> list[int]:
