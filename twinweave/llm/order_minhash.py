@@ -17,7 +17,7 @@ Every pair of different texts that shares a cell is settled, but not by listing
   pairs. The same rule as for cells then says which keys give all their pairs;
 * texts that hold frequent word pairs even among those, because over 60 % of them stands in many texts, are compared
   in blocks whose only output is links: a matrix product bounds the words in common, and pairs that a link already joins
-  are skipped. Where the cells left hold at most FEW texts in all, blocks come at once: both ways find the same links,
+  are skipped. Where the cells left hold at most FEW texts in all, blocks come at once: both ways find every link of a common cell,
   and up to there blocks are the cheaper one.
 """
 
