@@ -71,10 +71,9 @@ def levenshtein_ratio(a: Column, b: Column) -> Column:
 def grams(value: Column, n: int = 3) -> Column:
     """Distinct character n-grams of the lower-cased value with a space on each side."""
     padded = F.concat(F.lit(" "), F.lower(value), F.lit(" "))
-    # A one-element transform names the characters, so that they are split once and each gram takes constant time.
-    cut = lambda chars: F.transform(F.sequence(F.lit(0), F.size(chars) - n), lambda i: F.concat(*[F.get(chars, i + k) for k in range(n)]))
-    every = F.flatten(F.transform(F.array(F.split(padded, "")), lambda chars: F.when(F.size(chars) < n, F.array(F.array_join(chars, ""))).otherwise(cut(chars))))
-    return F.array_distinct(every)
+    # A look-ahead matches at every character, so one pass of the pattern takes all grams.
+    every = F.regexp_extract_all(padded, F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1))
+    return F.when(F.length(padded) < n, F.array(padded)).otherwise(F.array_distinct(every))
 
 
 def jaccard(a: Column, b: Column) -> Column:
