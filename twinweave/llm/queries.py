@@ -111,7 +111,7 @@ def _secrets_sql() -> str:
     w = secret_scan.WINDOW
     assign = f"length(regexp_extract(m[i], {_sql(secret_scan.ASSIGN)}, 2)) >= {secret_scan.MIN_ASSIGNED}"
     base = " UNION ALL ".join(f"SELECT doc_id, k, kind, s, s + length(m) AS e FROM ({_span_sql(k, p, t)})" for k, p, t in (("assign", secret_scan.ASSIGN, assign), ("access", secret_scan.ACCESS, "true"), ("hex", secret_scan.HEX, "true")))
-    runs = f"SELECT * FROM ({_span_sql('entropy', secret_scan.RUN)}) WHERE NOT regexp_matches(lower(m), {_sql(secret_scan.ALLOWED)})"
+    runs = f"SELECT * FROM ({_span_sql('entropy', secret_scan.RUN)}) WHERE NOT regexp_matches(lower(m), {_sql(secret_scan.ALLOWED + '|^[a-z]+([-_/][a-z]+)+$')})"
     return f"""WITH base AS ({base}), runs AS ({runs}), windows AS (SELECT doc_id, s, m, {limits} AS lim, unnest(range(0, length(m) - {w - 1})) AS i FROM runs),
 hits AS (SELECT doc_id, s, i FROM windows WHERE list_sum(list_transform(map_values(list_aggregate(string_split(substr(m, i + 1, {w}), ''), 'histogram')), lambda c: {terms}[CAST(c AS INTEGER) + 1])) <= lim),
 every AS (SELECT doc_id, k, kind, s, e FROM base UNION ALL SELECT doc_id, 3, 'entropy', s + min(i), s + max(i) + {w} FROM hits GROUP BY doc_id, s)

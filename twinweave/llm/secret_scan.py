@@ -29,8 +29,10 @@ RUN = "[A-Za-z0-9+/_=-]{20,}"
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 #: Class of a run, first that fits, and the bits per character that a window must reach.
 CLASSES = (("hex", "^[0-9A-Fa-f]+$", 3.2), ("letters", "^([a-z]+|[A-Z]+|[A-Z][a-z]+)$", 4.15), ("alnum", "^[A-Za-z0-9]+$", 3.8), ("symbols", "", 3.9))
-#: Runs that are no secrets, matched in lower case.
-ALLOWED = r"^[0-9]+$|^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$|example|sample|placeholder|changeme|dummy|0123456789|abcdefghij|qwertyuiop|^[a-z]+([-_/][a-z]+)+$"
+#: Runs that are no secrets, matched in lower case: these, and words joined by single separators.
+ALLOWED = r"^[0-9]+$|^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$|example|sample|placeholder|changeme|dummy|0123456789|abcdefghij|qwertyuiop"
+#: No group of these patterns repeats: the JVM matches a repeated group by recursion, which a long run would exhaust.
+JOINED, SEPARATOR, TWO_SEPARATORS = "^[a-z][a-z/_-]*[a-z]$", "[/_-]", "[/_-][/_-]"
 SCALE = 2**20
 TERMS = tuple(round(c * math.log2(c) * SCALE) if c else 0 for c in range(WINDOW + 1))
 
@@ -99,16 +101,21 @@ def _entropy_span(run: str, limit: str) -> str:
     return f"element_at(flatten(transform(array({local}), r -> {walked})), 1)"
 
 
-def _entropy_spans(text: Column) -> Column:
+def _allowed(run: Column) -> Column:
+    low = F.lower(run)
+    return low.rlike(ALLOWED) | (low.rlike(JOINED) & low.rlike(SEPARATOR) & ~low.rlike(TWO_SEPARATORS))
+
+
+def _entropy_spans(text: Column) -> tuple[Column, str]:
     limits = "case " + " ".join(f"when x.m rlike '{p}' then {sum_limit(b)}L" for _, p, b in CLASSES if p) + f" else {sum_limit(CLASSES[-1][2])}L end"
-    runs = F.filter(_matches(text, RUN), lambda x: ~F.lower(x["m"]).rlike(ALLOWED))
+    runs = F.filter(_matches(text, RUN), lambda x: ~_allowed(x["m"]))
     return runs, f"filter(transform(runs, x -> named_struct('run', x, 'w', {_entropy_span('x.m', limits)})), y -> y.w.first is not null)"
 
 
 def secret_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: doc_id, spans array<struct<start,kind_no,end,kind>> by start, then kind.
 
-    Null and empty texts have no spans. Texts are scanned whole, however many matches they hold. Positions count code
+    Null and empty texts have no spans. Texts are scanned whole, however many matches they hold and however long a run is. Positions count code
     points, the end is exclusive, a base span is the whole match. Rows that repeat are scanned each for itself; other columns are not read; an empty table gives an empty one.
     """
     rows = docs.select(F.col(id_col).alias("_id"), text_or_empty(text_col).alias("_text"))
