@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from twinweave.llm import audio_features, exact_dedup, language_kernel, order_minhash, packing, pu_quality, secret_scan, source_mix, token_store, url_templates
+from twinweave.llm import audio_features, exact_dedup, hard_negatives, language_kernel, order_minhash, packing, pu_quality, secret_scan, simhash, source_mix, token_alignment, token_store, url_templates
 from twinweave.llm._common import table
 
 
@@ -61,6 +61,20 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *[count(k).alias(f"n_{k}") for k in secret_scan.KINDS[:3]], F.sha2(secret_scan.span_text(base), 256).alias("base_sha256"), secret_scan.span_text(F.col("spans")).alias("spans"))
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_alignment.align_tokens(table(spark, sf_dir, "documents"), digest=True).withColumnRenamed("groups", "groups_sha256")
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = table(spark, sf_dir, "embeddings").withColumn("label", label)
+    return hard_negatives.mine_hard_negatives(rows, F.col("vec_id") % 50 == 0)
+
+
+def op13_simhash_balls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.simhash_components(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_audio_features": op1_audio_features,
     "op2_pack_swap_search": op2_pack_swap_search,
@@ -72,6 +86,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_parquet": op8_token_parquet,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_secret_scan": op10_secret_scan,
+    "op11_token_alignment": op11_token_alignment,
+    "op12_hard_negatives": op12_hard_negatives,
+    "op13_simhash_balls": op13_simhash_balls,
 }
 
 _LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -119,6 +136,13 @@ SELECT d.doc_id, count(*) FILTER (k = 0) AS n_assign, count(*) FILTER (k = 1) AS
 sha256(coalesce(string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, k) FILTER (k < 3), '')) AS base_sha256, coalesce(string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, k), '') AS spans
 FROM documents d LEFT JOIN every USING (doc_id) GROUP BY d.doc_id"""
 
+_NEGATIVES = """WITH usable AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v FROM embeddings
+WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (SELECT a.vec_id AS anchor_id, a.label AS own, r.vec_id, r.label, CAST(list_inner_product(a.v, r.v) AS BIGINT) AS score FROM usable a JOIN usable r ON a.vec_id % 50 = 0),
+positives AS (SELECT anchor_id, own, vec_id AS positive_id, score AS positive_score, row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) AS positive_rank FROM scored WHERE label = own AND vec_id <> anchor_id QUALIFY positive_rank <= 5)
+SELECT p.anchor_id, positive_id, CAST(positive_rank AS INTEGER) AS positive_rank, CAST(row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id AS negative_id, positive_score, score AS negative_score
+FROM positives p JOIN scored s ON p.anchor_id = s.anchor_id AND s.label <> p.own AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score QUALIFY rank <= 3"""
+
 
 #: SQL can't express the others: tests hold them against plain Python, round trips or held-out rows.
-ORACLES: dict[str, str] = {"op7_mix_pareto": _MIX, "op9_exact_dedup": _EXACT, "op10_secret_scan": _secrets_sql()}
+ORACLES: dict[str, str] = {"op7_mix_pareto": _MIX, "op9_exact_dedup": _EXACT, "op10_secret_scan": _secrets_sql(), "op12_hard_negatives": _NEGATIVES}
