@@ -14,6 +14,7 @@ from twinweave.plans.kg import Dataset
 from twinweave.functions.text import latex_escape
 from twinweave.plans.ranks import global_row_number
 from twinweave.plans.registry import READERS, WRITERS
+from twinweave.sources.turtle import read_turtle, write_turtle
 
 
 def read_tsv(spark: SparkSession, path: str, columns: list[str], least: int | None = None) -> DataFrame:
@@ -114,33 +115,47 @@ def read_integer_layout(spark: SparkSession, folder: str) -> Dataset:
     return _dataset(spark, read_graph(spark, folder, 1).unionByName(read_graph(spark, folder, 2)), folder)
 
 
-NT = r'^\s*<([^>]*)>\s+<([^>]*)>\s+(?:<([^>]*)>|"((?:[^"\\]|\\.)*)"(?:\^\^<[^>]*>|@[A-Za-z0-9-]+)?)\s*\.\s*$'
+NT = r'^\s*<([^>]*)>\s+<([^>]*)>\s+(?:<([^>]*)>|"((?:[^"\\]|\\.)*+)"(?:\^\^<[^>]*>|@[A-Za-z0-9-]+)?)\s*\.\s*$'
 
 
 def read_ntriples(spark: SparkSession, path: str, kg: int) -> DataFrame:
-    """Triples of an N-Triples file; comments and other lines are dropped, language and type marks too."""
+    """Triples of an N-Triples file; comments and other lines are dropped, language and type marks too. Blank nodes and
+    ``\\U`` escapes are read by ``turtle.read_turtle``, of which N-Triples is a part."""
     part = lambda n: F.regexp_extract("value", NT, n)
-    unescaped = F.replace(F.replace(F.replace(F.replace(part(4), F.lit('\\"'), F.lit('"')), F.lit("\\n"), F.lit("\n")), F.lit("\\t"), F.lit("\t")), F.lit("\\\\"), F.lit("\\"))
+    # The escapes are those of JSON.
+    quoted = F.from_json(F.concat(F.lit('{"v":"'), part(4), F.lit('"}')), "v string", {"allowUnquotedControlChars": "true"})["v"]
+    unescaped = F.when(F.contains(part(4), F.lit("\\")), F.coalesce(quoted, part(4))).otherwise(part(4))
     rows = spark.read.text(path).where(F.col("value").rlike(NT))
     return rows.select(F.lit(kg).alias("kg"), part(1).alias("s"), part(2).alias("p"), F.when(part(3) != "", part(3)).otherwise(unescaped).alias("o"), F.when(part(3) != "", "uri").otherwise("lit").alias("o_kind")).distinct()
 
 
 @READERS.register("rdf")
 def read_rdf(spark: SparkSession, folder: str) -> Dataset:
-    triples = read_ntriples(spark, f"{folder}/graph_source.nt", 1).unionByName(read_ntriples(spark, f"{folder}/graph_target.nt", 2))
+    """Each graph from its N-Triples file, or from its Turtle file where there is none of N-Triples."""
+    def graph(name: str, kg: int) -> DataFrame:
+        plain = f"{folder}/{name}.nt"
+        return read_ntriples(spark, plain, kg) if _exists(spark, plain) else read_turtle(spark, f"{folder}/{name}.ttl", kg)
+
+    triples = graph("graph_source", 1).unionByName(graph("graph_target", 2))
     return Dataset(triples, read_tsv(spark, f"{folder}/aligned_entities.tsv", ["e1", "e2"]).distinct(), spark.createDataFrame([], "p1 string, p2 string"))
 
 
 def ntriples_line(o_kind: Column) -> Column:
-    escaped = F.replace(F.replace(F.replace(F.replace(F.col("o"), F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit("\n"), F.lit("\\n")), F.lit("\t"), F.lit("\\t"))
+    escaped = F.col("o")
+    for plain, escape in (("\\", "\\\\"), ('"', '\\"'), ("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t")):
+        escaped = F.replace(escaped, F.lit(plain), F.lit(escape))
     obj = F.when(o_kind == "uri", F.concat(F.lit("<"), "o", F.lit(">"))).otherwise(F.concat(F.lit('"'), escaped, F.lit('"')))
     return F.concat(F.lit("<"), "s", F.lit("> <"), "p", F.lit("> "), obj, F.lit(" ."))
 
 
 @WRITERS.register("rdf")
-def write_rdf(data: Dataset, folder: str) -> None:
+def write_rdf(data: Dataset, folder: str, form: str = "nt", prefixes: dict[str, str] | None = None) -> None:
+    """``form`` is nt (N-Triples) or ttl (Turtle, with names shortened by ``prefixes``)."""
     for kg, name in ((1, "graph_source"), (2, "graph_target")):
-        data.graph(kg).select(ntriples_line(F.col("o_kind")).alias("value")).write.mode("overwrite").text(f"{folder}/{name}.nt")
+        if form == "ttl":
+            write_turtle(data.graph(kg), f"{folder}/{name}.ttl", prefixes or {})
+        else:
+            data.graph(kg).select(ntriples_line(F.col("o_kind")).alias("value")).write.mode("overwrite").text(f"{folder}/{name}.nt")
     write_tsv(data.alignment, f"{folder}/aligned_entities.tsv", "e1", "e2", order=["e1", "e2"])
 
 
