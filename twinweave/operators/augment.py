@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from twinweave.functions import text as X
 from twinweave.functions.generators import eda_variants, variation
+from twinweave.operators.frontier import expanded_nodes
 from twinweave.operators.relational import aligned_attributes, attribute_triples, edges, local_name, relation_triples
 from twinweave.operators.splits import keep_by_hash, pair_budget, ratio_count, with_total
 from twinweave.plans.kg import Dataset
@@ -48,15 +49,32 @@ def copied_literals(triples: DataFrame, expanded: DataFrame) -> DataFrame:
     return rows.select(both, "p", "o", "o_kind").select("t.kg", "t.s", "p", "o", "o_kind").distinct()
 
 
-def generated_literals(data: Dataset, expanded: DataFrame, generator: Generator = variation) -> DataFrame:
+def cached_values(data: Dataset, known: DataFrame, least: float = 0.3) -> DataFrame:
+    """e1, p1, v1, e2, p2, v2 of aligned pairs under known predicate alignments (p1, p2, combined) that their values bear out;
+    of several partners of a pair's predicate, on either side, the one of the highest confidence stays."""
+    from twinweave.operators.selection import cached_matches
+
+    lit = attribute_triples(data.triples)
+    side = lambda kg, e, p, v: lit.where(F.col("kg") == kg).groupBy(F.col("s").alias(e), F.col("p").alias(p)).agg(F.min("o").alias(v))
+    pairs = data.alignment.select("e1", "e2").join(side(1, "e1", "p1", "o1"), "e1").join(known.select("p1", "p2").distinct(), "p1").join(side(2, "e2", "p2", "o2"), ["e2", "p2"])
+    sure = cached_matches(pairs, known, least)
+    for one, other in (("p1", "p2"), ("p2", "p1")):
+        top = sure.groupBy("e1", "e2", one).agg(F.max_by(other, F.struct(F.col("confidence"), F.col(other))).alias(other))
+        sure = sure.join(top, ["e1", "e2", "p1", "p2"], "left_semi")
+    return sure.join(pairs, ["e1", "e2", "p1", "p2"]).select("e1", "p1", F.col("o1").alias("v1"), "e2", "p2", F.col("o2").alias("v2"))
+
+
+def generated_literals(data: Dataset, expanded: DataFrame, generator: Generator = variation, known: DataFrame | None = None, unmatched: float = 1.0, seed: int = 42) -> DataFrame:
     """Literals for synthetic entities. Matched predicates interpolate the first value of either side; unmatched ones vary
-    their own first value. A value is generated once for each distinct order-free key, so equal inputs agree everywhere."""
-    matched = aligned_attributes(data)
+    their own first value, a share ``unmatched`` of them by hash. With ``known`` predicate alignments (p1, p2, combined),
+    a pair's values must bear a match out (``cached_values``); without, the data's matches hold for every pair. A value is
+    generated once for each distinct order-free key, so equal inputs agree everywhere."""
+    matched = aligned_attributes(data) if known is None else cached_values(data, known)
     first = matched.groupBy("e1", "p1").agg(F.min(F.struct("p2", "v1", "v2")).alias("m")).select("e1", "p1", "m.p2", "m.v1", "m.v2")
     one = first.select(F.lit(1).alias("kg"), F.col("e1").alias("e"), F.col("p1").alias("p"), F.col("v1").alias("v"))
     two = first.join(data.alignment, "e1").select(F.lit(2).alias("kg"), F.col("e2").alias("e"), F.col("p2").alias("p"), F.col("v2").alias("v"))
     own = attribute_triples(data.triples).groupBy("kg", F.col("s").alias("e"), "p").agg(F.min("o").alias("_v"))
-    values = own.join(one.unionByName(two).groupBy("kg", "e", "p").agg(F.min("v").alias("v")), ["kg", "e", "p"], "left").select("kg", "e", "p", F.coalesce("v", "_v").alias("v"))
+    values = own.join(one.unionByName(two).groupBy("kg", "e", "p").agg(F.min("v").alias("v")), ["kg", "e", "p"], "left").where(F.col("v").isNotNull() | (hash_share(seed, "kg", "e", "p") < unmatched)).select("kg", "e", "p", F.coalesce("v", "_v").alias("v"))
     wanted = values.join(expanded_ends(expanded), ["kg", "e"]).withColumn("_key", X.cache_key(F.col("v")))
     made = wanted.groupBy("_key").agg(F.min("v").alias("_v")).withColumn("o", generator(F.col("_v"), F.md5("_key")))
     return wanted.join(made.select("_key", "o"), "_key").select("kg", F.col("a").alias("s"), "p", "o", F.lit("lit").alias("o_kind"))
@@ -114,12 +132,42 @@ def non_set_expansion(data: Dataset, expanded: DataFrame, generator: Generator =
     return tied.unionByName(literals).distinct()
 
 
+def twins_of(data: Dataset, others: DataFrame) -> DataFrame:
+    """kg, e, twin of entities outside the alignment (e), in each graph that has them; the number is the entity's place in
+    order, one higher in the second graph."""
+    numbered = global_row_number(others.select("e").distinct(), ["e"], "n")
+    held = edges(data.triples).select("kg", F.col("node").alias("e")).distinct()
+    return held.join(numbered, "e").select("kg", "e", X.minted(F.col("e"), F.col("n") + F.col("kg") - 1).alias("twin"))
+
+
+def twin_triples(data: Dataset, expanded: DataFrame, twins: DataFrame, generator: Generator = variation) -> DataFrame:
+    """kg, s, p, o, o_kind: relations of twins with each other and with synthetic entities, as their originals have them, and
+    the twins' literals, each varied from its own value."""
+    ends = expanded_ends(expanded).unionByName(twins.select("kg", "e", F.col("twin").alias("a")))
+    marked = twins.select("kg", F.col("e").alias("_t"))
+    rel = relation_triples(data.triples).join(ends.toDF("kg", "s", "_s"), ["kg", "s"]).join(ends.toDF("kg", "o", "_o"), ["kg", "o"])
+    touched = rel.join(marked.withColumnRenamed("_t", "s"), ["kg", "s"], "left_semi").unionByName(rel.join(marked.withColumnRenamed("_t", "o"), ["kg", "o"], "left_semi"))
+    tied = touched.select("kg", F.col("_s").alias("s"), "p", F.col("_o").alias("o"), "o_kind")
+    made = attribute_triples(data.triples).join(twins.withColumnRenamed("e", "s"), ["kg", "s"])
+    literals = made.select("kg", F.col("twin").alias("s"), "p", generator(F.col("o"), F.md5(X.cache_key(F.col("o")))).alias("o"), F.lit("lit").alias("o_kind"))
+    return tied.unionByName(literals).distinct()
+
+
 @AUGMENTERS.register("plm")
-def augment(data: Dataset, ratio: float, max_pairs: int | None = None, depth: int = 2, seed: int = 42, generator: Generator = variation) -> Dataset:
-    """Adds ceil(ratio * pairs) synthetic pairs, one at least: chosen by BFS, with mirrored relations and generated literals."""
+def augment(data: Dataset, ratio: float, max_pairs: int | None = None, depth: int = 2, seed: int = 42, generator: Generator = variation, known: DataFrame | None = None, unmatched: float = 1.0, derived_from: str | None = None) -> Dataset:
+    """Adds ceil(ratio * pairs) synthetic pairs, one at least, and twins of entities outside the alignment.
+
+    The pairs and twins are those of ``frontier.expansion_frontier``. Relations are mirrored among synthetic entities and
+    twins, and from synthetic entities to originals that have neither; literals are generated (see ``generated_literals`` for
+    ``known`` and ``unmatched``). With ``derived_from``, a predicate, each synthetic entity points to its original.
+    """
     n = data.alignment.agg(F.count(F.lit(1)).alias("n")).select(pair_budget(F.col("n"), ratio, max_pairs)).first()[0]
-    expanded = expand_pairs(bfs_seeds(data, n, depth, seed))
-    new = mirrored_relations(data.triples, expanded).unionByName(generated_literals(data, expanded, generator))
+    seeds, others = expanded_nodes(data, n, depth, seed)
+    expanded, twins = expand_pairs(seeds), cut(twins_of(data, others))
+    outside = relation_triples(data.triples).join(twins.select("kg", F.col("e").alias("s")), ["kg", "s"], "left_anti").join(twins.select("kg", F.col("e").alias("o")), ["kg", "o"], "left_anti")
+    new = mirrored_relations(outside, expanded).unionByName(twin_triples(data, expanded, twins, generator)).unionByName(generated_literals(data, expanded, generator, known, unmatched, seed))
+    if derived_from:
+        new = new.unionByName(expanded_ends(expanded).select("kg", F.col("a").alias("s"), F.lit(derived_from).alias("p"), F.col("e").alias("o"), F.lit("uri").alias("o_kind")))
     triples = data.triples.unionByName(new.select(data.triples.columns)).distinct()
     return data.with_(triples=triples, alignment=data.alignment.unionByName(expanded.select(F.col("a1").alias("e1"), F.col("a2").alias("e2"))))
 

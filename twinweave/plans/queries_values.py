@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from twinweave.functions import generators as G
 from twinweave.functions import text as X
 from twinweave.operators import augment as A
+from twinweave.operators import frontier as N
 from twinweave.operators import predicates as P
 from twinweave.operators import quality as Q
 from twinweave.operators import relational as R
@@ -104,6 +105,7 @@ query("augment_expand", "SELECT e1, e2, e1 || '_aug' || n AS a1, e2 || '_aug' ||
 query("augment_bfs")(lambda s, d: A.bfs_seeds(derived(s, d), 60, 2))
 ENDS = "ends AS (SELECT 1 AS kg, e1 AS e, e1 || '_aug' || n AS a FROM (SELECT *, row_number() OVER (ORDER BY e1, e2) AS n FROM alignment) UNION ALL SELECT 2, e2, e2 || '_aug' || n FROM (SELECT *, row_number() OVER (ORDER BY e1, e2) AS n FROM alignment))"
 query("augment_non_set", f"WITH {ENDS}, nr AS (SELECT x.kg, x.p, x.other, x.direction, ends.a FROM edges x JOIN ends ON ends.kg = x.kg AND ends.e = x.node WHERE NOT EXISTS (SELECT 1 FROM ends y WHERE y.kg = x.kg AND y.e = x.other)), no AS (SELECT other, row_number() OVER (ORDER BY other) AS n FROM (SELECT DISTINCT other FROM nr)), tw AS (SELECT DISTINCT nr.kg, nr.other, nr.other || '_aug' || (n + nr.kg - 1) AS twin FROM nr JOIN no ON no.other = nr.other) SELECT nr.kg, CASE WHEN direction = 'out' THEN a ELSE twin END AS s, p, CASE WHEN direction = 'out' THEN twin ELSE a END AS o, 'uri' AS o_kind FROM nr JOIN tw ON tw.kg = nr.kg AND tw.other = nr.other UNION SELECT t.kg, twin, p, o, 'lit' FROM triples t JOIN tw ON tw.kg = t.kg AND tw.other = t.s WHERE o_kind = 'lit'")(lambda s, d: A.non_set_expansion(derived(s, d), A.expand_pairs(derived(s, d).alignment), A.keep_value))
+query("augment_frontier")(lambda s, d: N.expansion_frontier(derived(s, d), derived(s, d).alignment.agg(F.count(F.lit(1)).alias("n")).select(S.pair_budget(F.col("n"), 0.2)).first()[0], 2))
 query("augment_plm")(lambda s, d: A.augment(derived(s, d), 0.2).triples)
 query("augment_eda")(lambda s, d: A.augment_eda(derived(s, d), 0.2).triples)
 query("mixup_training_rows")(lambda s, d: A.training_rows(derived(s, d)))
