@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -15,10 +15,38 @@ def predicate_table(triples: DataFrame, kg: int) -> DataFrame:
     return attribute_triples(triples).where(F.col("kg") == kg).select("p").distinct().withColumn("name", X.expand_predicate(F.col("p")))
 
 
-def name_similarity(one: DataFrame, two: DataFrame) -> DataFrame:
-    """p1, p2, similarity of every pair of two predicate tables (p, name)."""
-    a, b = one.select(F.col("p").alias("p1"), F.col("name").alias("n1")), two.select(F.col("p").alias("p2"), F.col("name").alias("n2"))
-    return a.crossJoin(b).select("p1", "p2", X.levenshtein_ratio(F.col("n1"), F.col("n2")).alias("similarity"))
+def _letters(name: Column) -> Column:
+    """Distinct labels of a name's characters: the character and which of its occurrences it is; one label for an empty name."""
+    chars = F.split(name, "")
+    labelled = F.transform(chars, lambda c, i: F.concat(c, F.size(F.filter(F.slice(chars, F.lit(1), i + 1), lambda x: x == c)).cast("string")))
+    return F.when(name == "", F.array(F.lit(""))).otherwise(labelled)
+
+
+def candidate_pairs(one: DataFrame, two: DataFrame, threshold: float) -> DataFrame:
+    """p1, n1, p2, n2 of two predicate tables (p, name) that may reach the similarity ``threshold``; none that does is missing.
+
+    Names of similarity t have at least t times the longer one's length of characters in common, each occurrence counted.
+    So of a name's characters, rarest first, all but that many and one more must hold one of the other's; only such pairs,
+    of fitting lengths, are made. At a threshold of 0 these are all pairs with a character in common.
+    """
+    both = one.select(F.lit(1).alias("side"), "p", "name").unionByName(two.select(F.lit(2).alias("side"), "p", "name"))
+    held = both.select("side", "p", "name", F.explode(_letters(F.col("name"))).alias("letter"))
+    often = held.groupBy("letter").agg(F.count(F.lit(1)).alias("n"))
+    order = W.partitionBy("side", "p").orderBy("n", "letter")
+    needed = F.greatest(F.lit(1), F.ceil(F.lit(threshold) * F.length("name") - 1e-9))
+    ranked = held.join(often, "letter").withColumn("nth", F.row_number().over(order))
+    kept = ranked.where(F.col("nth") <= F.greatest(F.lit(1), F.length("name")) - needed + 1)
+    a = kept.where("side = 1").select("letter", F.col("p").alias("p1"), F.col("name").alias("n1"))
+    b = kept.where("side = 2").select("letter", F.col("p").alias("p2"), F.col("name").alias("n2"))
+    fits = F.least(F.length("n1"), F.length("n2")) >= F.lit(threshold) * F.greatest(F.length("n1"), F.length("n2")) - 1e-9
+    return a.join(b, "letter").where(fits).select("p1", "n1", "p2", "n2").distinct()
+
+
+def name_similarity(one: DataFrame, two: DataFrame, threshold: float = 0.0) -> DataFrame:
+    """p1, p2, similarity of the pairs of two predicate tables (p, name) of at least ``threshold``, and above 0: pairs that are
+    left out have no character in common or are below it."""
+    ratio = X.levenshtein_ratio(F.col("n1"), F.col("n2"))
+    return candidate_pairs(one, two, threshold).select("p1", "p2", ratio.alias("similarity")).where((F.col("similarity") > 0) & (F.col("similarity") >= threshold))
 
 
 def mutual_matches(similarity: DataFrame, threshold: float) -> DataFrame:
@@ -42,8 +70,8 @@ def value_types(triples: DataFrame, least_share: float = 0.6) -> DataFrame:
     return tops.select("kg", "p", F.when(F.col("n") / F.col("all") >= least_share, F.col("t")).otherwise("mixed").alias("type"))
 
 
-def value_similarity(triples: DataFrame, least: int = 3) -> DataFrame:
-    """p1, p2, similarity by values: 0.1 for different types; text 0.4 exact + 0.6 word Jaccard; numbers 0.5 exact and
+def value_similarity(triples: DataFrame, pairs: DataFrame, least: int = 3) -> DataFrame:
+    """p1, p2, similarity by values of the given ``pairs`` (p1, p2): 0.1 for different types; text 0.4 exact + 0.6 word Jaccard; numbers 0.5 exact and
     0.5 closeness of means times ratio of deviations; else the exact share. Fewer than ``least`` values give 0.
 
     Overlaps are counted by joining distinct values and words, never value lists of a predicate in one row.
@@ -58,7 +86,7 @@ def value_similarity(triples: DataFrame, least: int = 3) -> DataFrame:
         return a.join(b, col).groupBy("p1", "p2").agg(F.count(F.lit(1)).alias(name))
 
     side = lambda k: info.where(F.col("kg") == k).select(*[F.col(c).alias(f"{c}{k}") for c in ("p", "n", "m", "sd", "type", "nw")])
-    rows = side(1).crossJoin(side(2)).join(overlap(values, "v", "same"), ["p1", "p2"], "left").join(overlap(words, "w", "shared"), ["p1", "p2"], "left")
+    rows = pairs.select("p1", "p2").distinct().join(side(1), "p1").join(side(2), "p2").join(overlap(values, "v", "same"), ["p1", "p2"], "left").join(overlap(words, "w", "shared"), ["p1", "p2"], "left")
     same, shared = F.coalesce("same", F.lit(0)), F.coalesce("shared", F.lit(0))
     exact = same / F.least("n1", "n2")
     word_jaccard = F.coalesce(F.try_divide(shared.cast("double"), (F.coalesce("nw1", F.lit(0)) + F.coalesce("nw2", F.lit(0)) - shared).cast("double")), F.lit(0.0))

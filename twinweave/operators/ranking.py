@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from twinweave.functions import vectors as V
 from twinweave.plans.registry import RANKERS
+from twinweave.plans.storage import cut
 
 #: Rows of the right side in one block of the k-NN join, and left rows scored at a time.
 BLOCK_ROWS, LEFT_ROWS = 16_384, 2_048
@@ -288,6 +289,58 @@ def iterative_alignment(stages: list[DataFrame], rounds: int) -> DataFrame:
     return added
 
 
+def mapped_by_pairs(left: DataFrame, right: DataFrame, pairs: DataFrame, ridge: float = 1.0) -> DataFrame:
+    """The left vectors under the linear map that brings the pairs' left vectors nearest to their right ones (ridge
+    regression). Each task adds up its products; what meets on the driver is their sum, two matrices of the vectors' width."""
+    one, two = (v.select(F.col("id").alias(e), V.doubles(F.col("embedding")).alias(n)) for v, e, n in ((left, "e1", "x"), (right, "e2", "y")))
+
+    def products(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import numpy as np
+
+        total = None
+        for rows in batches:
+            if len(rows):
+                x, y = np.stack(rows["x"]), np.stack(rows["y"])
+                total = (0 if total is None else total) + np.concatenate([(x.T @ x).ravel(), (x.T @ y).ravel()])
+        if total is not None:
+            yield pd.DataFrame({"i": np.arange(len(total)), "v": total})
+
+    sums = pairs.select("e1", "e2").join(one, "e1").join(two, "e2").select("x", "y").mapInPandas(products, "i long, v double").groupBy("i").agg(F.sum("v").alias("v")).toPandas()
+
+    def through(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import numpy as np
+
+        flat = sums.sort_values("i")["v"].to_numpy()
+        width = int(np.sqrt(len(flat) // 2))
+        square, across = flat[: width * width].reshape(width, width), flat[width * width :].reshape(width, width)
+        matrix = np.linalg.solve(square + ridge * np.eye(width), across) if width else None
+        for rows in batches:
+            if len(rows):
+                x = np.stack(rows["embedding"])
+                yield pd.DataFrame({"id": rows["id"], "embedding": list(x @ matrix if width else x)})
+
+    return left.select("id", V.doubles(F.col("embedding")).alias("embedding")).mapInPandas(through, "id long, embedding array<double>")
+
+
+def self_training(left: DataFrame, right: DataFrame, seeds: DataFrame, rounds: int = 10, least: float = 0.0, ridge: float = 1.0) -> DataFrame:
+    """e1, e2, turn: the seeds (turn 0) and the pairs that training on what is known adds, turn by turn, to a fixed point.
+
+    Each turn fits the map of the left vectors anew from all pairs known so far, scores both directions block by block, and
+    adds the pairs that are each other's best with a cosine of ``least`` or more, each left entity once. It ends when a turn
+    adds none, or after ``rounds``. Every turn's pairs are stored, so an executor that is lost costs one turn at most.
+    """
+    known = cut(seeds.select("e1", "e2", F.lit(0).alias("turn")))
+    for turn in range(1, rounds + 1):
+        mapped = cut(mapped_by_pairs(left, right, known, ridge))
+        best = block_knn(mapped, right, 1, "cosine").where(F.col("score") >= least)
+        back = block_knn(right, mapped, 1, "cosine").select(F.col("e2").alias("e1"), F.col("e1").alias("e2"))
+        new = cut(best.join(back, ["e1", "e2"], "left_semi").join(known.select("e1"), "e1", "left_anti").select("e1", "e2", F.lit(turn).alias("turn")))
+        if new.isEmpty():
+            break
+        known = cut(known.unionByName(new))
+    return known
+
+
 def fused_ranks(first: DataFrame, second: DataFrame) -> DataFrame:
     """e1, e2, rank: the worse of two ranks of each pair that both know."""
     return first.join(second.withColumnRenamed("rank", "_other"), ["e1", "e2"]).select("e1", "e2", F.greatest("rank", "_other").alias("rank"))

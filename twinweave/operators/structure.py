@@ -1,12 +1,14 @@
-"""Training-data structure: merged, swapped and masked triples, adjacency and relation features."""
+"""Training-data structure: merged, swapped and masked triples, adjacency, relation features and reflection layers."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from twinweave.operators.relational import attribute_triples, edges, relation_triples
+from twinweave.plans.joins import keyed_join
 from twinweave.plans.kg import Dataset
+from twinweave.plans.storage import cut
 
 
 def _partner(pairs: DataFrame, key: str, value: str, kind: str = "max") -> DataFrame:
@@ -92,10 +94,64 @@ def relation_features(triples: DataFrame) -> DataFrame:
     return edges(triples).groupBy("kg", F.col("node").alias("entity"), "p", "direction").agg(F.count(F.lit(1)).alias("n"))
 
 
-def attention_layer(edge_list: DataFrame, vectors: DataFrame) -> DataFrame:
-    """node, i, value: softmax-weighted sum of neighbours; edges (node, other, logit), vectors (id, embedding)."""
-    top = edge_list.groupBy("node").agg(F.max("logit").alias("_m"))
-    soft = edge_list.join(top, "node").withColumn("_e", F.exp(F.col("logit") - F.col("_m")))
-    total = soft.groupBy("node").agg(F.sum("_e").alias("_t"))
-    rows = soft.join(total, "node").join(vectors.select(F.col("id").alias("other"), F.posexplode("embedding").alias("i", "x")), "other")
-    return rows.groupBy("node", "i").agg(F.sum(F.col("_e") / F.col("_t") * F.col("x")).alias("value"))
+def _dot(v: Column, weights: list[float]) -> Column:
+    """Inner product of a vector column and constants."""
+    total = F.lit(0.0)
+    for i, w in enumerate(weights):
+        total = total + F.get(v, F.lit(i)) * F.lit(float(w))
+    return total
+
+
+def _sums(width: int, value) -> list[Column]:
+    return [F.sum(value(i)).alias(f"_{i}") for i in range(width)]
+
+
+def _packed(width: int, value) -> Column:
+    return F.array(*[value(F.col(f"_{i}")) for i in range(width)])
+
+
+def relation_directions(edge_list: DataFrame, relations: DataFrame, width: int) -> DataFrame:
+    """node, other, n, r: each edge's unit vector of the weighted sum of its relations' vectors, and its number of entries.
+
+    ``edge_list`` has node, other, p, weight; ``relations`` p, embedding. A sum of zero stays zero.
+    """
+    rows = keyed_join(edge_list, relations.select("p", F.col("embedding").alias("_v")), "p", "node")
+    sums = rows.groupBy("node", "other").agg(F.count(F.lit(1)).alias("n"), *_sums(width, lambda i: F.col("weight") * F.get("_v", F.lit(i))))
+    length = F.sqrt(sum((F.col(f"_{i}") * F.col(f"_{i}") for i in range(width)), F.lit(0.0)))
+    return sums.select("node", "other", "n", _packed(width, lambda c: F.when(length > 0, c / length).otherwise(0.0)).alias("r"))
+
+
+def reflection_layer(directions: DataFrame, vectors: DataFrame, kernel: tuple[list[float], list[float], list[float]]) -> DataFrame:
+    """id, embedding: attention over neighbours that are mirrored at the hyperplane of the edge's relation.
+
+    A neighbour x becomes x - 2 (x.r) r. The kernel's three weights, for the node, the mirrored neighbour and the relation,
+    score an edge; a node's output is the mean of its mirrored neighbours, weighted by softmax over its edges. Nodes without
+    edges become zero. Scores are taken off the largest of all, as sums then need no second pass over a node's edges: a hub
+    is added up where its edges are, and its own score and vector reach them by salted joins.
+    """
+    mine, theirs, edge = kernel
+    width = len(mine)
+    own = vectors.select(F.col("id").alias("node"), _dot(F.col("embedding"), mine).alias("_own"))
+    rows = keyed_join(directions, own, "node", "other")
+    rows = keyed_join(rows, vectors.select(F.col("id").alias("other"), F.col("embedding").alias("_x")), "other", "node")
+    along = sum((F.get("_x", F.lit(i)) * F.get("r", F.lit(i)) for i in range(width)), F.lit(0.0))
+    rows = rows.withColumn("_along", along).withColumn("_y", F.zip_with("_x", "r", lambda x, r: x - 2 * F.col("_along") * r))
+    rows = rows.select("node", "n", "_y", (F.col("_own") + _dot(F.col("_y"), theirs) + _dot(F.col("r"), edge)).alias("score"))
+    rows = cut(rows)
+    top = F.broadcast(rows.agg(F.max("score").alias("_top")))
+    rows = rows.crossJoin(top).withColumn("_e", F.col("n") * F.exp(F.col("score") - F.col("_top")))
+    sums = rows.groupBy("node").agg(F.sum("_e").alias("_t"), *_sums(width, lambda i: F.col("_e") * F.get("_y", F.lit(i))))
+    made = sums.select(F.col("node").alias("id"), _packed(width, lambda c: c / (F.col("_t") + 1e-16)).alias("_made"))
+    return vectors.select("id").join(made, "id", "left").select("id", F.coalesce("_made", F.array_repeat(F.lit(0.0), width)).alias("embedding"))
+
+
+def reflection_stack(edge_list: DataFrame, vectors: DataFrame, relations: DataFrame, kernels: list[tuple[list[float], list[float], list[float]]], activation=F.tanh) -> DataFrame:
+    """id, embedding: the activated vectors and the activated output of each layer after them, one behind the other."""
+    directions = cut(relation_directions(edge_list, relations, len(kernels[0][0])))
+    active = lambda v: v.select("id", F.transform("embedding", activation).alias("embedding"))
+    current = cut(active(vectors.select("id", F.transform("embedding", lambda x: x.cast("double")).alias("embedding"))))
+    out = current
+    for i, kernel in enumerate(kernels):
+        current = cut(active(reflection_layer(directions, current, kernel)))
+        out = out.join(current.withColumnRenamed("embedding", f"_{i}"), "id").select("id", F.concat("embedding", f"_{i}").alias("embedding"))
+    return out

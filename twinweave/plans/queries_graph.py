@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from twinweave.operators import profile as P
@@ -9,6 +11,8 @@ from twinweave.operators import relational as R
 from twinweave.operators import splits as S
 from twinweave.plans.kg import augmented, derived
 from twinweave.plans.registry import query
+from twinweave.plans.storage import shared_dir
+from twinweave.sources.turtle import read_turtle, write_turtle
 
 T = lambda spark, sf: derived(spark, sf).triples
 ENT = "SELECT kg, s AS entity FROM triples UNION SELECT kg, o FROM triples WHERE o_kind = 'uri'"
@@ -33,6 +37,17 @@ query("rare_attribute_filter", f"WITH r AS (SELECT kg, s, p, {SCRUB} AS o, o_kin
 query("numeric_token_filter", "SELECT * FROM triples WHERE o_kind = 'lit' AND len(list_filter(regexp_split_to_array(lower(o), '\\s+'), lambda t: length(t) >= 5 AND regexp_matches(t, '[0-9]'))) = 0")(lambda s, d: R.without_long_numbers(T(s, d)))
 
 
+@query("turtle_triples", "SELECT DISTINCT * FROM triples")
+def _turtle(spark, sf):
+    """The derived graphs, written as Turtle and read again."""
+    parts = []
+    for kg in (1, 2):
+        path = f"{shared_dir(spark)}/twinweave/turtle-{uuid.uuid4().hex}"
+        write_turtle(derived(spark, sf).graph(kg), path, {"ont": "ont/", "voc": "voc#", "c": "c:"})
+        parts.append(read_turtle(spark, path, kg))
+    return parts[0].unionByName(parts[1])
+
+
 @query("priority_attribute", "WITH pr(p, priority) AS (VALUES ('ont/balance', 1), ('ont/name', 2), ('voc#market', 1), ('voc#label', 2)) SELECT kg, s, regexp_replace(o, '\\^\\^<.*$', '') AS value FROM (SELECT *, row_number() OVER (PARTITION BY kg, s ORDER BY priority, o) AS rn FROM triples JOIN pr USING (p) WHERE o_kind = 'lit') WHERE rn = 1")
 def _priority(spark, sf):
     ranks = spark.createDataFrame([("ont/balance", 1), ("ont/name", 2), ("voc#market", 1), ("voc#label", 2)], "p string, priority int")

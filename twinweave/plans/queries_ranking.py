@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from twinweave.functions import vectors as V
 from twinweave.operators import quality as Q
 from twinweave.operators import ranking as K
+from twinweave.plans.ranks import top_by_hash
 from twinweave.plans.registry import query
 
 
@@ -144,3 +145,11 @@ def _diverse(s, d):
 def _iterative(s, d):
     a, b = emb(s, d)
     return K.iterative_alignment([K.block_knn(a, b, 1), K.block_knn(a, b, 1, "cosine"), K.csls_knn(a, b, 1)], 2)
+
+
+@query("self_training", graphs=False)
+def _self_training(s, d):
+    """From a tenth of the gold pairs, chosen by hash, to the pairs that training adds."""
+    a, b = emb(s, d)
+    some = gold(a).agg(F.greatest(F.lit(1), F.floor(F.count(F.lit(1)) / 10)).alias("n")).first()[0]
+    return K.self_training(a, b, top_by_hash(gold(a), some, 42, ["e1", "e2"]))

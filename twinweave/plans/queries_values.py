@@ -8,6 +8,7 @@ from twinweave.functions import generators as G
 from twinweave.functions import text as X
 from twinweave.operators import augment as A
 from twinweave.operators import frontier as N
+from twinweave.operators import longtext as L
 from twinweave.operators import predicates as P
 from twinweave.operators import quality as Q
 from twinweave.operators import relational as R
@@ -68,6 +69,40 @@ query("stub_self_loops", "WITH l AS (SELECT 1 AS kg, e1 AS s FROM alignment UNIO
 CELLS = "cells AS (SELECT kg, node AS row, other AS col FROM edges UNION SELECT kg, node, node FROM edges), dg AS (SELECT kg, row, count(*) AS d FROM cells GROUP BY 1, 2)"
 query("normalized_adjacency", f"WITH {CELLS} SELECT c.kg, c.row, c.col, round(1 / (sqrt(a.d) * sqrt(b.d)), 6) AS val FROM cells c JOIN dg a ON a.kg = c.kg AND a.row = c.row JOIN dg b ON b.kg = c.kg AND b.row = c.col")(lambda s, d: r6(M.normalised_adjacency(T(s, d))))
 query("relation_edge_index", "WITH e AS (SELECT DISTINCT kg, node AS head, other AS tail, CASE direction WHEN 'in' THEN p || '-' ELSE p END AS relation FROM edges) SELECT *, round(CAST(1 AS DOUBLE) / count(*) OVER (PARTITION BY kg, head, tail), 6) AS weight FROM e")(lambda s, d: r6(M.relation_edge_index(T(s, d))))
+KERNEL = ([0.5, -0.2, 0.1, 0.3], [0.2, 0.4, -0.3, 0.1], [0.3, -0.1, 0.2, -0.4])
+
+
+def hashed_vectors(rows, name, out):
+    """Vectors of a name's hash: four numbers in [-0.5, 0.5)."""
+    number = lambda i: F.conv(F.substring(F.md5(F.concat_ws("|", F.col(out), i.cast("string"))), 1, 6), 16, 10).cast("double") / 2.0**24 - 0.5
+    return rows.select(F.col(name).alias(out)).distinct().withColumn("embedding", F.transform(F.sequence(F.lit(0), F.lit(3)), number))
+
+
+def reflection_parts(s, d):
+    named = lambda c: F.concat_ws(":", F.col("kg").cast("string"), c)
+    rows = M.relation_edge_index(T(s, d)).select(named("head").alias("node"), named("tail").alias("other"), F.col("relation").alias("p"), "weight")
+    return rows, hashed_vectors(rows, "node", "id"), hashed_vectors(rows, "p", "p")
+
+
+def reflected(s, d):
+    rows, vectors, relations = reflection_parts(s, d)
+    made = M.reflection_layer(M.relation_directions(rows, relations, 4), vectors, KERNEL)
+    return made.select("id", F.posexplode("embedding").alias("i", "value")).withColumn("value", F.round("value", 6))
+
+
+def stacked(s, d):
+    rows, vectors, relations = reflection_parts(s, d)
+    return M.reflection_stack(rows, vectors, relations, [KERNEL, KERNEL]).withColumn("embedding", F.transform("embedding", lambda x: F.round(x, 6)))
+
+
+DOT = lambda v, w: " + ".join(f"{v}[{i + 1}] * CAST({x} AS DOUBLE)" for i, x in enumerate(w))
+VECTOR = lambda c: f"list_transform(range(0, 4), lambda i: CAST('0x' || substr(md5({c} || '|' || i), 1, 6) AS BIGINT) / CAST(16777216 AS DOUBLE) - 0.5)"
+REFLECTED = f"""ei AS (SELECT DISTINCT kg || ':' || node AS node, kg || ':' || other AS other, CASE direction WHEN 'in' THEN p || '-' ELSE p END AS p FROM edges), ew AS (SELECT *, CAST(1 AS DOUBLE) / count(*) OVER (PARTITION BY node, other) AS w, {VECTOR('p')} AS v FROM ei),
+ ev AS (SELECT DISTINCT node AS id, {VECTOR('node')} AS x FROM ei), rs AS (SELECT node, other, count(*) AS n, [{', '.join(f'sum(w * v[{i}])' for i in range(1, 5))}] AS r FROM ew GROUP BY 1, 2), rn AS (SELECT node, other, n, list_transform(r, lambda z: z / sqrt(list_dot_product(r, r))) AS r FROM rs),
+ yy AS (SELECT rn.node, n, r, a.x AS own, list_transform(range(1, 5), lambda i: b.x[i] - 2 * list_dot_product(b.x, r) * r[i]) AS y FROM rn JOIN ev a ON a.id = rn.node JOIN ev b ON b.id = rn.other),
+ sc AS (SELECT node, n, y, {DOT('own', KERNEL[0])} + {DOT('y', KERNEL[1])} + {DOT('r', KERNEL[2])} AS s FROM yy), ex AS (SELECT node, y, n * exp(s - (SELECT max(s) FROM sc)) AS e FROM sc)"""
+query("reflection_layer", f"WITH {REFLECTED} SELECT node AS id, CAST(i - 1 AS INTEGER) AS i, round(sum(e * y[i]) / (sum(e) + CAST(1e-16 AS DOUBLE)), 6) AS value FROM ex, range(1, 5) t(i) GROUP BY node, i")(reflected)
+query("reflection_stack")(stacked)
 query("relation_in_out_features", "SELECT kg, node AS entity, p, direction, count(*) AS n FROM edges GROUP BY ALL")(lambda s, d: M.relation_features(T(s, d)))
 
 SHAPES = [C.Constraint("voc#market", "minCount", 1), C.Constraint("ont/segment", "minLength", 9), C.Constraint("ont/name", "maxLength", 17, "Warning"), C.Constraint("ont/balance", "datatype", "^[0-9]+$"), C.Constraint("ont/name", "or", ["voc#label"])]
@@ -82,11 +117,11 @@ query("shacl_fix", f"WITH {BROKEN} SELECT t.* FROM triples t WHERE NOT EXISTS (S
 
 EXPAND = "lower(trim(regexp_replace(regexp_replace(regexp_extract(p, '([^#/:]*)$', 1), '([a-z])([A-Z])', '\\1 \\2', 'g'), '[_\\-\\s]+', ' ', 'g')))"
 PREDS = f"pr AS (SELECT DISTINCT kg, p, {EXPAND} AS name FROM triples WHERE o_kind = 'lit'), sim AS (SELECT a.p AS p1, b.p AS p2, 1 - levenshtein(a.name, b.name) / greatest(length(a.name), length(b.name)) AS similarity FROM pr a JOIN pr b ON a.kg = 1 AND b.kg = 2)"
-names = lambda s, d: P.name_similarity(P.predicate_table(T(s, d), 1), P.predicate_table(T(s, d), 2))
-query("predicate_name_similarity", f"WITH {PREDS} SELECT p1, p2, round(similarity, 6) AS similarity FROM sim")(lambda s, d: r6(names(s, d)))
-query("predicate_threshold_matches", f"WITH {PREDS} SELECT p1, p2, round(similarity, 6) AS similarity FROM sim WHERE similarity >= 0.2")(lambda s, d: r6(P.threshold_matches(names(s, d), 0.2)))
-query("predicate_mutual_matches", f"WITH {PREDS} SELECT p1, p2, round(similarity, 6) AS similarity FROM (SELECT *, row_number() OVER (PARTITION BY p1 ORDER BY similarity DESC, p2) AS a, row_number() OVER (PARTITION BY p2 ORDER BY similarity DESC, p1) AS b FROM sim) WHERE a = 1 AND b = 1 AND similarity > 0.1")(lambda s, d: r6(P.mutual_matches(names(s, d), 0.1)))
-query("predicate_match_statistics", f"WITH {PREDS} SELECT count(*) AS n, round(avg(similarity), 6) AS mean, round(min(similarity), 6) AS min, round(max(similarity), 6) AS max, round(stddev_pop(similarity), 6) AS std, count(*) FILTER (similarity >= 0.85) AS high FROM sim")(lambda s, d: r6(P.match_statistics(names(s, d))))
+names = lambda s, d, t=0.0: P.name_similarity(P.predicate_table(T(s, d), 1), P.predicate_table(T(s, d), 2), t)
+query("predicate_name_similarity", f"WITH {PREDS} SELECT p1, p2, round(similarity, 6) AS similarity FROM sim WHERE similarity > 0")(lambda s, d: r6(names(s, d)))
+query("predicate_threshold_matches", f"WITH {PREDS} SELECT p1, p2, round(similarity, 6) AS similarity FROM sim WHERE similarity >= 0.2")(lambda s, d: r6(P.threshold_matches(names(s, d, 0.2), 0.2)))
+query("predicate_mutual_matches", f"WITH {PREDS} SELECT p1, p2, round(similarity, 6) AS similarity FROM (SELECT *, row_number() OVER (PARTITION BY p1 ORDER BY similarity DESC, p2) AS a, row_number() OVER (PARTITION BY p2 ORDER BY similarity DESC, p1) AS b FROM sim) WHERE a = 1 AND b = 1 AND similarity > 0.1")(lambda s, d: r6(P.mutual_matches(names(s, d, 0.1), 0.1)))
+query("predicate_match_statistics", f"WITH {PREDS} SELECT count(*) AS n, round(avg(similarity), 6) AS mean, round(min(similarity), 6) AS min, round(max(similarity), 6) AS max, round(stddev_pop(similarity), 6) AS std, count(*) FILTER (similarity >= 0.85) AS high FROM sim WHERE similarity > 0")(lambda s, d: r6(P.match_statistics(names(s, d))))
 PARTS = "string_split(replace(o, '/', '-'), '-')"
 NUMBER = "^\\s*[+-]?(([0-9]+\\.?[0-9]*|\\.[0-9]+)([eE][+-]?[0-9]+)?|(?i)(nan|inf|infinity))\\s*$"
 TYPE = f"CASE WHEN o = '' THEN 'unknown' WHEN len({PARTS}) >= 2 AND len(list_filter({PARTS}, lambda x: regexp_matches(x, '^[0-9]{{4,}}$'))) > 0 THEN 'date' WHEN regexp_matches(replace(o, ',', ''), '{NUMBER}') THEN 'number' WHEN length(o) < 20 AND NOT contains(o, ' ') AND regexp_matches(o, '[0-9]') THEN 'id' ELSE 'text' END"
@@ -96,8 +131,17 @@ VALUES = f"""{TYPES}, vv AS (SELECT DISTINCT kg, p, lower(o) AS v FROM triples W
  inf AS (SELECT kg, p, count(*) AS n, avg(x) AS m, stddev_pop(x) AS sd, any_value(type) AS type, any_value(nw) AS nw FROM (SELECT *, try_cast(nullif(regexp_extract(regexp_replace(v, '[, ]', '', 'g'), '(-?[0-9]+\\.?[0-9]*)', 1), '') AS DOUBLE) AS x FROM vv) JOIN ty USING (kg, p) JOIN (SELECT kg, p, count(*) AS nw FROM ww GROUP BY 1, 2) USING (kg, p) GROUP BY 1, 2),
  vs AS (SELECT p1, p2, CASE WHEN n1 < 3 OR n2 < 3 THEN 0 WHEN t1 <> t2 THEN 0.1 WHEN t1 = 'text' THEN CAST(0.4 AS DOUBLE) * same / least(n1, n2) + CAST(0.6 AS DOUBLE) * shared / (nw1 + nw2 - shared) WHEN t1 = 'number' THEN CAST(0.5 AS DOUBLE) * same / least(n1, n2) + CAST(0.5 AS DOUBLE) * (1 - least(1, abs(m1 - m2) / greatest(abs(m1), abs(m2)))) * least(sd1, sd2) / greatest(sd1, sd2) ELSE CAST(same AS DOUBLE) / least(n1, n2) END AS similarity
  FROM (SELECT a.p AS p1, b.p AS p2, a.n AS n1, b.n AS n2, a.type AS t1, b.type AS t2, a.nw AS nw1, b.nw AS nw2, a.m AS m1, b.m AS m2, a.sd AS sd1, b.sd AS sd2, (SELECT count(*) FROM vv x JOIN vv y ON x.v = y.v WHERE x.kg = 1 AND y.kg = 2 AND x.p = a.p AND y.p = b.p) AS same, (SELECT count(*) FROM ww x JOIN ww y ON x.w = y.w WHERE x.kg = 1 AND y.kg = 2 AND x.p = a.p AND y.p = b.p) AS shared FROM inf a JOIN inf b ON a.kg = 1 AND b.kg = 2))"""
-query("value_similarity", f"WITH {VALUES} SELECT p1, p2, round(similarity, 6) AS similarity FROM vs")(lambda s, d: r6(P.value_similarity(T(s, d))))
-query("hybrid_predicate_alignment", f"WITH {PREDS}, {VALUES}, nm AS (SELECT p1, p2, 1.0 AS name FROM attr_match UNION ALL SELECT p1, p2, similarity FROM sim ANTI JOIN attr_match USING (p1, p2) WHERE similarity >= 0.1) SELECT p1, p2, round(CAST(0.6 AS DOUBLE) * name + CAST(0.4 AS DOUBLE) * coalesce(similarity, 0), 6) AS combined FROM nm LEFT JOIN vs USING (p1, p2)")(lambda s, d: r6(P.hybrid_alignment(names(s, d), P.value_similarity(T(s, d)), derived(s, d).attr_match, threshold=0.1)))
+query("value_similarity", f"WITH {PREDS}, {VALUES} SELECT p1, p2, round(similarity, 6) AS similarity FROM vs SEMI JOIN (SELECT p1, p2 FROM sim WHERE similarity > 0) USING (p1, p2)")(lambda s, d: r6(P.value_similarity(T(s, d), names(s, d))))
+
+
+def hybrid(s, d):
+    data, named = derived(s, d), names(s, d, 0.1)
+    pairs = named.select("p1", "p2").unionByName(data.attr_match.select("p1", "p2"))
+    return r6(P.hybrid_alignment(named, P.value_similarity(data.triples, pairs), data.attr_match, threshold=0.1))
+
+
+
+query("hybrid_predicate_alignment", f"WITH {PREDS}, {VALUES}, nm AS (SELECT p1, p2, 1.0 AS name FROM attr_match UNION ALL SELECT p1, p2, similarity FROM sim ANTI JOIN attr_match USING (p1, p2) WHERE similarity >= 0.1) SELECT p1, p2, round(CAST(0.6 AS DOUBLE) * name + CAST(0.4 AS DOUBLE) * coalesce(similarity, 0), 6) AS combined FROM nm LEFT JOIN vs USING (p1, p2)")(hybrid)
 
 query("augment_relations", "WITH ends AS (SELECT 1 AS kg, e1 AS e, e1 || '_aug' || n AS a FROM (SELECT *, row_number() OVER (ORDER BY e1, e2) AS n FROM alignment) UNION ALL SELECT 2, e2, e2 || '_aug' || n FROM (SELECT *, row_number() OVER (ORDER BY e1, e2) AS n FROM alignment)) SELECT DISTINCT t.kg, coalesce(x.a, s) AS s, p, coalesce(y.a, o) AS o, o_kind FROM triples t LEFT JOIN ends x ON x.kg = t.kg AND x.e = s LEFT JOIN ends y ON y.kg = t.kg AND y.e = o WHERE o_kind = 'uri' AND (x.a IS NOT NULL OR y.a IS NOT NULL)")(lambda s, d: A.mirrored_relations(T(s, d), A.expand_pairs(derived(s, d).alignment)))
 query("augment_literals", "WITH n AS (SELECT e1, e2, e1 || '_aug' || row_number() OVER (ORDER BY e1, e2) AS a1, e2 || '_aug' || row_number() OVER (ORDER BY e1, e2) AS a2 FROM alignment), l AS (SELECT a1, a2, p, o FROM triples JOIN n ON (kg = 1 AND s = e1) OR (kg = 2 AND s = e2) WHERE o_kind = 'lit') SELECT 1 AS kg, a1 AS s, p, o, 'lit' AS o_kind FROM l UNION SELECT 2, a2, p, o, 'lit' FROM l")(lambda s, d: A.copied_literals(T(s, d), A.expand_pairs(derived(s, d).alignment)))
@@ -121,6 +165,7 @@ def two(s, d):
     return t.join(t.select((F.col("doc_id") - 1).alias("doc_id"), F.col("a").alias("b")), "doc_id")
 
 
+query("long_text_map", graphs=False)(lambda s, d: L.interpolate_long(two(s, d), "a", "b", L.alternate_words).select("doc_id", "first", "second"))
 TWO = "tw AS (SELECT a.doc_id, coalesce(a.text, '') AS a, coalesce(b.text, '') AS b FROM documents a JOIN documents b ON b.doc_id = a.doc_id + 1)"
 TOK = "list_filter(regexp_split_to_array(lower({0}), '\\s+'), lambda w: w <> '')"
 tw = lambda name, sql, f: query(name, f"WITH {TWO} SELECT doc_id, {sql} AS v FROM tw", graphs=False)(lambda s, d: r6(two(s, d).select("doc_id", f(F.col("a"), F.col("b")).alias("v"))))
