@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from twinweave.operators import profile as P
@@ -11,7 +9,7 @@ from twinweave.operators import relational as R
 from twinweave.operators import splits as S
 from twinweave.plans.kg import augmented, derived
 from twinweave.plans.registry import query
-from twinweave.plans.storage import shared_dir
+from twinweave.plans.storage import new_path
 from twinweave.sources.turtle import read_turtle, write_turtle
 
 T = lambda spark, sf: derived(spark, sf).triples
@@ -42,7 +40,7 @@ def _turtle(spark, sf):
     """The derived graphs, written as Turtle and read again."""
     parts = []
     for kg in (1, 2):
-        path = f"{shared_dir(spark)}/twinweave/turtle-{uuid.uuid4().hex}"
+        path = new_path(spark, "turtle")
         write_turtle(derived(spark, sf).graph(kg), path, {"ont": "ont/", "voc": "voc#", "c": "c:"})
         parts.append(read_turtle(spark, path, kg))
     return parts[0].unionByName(parts[1])

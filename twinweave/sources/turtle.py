@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from twinweave.plans.storage import cut
+from twinweave.plans.workers import make_importable
 
 #: Splits whose states are broadcast; beyond, lines are shuffled to them and sorted again.
 MOST_BROADCAST_SPLITS = 100_000
@@ -283,6 +284,7 @@ def _cut_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def turtle_statements(spark: SparkSession, path: str) -> DataFrame:
     """file, n (the statement's place in its file, from 0), text; blank ends of files are none."""
+    make_importable(spark)
     lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"), "value")
     states = lines.mapInArrow(_split_states, "file string, split long, to0 int, to1 int, to2 int, ends0 long, ends1 long, ends2 long")
     begins = cut(states.groupBy("file").applyInPandas(_strung, "file string, split long, state int, before long"))
