@@ -9,8 +9,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from twinweave.llm import audio_features as A
-from twinweave.llm import _common, components, language_kernel, order_minhash, pu_quality, url_templates
+from twinweave.llm import components, language_kernel, order_minhash, pu_quality, url_templates
 from twinweave.llm.queries import QUERIES
+from twinweave.plans import joins
 
 from .conftest import corpus
 
@@ -446,7 +447,7 @@ def test_large_cells_lose_no_link(spark, monkeypatch, cell, block, few):
     monkeypatch.setattr(order_minhash, "BLOCK", block)
     monkeypatch.setattr(order_minhash, "CHUNK", 7)
     monkeypatch.setattr(order_minhash, "FEW", few)
-    monkeypatch.setattr(_common, "MOST_BROADCAST", few)
+    monkeypatch.setattr(joins, "MOST_BROADCAST", few)
     rng = random.Random(12)
     word = lambda: f"w{rng.randrange(3000)}"
     base, passage = [word() for _ in range(90)], [word() for _ in range(40)]

@@ -2,89 +2,14 @@
 
 from __future__ import annotations
 
-import os
-import shutil
-import tempfile
-import uuid
-from collections.abc import Iterator
-from contextlib import contextmanager
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A key with more than this share of a table's rows is hot; there are fewer than its inverse of them.
-HOT_SHARE, HOT_SALTS = 1 / 512, 32
-#: Bytes of a table that a join may broadcast, once they are counted: 64 a row and those of its strings.
-MOST_BROADCAST = 1 << 24
-
-ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
-_own_dir: str | None = None
-_tables: dict[str, list[str]] = {}
-_scope = ""
-
-
-def make_importable(spark: SparkSession) -> None:
-    """Let Python workers of a local session import this package; clusters ship it with the job."""
-    env = spark.sparkContext.environment
-    paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
-    if ROOT not in paths:
-        env["PYTHONPATH"] = os.pathsep.join([ROOT, *paths])
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a folder of our own only where that is unset and the session is local."""
-    global _own_dir
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    if _own_dir is None:
-        _own_dir = tempfile.mkdtemp(prefix="twinweave-")
-        import atexit
-
-        atexit.register(shutil.rmtree, _own_dir, ignore_errors=True)
-    return f"file://{_own_dir}"
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    path = f"{shared_dir(spark)}/twinweave/{name}-{uuid.uuid4().hex}"
-    _tables.setdefault(_scope, []).append(path)
-    return path
-
-
-def materialise(df: DataFrame, name: str, **options: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back: lineage ends there, and any executor can read it."""
-    spark = df.sparkSession
-    path = new_path(spark, name)
-    df.write.options(compression="zstd", **options).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
+from twinweave.plans.joins import hot_keys, lookup_join, salted_join
+from twinweave.plans.storage import delete, materialise, new_path, release, scratch, shared_dir
+from twinweave.plans.workers import make_importable
 
-def delete(spark: SparkSession, path: str) -> None:
-    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-
-
-def release(spark: SparkSession, scope: str = "") -> None:
-    """Delete the intermediate tables of a scope; DataFrames that come from them must no longer be read.
-
-    Results of the operators read such tables, so their scope, the unnamed one, is for the caller to release.
-    """
-    for path in _tables.pop(scope, []):
-        delete(spark, path)
-
-
-@contextmanager
-def scratch(spark: SparkSession, scope: str) -> Iterator[None]:
-    """Tables written inside belong to ``scope``; those that it had before are deleted first."""
-    global _scope
-    release(spark, scope)
-    outer, _scope = _scope, scope
-    try:
-        yield
-    finally:
-        _scope = outer
+__all__ = ["bucket_of", "delete", "hot_keys", "lookup_join", "make_importable", "materialise", "new_path", "private", "release", "salted_join", "scratch", "shared_dir", "table", "text_or_empty"]
 
 
 def text_or_empty(col: str) -> Column:
@@ -108,31 +33,5 @@ def private(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
-def hot_keys(counts: DataFrame, key: str, n: str, total: int) -> DataFrame:
-    """The keys of ``counts`` with over HOT_SHARE of ``total`` rows: at most 1 / HOT_SHARE of them, so small enough to broadcast."""
-    return counts.where(F.col(n) > max(1.0, total * HOT_SHARE)).select(key)
-
-
-def salted_join(big: DataFrame, small: DataFrame, key: str, hot: DataFrame, by: str) -> DataFrame:
-    """``big`` joined to ``small`` on ``key`` with the rows of each hot key dealt to HOT_SALTS tasks by a hash of ``by``."""
-    flag = F.broadcast(hot.select(key).withColumn("_hot", F.lit(True)))
-    is_hot = F.coalesce(F.col("_hot"), F.lit(False))
-    left = big.join(flag, key, "left").withColumn("_salt", F.when(is_hot, F.pmod(F.xxhash64(by), F.lit(HOT_SALTS))).otherwise(0).cast("int")).drop("_hot")
-    right = small.join(flag, key, "left").withColumn("_salt", F.explode(F.when(is_hot, F.sequence(F.lit(0), F.lit(HOT_SALTS - 1))).otherwise(F.array(F.lit(0))))).drop("_hot")
-    return left.join(right, [key, "_salt"]).drop("_salt")
-
-
-def lookup_join(big: DataFrame, small: DataFrame, key: str, n: str, by: str) -> DataFrame:
-    """``big`` joined to the stored table ``small``, one row a key, whose column ``n`` counts its rows in ``big``.
-
-    The bytes of ``small`` are counted: it is broadcast up to MOST_BROADCAST of them; else the rows of hot keys are salted.
-    """
-    strings = [F.length(f.name) for f in small.schema if f.dataType.simpleString() in ("string", "binary")]
-    rows, total, letters = small.agg(F.count(F.lit(1)), F.sum(n), F.sum(sum(strings, F.lit(0)))).first()
-    if 64 * rows + 4 * (letters or 0) <= MOST_BROADCAST:
-        return big.join(F.broadcast(small), key)
-    return salted_join(big, small, key, hot_keys(small, key, n, total), by)
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
