@@ -1,12 +1,14 @@
 import random
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from pyspark.sql import functions as F
+
 from twinweave.llm import packing, token_store
 from twinweave.llm.queries import QUERIES
 from twinweave.llm.tokens import WordEncoder, default_vocabulary
@@ -102,76 +104,105 @@ def test_packing_of_documents(spark, sf_dir, docs, tokenizer):
     check_packing(packing.packed_digests(docs).collect(), tokenizer, {r[0]: r[1] for r in corpus()})
 
 
-def fills(lengths, bins):
-    fill = defaultdict(int)
-    for b, x in zip(bins, lengths, strict=True):
-        fill[b] += x
-    return fill
+def best_fit_by_hand(lengths, capacity):
+    """Best fit decreasing, piece by piece."""
+    free = []
+    for x in sorted(lengths, reverse=True):
+        fits = [i for i, space in enumerate(free) if space >= x]
+        if fits:
+            free[min(fits, key=lambda i: free[i])] -= x
+        else:
+            free.append(capacity - x)
+    return len(free)
+
+
+def draws(seed):
+    """Lengths of up to 200 of several shapes: some that best fit packs well, some that it doesn't, and some that repeat."""
+    rng = random.Random(seed)
+    kind = seed % 5
+    return [(rng.randint(1, 199), rng.randint(36, 104), min(199, int(rng.lognormvariate(3.5, 1)) + 1), rng.choice([67, 68, 99, 101]), rng.choice([30, 41, 55, 70]))[kind] for _ in range(300)]
+
+
+def held(found):
+    out = Counter()
+    for pattern, n in found.items():
+        for x, k in pattern:
+            out[x] += k * n
+    return out
+
+
+@pytest.mark.parametrize("seed", range(20))
+def test_packing_by_counts(seed):
+    """The start is best fit decreasing; the search never ends above it and keeps every piece."""
+    lengths = draws(seed)
+    counts = Counter(lengths)
+    start, end = packing.best_fit_decreasing(counts, 200), packing.pack_counts(counts, 200)
+    assert sum(start.values()) == best_fit_by_hand(lengths, 200) >= sum(end.values()) >= packing.least_bins(counts, 200)
+    for found in (start, end):
+        assert held(found) == counts and all(sum(x * k for x, k in p) <= 200 and n > 0 for p, n in found.items())
+    assert end == packing.pack_counts(counts, 200)
 
 
-def test_local_search_beats_best_fit():
-    rng = random.Random(5)
-    better = 0
-    for _ in range(30):
-        capacity = 100
-        lengths = [rng.randint(18, 52) for _ in range(60)]
-        start, end = len(set(packing.first_come(lengths, capacity))), packing.pack_lengths(lengths, capacity)
-        fill = fills(lengths, end)
-        assert max(fill.values()) <= capacity and len(fill) <= start
-        assert end == packing.pack_lengths(lengths, capacity)
-        better += len(fill) < start
-    assert better > 10
-    assert packing.pack_lengths([], 10) == [] and packing.pack_lengths([10, 10], 10) == [0, 1]
+def test_search_empties_bins():
+    better = sum(sum(packing.best_fit_decreasing(Counter(draws(s)), 200).values()) - sum(packing.pack_counts(Counter(draws(s)), 200).values()) for s in range(1, 100, 5))
+    assert better >= 20
+
+
+def test_counts_do_not_cost_pieces():
+    """A million times the pieces make the same patterns, in about as many steps."""
+    counts = Counter(draws(1))
+    more = {x: n * 1_000_000 for x, n in counts.items()}
+    search = packing._Search(packing.best_fit_decreasing(more, 200), 200)
+    start = search.live
+    search.run(packing.least_bins(more, 200))
+    assert search.live < start and search.steps < 20_000 and held(search.packing()) == more
 
 
 def test_each_step_grows_squared_fill(monkeypatch):
     """Moves, one-for-one and two-for-one exchanges all happen, and each makes the sum of squared fills larger."""
     rng = random.Random(8)
-    lengths = [rng.randint(18, 52) for _ in range(300)]
-    search = packing._Search(lengths, packing.first_come(lengths, 100), 100)
-    squares = lambda: sum(f * f for f in fills(lengths, search.bin.tolist()).values())
-    real, kinds, last = search._step, set(), [squares()]
-
-    def step(donor):
-        before = search.bin.copy()
-        done = real(donor)
-        if done:
-            kinds.add(int((before != search.bin).sum()))
-            assert squares() > last[0]
-            last[0] = squares()
-        return done
-
-    monkeypatch.setattr(search, "_step", step)
+    start = {((rng.randint(30, 48), 1), (rng.randint(18, 26), 1 + i % 2)): 1 + i % 3 for i in range(60)}
+    start |= {((rng.randint(18, 52), 1),): 1 for _ in range(60)}
+    search = packing._Search(start, 100)
+    squares = lambda: sum(n * sum(x * k for x, k in p) ** 2 for p, n in search.packing().items())
+    real, kinds, last = search._apply, set(), [squares()]
+
+    def apply(donor, target, out, back):
+        real(donor, target, out, back)
+        kinds.add(len(back))
+        assert squares() > last[0] and all(sum(x * k for x, k in p) <= 100 for p in search.packing())
+        last[0] = squares()
+
+    monkeypatch.setattr(search, "_apply", apply)
+    counts = held(search.packing())
     search.run(0)
-    assert kinds == {1, 2, 3}
-    assert all(not real(b) for b, items in enumerate(search.items) if items and search.free[b])
-
-
-def test_search_empties_bins_of_documents(spark):
-    """On sf0.01 the search goes below the start, and through several levels of shards to the least number or one more."""
-    pieces = packing.token_pieces(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).select("row_id", "piece", "length").cache()
-    n = [r.length for r in pieces.collect()]
-    short = [x for x in n if x < 2048]
-    start, least = packing.first_come(short, 2048), packing.least_bins(short, 2048)
-    search = packing._Search(short, start, 2048)
-    search.run(least)
-    assert search.steps > 0 and least <= search.live < len(set(start)) < len(set(packing.first_come(short, 2048, batch=1)))
-    for shard in (1024, 300):
-        got = packing.pack_pieces(pieces, shard_pieces=shard).join(pieces, ["row_id", "piece"]).collect()
-        bins = defaultdict(list)
-        for r in got:
-            bins[r.sequence_id].append((r.offset, r.length))
-        for parts in bins.values():
-            parts.sort()
-            assert [a for a, _ in parts] == [sum(x for _, x in parts[:k]) for k in range(len(parts))] and sum(x for _, x in parts) <= 2048
-        count = len(bins) - sum(x == 2048 for x in n)
-        assert len(got) == len(n) and count <= least + 1
-
-
-def test_pieces_that_no_shard_can_pair(spark):
+    assert kinds == {0, 1, 2} and held(search.packing()) == counts
+    assert all(not search._step(i) for i in range(len(search.patterns)) if search.bins[i] and search.fill[i] < 100)
+
+
+@pytest.mark.parametrize("sf", ["sf0.01", "sf0.1"])
+def test_documents_need_the_least_sequences(spark, sf):
+    """Whole tables come to the number that their lengths allow, and lie in them without gaps."""
+    pieces = packing.token_pieces(spark.read.parquet(f"/root/testdata/{sf}/documents.parquet")).select("row_id", "piece", "length").cache()
+    counts = Counter({r.length: r.n for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()})
+    got = packing.pack_pieces(pieces).join(pieces, ["row_id", "piece"]).collect()
+    bins = defaultdict(list)
+    for r in got:
+        bins[r.sequence_id].append((r.offset, r.length))
+    for parts in bins.values():
+        parts.sort()
+        assert [a for a, _ in parts] == [sum(x for _, x in parts[:k]) for k in range(len(parts))] and sum(x for _, x in parts) <= 2048
+    assert len(got) == sum(counts.values())
+    short = Counter({x: n for x, n in counts.items() if x < 2048})
+    assert len(bins) - counts[2048] == packing.least_bins(short, 2048)
+
+
+def test_pieces_that_nothing_can_join(spark):
     pieces = spark.createDataFrame([(i, 0, 1500 + i % 7) for i in range(300)], "row_id long, piece int, length long")
-    got = packing.pack_pieces(pieces, shard_pieces=64).collect()
+    got = packing.pack_pieces(pieces).collect()
     assert len({r.sequence_id for r in got}) == 300 and {r.offset for r in got} == {0}
+    whole = packing.pack_pieces(spark.createDataFrame([(i, 0, 2048) for i in range(5)], "row_id long, piece int, length long")).collect()
+    assert len({r.sequence_id for r in whole}) == 5
 
 
 def test_repeated_ids_with_other_texts(spark, tokenizer):

@@ -1,16 +1,18 @@
 """Best-fit packing of token pieces into sequences by swap-based local search.
 
-Documents are encoded once; their pieces (only documents longer than a sequence are cut) are stored in the shared folder,
-and only lengths travel to the packer. Full pieces are sequences of their own. The others are dealt by hash to shards of
-a bounded number of pieces. In a shard, pieces go to the best fitting bin as they come; the local search then drains the
-emptiest bins: it moves a piece to another underfull bin, exchanges one piece for one shorter piece or one for two shorter
-ones, always so that the sum of squared fills grows, until the bins are as few as the lengths allow or no step is left.
-The underfull bins that shards are left with meet in fewer shards for another search, and so on.
+Documents are encoded once; their pieces (only documents longer than a sequence are cut) are stored in the shared folder.
+There are fewer lengths than a sequence has tokens, so the packing is made of their counts alone, however many pieces there
+are: a pattern is a multiset of lengths that share a bin, and it stands for as many bins as are alike. The start is best
+fit decreasing. The local search then drains the emptiest bins: it moves a piece to another underfull bin, exchanges one
+piece for one shorter piece or one for two shorter ones, in as many bins of a pattern as both sides have, always so that
+the sum of squared fills grows, until the bins are as few as the lengths allow or no step is left. Last, the pieces of each
+length, numbered in the order of rows, are dealt to the patterns' places.
 """
 
 from __future__ import annotations
 
 from bisect import bisect_left, insort
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -20,152 +22,196 @@ from pyspark.sql import functions as F
 from twinweave.llm._common import make_importable, materialise, text_or_empty
 from twinweave.llm.token_store import pieces_of
 from twinweave.llm.tokens import default_vocabulary
-
-SHARD_PIECES = 1024
-#: Pieces that come to the bins together, longest first.
-BATCH = 256
-
-
-def first_come(lengths: list[int], capacity: int, batch: int = BATCH) -> list[int]:
-    """A bin number for each length (1 to capacity): the fullest bin that still has room, batch by batch in the order given."""
-    free: list[tuple[int, int]] = []
-    out, bins = [0] * len(lengths), 0
-    for begin in range(0, len(lengths), batch):
-        for i in sorted(range(begin, min(begin + batch, len(lengths))), key=lambda i: -lengths[i]):
-            at = bisect_left(free, (lengths[i], -1))
-            if at < len(free):
-                space, out[i] = free.pop(at)
+from twinweave.plans.ranks import global_row_number
+
+#: Lengths of a bin, longest first, with how often it holds them.
+Pattern = tuple[tuple[int, int], ...]
+
+
+def _changed(pattern: Pattern, *changes: tuple[int, int]) -> Pattern:
+    """The pattern with lengths added or, by a negative number, taken away."""
+    held = Counter(dict(pattern))
+    for length, n in changes:
+        held[length] += n
+    return tuple(sorted(((x, k) for x, k in held.items() if k), reverse=True))
+
+
+def best_fit_decreasing(counts: dict[int, int], capacity: int) -> dict[Pattern, int]:
+    """Bins by pattern: longest pieces first, each in the fullest bin that has room; bins that are alike are filled together."""
+    room: dict[int, dict[Pattern, int]] = {}
+    spaces: list[int] = []
+
+    def put(pattern: Pattern, space: int, bins: int) -> None:
+        if bins and space not in room:
+            room[space] = {}
+            insort(spaces, space)
+        if bins:
+            room[space][pattern] = room[space].get(pattern, 0) + bins
+
+    for length in sorted(counts, reverse=True):
+        left = counts[length]
+        while left:
+            at = bisect_left(spaces, length)
+            if at < len(spaces):
+                space = spaces[at]
+                pattern = next(iter(room[space]))
+                bins = room[space][pattern]
             else:
-                space, out[i] = capacity, bins
-                bins += 1
-            if space > lengths[i]:
-                insort(free, (space - lengths[i], out[i]))
-    return out
-
-
-def least_bins(lengths: list[int], capacity: int) -> int:
+                space, pattern, bins = capacity, (), left
+            each = min(space // length, left)
+            taken = min(bins, left // each)
+            if pattern:
+                room[space][pattern] -= taken
+                if not room[space][pattern]:
+                    del room[space][pattern]
+                if not room[space]:
+                    del room[space]
+                    spaces.pop(at)
+            put(_changed(pattern, (length, each)), space - each * length, taken)
+            left -= taken * each
+    return {pattern: n for found in room.values() for pattern, n in found.items()}
+
+
+def least_bins(counts: dict[int, int], capacity: int) -> int:
     """No packing has fewer bins: the lengths' sum, and no two lengths over half a bin in one."""
-    return max(-(-sum(lengths) // capacity), sum(2 * x > capacity for x in lengths))
+    return max(-(-sum(x * n for x, n in counts.items()) // capacity), sum(n for x, n in counts.items() if 2 * x > capacity))
 
 
 class _Search:
-    """Local search over the underfull bins of a packing; deterministic."""
+    """Local search over the underfull bins of a packing by pattern; deterministic."""
+
+    def __init__(self, packing: dict[Pattern, int], capacity: int):
+        import numpy as np
 
-    def __init__(self, lengths, bins, capacity: int):
+        self.capacity, self.steps, self.live = capacity, 0, 0
+        self.patterns: list[Pattern] = []
+        self.number: dict[Pattern, int] = {}
+        self.bins = np.zeros(0, np.int64)
+        self.fill = np.zeros(0, np.int64)
+        #: For each pattern's lengths, and for its pairs of lengths: the pattern, the sum, and the lengths.
+        self.ones, self.twos = np.zeros((0, 4), np.int64), np.zeros((0, 4), np.int64)
+        self._new: list[Pattern] = []
+        for pattern, n in sorted(packing.items()):
+            self._add(pattern, n)
+        self._settle()
+
+    def _add(self, pattern: Pattern, n: int) -> None:
         import numpy as np
 
-        self.n = np.asarray(lengths, np.int64)
-        self.bin = np.array(bins, np.int64)
-        self.free = capacity - np.bincount(self.bin, weights=self.n).astype(np.int64)
-        self.capacity = capacity
-        self.items: list[list[int]] = [[] for _ in self.free]
-        for i, b in enumerate(self.bin.tolist()):
-            self.items[b].append(i)
-        self.live = sum(map(bool, self.items))
-        self.single = np.flatnonzero(self.free[self.bin] > 0)
-        self.steps = 0
-        self.i = self.j = self.home = np.zeros(0, np.int64)
-        self.fresh = [b for b, items in enumerate(self.items) if len(items) > 1 and self.free[b]]
-
-    def _add_pairs(self) -> None:
-        """Pairs of pieces of the bins that changed; pieces of one length stand for each other, two are enough."""
+        if not pattern:
+            return
+        self.live += n
+        if pattern not in self.number:
+            self.number[pattern] = len(self.patterns)
+            self.patterns.append(pattern)
+            self._new.append(pattern)
+            if len(self.patterns) > len(self.bins):
+                grown = np.zeros(max(64, 2 * len(self.bins)), np.int64)
+                self.bins, self.fill = (np.concatenate([old, grown]) for old in (self.bins, self.fill))
+            self.fill[self.number[pattern]] = sum(x * k for x, k in pattern)
+        self.bins[self.number[pattern]] += n
+
+    def _settle(self) -> None:
+        """Enter the lengths of new patterns."""
         import numpy as np
 
-        out: list[tuple[int, int, int]] = []
-        for b in dict.fromkeys(self.fresh):
-            seen: dict[int, int] = {}
-            some = []
-            for i in self.items[b]:
-                size = int(self.n[i])
-                seen[size] = seen.get(size, 0) + 1
-                if seen[size] <= 2:
-                    some.append(i)
-            out += [(i, j, b) for k, i in enumerate(some) for j in some[k + 1 :]]
-        self.fresh = []
-        if out:
-            new = np.array(out, np.int64)
-            alive = (self.bin[self.i] == self.home) & (self.bin[self.j] == self.home) & ~np.isin(self.home, np.unique(new[:, 2]))
-            self.i, self.j, self.home = (np.concatenate([old[alive], new[:, k]]) for k, old in enumerate((self.i, self.j, self.home)))
-
-    def _best(self, size, sums, home, donor: int, least: int) -> tuple[int, int, int]:
-        """Gain, item and candidate of the most gain above ``least`` for items of ``size`` against candidates of ``sums`` in
-        their bins, where the candidate's bin has room and ends fuller than the donor was; item -1 if there is none."""
+        one, two = [], []
+        for pattern in self._new:
+            at = self.number[pattern]
+            if self.fill[at] == self.capacity:
+                continue
+            one += [(at, x, x, 0) for x, _ in pattern]
+            two += [(at, x + y, x, y) for i, (x, k) in enumerate(pattern) for y, _ in (pattern[i:] if k > 1 else pattern[i + 1 :])]
+        self._new = []
+        self.ones, self.twos = (np.concatenate([old, np.array(new, np.int64).reshape(-1, 4)]) for old, new in ((self.ones, one), (self.twos, two)))
+
+    def _best(self, sizes, rows, donor: int, least: int):
+        """Gain, size and row of the exchange that takes most, above ``least``, out of the donor; the target has room for it and
+        ends fuller than the donor was."""
         import numpy as np
 
-        room = self.free[home]
-        gain = size[:, None] - sums[None, :]
-        fits = (gain <= room) & (gain > np.maximum(least, room - self.free[donor]))
-        gain = np.where(fits, gain, 0)
-        at = int(gain.argmax())
-        item, k = divmod(at, len(sums)) if len(sums) else (0, 0)
-        return (int(gain[item, k]), item, k) if gain.size and gain[item, k] > 0 else (least, -1, -1)
-
-    def _place(self, item: int, b: int) -> None:
-        old = int(self.bin[item])
-        self.items[old].remove(item)
-        self.live += not self.items[b]
-        self.items[b].append(item)
-        self.free[old] += self.n[item]
-        self.free[b] -= self.n[item]
-        self.bin[item] = b
-        self.fresh += [old, b]
-        self.live -= not self.items[old]
+        at = rows[:, 0]
+        open_ = (self.bins[at] > 0) & ((at != donor) | (self.bins[at] > 1))
+        rows, at = rows[open_], at[open_]
+        if not len(rows):
+            return least, 0, None
+        gain = sizes[:, None] - rows[None, :, 1]
+        room = self.capacity - self.fill[at]
+        fits = (gain <= room) & (gain > np.maximum(least, self.fill[donor] - self.fill[at]))
+        best = int(np.where(fits, gain, 0).argmax())
+        i, j = divmod(best, len(rows))
+        return (int(gain[i, j]), int(sizes[i]), rows[j]) if fits[i, j] else (least, 0, None)
+
+    def _apply(self, donor: int, target: int, out: int, back: tuple[int, ...]) -> None:
+        """One piece from the donor's bins to the target's, and others back, in as many bins as both have."""
+        n = int(self.bins[donor]) // 2 if donor == target else int(min(self.bins[donor], self.bins[target]))
+        for at in (donor, target):
+            self.bins[at] -= n
+            self.live -= n
+        self._add(_changed(self.patterns[donor], (out, -1), *((x, 1) for x in back)), n)
+        self._add(_changed(self.patterns[target], (out, 1), *((x, -1) for x in back)), n)
+        self._settle()
+        self.steps += 1
 
     def _step(self, donor: int) -> bool:
         """The move, or else the exchange, that takes most out of the donor."""
         import numpy as np
 
-        # Pieces of one length stand for each other, so there are few to try however full of small ones the donor is.
-        size, first = np.unique(-self.n[self.items[donor]], return_index=True)
-        size, items = -size, [self.items[donor][k] for k in first]
-        open_ = np.flatnonzero((self.free > 0) & (self.free < self.capacity))
-        room = self.free[open_]
-        roomy = (room[None, :] >= size[:, None]) & (room[None, :] - size[:, None] < self.free[donor]) & (open_ != donor)[None, :]
-        if roomy.any():
-            item = int(roomy.any(axis=1).argmax())
-            self._place(items[item], int(open_[np.where(roomy[item], room, self.capacity).argmin()]))
-            return True
-        home = self.bin[self.single]
-        away = self.single[(home != donor) & (self.free[home] > 0)]
-        gain, item, k = self._best(size, self.n[away], self.bin[away], donor, 0)
-        back = (int(away[k]),) if item >= 0 else ()
-        self._add_pairs()
-        two = np.flatnonzero((self.bin[self.i] == self.home) & (self.bin[self.j] == self.home) & (self.home != donor) & (self.free[self.home] > 0))
-        _, other, k = self._best(size, self.n[self.i[two]] + self.n[self.j[two]], self.home[two], donor, gain)
-        if other >= 0:
-            item, back = other, (int(self.i[two[k]]), int(self.j[two[k]]))
-        if item < 0:
+        sizes = np.array([x for x, _ in self.patterns[donor]])
+        count = len(self.patterns)
+        fill = self.fill[:count]
+        other = (self.bins[:count] > 0) & (fill < self.capacity)
+        other[donor] &= self.bins[donor] > 1
+        targets = np.flatnonzero(other)
+        for size in sizes.tolist():
+            some = targets[(fill[targets] + size <= self.capacity) & (fill[targets] + size > fill[donor])]
+            if len(some):
+                self._apply(donor, int(some[fill[some].argmax()]), size, ())
+                return True
+        gain, out, row = self._best(sizes, self.ones, donor, 0)
+        back = (int(row[2]),) if row is not None else ()
+        target = int(row[0]) if row is not None else -1
+        _, more, row = self._best(sizes, self.twos, donor, gain)
+        if row is not None:
+            out, target, back = more, int(row[0]), (int(row[2]), int(row[3]))
+        if target < 0:
             return False
-        target = int(self.bin[back[0]])
-        for piece in back:
-            self._place(piece, donor)
-        self._place(items[item], target)
+        self._apply(donor, target, out, back)
         return True
 
     def run(self, least: int) -> None:
-        """Sweep over the donors until the bins are as few as ``least`` or nothing grows the squared fill any more."""
+        """Sweep over the underfull patterns, emptiest first, until the bins are as few as ``least`` or no step is left."""
+        import numpy as np
+
         changed = True
         while changed and self.live > least:
             changed = False
-            for donor in sorted((b for b, items in enumerate(self.items) if items and self.free[b]), key=lambda b: (-self.free[b], b)):
-                while self.items[donor] and self.free[donor] and self.live > least and self._step(donor):
+            count = len(self.patterns)
+            open_ = np.flatnonzero((self.bins[:count] > 0) & (self.fill[:count] < self.capacity))
+            for donor in open_[np.argsort(self.fill[open_], kind="stable")].tolist():
+                while self.bins[donor] and self.live > least and self._step(donor):
                     changed = True
-                    self.steps += 1
                 if self.live <= least:
                     break
 
+    def packing(self) -> dict[Pattern, int]:
+        return {pattern: int(self.bins[at]) for pattern, at in self.number.items() if self.bins[at]}
 
-def improve(lengths: list[int], bins: list[int], capacity: int) -> list[int]:
-    """A packing with as many bins as ``bins`` (numbered from 0) or fewer, in gapless numbers."""
-    search = _Search(lengths, bins, capacity)
-    search.run(least_bins(lengths, capacity))
-    number = {b: k for k, b in enumerate(sorted({*search.bin.tolist()}))}
-    return [number[b] for b in search.bin.tolist()]
 
+def improve(packing: dict[Pattern, int], capacity: int) -> dict[Pattern, int]:
+    """A packing of the same lengths with as many bins or fewer, each step of it growing the squared fill."""
+    counts: Counter[int] = Counter()
+    for pattern, n in packing.items():
+        for length, k in pattern:
+            counts[length] += k * n
+    search = _Search(packing, capacity)
+    search.run(least_bins(counts, capacity))
+    return search.packing()
 
-def pack_lengths(lengths: list[int], capacity: int) -> list[int]:
-    """A bin number for each length (1 to capacity): as they come, then local search. Deterministic."""
-    return improve(lengths, first_come(lengths, capacity), capacity) if lengths else []
+
+def pack_counts(counts: dict[int, int], capacity: int) -> dict[Pattern, int]:
+    """Bins by pattern for so many pieces of each length (1 to capacity): best fit decreasing, then local search."""
+    return improve(best_fit_decreasing(counts, capacity), capacity)
 
 
 def _cut(path: str, end_id: int, capacity: int):
@@ -199,66 +245,60 @@ def token_pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return materialise(pieces, "pieces")
 
 
-SHARDED = "row_id long, piece int, length long, sequence_id long, offset long, fill long"
+def _places(packing: dict[Pattern, int]):
+    """Rows (length, first piece, sequence, in one bin, offset) that tell where the pieces of each length go, in their order: from the
+    first piece on, so many in each bin, from the offset on, in one sequence after the other."""
+    import numpy as np
+
+    rows, begun, sequence = [], Counter(), 0
+    for pattern, bins in sorted(packing.items()):
+        offset = 0
+        for length, k in pattern:
+            rows.append((length, begun[length], sequence, k, offset))
+            begun[length] += k * bins
+            offset += k * length
+        sequence += bins
+    return np.array(sorted(rows), np.int64).reshape(-1, 5)
 
 
-def _pack_shard(capacity: int, level: int):
-    """Packs the pieces of a shard, or goes on from the sequences that they are in."""
+def _placed(places, before):
+    """Pieces (row_id, piece, length, place) with their sequence and offset. ``before``: shorter pieces, by length."""
 
-    def run(table: pa.Table) -> pa.Table:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
 
-        table = table.sort_by([("row_id", "ascending"), ("piece", "ascending")])
-        n = table.column("length").to_numpy().astype(np.int64)
-        if "sequence_id" in table.column_names:
-            _, start = np.unique(table.column("sequence_id").to_numpy(), return_inverse=True)
-            bins = np.array(improve(n.tolist(), start.tolist(), capacity), dtype=np.int64)
-        else:
-            bins = np.array(pack_lengths(n.tolist(), capacity), dtype=np.int64)
-        order = np.lexsort((np.arange(len(n)), bins))
-        ends = np.cumsum(n[order])
-        starts = ends - n[order]
-        first = np.concatenate([[True], bins[order][1:] != bins[order][:-1]])
-        offsets = np.empty(len(n), dtype=np.int64)
-        offsets[order] = starts - np.maximum.accumulate(np.where(first, starts, 0))
-        fill = np.bincount(bins, weights=n).astype(np.int64)[bins]
-        # The level's bits lie above those of the shard and the bin (below SHARD_PIECES), so numbers can't clash.
-        ids = (np.int64(level) << 56) + table.column("shard").to_numpy().astype(np.int64) * (1 << 16) + bins
-        return pa.table([table.column("row_id"), table.column("piece"), table.column("length"), ids, offsets, fill], ["row_id", "piece", "length", "sequence_id", "offset", "fill"])
+        starts = before[places[:, 0]] + places[:, 1]
+        for batch in batches:
+            place = batch.column(3).to_numpy()
+            row = places[np.searchsorted(starts, place, side="right") - 1]
+            nth = place - before[row[:, 0]] - row[:, 1]
+            sequence, offset = row[:, 2] + nth // row[:, 3], row[:, 4] + nth % row[:, 3] * row[:, 0]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sequence), pa.array(offset)], ["row_id", "piece", "sequence_id", "offset"])
 
     return run
 
 
-def pack_pieces(pieces: DataFrame, capacity: int = 2048, shard_pieces: int = SHARD_PIECES) -> DataFrame:
-    """row_id, piece, sequence_id, offset for each piece. Shards are even because pieces are dealt by hash."""
+def pack_pieces(pieces: DataFrame, capacity: int = 2048) -> DataFrame:
+    """row_id, piece, sequence_id, offset for each piece. The counts of lengths and the patterns, which are what the driver holds,
+    don't grow with the pieces; those are numbered in the order of length, row and piece, and find their places by number."""
+    import numpy as np
+
     make_importable(pieces.sparkSession)
     sizes = pieces.select("row_id", "piece", "length")
-    short = sizes.where(F.col("length") < capacity)
     whole = sizes.where(F.col("length") == capacity).select("row_id", "piece", (-1 - F.monotonically_increasing_id()).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
-    columns = whole.columns
-    left, key, done, level, bins = short.count(), F.xxhash64("row_id", "piece"), [whole], 0, None
-    while True:
-        shards = max(1, -(-left // shard_pieces))
-        dealt = short.withColumn("shard", F.pmod(key, F.lit(shards)).cast("long"))
-        packed = dealt.groupBy("shard").applyInArrow(_pack_shard(capacity, level), SHARDED)
-        if shards == 1:
-            break
-        packed = materialise(packed, "packed")
-        under = packed.where(F.col("fill") < capacity)
-        first = (F.col("offset") == 0).cast("long")
-        after, open_bins, open_pieces = packed.agg(F.sum(first), F.sum(F.when(F.col("fill") < capacity, first)), F.count(F.when(F.col("fill") < capacity, 1))).first()
-        # Shards that empty less than a bin each, and fill few, have little more to give, as with pieces just over half a sequence.
-        if not open_pieces or bins is not None and bins - after < shards and 2 * open_pieces > left:
-            break
-        done.append(packed.where(F.col("fill") == capacity).select(columns))
-        left, bins = open_pieces, open_bins
-        short, key, level = under.drop("offset", "fill"), F.xxhash64("sequence_id"), level + 1
-    for more in done:
-        packed = packed.select(columns).unionByName(more)
-    return packed
-
-
-def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None, end_id: int = 0, capacity: int = 2048, shard_pieces: int = SHARD_PIECES) -> DataFrame:
+    counts = {r.length: r.n for r in sizes.where(F.col("length") < capacity).groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
+    if not counts:
+        return whole
+    each = np.zeros(capacity + 1, np.int64)
+    for length, n in counts.items():
+        each[length + 1] = n
+    numbered = global_row_number(sizes.where(F.col("length") < capacity), ["length", "row_id", "piece"], "place")
+    short = numbered.select("row_id", "piece", "length", (F.col("place") - 1).alias("place"))
+    places = _places(pack_counts(counts, capacity))
+    return whole.unionByName(short.mapInArrow(_placed(places, np.cumsum(each)), "row_id long, piece int, sequence_id long, offset long"))
+
+
+def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None, end_id: int = 0, capacity: int = 2048) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids, sequence_id, offset.
 
     Null texts count as empty: one piece with only the end id; texts are encoded whole, however long. Rows that repeat a
@@ -266,13 +306,13 @@ def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     Other columns are not read; an empty table gives an empty table.
     """
     pieces = token_pieces(docs, id_col, text_col, vocabulary, end_id, capacity)
-    placed = pack_pieces(pieces, capacity, shard_pieces)
+    placed = pack_pieces(pieces, capacity)
     return pieces.join(placed, ["row_id", "piece"]).select("doc_id", "piece", "start", "length", "ids", "sequence_id", "offset")
 
 
 def packed_digests(docs: DataFrame, **options) -> DataFrame:
     """``pack_documents`` with the crc32 of each piece's ids in their place; the ids themselves aren't shuffled."""
-    capacity, shard = options.get("capacity", 2048), options.pop("shard_pieces", SHARD_PIECES)
+    capacity = options.get("capacity", 2048)
     pieces = token_pieces(docs, **options)
     digests = pieces.select("row_id", "doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"))
-    return digests.join(pack_pieces(pieces, capacity, shard), ["row_id", "piece"]).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+    return digests.join(pack_pieces(pieces, capacity), ["row_id", "piece"]).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
