@@ -294,6 +294,34 @@ def test_tree_against_plain_python(spark):
     assert any(t.count("/") > 5 for t, _ in want) and any("/*" in t for t, _ in want) and any("%2A" in t for t, _ in want)
 
 
+def test_runs_that_do_not_branch(spark, monkeypatch):
+    """Long shared runs on one host and on several, with labels, paths that end on a run, and numbers in it."""
+    rng = random.Random(9)
+    run = [rng.choice(["x", "y", "77", "{number}", "ab!c", "ab"]) for _ in range(30)]
+    rows = [(h, "/deep/" + "/".join(run[:n] + more), rng.choice([0, 1, None])) for h in ("h1", "h2") for n, more in ((30, []), (30, ["p"]), (30, ["q", "1"]), (22, []), (22, ["z"] * 9)) for _ in range(2)]
+    rows += [("h3", "/deep/" + "/".join(run[:25] + ["own"] * 12 + [t]), label) for t, label in (("a", 1), ("b", 1), ("c", None), ("a!b", 0))]
+    rows += [("h3", "/a/" + "/".join(["k"] * 40), 1), ("h4", "/a", 0), ("h4", "/a!/b/c", 1), ("h4", "/a/b/c", 0)]
+    rounds = []
+    real = url_templates._descend
+    monkeypatch.setattr(url_templates, "_descend", lambda nodes: rounds.append(1) or real(nodes))
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "page_id long, host string, path string, label int")
+    got = {r.page_id: (r.template, r.purity) for r in url_templates.path_templates(df).collect()}
+    assert all(got[i][0] == t and abs(got[i][1] - p) < 1e-9 for i, (t, p) in enumerate(tree_by_hand(rows)))
+    assert len(rounds) <= 12  # of 43 levels
+
+
+def test_crawler_traps_take_few_rounds(spark, monkeypatch):
+    rounds = []
+    real = url_templates._descend
+    monkeypatch.setattr(url_templates, "_descend", lambda nodes: rounds.append(1) or real(nodes))
+    trap = "/loop" * 5000
+    urls = ["http://a.com/x/1", "http://a.com/y/2", "http://b.org/fr/3", f"http://t.com{trap}", f"http://t.com{trap}/end", f"http://t.com{trap}/7?q", f"http://a.net{trap[:20]}"]
+    got = {r.page_id: r for r in url_templates.judge_urls(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")).collect()}
+    assert len(rounds) <= 5 and got[3].template == trap and got[5].template == trap + "/{number}"
+    want = tree_by_hand([(r.host, r.path[:400], {"block": 1, "allow": 0}[r.verdict] if r.rule else None) for r in (got[i] for i in range(3))])
+    assert all(got[i].template == t for i, (t, _) in enumerate(want))
+
+
 @pytest.mark.parametrize("sf", ["sf0.01", "sf0.1"])
 def test_judged_pages_against_plain_python(spark, sf):
     """Every row of the query; the method gives verdicts of both kinds, and no constant purity, where no rule decides."""

@@ -1,6 +1,7 @@
 """URL filter: host and path rules first, then a path-template tree for each host.
 
-Level by level, down to the deepest path, a node is a host and a template of its first segments. Segments that look like
+A node is a host and a template of the first segments of its paths. It is followed level by level where it branches, and at
+once along what all paths below a template share, so rounds are bounded by branching, not by depth. Segments that look like
 numbers or long hex strings become wildcards by their shape. A branch with its own literal stays only while it differs
 from its siblings under the same node: siblings whose labelled rates and whose next segments' shapes agree within
 sampling error merge into one wildcard; how many siblings there are plays no part. The labels are the rules' verdicts on
@@ -14,6 +15,8 @@ host with a third of all pages is a few rows a task, and joins are salted where
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -71,18 +74,16 @@ def path_templates(pages: DataFrame) -> DataFrame:
     paths = rows.groupBy(host.alias("host"), F.col(seg).alias("path")).agg(F.count(F.lit(1)).alias("n"), F.count("label").alias("lab"), F.coalesce(F.sum("label"), F.lit(0)).alias("blk"))
     paths = materialise(paths, "url-paths")
     root = paths.groupBy("host").agg(_smoothed(F.sum("blk"), F.sum("lab"), F.lit(PRIOR)).alias("up"), F.count(F.lit(1)).alias("of"))
-    # node is the template so far, ends marks paths that end at it.
+    # node is the template so far, rest what follows it; paths without a rest end at it.
     nodes = lookup_join(paths, materialise(root, "url-hosts"), "host", "of", "path").drop("of")
-    nodes = materialise(nodes.withColumn("node", F.lit("")).withColumn("ends", F.col("path") == ""), "url-nodes")
+    nodes = materialise(nodes.withColumn("node", F.lit("")).withColumn("rest", F.col("path")), "url-nodes")
     done = []
-    level = 0
-    while True:
-        done.append(nodes.where("ends").select("host", "path", F.col("node").alias("template"), F.col("up").alias("purity")))
-        nodes = nodes.where("not ends").drop("ends")
+    for step in itertools.cycle((_jump, _descend)):
+        done.append(nodes.where("rest = ''").select("host", "path", F.col("node").alias("template"), F.col("up").alias("purity")))
+        nodes = nodes.where("rest <> ''")
         if nodes.isEmpty():
             break
-        level += 1
-        nodes = materialise(_descend(nodes, level), "url-nodes")
+        nodes = step(nodes)
     templates = done[0]
     for more in done[1:]:
         templates = templates.unionByName(more)
@@ -96,11 +97,50 @@ def path_templates(pages: DataFrame) -> DataFrame:
     return joined.drop(key, uid, n)
 
 
-def _descend(nodes: DataFrame, level: int) -> DataFrame:
-    """The nodes one level down: node, up and ends of each path that goes on."""
-    part = lambda k: F.coalesce(F.try_element_at(F.split("path", "/"), F.lit(k)), F.lit(""))
-    after = _shape_no(part(level + 1))
-    nodes = nodes.withColumn("branch", part(level)).withColumn("key", F.concat("host", F.lit("\n"), "node"))
+def _behind(rest: Column, first: Column) -> Column:
+    """What follows the first segments of a rest."""
+    return F.substring(rest, F.length(first) + 2, F.length(rest))
+
+
+def _jump(nodes: DataFrame) -> DataFrame:
+    """Nodes moved down along the segments that everything below their template shares, on all hosts that have it.
+
+    Such a run doesn't branch: each node on it has one branch, which stays what it is, and the same labels as the node above,
+    so its purity follows from that above at once. What is left to descend by levels is only where a template branches.
+    """
+    keyed = nodes.withColumn("key", F.concat("host", F.lit("\n"), "node"))
+    end = F.concat("rest", F.lit("/"))
+    own = keyed.groupBy("key", "node").agg(F.first("up").alias("up"), F.sum("lab").alias("lab"), F.sum("blk").alias("blk"), F.count(F.lit(1)).alias("paths"), F.min(end).alias("low"), F.max(end).alias("high"))
+    own = materialise(own, "url-runs")
+    every = own.groupBy("node").agg(F.sum("lab").alias("all_lab"), F.sum("blk").alias("all_blk"), F.count(F.lit(1)).alias("of"), F.min("low").alias("low"), F.max("high").alias("high"))
+    # The least and the greatest rest share as many whole segments as all rests do.
+    low, high = F.split("low", "/"), F.split("high", "/")
+    most = F.least(F.size(low), F.size(high)) - 1
+    differ = F.array_position(F.zip_with(F.slice(low, F.lit(1), most), F.slice(high, F.lit(1), most), lambda x, y: x == y), False)
+    every = every.select("node", "all_lab", "all_blk", "of", F.slice(low, F.lit(1), F.when(differ == 0, most).otherwise(differ - 1).cast("int")).alias("run")).where(F.size("run") > 1)
+    every = materialise(every.withColumn("shared", F.array_join("run", "/")), "url-shared-runs")
+    if every.isEmpty():
+        return nodes
+    runs = lookup_join(own.drop("low", "high"), every, "node", "of", "key")
+    elsewhere = _smoothed(F.col("all_blk") - F.col("blk"), F.col("all_lab") - F.col("lab"), F.lit(PRIOR))
+
+    def one(up: Column, segment: Column) -> Column:
+        prior = F.when(segment.startswith("{"), up).otherwise((up + elsewhere + 2 * PRIOR) / 4)
+        return _smoothed(F.col("blk"), F.col("lab"), prior)
+
+    runs = materialise(runs.select("key", "paths", "shared", F.aggregate("run", F.col("up"), one).alias("moved")), "url-moves")
+    at = runs.select("key")
+    still = keyed.join(at, "key", "left_anti").drop("key")
+    gone = lookup_join(keyed, runs, "key", "paths", "path")
+    gone = gone.select("host", "path", "n", "lab", "blk", F.col("moved").alias("up"), F.concat("node", F.lit("/"), "shared").alias("node"), _behind(F.col("rest"), F.col("shared")).alias("rest"))
+    return materialise(still.select(gone.columns).unionByName(gone), "url-nodes")
+
+
+def _descend(nodes: DataFrame) -> DataFrame:
+    """The nodes one level down: node, up and rest of each path."""
+    branch = F.substring_index("rest", "/", 1)
+    after = _shape_no(F.substring_index(_behind(F.col("rest"), branch), "/", 1))
+    nodes = nodes.withColumn("branch", branch).withColumn("key", F.concat("host", F.lit("\n"), "node"))
     sums = [F.sum(F.when(after == i, F.col("n")).otherwise(0)).alias(f"s{i}") for i in range(len(SHAPES))]
     branches = nodes.groupBy("key", "node", "branch").agg(F.first("up").alias("up"), F.sum("n").alias("n"), F.sum("lab").alias("lab"), F.sum("blk").alias("blk"), F.count(F.lit(1)).alias("paths"), *sums)
     literal = ~F.col("branch").startswith("{")
@@ -124,10 +164,9 @@ def _descend(nodes: DataFrame, level: int) -> DataFrame:
     merged = materialise(merged, "url-purities")
     names = lookup_join(judged.select(F.concat("key", F.lit("/"), "name").alias("merged"), F.concat("key", F.lit("/"), "branch").alias("edge"), "paths"), merged, "merged", "branches", "edge")
     names = materialise(names.select("edge", "template", "purity", "paths"), "url-names")
-    edges = nodes.select("host", "path", "n", "lab", "blk", F.concat("key", F.lit("/"), "branch").alias("edge"))
+    edges = nodes.select("host", "path", "n", "lab", "blk", _behind(F.col("rest"), F.col("branch")).alias("rest"), F.concat("key", F.lit("/"), "branch").alias("edge"))
     found = lookup_join(edges, names, "edge", "paths", "path")
-    ends = F.size(F.split("path", "/")) == level
-    return found.select("host", "path", "n", "lab", "blk", F.col("purity").alias("up"), F.col("template").alias("node"), ends.alias("ends"))
+    return materialise(found.select("host", "path", "n", "lab", "blk", F.col("purity").alias("up"), F.col("template").alias("node"), "rest"), "url-nodes")
 
 
 def _agrees(branches: DataFrame) -> Column:
@@ -150,7 +189,7 @@ def judge_urls(pages: DataFrame, rules=RULES, reject: float = REJECT) -> DataFra
     """page_id, host, path, rule, verdict, template, purity for each row.
 
     Null urls and urls without ``://`` have empty host and path and share one node. Long paths are judged to their last
-    segment, one round of counting a level. Repeated rows count and are judged each for itself; other columns are not
+    segment; rounds of counting are as many as levels at which a template branches. Repeated rows count and are judged each for itself; other columns are not
     read; an empty table gives an empty table.
     """
     host, path = host_and_path(F.col("url"))
