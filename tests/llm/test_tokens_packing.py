@@ -219,6 +219,22 @@ def test_repeated_ids_with_other_texts(spark, tokenizer):
     assert [r.start for r in stored] == [sum(x.n_tokens for x in stored[:k]) for k in range(5)]
 
 
+@pytest.mark.parametrize("hot", [None, 5])
+def test_store_splits_an_id_on_many_rows(spark, tokenizer, hot):
+    """A third of all rows has one id, some of them one text: they lie in several ranges, and starts stay gapless."""
+    rows = [(hot if i % 3 == 0 else 100 + i, "same text" if i % 6 == 0 else f"word{i} " * (i % 4)) for i in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    from twinweave.llm._common import new_path
+
+    path = new_path(spark, "tokens-test")
+    token_store.write_tokens(docs, path)
+    assert spark.read.parquet(path).where(F.col("doc_id").eqNullSafe(F.lit(hot))).select("part").distinct().count() > 1
+    stored = token_store.store_digests(docs).orderBy("start").collect()
+    assert [r.start for r in stored] == [sum(x.n_tokens for x in stored[:k]) for k in range(600)]
+    assert [r.doc_id if r.doc_id is not None else -1 for r in stored] == sorted(-1 if i is None else i for i, _ in rows)
+    assert Counter((r.doc_id, r.n_tokens, r.ids_crc32) for r in stored) == Counter((i, len(x), zlib.crc32(np.array(x, "<u4").tobytes())) for i, t in rows for x in [ids_of(tokenizer, t, 2)])
+
+
 def test_odd_rows(odd, empty, tokenizer):
     assert packing.packed_digests(empty).count() == 0 and token_store.store_digests(empty).count() == 0
     rows = packing.packed_digests(odd).collect()

@@ -64,12 +64,14 @@ def pieces_of(batch: pa.RecordBatch, column: int = 1, most: int = BATCH_BYTES) -
 
 def write_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None, end_id: int = 2, layout: dict[str, str] = LAYOUT) -> None:
     """Write the store. Texts are encoded whole, however long. Null texts count as empty and hold only the end id; null ids come first; rows that repeat an id
-    stay beside each other, shorter texts first. Other columns are not read; an empty table gives a store of no rows."""
+    stay beside each other, shorter texts first, then in the order of a hash of the text; one id with very many rows is many ranges. Other columns are not read; an empty table gives a store of no rows."""
     make_importable(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
     # Ranges of a bounded number of documents, so that tasks and files don't grow with the table.
     parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-docs.count() // RANGE_DOCS))
-    ordered = rows.repartitionByRange(parts, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.length("text"), "text")
+    # Rows that repeat an id are split by the keys behind it, equal rows by their number.
+    keys = [F.col("doc_id").asc_nulls_first(), F.length("text"), F.xxhash64("text"), F.col("uid")]
+    ordered = rows.withColumn("uid", F.monotonically_increasing_id()).repartitionByRange(parts, *keys).sortWithinPartitions(*keys).drop("uid")
     schema = "doc_id long, part int, start_in_part long, n_tokens long, tokens array<int>"
     ordered.mapInArrow(_encode(vocabulary or default_vocabulary(), end_id), schema).write.options(**layout).parquet(path)
 
