@@ -81,11 +81,17 @@ def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     """The rows of ``docs`` that stay, with all their columns: exactly one row for each distinct text.
 
     The row with the largest id of a text stays, and null ids lose to any other. Rows are known by id and SHA-256 of the
-    normalised text together, so null or repeated ids with different texts are different documents. Null texts count as
+    normalised text together, so null or repeated ids with different texts are different documents. Of rows with the same
+    id and text that differ in case or in other columns, the one stays whose own text has the least SHA-256, then the one
+    with the least hash of its other columns (maps aside). Null texts count as
     empty; extra columns may have any names; an empty table stays empty.
     """
     digest, stay_id, stay_digest = private(docs, "_digest", "_stay_id", "_stay_digest")
     stay = exact_groups(docs, id_col, text_col, salts).where("kept").select(F.col(id_col).alias(stay_id), F.col("text_sha256").alias(stay_digest)).distinct()
     rows = docs.mapInArrow(_with_digest(docs.columns.index(text_col), digest), T.StructType([*docs.schema.fields, T.StructField(digest, T.StringType())]))
     kept = rows.join(stay, (rows[digest] == stay[stay_digest]) & rows[id_col].eqNullSafe(stay[stay_id]), "left_semi")
-    return kept.dropDuplicates([id_col, digest]).drop(digest)
+    hashed = [F.col(f.name) for f in docs.schema if f.name != text_col and "map<" not in f.dataType.simpleString()]
+    (row,) = private(docs, "_row")
+    order = F.struct(F.sha2(text_or_empty(text_col), 256), F.xxhash64(*hashed))
+    first = kept.groupBy(F.col(id_col).alias(stay_id), F.col(digest)).agg(F.min_by(F.struct(*docs.columns), order).alias(row))
+    return first.select(f"{row}.*")
