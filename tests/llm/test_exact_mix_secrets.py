@@ -132,6 +132,30 @@ def test_mix_rows_of_null_and_repeated_ids(spark):
     assert Counter(map(tuple, mixed.collect())) == Counter(map(tuple, source_mix.mix_rows(docs.repartition(7)).collect()))
 
 
+@pytest.mark.parametrize("hot", [None, 7])
+def test_mix_with_one_id_on_most_rows(spark, hot):
+    """Half of a source's rows share an id and so a rank: the cut still falls within them at the word."""
+    rows = [(hot if i % 2 else i, f"w{i % 9} " * (1 + i % 5), "s") for i in range(600)] + [(1000 + i, "t " * 8, "t") for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(6)
+    got = source_mix.mix_copies(docs).collect()
+    for source in ("s", "t"):
+        own = [r for r in got if r.source_size == sum(len(t.split()) for _, t, s in rows if s == source)]
+        assert abs(sum(r.taken for r in own) - own[0].target) <= 8
+    again = source_mix.mix_copies(docs.repartition(3)).collect()
+    assert Counter((r.doc_id, r.size, r.copies) for r in got) == Counter((r.doc_id, r.size, r.copies) for r in again)
+
+
+def test_survivor_among_rows_of_one_id(spark):
+    """Rows that share an id and, but for case, a text: the stated one stays, however the rows are dealt."""
+    rows = [(1, "Same Text", 5, {"a": 1}), (1, "same text", 4, {"a": 2}), (1, "SAME TEXT", 3, {}), (1, "same text", 9, {}), (None, "Same text", 1, {}), (2, "other", 1, {}), (2, "other", 1, {})]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _row int, _digest map<string,int>")
+    want = min((r for r in rows[:4]), key=lambda r: hashlib.sha256(r[1].encode()).hexdigest())[1]
+    kept = [sorted(map(str, exact_dedup.drop_exact_copies(docs.repartition(n)).collect())) for n in (1, 2, 5)]
+    assert kept[0] == kept[1] == kept[2] and len(kept[0]) == 2
+    one = exact_dedup.drop_exact_copies(docs).where("doc_id = 1").first()
+    assert one.text == want and exact_dedup.drop_exact_copies(docs).columns == docs.columns
+
+
 def test_mix_odd(odd, empty):
     assert source_mix.mix_copies(empty).count() == 0
     got = source_mix.mix_copies(odd).collect()

@@ -111,14 +111,26 @@ def _mixed(rows: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_repeat: int
     # Zero rates have no rank; a source whose fractions all fit has no cut.
     taken_part = F.col("_q").isNotNull() & (F.col("_at").isNull() | (F.col("_part") < F.col("_at")))
     on_cut = F.col("_q").isNotNull() & (F.col("_part") == F.col("_at"))
-    upto = F.sum("_size").over(W.partitionBy("_key").orderBy("_q", "_id", "_size", "_tie").rowsBetween(W.unboundedPreceding, 0))
-    cut_rows = placed.where(on_cut).withColumn("_more", (2 * (F.col("_before") + upto) - F.col("_size") <= 2 * F.col("_rest")).cast("int"))
+    cut_rows = _running(placed.where(on_cut), ["_q", "_id", "_size", "_tie", "_uid"]).withColumn("_more", (2 * (F.col("_before") + F.col("_upto")) - F.col("_size") <= 2 * F.col("_rest")).cast("int")).drop("_upto")
     rest = placed.where(~F.coalesce(on_cut, F.lit(False))).withColumn("_more", taken_part.cast("int"))
     out = rest.unionByName(cut_rows)
     copies = (F.col("_whole") + F.col("_more")).cast("long")
     return out.select("_uid", "_id", "_size", "source_size", "target", copies.alias("copies"))
 
 
+def _running(rows: DataFrame, order: list[str]) -> DataFrame:
+    """Adds _upto: the words of a source's rows up to and with each row, in ``order``.
+
+    Rows may be many where one id, and so one rank, has a large share of them: ranges by source and order are stored and
+    summed up by themselves, and the sums of a source's ranges, one row each, come before.
+    """
+    ranged = materialise(rows.repartitionByRange("_key", *order).withColumn("_range", F.spark_partition_id()), "mix-ranges")
+    sums = ranged.groupBy("_key", "_range").agg(F.sum("_size").alias("_words"))
+    earlier = sums.select("_key", "_range", (F.sum("_words").over(W.partitionBy("_key").orderBy("_range")) - F.col("_words")).alias("_earlier"))
+    inside = F.sum("_size").over(W.partitionBy("_key", "_range").orderBy(*order).rowsBetween(W.unboundedPreceding, 0))
+    return ranged.withColumn("_upto", inside).join(earlier, ["_key", "_range"]).withColumn("_upto", F.col("_upto") + F.col("_earlier")).drop("_range", "_earlier")
+
+
 def mix_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
     """The documents of the mix with all their columns; a document taken k times is k rows.
 
