@@ -150,3 +150,50 @@ def test_long_text_map_of_odd_rows(spark):
     rows = spark.createDataFrame([(None, None, 1), ("a b", None, 2), ("a b", None, 2), ("", "", 3)], "a string, b string, first_ int")
     got = sorted(map(tuple, L.interpolate_long(rows, "a", "b", L.alternate_words).collect()), key=repr)
     assert got == sorted([(None, None, 1, "", ""), ("a b", None, 2, "a b", "a b"), ("a b", None, 2, "a b", "a b"), ("", "", 3, "", "")], key=repr)
+
+
+def test_sample_records_by_hand(spark, sf_dir):
+    """Attributes by local name, the closest original among all, and the counterpart of every sampled entity."""
+    import zlib
+
+    from twinweave.plans.kg import augmented, derived
+
+    data = derived(spark, sf_dir)
+    grown = augmented(data)
+    lit = [tuple(r) for r in grown.triples.where("o_kind = 'lit'").select("kg", "s", "p", "o").collect()]
+    held = {}
+    for kg, s, p, o in sorted(lit):
+        held.setdefault((kg, s), []).append((p, o))
+
+    def vector(facts):
+        v = np.zeros(64)
+        for w in " ".join(o for _, o in facts[:10]).lower().split():
+            v[zlib.crc32(w.encode()) % 64] += 1
+        return v / np.linalg.norm(v)
+
+    line = lambda facts: "; ".join(f"{n}: {o}" for n, o in sorted({p.split("/")[-1].split("#")[-1]: o for p, o in facts}.items()))
+    partner = {(1, a): b for a, b in grown.alignment.collect()} | {(2, b): a for a, b in grown.alignment.collect()}
+    originals = {k: vector(f) for k, f in held.items() if "_aug" not in k[1]}
+    got = catalog.queries()["sample_records"](spark, sf_dir).collect()
+    assert len(got) == 20
+    for r in got:
+        kg = 1 if (1, r.synthetic_uri) in held else 2
+        own = held[kg, r.synthetic_uri]
+        best = max(float(vector(own) @ v) for (g, _), v in originals.items() if g == kg)
+        assert r.synthetic_attributes == line(own) and r.aligned_counterpart_uri == partner[kg, r.synthetic_uri]
+        assert abs(float(vector(own) @ originals[kg, r.closest_original_uri]) - best) < 1e-9
+        assert r.closest_original_attributes == line(held[kg, r.closest_original_uri]) and r.notes == ""
+
+
+@pytest.mark.parametrize("name", ["attribute_validity", "entity_runs", "mask_entities", "two_sided_negatives", "discovered_ranks", "trigram_jaccard", "entity_context"])
+def test_sql_of_mended_items(spark, sf_dir, name):
+    assert compare(spark, duck(sf_dir), catalog.queries()[name], catalog.oracle_sql()[name], sf_dir) == ""
+
+
+def test_entities_at_the_edges(spark):
+    rows = spark.createDataFrame([("",), ("New York is big",), ("we saw Anna Bell",), ("A",), ("a b",), ("Éa Zz x Q",)], "t string")
+    got = {r.t: [tuple(x) for x in r.e] for r in rows.select("t", X.entity_runs(F.col("t")).alias("e")).collect()}
+    assert got == {"": [], "New York is big": [(0, 2)], "we saw Anna Bell": [(2, 4)], "A": [(0, 1)], "a b": [], "Éa Zz x Q": [(0, 2), (3, 4)]}
+    masked = spark.range(2000).select(X.mask_entities(F.lit("Anna went home"), F.col("id").cast("string")).alias("m")).collect()
+    shares = [sum(r.m.split()[i] == "<mask>" for r in masked) / 2000 for i in range(3)]
+    assert abs(shares[0] - 0.5) < 0.05 and all(abs(s - 0.15) < 0.04 for s in shares[1:])

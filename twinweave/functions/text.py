@@ -78,8 +78,8 @@ def grams(value: Column, n: int = 3) -> Column:
 
 def jaccard(a: Column, b: Column) -> Column:
     """Share of common elements of two arrays of distinct elements; 0 if both are empty."""
-    union = F.size(F.array_union(a, b))
-    return F.when(union == 0, 0.0).otherwise(F.size(F.array_intersect(a, b)) / union)
+    common = F.size(F.array_intersect(a, b))
+    return F.when(F.size(a) + F.size(b) == 0, 0.0).otherwise(common / (F.size(a) + F.size(b) - common))
 
 
 def trigram_jaccard(a: Column, b: Column) -> Column:
@@ -271,3 +271,31 @@ def duration(seconds: Column) -> Column:
 
 def latex_escape(value: Column) -> Column:
     return F.regexp_replace(value, r"([&%$#_{}])", r"\\$1")
+
+
+def is_capitalised(word: Column) -> Column:
+    return word.rlike(r"^\p{Lu}")
+
+
+def words_of(value: Column) -> Column:
+    """The words of a text as they are written."""
+    return F.filter(F.split(value, r"\s+"), lambda w: w != "")
+
+
+def entity_runs(value: Column) -> Column:
+    """array<struct<first,behind>>: runs of words that begin with a capital, as places of words from 0."""
+    words = words_of(value)
+    capital = F.concat(F.array(F.lit(False)), F.transform(words, is_capitalised), F.array(F.lit(False)))
+    places = F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(words)))
+    # A place is a run's first if the place before is no capital, and its last if the place behind is none.
+    edge = lambda step: F.transform(F.array(capital), lambda c: F.filter(places, lambda i: F.element_at(c, i + 1) & ~F.element_at(c, i + 1 + step)))[0]
+    return F.when(F.size(words) == 0, F.array().cast("array<struct<first:int,behind:int>>")).otherwise(F.zip_with(edge(-1), edge(1), lambda a, b: F.struct((a - 1).alias("first"), b.alias("behind"))))
+
+
+def mask_entities(value: Column, key: Column, entity_share: float = 0.5, other_share: float = 0.15, mask: str = "<mask>") -> Column:
+    """Words masked one by one, each by the hash of the key and its place: those in capitalised runs with a share of their own.
+    Texts of fewer than two words stay."""
+    draw = lambda i: F.conv(F.substring(F.md5(F.concat_ws("|", key, i.cast("string"))), 1, 8), 16, 10).cast("double") / 2.0**32
+    one = lambda w, i: F.when(draw(i) < F.when(is_capitalised(w), entity_share).otherwise(other_share), mask).otherwise(w)
+    words = words_of(value)
+    return F.when(F.size(words) < 2, value).otherwise(F.array_join(F.transform(words, one), " "))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from twinweave.functions import text as X
 from twinweave.functions.generators import eda_variants, variation
 from twinweave.operators.frontier import expanded_nodes
+from twinweave.operators.profile import first_of
 from twinweave.operators.relational import aligned_attributes, attribute_triples, edges, local_name, relation_triples
 from twinweave.operators.splits import keep_by_hash, pair_budget, ratio_count, with_total
 from twinweave.plans.kg import Dataset
@@ -200,8 +201,8 @@ def predicate_token_map(data: Dataset) -> DataFrame:
 
 def context_text(triples: DataFrame, most: int = 3, seed: int = 42) -> DataFrame:
     """kg, s, context: short literals of an entity with their predicates, ``most`` by hash; ``generic`` without any."""
-    short = attribute_triples(triples).where(F.length("o") < 50).withColumn("_h", hash_key(seed, "s", "p", "o"))
-    lists = short.groupBy("kg", "s").agg(F.slice(F.array_sort(F.collect_set(F.struct("_h", local_name(F.col("p")).alias("n"), "o"))), 1, most).alias("c"))
+    short = attribute_triples(triples).where(F.length("o") < 50).select("kg", "s", hash_key(seed, "s", "p", "o").alias("_h"), local_name(F.col("p")).alias("n"), "o")
+    lists = first_of(short, ["kg", "s"], ["_h", "n", "o"], most).groupBy("kg", "s").agg(F.array_sort(F.collect_list(F.struct("_h", "n", "o"))).alias("c"))
     subjects = triples.select("kg", "s").distinct()
     return subjects.join(lists, ["kg", "s"], "left").select("kg", "s", F.coalesce(F.array_join(F.transform("c", lambda x: F.concat(x["n"], F.lit(": "), x["o"])), "; "), F.lit("generic")).alias("context"))
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from twinweave.functions import text as X
 from twinweave.functions import vectors as V
 from twinweave.operators.ranking import nearest_distance
 from twinweave.operators.relational import attribute_triples
@@ -73,7 +74,7 @@ def attribute_validity(triples: DataFrame) -> DataFrame:
     """date_rate, number_rate, empty_rate, repetition_rate of literals."""
     rows = attribute_triples(triples).select("kg", "s", F.lower("p").alias("p"), F.trim("o").alias("v"))
     filled = F.col("v") != ""
-    date, number = filled & F.col("p").rlike("date|time"), filled & F.col("p").rlike("count|number|age|year|balance")
+    date, number = filled & F.col("p").rlike("date|time"), filled & F.col("p").rlike("count|number|age|year")
     share = lambda part, whole, none: F.coalesce(F.try_divide(F.count(F.when(part, 1)).cast("double"), F.count(F.when(whole, 1)).cast("double")), F.lit(none))
     row = rows.agg(share(date & F.col("v").rlike(DATE), date, 1.0).alias("date_rate"), share(number & F.col("v").rlike(NUMBER), number, 1.0).alias("number_rate"), share(~filled, F.lit(True), 0.0).alias("empty_rate"))
     repeats = rows.groupBy("kg", "s").agg((F.count(F.lit(1)) - F.countDistinct("v")).alias("r"), F.count(F.lit(1)).alias("n")).agg(F.coalesce(F.sum("r") / F.sum("n"), F.lit(0.0)).alias("repetition_rate"))
@@ -214,3 +215,53 @@ def diverse_sample(rows: DataFrame, count: int, candidates: int = 1000) -> DataF
             break
         chosen.append((far.id, far.u))
     return rows.sparkSession.createDataFrame([(i, n) for n, (i, _) in enumerate(chosen)], "id long, step int")
+
+
+def literal_texts(triples: DataFrame, most: int = 10) -> DataFrame:
+    """kg, e, text: an entity's first ``most`` literals, in order of predicate and value, as one text."""
+    from twinweave.operators.profile import first_of
+
+    rows = first_of(attribute_triples(triples).select("kg", F.col("s").alias("e"), "p", "o"), ["kg", "e"], ["p", "o"], most)
+    return rows.groupBy("kg", "e").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p", "o"))), lambda x: x["o"]), " ").alias("text"))
+
+
+def hashed_words(text: Column, width: int = 64) -> Column:
+    """A vector of how often the text's lower-cased words fall into each of ``width`` slots."""
+    slots = F.transform(X.tokens(text), lambda w: F.crc32(w) % width)
+    return F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda i: F.size(F.filter(slots, lambda x: x == i)).cast("double"))
+
+
+def attribute_lines(triples: DataFrame) -> DataFrame:
+    """kg, e, attributes: ``name: value`` of an entity's predicates in order of their names, joined by semicolons; of several
+    values under one name the last in order."""
+    named = attribute_triples(triples).select("kg", F.col("s").alias("e"), F.regexp_extract("p", "([^/#]*)$", 1).alias("n"), "o").groupBy("kg", "e", "n").agg(F.max("o").alias("o"))
+    return named.groupBy("kg", "e").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "o"))), lambda x: F.concat(x["n"], F.lit(": "), x["o"])), "; ").alias("attributes"))
+
+
+def sample_records(synthetic: DataFrame, original: DataFrame, alignment: DataFrame, count: int, seed: int = 42) -> DataFrame:
+    """synthetic_uri, synthetic_attributes, closest_original_uri, closest_original_attributes, aligned_counterpart_uri and
+    three empty columns for an annotator, for ``count`` synthetic entities (kg, s, p, o, o_kind) by hash.
+
+    The closest original of the same graph has the largest cosine of hashed words of the first ten literals, ties by the
+    order of names; it is sought among all originals, block by block. Without literals there is none: ``N/A``.
+    """
+    from twinweave.operators.ranking import block_knn
+    from twinweave.plans.ranks import global_row_number, top_by_hash
+    from twinweave.plans.storage import cut
+
+    chosen = cut(top_by_hash(synthetic.select("kg", F.col("s").alias("e")).distinct(), count, seed, ["kg", "e"]))
+    numbered = lambda rows: cut(global_row_number(literal_texts(rows), ["kg", "e"], "id").withColumn("embedding", hashed_words(F.col("text"))))
+    ours = numbered(synthetic.join(chosen.select("kg", F.col("e").alias("s")), ["kg", "s"], "left_semi"))
+    theirs = numbered(original)
+    found = None
+    for kg in (1, 2):
+        near = block_knn(ours.where(F.col("kg") == kg).select("id", "embedding"), theirs.where(F.col("kg") == kg).select("id", "embedding"), 1, "cosine")
+        found = near if found is None else found.unionByName(near)
+    closest = found.join(ours.select(F.col("id").alias("e1"), "kg", "e"), "e1").join(theirs.select(F.col("id").alias("e2"), F.col("e").alias("closest")), "e2").select("kg", "e", "closest")
+    pairs = alignment.select(F.lit(1).alias("kg"), F.col("e1").alias("e"), F.col("e2").alias("partner")).unionByName(alignment.select(F.lit(2).alias("kg"), F.col("e2").alias("e"), F.col("e1").alias("partner")))
+    pairs = pairs.groupBy("kg", "e").agg(F.min("partner").alias("partner"))
+    rows = chosen.join(attribute_lines(synthetic), ["kg", "e"], "left").join(closest, ["kg", "e"], "left").join(pairs, ["kg", "e"], "left")
+    rows = rows.join(attribute_lines(original).select("kg", F.col("e").alias("closest"), F.col("attributes").alias("near")), ["kg", "closest"], "left")
+    or_none = lambda c: F.coalesce(c, F.lit("N/A"))
+    blank = F.lit("")
+    return rows.select(F.col("e").alias("synthetic_uri"), F.coalesce("attributes", blank).alias("synthetic_attributes"), or_none("closest").alias("closest_original_uri"), F.coalesce("near", blank).alias("closest_original_attributes"), or_none("partner").alias("aligned_counterpart_uri"), blank.alias("realism_score_1_5"), blank.alias("consistency_score_1_5"), blank.alias("notes"))

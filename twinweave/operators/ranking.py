@@ -276,6 +276,28 @@ def hard_negatives(positives: DataFrame, candidates: DataFrame, per_pair: int, s
     return rows.withColumn("k", F.row_number().over(order).cast("long")).where(F.col("k") <= per_pair)
 
 
+def two_sided_negatives(positives: DataFrame, right: DataFrame, left: DataFrame, per_pair: int, k: int, seed: int = 42) -> DataFrame:
+    """e1, e2, nth, side, n1, n2: each positive with one side replaced, ``per_pair`` times.
+
+    A hash says which side, and which of the other entity's first ``k`` candidates takes its place: ``right`` ranks right
+    entities for each left one (e1, e2, rank), ``left`` left entities for each right one (e2, e1, rank). Where that is the
+    positive itself, or there are fewer candidates, none is made, so counts vary.
+    """
+    from twinweave.plans.ranks import hash_key
+
+    drawn = positives.select("e1", "e2").withColumn("nth", F.explode(F.sequence(F.lit(1), F.lit(per_pair)))).withColumn("_h", F.conv(F.substring(hash_key(seed, "e1", "e2", "nth"), 1, 12), 16, 10).cast("long"))
+    drawn = drawn.withColumn("rank", F.floor(F.col("_h") / 2) % k + 1)
+    there = drawn.where("_h % 2 = 0").join(right.select("e1", F.col("e2").alias("n2"), "rank"), ["e1", "rank"]).where("n2 <> e2").select("e1", "e2", "nth", F.lit("right").alias("side"), F.col("e1").alias("n1"), "n2")
+    back = drawn.where("_h % 2 = 1").join(left.select("e2", F.col("e1").alias("n1"), "rank"), ["e2", "rank"]).where("n1 <> e1").select("e1", "e2", "nth", F.lit("left").alias("side"), "n1", F.col("e2").alias("n2"))
+    return there.unionByName(back)
+
+
+def discovered_ranks(ranks: DataFrame, known: DataFrame) -> DataFrame:
+    """Ranks in which left entities that were found before count as a perfect hit."""
+    seen = known.select("e1").distinct().withColumn("_seen", F.lit(True))
+    return ranks.join(seen, "e1", "left").select("e1", "e2", F.when(F.col("_seen"), 1).otherwise(F.col("rank")).cast("long").alias("rank"))
+
+
 def iterative_alignment(stages: list[DataFrame], rounds: int) -> DataFrame:
     """e1, e2, turn: reciprocal pairs of score tables taken two by two, each left entity once; stops when none is new."""
     added: DataFrame | None = None

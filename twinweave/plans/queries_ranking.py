@@ -113,6 +113,23 @@ q("score_shift_summary", f", {SHIFT} SELECT count(*) AS pairs, round(avg(score_c
 q("hard_negatives", f", {CAND} SELECT e1, e1 AS e2, e2 AS negative, k FROM (SELECT e1, e2, row_number() OVER (PARTITION BY e1 ORDER BY md5('42|' || e1 || '|' || e1 || '|' || e2), e2) AS k FROM cand WHERE e1 <> e2) WHERE k <= 3")(lambda s, d: K.hard_negatives(gold(emb(s, d)[0]), _cand(s, d), 3))
 
 
+SIDES = "tr AS (" + TOP.format("cosines", 10) + "), tl AS (SELECT e2, e1, rank FROM (SELECT *, row_number() OVER (PARTITION BY e2 ORDER BY score DESC, e1) AS rank FROM cosines) WHERE rank <= 10), dw AS (SELECT id AS e1, id AS e2, nth, CAST('0x' || substr(md5('42|' || id || '|' || id || '|' || nth), 1, 12) AS BIGINT) AS h FROM v1, range(1, 5) t(nth))"
+
+
+@q("two_sided_negatives", f", {SIDES} SELECT dw.e1, dw.e2, CAST(nth AS INTEGER) AS nth, 'right' AS side, dw.e1 AS n1, tr.e2 AS n2 FROM dw JOIN tr ON h % 2 = 0 AND tr.e1 = dw.e1 AND tr.rank = (h // 2) % 10 + 1 WHERE tr.e2 <> dw.e2 UNION ALL SELECT dw.e1, dw.e2, CAST(nth AS INTEGER), 'left', tl.e1, dw.e2 FROM dw JOIN tl ON h % 2 = 1 AND tl.e2 = dw.e2 AND tl.rank = (h // 2) % 10 + 1 WHERE tl.e1 <> dw.e1")
+def _two_sided(s, d):
+    a, b = emb(s, d)
+    back = K.block_knn(b, a, 10, "cosine").select(F.col("e1").alias("e2"), F.col("e2").alias("e1"), "rank")
+    return K.two_sided_negatives(gold(a), K.block_knn(a, b, 10, "cosine"), back, 4, 10)
+
+
+@q("discovered_ranks", f", {RANK.format('cosines')} SELECT e1, e1 AS e2, CASE WHEN e1 IN (SELECT a.e1 FROM ({BEST.format('e1', 'e2', 'dots')}) a JOIN ({BEST.format('e2', 'e1', 'dots')}) b ON a.e1 = b.e1 AND a.e2 = b.e2) THEN 1 ELSE rank END AS rank FROM rk")
+def _discovered(s, d):
+    a, b = emb(s, d)
+    mutual = K.block_knn(a, b, 1).select("e1", "e2").join(K.block_knn(b, a, 1).select(F.col("e2").alias("e1"), F.col("e1").alias("e2")), ["e1", "e2"], "left_semi")
+    return K.discovered_ranks(K.block_gold_ranks(a, b, gold(a), "cosine"), mutual)
+
+
 NEAR = "(SELECT b.id, n.v FROM v1 b JOIN {0} n ON n.id IN (b.id, (b.id + 1) % (SELECT count(*) FROM v1), (b.id + 2) % (SELECT count(*) FROM v1)))"
 
 

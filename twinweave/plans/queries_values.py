@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from twinweave.functions import generators as G
 from twinweave.functions import text as X
+from twinweave.functions import variations as V
 from twinweave.operators import augment as A
 from twinweave.operators import frontier as N
 from twinweave.operators import longtext as L
@@ -18,6 +19,7 @@ from twinweave.operators import validate as C
 from twinweave.plans.kg import augmented, derived
 from twinweave.plans.queries_graph import SPLIT, T
 from twinweave.plans.registry import query
+from twinweave.plans.storage import cut
 
 
 def r6(df):
@@ -34,7 +36,20 @@ SYN = "syn AS (SELECT * FROM aug_triples WHERE contains(s, '_aug') AND o_kind =
 q = lambda name, sql, f: query(name, f"WITH {SYN}{sql}")(f)
 q("attribute_diversity", ", j AS (SELECT a.p AS a, b.p AS b FROM (SELECT DISTINCT p, o FROM lit) a FULL JOIN (SELECT DISTINCT p, o FROM syn) b ON a.p = b.p AND a.o = b.o) SELECT unnest(['unique_original', 'unique_synthetic', 'overlap', 'new', 'novelty']) AS metric, unnest([CAST(count(a) AS DOUBLE), count(b), count(*) FILTER (a IS NOT NULL AND b IS NOT NULL), count(*) FILTER (a IS NULL), count(*) FILTER (a IS NULL) / count(b)]) AS value FROM j", lambda s, d: Q.attribute_diversity(*parts(s, d)))
 q("structural_diversity", ", c AS (SELECT count(l.o) AS n FROM (SELECT kg, s AS e FROM triples UNION SELECT kg, o FROM triples WHERE o_kind = 'uri') e LEFT JOIN lit l ON l.kg = e.kg AND l.s = e.e GROUP BY e.kg, e.e) SELECT unnest(['variance', 'mean']) AS metric, unnest([round(var_pop(n), 6), round(avg(n), 6)]) AS value FROM c", lambda s, d: r6(Q.structural_diversity(T(s, d), __import__("twinweave.operators.relational", fromlist=["x"]).entities(T(s, d)))))
-q("attribute_validity", ", v AS (SELECT kg, s, lower(p) AS p, trim(o) AS v FROM lit) SELECT unnest(['date_rate', 'number_rate', 'empty_rate', 'repetition_rate']) AS metric, unnest([CAST(1 AS DOUBLE), round(count(*) FILTER (p LIKE '%balance%' AND regexp_full_match(v, '-?[0-9]+(\\.[0-9]+)?')) / count(*) FILTER (p LIKE '%balance%'), 6), round(count(*) FILTER (v = '') / count(*), 6), (SELECT round(sum(r) / sum(n), 6) FROM (SELECT count(*) - count(DISTINCT v) AS r, count(*) AS n FROM v GROUP BY kg, s))]) AS value FROM v", lambda s, d: r6(Q.attribute_validity(T(s, d))))
+FACTS = "v AS (SELECT kg, s, lower(p) AS p, trim(o) AS v FROM lit UNION ALL SELECT 1, 'o:' || o_orderkey, 'ont/orderdate', strftime(o_orderdate, '%Y-%m-%d') FROM orders UNION ALL SELECT 1, 'o:' || o_orderkey, 'ont/pricenumber', CASE WHEN o_orderkey % 7 = 0 THEN o_orderpriority ELSE CAST(CAST(round(o_totalprice) AS BIGINT) AS VARCHAR) END FROM orders)"
+
+
+def with_facts(s, d):
+    """The derived graphs with dates and numbers of orders, of which some hold a text where a number belongs."""
+    orders = s.read.parquet(f"{d}/orders.parquet")
+    number = F.when(F.col("o_orderkey") % 7 == 0, F.col("o_orderpriority")).otherwise(F.round("o_totalprice").cast("long").cast("string"))
+    facts = [orders.select(F.lit(1).alias("kg"), F.concat(F.lit("o:"), F.col("o_orderkey").cast("string")).alias("s"), F.lit(p).alias("p"), o.alias("o"), F.lit("lit").alias("o_kind")) for p, o in (("ont/orderDate", F.date_format("o_orderdate", "yyyy-MM-dd")), ("ont/priceNumber", number))]
+    return T(s, d).unionByName(facts[0]).unionByName(facts[1])
+
+
+RATE = lambda words, form: f"round(CAST(count(*) FILTER (v <> '' AND regexp_matches(p, '{words}') AND regexp_matches(v, '{form}')) AS DOUBLE) / count(*) FILTER (v <> '' AND regexp_matches(p, '{words}')), 6)"
+q("attribute_validity", f", {FACTS} SELECT unnest(['date_rate', 'number_rate', 'empty_rate', 'repetition_rate']) AS metric, unnest([{RATE('date|time', Q.DATE)}, {RATE('count|number|age|year', Q.NUMBER)}, round(count(*) FILTER (v = '') / count(*), 6), (SELECT round(sum(r) / sum(n), 6) FROM (SELECT count(*) - count(DISTINCT v) AS r, count(*) AS n FROM v GROUP BY kg, s))]) AS value FROM v", lambda s, d: r6(Q.attribute_validity(with_facts(s, d))))
+query("sample_records")(lambda s, d: (lambda o, y: Q.sample_records(y, o, augmented(derived(s, d)).alignment, 20))(*parts(s, d)))
 q("fluency", ", f AS (SELECT o, list_filter(regexp_split_to_array(lower(o), '\\s+'), lambda w: w <> '') AS w FROM lit WHERE NOT regexp_full_match(o, '[0-9.-]*')) SELECT 'fluency' AS metric, round(avg(CAST(length(o) >= 2 AND regexp_matches(o, '[A-Za-z0-9]') AND length(regexp_replace(o, '[A-Za-z0-9\\s]', '', 'g')) / length(o) <= 0.5 AND (len(w) <= 1 OR len(list_distinct(w)) / len(w) >= 0.5) AS INTEGER)), 6) AS value FROM f", lambda s, d: r6(Q.fluency(T(s, d))))
 q("length_stats", " SELECT unnest(['original_mean', 'original_std', 'synthetic_mean', 'synthetic_std']) AS metric, unnest([(SELECT round(avg(length(o)), 6) FROM lit), (SELECT round(stddev_pop(length(o)), 6) FROM lit), (SELECT round(avg(length(o)), 6) FROM syn), (SELECT round(stddev_pop(length(o)), 6) FROM syn)]) AS value", lambda s, d: r6(Q.length_statistics(*parts(s, d))))
 q("structural_consistency", """, h AS (SELECT coalesce(a.p, b.p) AS p, a.n AS a, b.n AS b FROM (SELECT p, count(*) AS n FROM lit GROUP BY 1) a FULL JOIN (SELECT p, count(*) AS n FROM syn GROUP BY 1) b ON a.p = b.p), t AS (SELECT sum(coalesce(a, 0)) AS ta, sum(coalesce(b, 0)) AS tb FROM h), sm AS (SELECT a, b, coalesce(a, 0) / ta + 1e-10 AS x, coalesce(b, 0) / tb + 1e-10 AS y FROM h, t), nn AS (SELECT a, b, x / sum(x) OVER () AS x, y / sum(y) OVER () AS y FROM sm),
@@ -173,7 +188,16 @@ CHARS = "string_split(' ' || lower({0}) || ' ', '')"
 JAC = "CASE WHEN len(list_distinct(list_concat({0}, {1}))) = 0 THEN 0 ELSE CAST(len(list_intersect({0}, {1})) AS DOUBLE) / len(list_distinct(list_concat({0}, {1}))) END"
 ASCII = "regexp_replace({0}, '[^ -~]', '', 'g')"
 G3 = "list_distinct(list_transform(range(1, greatest(len({0}) - 1, 2)), lambda i: {0}[i] || {0}[i + 1] || coalesce({0}[i + 2], '')))"
-query("trigram_jaccard", f"WITH {TWO}, ch AS (SELECT doc_id, {CHARS.format('a')} AS a, {CHARS.format('b')} AS b FROM tw), gr AS (SELECT doc_id, {G3.format('a')} AS a, {G3.format('b')} AS b FROM ch) SELECT doc_id, round({JAC.format('a', 'b')}, 6) AS v FROM gr", graphs=False)(lambda s, d: r6(two(s, d).select("doc_id", X.trigram_jaccard(F.col("a"), F.col("b")).alias("v"))))
+
+
+def trigrams(s, d):
+    """The grams of each document are made once, and stored: they are the first text of one pair and the second of another."""
+    made = cut(docs(s, d).select("doc_id", X.grams(F.col("text")).alias("a")))
+    pairs = made.join(made.select((F.col("doc_id") - 1).alias("doc_id"), F.col("a").alias("b")), "doc_id")
+    return r6(pairs.select("doc_id", X.jaccard(F.col("a"), F.col("b")).alias("v")))
+
+
+query("trigram_jaccard", f"WITH {TWO}, ch AS (SELECT doc_id, {CHARS.format('a')} AS a, {CHARS.format('b')} AS b FROM tw), gr AS (SELECT doc_id, {G3.format('a')} AS a, {G3.format('b')} AS b FROM ch) SELECT doc_id, round({JAC.format('a', 'b')}, 6) AS v FROM gr", graphs=False)(trigrams)
 STOP = "[" + ", ".join(f"'{w}'" for w in X.STOPWORDS) + "]"
 CONTENT = "list_distinct(list_filter(" + TOK + ", lambda w: NOT list_contains(" + STOP + ", w)))"
 tw("token_jaccard", f"round({JAC.format(CONTENT.format('a'), CONTENT.format('b'))}, 6)", X.token_jaccard)
@@ -204,6 +228,10 @@ SENTENCES = f"list_filter(list_transform({BROKEN}, lambda s: {STRIP.format('repl
 one("sentence_count", f"len({SENTENCES})", lambda t: F.size(X.sentences(t)).cast("long"))
 query("sentences", f"SELECT doc_id, CAST(i AS INTEGER) AS n, x[i] AS sentence FROM (SELECT doc_id, x, unnest(range(1, len(x) + 1)) AS i FROM (SELECT doc_id, {SENTENCES} AS x FROM (SELECT doc_id, coalesce(text, '') AS text FROM documents)))", graphs=False)(lambda s, d: docs(s, d).select("doc_id", F.posexplode(X.sentences(F.col("text"))).alias("n", "sentence")).withColumn("n", F.col("n") + 1))
 one("latex_escape", "regexp_replace(text, '([&%$#_{}])', '\\\\\\1', 'g')", X.latex_escape)
+RUNS = "(SELECT doc_id, w, list_concat(list_concat([false], list_transform(w, lambda x: regexp_matches(x, '^\\p{Lu}'))), [false]) AS c FROM (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '\\s+'), lambda w: w <> '') AS w FROM documents))"
+query("entity_runs", f"SELECT doc_id, array_to_string(list_transform(list_zip(list_filter(range(1, len(w) + 1), lambda i: c[i + 1] AND NOT c[i]), list_filter(range(1, len(w) + 1), lambda i: c[i + 1] AND NOT c[i + 2])), lambda z: (z[1] - 1) || '-' || z[2]), ',') AS runs FROM {RUNS}", graphs=False)(lambda s, d: docs(s, d).select("doc_id", F.array_join(F.transform(X.entity_runs(F.col("text")), lambda r: F.concat_ws("-", r["first"].cast("string"), r["behind"].cast("string"))), ",").alias("runs")))
+MASKED = "list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> '')"
+query("mask_entities", f"SELECT doc_id, CASE WHEN len(w) < 2 THEN text ELSE array_to_string(list_transform(w, lambda x, i: CASE WHEN CAST('0x' || substr(md5(k || '|' || (i - 1)), 1, 8) AS BIGINT) / CAST(4294967296 AS DOUBLE) < CASE WHEN regexp_matches(x, '^\\p{{Lu}}') THEN 0.5 ELSE 0.15 END THEN '<mask>' ELSE x END), ' ') END AS v FROM (SELECT doc_id, text, md5(text) AS k, {MASKED} AS w FROM (SELECT doc_id, coalesce(text, '') AS text FROM documents))", graphs=False)(lambda s, d: docs(s, d).select("doc_id", X.mask_entities(F.col("text"), F.md5("text")).alias("v")))
 query("sentence_chunks")(lambda s, d: docs(s, d).select("doc_id", F.posexplode(X.chunks(F.col("text"))).alias("n", "chunk")))
 query("simple_clean")(lambda s, d: docs(s, d).select("doc_id", X.simple_clean(F.col("text")).alias("v")))
 BY_WORD = " ".join(f"WHEN regexp_matches(lower(p), '{'|'.join(words)}') THEN '{kind}'" for kind, words in X.TYPE_KEYWORDS.items())
@@ -215,8 +243,9 @@ query("duration_text", "SELECT event_id, CASE WHEN h > 0 THEN h || 'h ' || lpad(
 query("json_metrics", "SELECT event_id, CAST(json_extract(props, '$.k') AS DOUBLE) AS k FROM events", graphs=False)(lambda s, d: s.read.parquet(f"{d}/events.parquet").select("event_id", F.from_json("props", "map<string,double>").alias("m")).select("event_id", F.explode("m").alias("metric", "k")).where("metric = 'k'").select("event_id", "k"))
 for name, f in (("creative_variation", lambda t: G.variation(t, F.md5(t))), ("noise", lambda t: G.noise(t, F.md5(t))), ("mask_span", lambda t: G.mask_span(t, F.md5(t)))):
     query(name)(lambda s, d, f=f: docs(s, d).select("doc_id", f(F.col("text")).alias("v")))
+query("creative_strategies")(lambda s, d: T(s, d).where("o_kind = 'lit'").select("p", "o").distinct().withColumn("v", V.creative(F.col("o"), F.concat_ws("|", "p", "o"))))
 MATCHED = ["e1", "e2", "p1", "p2", "o1", "o2"]
 query("sequence_ratio")(lambda s, d: r6(R.matched_values(derived(s, d)).withColumn("v", G.sequence_ratio("o1", "o2"))))
 query("creativity_score")(lambda s, d: r6(R.matched_values(derived(s, d)).withColumn("x", G.creativity_score("o1", "o2")).select(*MATCHED, "x.score", "x.reason")))
-query("pair_score")(lambda s, d: r6(R.matched_values(derived(s, d)).withColumn("v", G.pair_score("o1", "o2", F.reverse("o1"), F.reverse("o2")))))
+query("pair_score")(lambda s, d: r6(R.matched_values(derived(s, d)).withColumns({"m1": V.creative(F.col("o1"), F.col("o1"), F.col("o2")), "m2": V.creative(F.col("o2"), F.col("o2"), F.col("o1"))}).withColumn("v", G.pair_score("o1", "o2", "m1", "m2"))))
 query("nfc")(lambda s, d: docs(s, d).select("doc_id", G.nfc("text").alias("v")))
