@@ -105,3 +105,18 @@ def test_latex_table(spark, tmp_path):
     write_table(spark.createDataFrame([("a_b", 1.5), ("50 % & more", None)], "name_x string, v double").coalesce(1), f"{tmp_path}/t", "tex")
     lines = next((tmp_path / "t").glob("part-*")).read_text().splitlines()
     assert lines == ["\\begin{tabular}{ll}", "\\toprule", "name\\_x & v \\\\", "\\midrule", "a\\_b & 1.5 \\\\", "50 \\% \\& more &  \\\\", "\\bottomrule", "\\end{tabular}"]
+
+
+def test_stage_times(spark, tmp_path):
+    """The result ends a stage, the first file begins it, and a copied stage takes no time."""
+    import os
+
+    for folder, times in {"a": {"log": 100, "results.json": 160, "late": 400}, "b": {"x": 50, "y": 70}, "c": {"results.json": 10, "other": 90}}.items():
+        (tmp_path / folder).mkdir()
+        for name, at in times.items():
+            (tmp_path / folder / name).write_text("x")
+            os.utime(tmp_path / folder / name, (at, at))
+    got = {r.folder.rsplit("/", 1)[1]: (r.start.timestamp(), r.end.timestamp(), r.seconds) for r in files.stage_times(spark, f"file://{tmp_path}/*/*").collect()}
+    assert got == {"a": (100, 160, 60), "b": (50, 70, 20), "c": (10, 10, 0)}
+    plan = files.stage_times(spark, f"file://{tmp_path}/*/*")._jdf.queryExecution().executedPlan().toString()
+    assert "content" not in plan

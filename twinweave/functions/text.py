@@ -50,7 +50,7 @@ def simple_clean(value: Column) -> Column:
     """Repaired, without links, odd characters, immediately repeated words, single letters, and spaces, dots and dashes at the ends."""
     v = F.regexp_replace(repaired(value), r"http\S+", "")
     v = F.regexp_replace(F.regexp_replace(v, r"\s+", " "), r"[^\p{L}\p{N}_\s.\-']", " ")
-    v = F.regexp_replace(v, r"(?iU)\b(\w+)( \1\b)+", "$1")
+    v = F.regexp_replace(v, r"(?iU)\b(\w+)(?: \1\b)++", "$1")  # possessive: no recursion along a run
     v = F.regexp_replace(v, r"(?U)\b[A-Za-z]\b", "")
     return F.regexp_replace(F.regexp_replace(v, r"\s+", " "), r"^[ .\-]+|[ .\-]+$", "")
 

@@ -107,8 +107,9 @@ def csls_knn(left: DataFrame, right: DataFrame, k: int, neighbours: int = 10, me
     return block_knn(a, b, k, metric, block_rows, 2.0)
 
 
-def block_gold_ranks(left: DataFrame, right: DataFrame, gold: DataFrame, metric: str = "inner", block_rows: int = BLOCK_ROWS, scale: float = 1.0) -> DataFrame:
-    """e1, e2, rank of each gold pair among all right rows, ties by id: blocks count the better ones, counts add up."""
+def block_gold_ranks(left: DataFrame, right: DataFrame, gold: DataFrame, metric: str = "inner", block_rows: int = BLOCK_ROWS, scale: float = 1.0, ties: str = "ordinal") -> DataFrame:
+    """e1, e2, rank of each gold pair among all right rows: blocks count the better ones, counts add up. Ties go by id
+    (``ordinal``) or to the gold pair (``top``)."""
     wanted = right.select(F.col("id").alias("gold"), V.doubles(F.col("embedding")).alias("gv"), (F.col("bias") if "bias" in right.columns else F.lit(0.0)).cast("double").alias("gbias"))
     asked = left.join(gold.select(F.col("e1").alias("id"), F.col("e2").alias("gold")), "id").join(wanted, "gold")
     a, b = _blocks(asked, right, block_rows)
@@ -126,7 +127,9 @@ def block_gold_ranks(left: DataFrame, right: DataFrame, gold: DataFrame, metric:
                 mine = np.array([next(_scores(part.iloc[i : i + 1], own.iloc[i : i + 1], metric, scale))[1][0, 0] for i in range(len(part))])
                 other = ids[None] != golds[at : at + LEFT_ROWS, None]
                 # The answer meets itself in one block, where rounding must not part it from its own score.
-                better = (scores > mine[:, None] + 1e-12) | ((np.abs(scores - mine[:, None]) <= 1e-12) & (ids[None] < golds[at : at + LEFT_ROWS, None]))
+                better = scores > mine[:, None] + 1e-12
+                if ties == "ordinal":
+                    better |= (np.abs(scores - mine[:, None]) <= 1e-12) & (ids[None] < golds[at : at + LEFT_ROWS, None])
                 out.append(pd.DataFrame({"e1": part["id"].to_numpy(), "e2": part["gold"].to_numpy(), "n": (better & other).sum(1)}))
         return pd.concat(out)
 
@@ -134,6 +137,18 @@ def block_gold_ranks(left: DataFrame, right: DataFrame, gold: DataFrame, metric:
     return counts.groupBy("e1", "e2").agg((1 + F.sum("n")).cast("long").alias("rank"))
 
 
+def filtered_block_ranks(left: DataFrame, right: DataFrame, gold: DataFrame, known: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """Gold ranks by cosine among all right rows but the row's other ``known`` answers (e1, e2): their number among the better
+    ones is taken off the rank."""
+    others = known.select("e1", "e2").distinct().join(gold, ["e1", "e2"], "left_anti")
+    own = score_pairs(left, right, gold).select("e1", F.col("e2").alias("_g"), F.col("score").alias("_s"))
+    ahead = score_pairs(left, right, others).join(own, "e1")
+    ahead = ahead.where((F.col("score") > F.col("_s") + 1e-12) | ((F.abs(F.col("score") - F.col("_s")) <= 1e-12) & (F.col("e2") < F.col("_g"))))
+    counts = ahead.groupBy("e1", F.col("_g").alias("e2")).agg(F.count(F.lit(1)).alias("_n"))
+    ranks = block_gold_ranks(left, right, gold, "cosine", block_rows)
+    return ranks.join(counts, ["e1", "e2"], "left").select("e1", "e2", (F.col("rank") - F.coalesce("_n", F.lit(0))).alias("rank"))
+
+
 def score_pairs(left: DataFrame, right: DataFrame, pairs: DataFrame, score=V.cosine) -> DataFrame:
     """e1, e2, score of given pairs."""
     one, two = left.select(F.col("id").alias("e1"), F.col("embedding").alias("_a")), right.select(F.col("id").alias("e2"), F.col("embedding").alias("_b"))

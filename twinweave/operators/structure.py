@@ -130,10 +130,11 @@ def reflection_layer(directions: DataFrame, vectors: DataFrame, kernel: tuple[li
     is added up where its edges are, and its own score and vector reach them by salted joins.
     """
     mine, theirs, edge = kernel
+    # ``directions`` is read several times, so it should be a stored table.
     width = len(mine)
     own = vectors.select(F.col("id").alias("node"), _dot(F.col("embedding"), mine).alias("_own"))
-    rows = keyed_join(directions, own, "node", "other")
-    rows = keyed_join(rows, vectors.select(F.col("id").alias("other"), F.col("embedding").alias("_x")), "other", "node")
+    rows = keyed_join(directions, own, "node", "other", directions)
+    rows = keyed_join(rows, vectors.select(F.col("id").alias("other"), F.col("embedding").alias("_x")), "other", "node", directions)
     along = sum((F.get("_x", F.lit(i)) * F.get("r", F.lit(i)) for i in range(width)), F.lit(0.0))
     rows = rows.withColumn("_along", along).withColumn("_y", F.zip_with("_x", "r", lambda x, r: x - 2 * F.col("_along") * r))
     rows = rows.select("node", "n", "_y", (F.col("_own") + _dot(F.col("_y"), theirs) + _dot(F.col("r"), edge)).alias("score"))

@@ -37,8 +37,9 @@ def lookup_join(big: DataFrame, small: DataFrame, key: str, n: str, by: str) ->
     return salted_join(big, small, key, hot_keys(small, key, n, total), by)
 
 
-def keyed_join(big: DataFrame, small: DataFrame, key: str, by: str) -> DataFrame:
-    """``big`` joined to ``small``, one row a key, on ``key``: the keys of ``big`` are counted and hot ones salted by ``by``."""
-    often = big.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
+def keyed_join(big: DataFrame, small: DataFrame, key: str, by: str, counted: DataFrame | None = None) -> DataFrame:
+    """``big`` joined to ``small``, one row a key, on ``key``: the keys of ``big``, or of the stored table ``counted`` that it comes
+    from, are counted and hot ones salted by ``by``."""
+    often = (big if counted is None else counted).groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
     total = often.agg(F.sum("_n")).first()[0] or 0
     return salted_join(big, small, key, hot_keys(often, key, "_n", total), by)

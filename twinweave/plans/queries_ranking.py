@@ -94,10 +94,21 @@ def _cand(s, d):
     return rounded(K.block_knn(*emb(s, d), 20, "cosine"), "score").drop("rank")
 
 
-q("rank_strict_greater", f", {CAND} SELECT g.e1, g.e2, count(*) FILTER (c.score > g.score) + 1 AS rank FROM cand c JOIN cand g ON g.e1 = g.e2 AND c.e1 = g.e1 GROUP BY 1, 2")(lambda s, d: K.gold_ranks(_cand(s, d), gold(emb(s, d)[0]), "top"))
-q("filtered_ranks", f", {CAND}, f AS (SELECT * FROM cand WHERE e1 = e2 OR e2 % 3 <> 0) SELECT g.e1, g.e2, count(*) FILTER (c.score > g.score OR (c.score = g.score AND c.e2 < g.e2)) + 1 AS rank FROM f c JOIN f g ON g.e1 = g.e2 AND c.e1 = g.e1 GROUP BY 1, 2")(lambda s, d: (lambda c: K.filtered_ranks(c, gold(emb(s, d)[0]), c.where("e2 % 3 = 0").select("e1", "e2")))(_cand(s, d)))
-LINK = ", ".join(f"round(count(*) FILTER (rank <= {k}) / count(*), 9)" for k in (1, 3, 10))
-q("link_prediction_metrics", f", {CAND}, f AS (SELECT * FROM cand WHERE e1 = e2 OR e2 % 3 <> 0), rk AS (SELECT g.e1, count(*) FILTER (c.score > g.score OR (c.score = g.score AND c.e2 < g.e2)) + 1 AS rank FROM f c JOIN f g ON g.e1 = g.e2 AND c.e1 = g.e1 GROUP BY 1) SELECT unnest(['hits@1', 'hits@3', 'hits@10', 'mr', 'mrr']) AS metric, unnest([{LINK}, round(avg(rank), 9), round(avg(CAST(1 AS DOUBLE) / rank), 9)]) AS value FROM rk")(lambda s, d: (lambda c: K.metrics(K.filtered_ranks(c, gold(emb(s, d)[0]), c.where("e2 % 3 = 0").select("e1", "e2")), ks=(1, 3, 10), digits=9))(_cand(s, d)))
+q("rank_strict_greater", " SELECT g.e1, g.e2, count(*) FILTER (c.score > g.score + CAST(1e-12 AS DOUBLE)) + 1 AS rank FROM cosines c JOIN cosines g ON g.e1 = g.e2 AND c.e1 = g.e1 AND c.e2 <> g.e2 GROUP BY 1, 2")(lambda s, d: (lambda a, b: K.block_gold_ranks(a, b, gold(a), "cosine", ties="top"))(*emb(s, d)))
+FILTERED = "fl AS (SELECT c.* FROM cosines c, (SELECT count(*) AS n FROM v1) t WHERE e1 = e2 OR e2 NOT IN ((e1 + 1) % n, (e1 + 3) % n)), rk AS (SELECT g.e1, g.e2, count(*) FILTER (c.e2 <> g.e2 AND (c.score > g.score OR (c.score = g.score AND c.e2 < g.e2))) + 1 AS rank FROM fl c JOIN fl g ON g.e1 = g.e2 AND c.e1 = g.e1 GROUP BY 1, 2)"
+
+
+def filtered(s, d):
+    """Ranks among all right rows; a row's next and its third are further true answers."""
+    a, b = emb(s, d)
+    n = F.broadcast(a.agg(F.count(F.lit(1)).alias("n")))
+    known = a.crossJoin(n).select(F.col("id").alias("e1"), F.explode(F.array((F.col("id") + 1) % F.col("n"), (F.col("id") + 3) % F.col("n"))).alias("e2"))
+    return K.filtered_block_ranks(a, b, gold(a), known)
+
+
+q("filtered_ranks", f", {FILTERED} SELECT * FROM rk")(filtered)
+LINK = ", ".join(f"round(CAST(count(*) FILTER (rank <= {k}) AS DOUBLE) / count(*), 9)" for k in (1, 3, 10))
+q("link_prediction_metrics", f", {FILTERED} SELECT unnest(['hits@1', 'hits@3', 'hits@10', 'mr', 'mrr']) AS metric, unnest([{LINK}, round(avg(rank), 9), round(avg(CAST(1 AS DOUBLE) / rank), 9)]) AS value FROM rk")(lambda s, d: K.metrics(filtered(s, d), ks=(1, 3, 10), digits=9))
 SHIFT = f"""{CAND}, cand2 AS (SELECT e1, e2, round(score * CAST(2 AS DOUBLE) + (e2 % 7) * CAST(0.01 AS DOUBLE), 6) AS score FROM cand), b AS (SELECT *, row_number() OVER (PARTITION BY e1 ORDER BY score DESC, e2) AS rank FROM cand), a AS (SELECT *, row_number() OVER (PARTITION BY e1 ORDER BY score DESC, e2) AS rank FROM cand2),
  sh AS (SELECT coalesce(b.e1, a.e1) AS e1, coalesce(b.e2, a.e2) AS e2, coalesce(b.e1, a.e1) = coalesce(b.e2, a.e2) AS is_true, b.score AS score_before, a.score AS score_after, sign(md) * ((abs(md) + 50) // 100) / CAST(10000 AS DOUBLE) AS score_change, a.rank - b.rank AS rank_change FROM (SELECT * FROM b WHERE rank <= 3 OR e1 = e2) b FULL JOIN (SELECT * FROM a WHERE rank <= 3 OR e1 = e2) a ON a.e1 = b.e1 AND a.e2 = b.e2, LATERAL (SELECT CAST(round(a.score * 1000000) AS BIGINT) - CAST(round(b.score * 1000000) AS BIGINT) AS md))"""
 

@@ -101,13 +101,13 @@ def reflection_parts(s, d):
 
 def reflected(s, d):
     rows, vectors, relations = reflection_parts(s, d)
-    made = M.reflection_layer(M.relation_directions(rows, relations, 4), vectors, KERNEL)
+    made = M.reflection_layer(cut(M.relation_directions(cut(rows), relations, 4)), cut(vectors), KERNEL)
     return made.select("id", F.posexplode("embedding").alias("i", "value")).withColumn("value", F.round("value", 6))
 
 
 def stacked(s, d):
     rows, vectors, relations = reflection_parts(s, d)
-    return M.reflection_stack(rows, vectors, relations, [KERNEL, KERNEL]).withColumn("embedding", F.transform("embedding", lambda x: F.round(x, 6)))
+    return M.reflection_stack(cut(rows), cut(vectors), relations, [KERNEL, KERNEL]).withColumn("embedding", F.transform("embedding", lambda x: F.round(x, 6)))
 
 
 DOT = lambda v, w: " + ".join(f"{v}[{i + 1}] * CAST({x} AS DOUBLE)" for i, x in enumerate(w))
@@ -241,11 +241,12 @@ query("token_reorder", f"SELECT DISTINCT o, CASE WHEN len({WO}) = 0 THEN '' ELSE
 query("long_text_predicates", f"SELECT DISTINCT kg, p, regexp_matches(lower(p), '{'|'.join(X.LONG_TEXT_KEYWORDS)}') AS v FROM triples")(lambda s, d: T(s, d).select("kg", "p", X.is_long_text_predicate(F.col("p")).alias("v")).distinct())
 query("duration_text", "SELECT event_id, CASE WHEN h > 0 THEN h || 'h ' || lpad(CAST(m AS VARCHAR), 2, '0') || 'm ' || lpad(CAST(x AS VARCHAR), 2, '0') || 's' WHEN m > 0 THEN m || 'm ' || lpad(CAST(x AS VARCHAR), 2, '0') || 's' ELSE x || 's' END AS v FROM (SELECT event_id, s // 3600 AS h, s % 3600 // 60 AS m, s % 60 AS x FROM (SELECT event_id, CAST(event_id * 7 AS BIGINT) AS s FROM events))", graphs=False)(lambda s, d: s.read.parquet(f"{d}/events.parquet").select("event_id", X.duration(F.col("event_id") * 7).alias("v")))
 query("json_metrics", "SELECT event_id, CAST(json_extract(props, '$.k') AS DOUBLE) AS k FROM events", graphs=False)(lambda s, d: s.read.parquet(f"{d}/events.parquet").select("event_id", F.from_json("props", "map<string,double>").alias("m")).select("event_id", F.explode("m").alias("metric", "k")).where("metric = 'k'").select("event_id", "k"))
-for name, f in (("creative_variation", lambda t: G.variation(t, F.md5(t))), ("noise", lambda t: G.noise(t, F.md5(t))), ("mask_span", lambda t: G.mask_span(t, F.md5(t)))):
-    query(name)(lambda s, d, f=f: docs(s, d).select("doc_id", f(F.col("text")).alias("v")))
+SPAN = f"SELECT doc_id, CASE WHEN n < 2 THEN text ELSE array_to_string(list_concat(list_concat(w[1:h % greatest(1, n - k + 1)], ['<mask>']), w[h % greatest(1, n - k + 1) + k + 1:]), ' ') END AS v FROM (SELECT *, greatest(1, CAST(floor(n * CAST(0.3 AS DOUBLE)) AS BIGINT)) AS k FROM (SELECT doc_id, text, w, len(w) AS n, CAST('0x' || substr(md5(text), 1, 8) AS BIGINT) AS h FROM (SELECT doc_id, text, {MASKED} AS w FROM (SELECT doc_id, coalesce(text, '') AS text FROM documents))))"
+for name, f, sql in (("creative_variation", lambda t: G.variation(t, F.md5(t)), None), ("noise", lambda t: G.noise(t, F.md5(t)), None), ("mask_span", lambda t: G.mask_span(t, F.md5(t)), SPAN)):
+    query(name, sql, graphs=False)(lambda s, d, f=f: docs(s, d).select("doc_id", f(F.col("text")).alias("v")))
 query("creative_strategies")(lambda s, d: T(s, d).where("o_kind = 'lit'").select("p", "o").distinct().withColumn("v", V.creative(F.col("o"), F.concat_ws("|", "p", "o"))))
 MATCHED = ["e1", "e2", "p1", "p2", "o1", "o2"]
 query("sequence_ratio")(lambda s, d: r6(R.matched_values(derived(s, d)).withColumn("v", G.sequence_ratio("o1", "o2"))))
 query("creativity_score")(lambda s, d: r6(R.matched_values(derived(s, d)).withColumn("x", G.creativity_score("o1", "o2")).select(*MATCHED, "x.score", "x.reason")))
 query("pair_score")(lambda s, d: r6(R.matched_values(derived(s, d)).withColumns({"m1": V.creative(F.col("o1"), F.col("o1"), F.col("o2")), "m2": V.creative(F.col("o2"), F.col("o2"), F.col("o1"))}).withColumn("v", G.pair_score("o1", "o2", "m1", "m2"))))
-query("nfc")(lambda s, d: docs(s, d).select("doc_id", G.nfc("text").alias("v")))
+query("nfc", "SELECT doc_id, nfc_normalize(coalesce(text, '')) AS v FROM documents", graphs=False)(lambda s, d: docs(s, d).select("doc_id", G.nfc("text").alias("v")))

@@ -268,6 +268,19 @@ def file_times(spark: SparkSession, pattern: str) -> DataFrame:
     return out.withColumn("seconds", (F.col("last").cast("double") - F.col("first").cast("double")))
 
 
+def stage_times(spark: SparkSession, pattern: str, result: str = "results.json") -> DataFrame:
+    """folder, start, end, seconds of stage folders, from the times of their files alone: no content is read.
+
+    A stage ends when its ``result`` was last written, or else its last file; it starts with its first file. In copied
+    folders that may lie behind the end: such a stage starts and ends at once. Folders have no time of birth in a store
+    that Spark reads, so the first file stands for it.
+    """
+    files = spark.read.format("binaryFile").load(pattern).select(F.regexp_extract("path", "^(.*)/[^/]*$", 1).alias("folder"), F.regexp_extract("path", "([^/]*)$", 1).alias("name"), "modificationTime")
+    times = files.groupBy("folder").agg(F.min("modificationTime").alias("first"), F.max("modificationTime").alias("last"), F.max(F.when(F.col("name") == result, F.col("modificationTime"))).alias("written"))
+    times = times.withColumn("end", F.coalesce("written", "last")).withColumn("start", F.least("first", "end"))
+    return times.select("folder", "start", "end", (F.col("end").cast("double") - F.col("start").cast("double")).alias("seconds"))
+
+
 def missing_files(expected: DataFrame, spark: SparkSession, pattern: str) -> DataFrame:
     """Rows of ``expected`` (path, relative end of a file's path) that no file ends in."""
     found = spark.read.format("binaryFile").load(pattern).select(F.col("path").alias("found"))

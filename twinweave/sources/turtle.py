@@ -370,7 +370,7 @@ def parse_turtle(spark: SparkSession, path: str) -> DataFrame:
     A carriage return before a line end is lost inside long literals.
     """
     statements = turtle_statements(spark, path)
-    some = statements.where(F.col("text").rlike(r"(?i)^(\s|#[^\n]*\n)*@?(prefix|base)\b"))
+    some = statements.where(F.col("text").rlike(r"(?i)^(?:\s|#[^\n]*\n)*+@?(?:prefix|base)\b"))
     declared = some.mapInArrow(_declared, "file string, n long, nth int, name string, iri string")
     scope = declared.groupBy("file").agg(F.to_json(F.transform(F.array_sort(F.collect_list(F.struct("n", "nth", "name", "iri"))), lambda x: F.array(x["n"].cast("string"), x["nth"].cast("string"), x["name"], x["iri"]))).alias("declared"))
     scope = cut(scope.withColumn("declared", F.regexp_replace("declared", r'\["(\d+)","(\d+)",', "[$1,$2,")))
