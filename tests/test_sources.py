@@ -120,3 +120,23 @@ def test_stage_times(spark, tmp_path):
     assert got == {"a": (100, 160, 60), "b": (50, 70, 20), "c": (10, 10, 0)}
     plan = files.stage_times(spark, f"file://{tmp_path}/*/*")._jdf.queryExecution().executedPlan().toString()
     assert "content" not in plan
+
+
+def test_re_encode(spark, tmp_path):
+    """Relations of the second graph follow the first's; what has no number is left out."""
+    d = tmp_path / "in"
+    d.mkdir()
+    for name, text in {"ent_ids_1": "0\tA\n1\tB\nbad\n", "ent_ids_2": "2\ta\n3\tB\n", "rel_ids_1": "0\tr\n4\ts\n", "rel_ids_2": "0\tr\n1\tt\n", "triples_1": "A\tr\tB\nA\ts\tA\nA\tx\tB\n", "triples_2": "a\tt\ta\na\tr\tB\nZ\tt\ta\n", "sup_pairs": "0\t2\n"}.items():
+        (d / name).write_text(text)
+    files.re_encode(spark, f"file://{d}", f"file://{tmp_path}/out")
+    lines = lambda name: sorted(r.value for r in spark.read.text(f"file://{tmp_path}/out/{name}").collect())
+    assert lines("triples_1") == ["0 0 3", "0 4 0"] and lines("triples_2") == ["2 5 3", "2 6 2"] and lines("sup_pairs") == ["0 2"]
+    assert [r.value for r in spark.read.text(f"file://{tmp_path}/out/vocab.txt").collect()] == ["0\tA", "2\ta", "3\tB", "4\ts", "5\tr", "6\tt"]
+
+
+def test_friendly_names(spark):
+    from twinweave.functions import text as X
+
+    cases = [("http://dbpedia.org/resource/A_b/c", "EN_JA_15K", "A b/c"), ("http://ja.dbpedia.org/resource/x_y", "EN_JA_15K", "x y"), ("http://z/Q_1", "D_W_15K", "http://z/Q 1"), ("http://www.wikidata.org/entity/Q1", "D_W_15K", "Q1"), ("a/dbp:Z_z", "bbc", "Z z"), ("a/b_c", "bbc", "b c"), ("http://yago/A_b", "D_Y", "http://yago/A b"), ("http://x/y_z", "other", "y z")]
+    row = spark.range(1).select(*[X.friendly_name(F.lit(u), d).alias(f"c{i}") for i, (u, d, _) in enumerate(cases)]).first()
+    assert list(row) == [w for *_, w in cases]

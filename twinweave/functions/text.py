@@ -299,3 +299,28 @@ def mask_entities(value: Column, key: Column, entity_share: float = 0.5, other_s
     one = lambda w, i: F.when(draw(i) < F.when(is_capitalised(w), entity_share).otherwise(other_share), mask).otherwise(w)
     words = words_of(value)
     return F.when(F.size(words) < 2, value).otherwise(F.array_join(F.transform(words, one), " "))
+
+
+#: For a part of a dataset's label, the identifiers' beginnings that its names stand behind.
+DBPEDIA = "http://dbpedia.org/resource/"
+NAME_PREFIXES = (
+    (("EN_JA",), (DBPEDIA, "http://ja.dbpedia.org/resource/")),
+    (("EN_DE",), (DBPEDIA, "http://de.dbpedia.org/resource/")),
+    (("EN_FR",), (DBPEDIA, "http://fr.dbpedia.org/resource/")),
+    (("DBP_en_YG_en", "D_Y"), (DBPEDIA,)),
+    (("DBP_en_WD_en", "D_W"), (DBPEDIA, "http://www.wikidata.org/entity/")),
+)
+
+
+def friendly_name(uri: Column, dataset: str) -> Column:
+    """The name in an identifier: what follows the dataset's prefix; in other datasets, and for ``bbc`` without ``dbp:``, the last
+    part of the path. Underscores become spaces."""
+    behind = lambda mark: F.substring_index(uri, mark, -1)
+    name = F.when(uri.contains("dbp:"), behind("dbp:")).otherwise(behind("/")) if "bbc" in dataset else behind("/")
+    for labels, prefixes in NAME_PREFIXES:
+        if any(label in dataset for label in labels):
+            name = uri
+            for prefix in reversed(prefixes):
+                name = F.when(uri.contains(prefix), behind(prefix)).otherwise(name)
+            break
+    return F.replace(name, F.lit("_"), F.lit(" "))

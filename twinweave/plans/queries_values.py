@@ -244,6 +244,7 @@ query("json_metrics", "SELECT event_id, CAST(json_extract(props, '$.k') AS DOUBL
 SPAN = f"SELECT doc_id, CASE WHEN n < 2 THEN text ELSE array_to_string(list_concat(list_concat(w[1:h % greatest(1, n - k + 1)], ['<mask>']), w[h % greatest(1, n - k + 1) + k + 1:]), ' ') END AS v FROM (SELECT *, greatest(1, CAST(floor(n * CAST(0.3 AS DOUBLE)) AS BIGINT)) AS k FROM (SELECT doc_id, text, w, len(w) AS n, CAST('0x' || substr(md5(text), 1, 8) AS BIGINT) AS h FROM (SELECT doc_id, text, {MASKED} AS w FROM (SELECT doc_id, coalesce(text, '') AS text FROM documents))))"
 for name, f, sql in (("creative_variation", lambda t: G.variation(t, F.md5(t)), None), ("noise", lambda t: G.noise(t, F.md5(t)), None), ("mask_span", lambda t: G.mask_span(t, F.md5(t)), SPAN)):
     query(name, sql, graphs=False)(lambda s, d, f=f: docs(s, d).select("doc_id", f(F.col("text")).alias("v")))
+query("friendly_names", "SELECT DISTINCT kg, s, replace(regexp_extract(s, '([^/]*)$', 1), '_', ' ') AS name FROM triples")(lambda s, d: T(s, d).select("kg", "s").distinct().withColumn("name", X.friendly_name(F.col("s"), "other")))
 query("creative_strategies")(lambda s, d: T(s, d).where("o_kind = 'lit'").select("p", "o").distinct().withColumn("v", V.creative(F.col("o"), F.concat_ws("|", "p", "o"))))
 MATCHED = ["e1", "e2", "p1", "p2", "o1", "o2"]
 query("sequence_ratio")(lambda s, d: r6(R.matched_values(derived(s, d)).withColumn("v", G.sequence_ratio("o1", "o2"))))

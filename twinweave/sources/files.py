@@ -308,6 +308,36 @@ def inject_triples(triples: DataFrame, more: DataFrame) -> DataFrame:
     return triples.unionByName(more.select(triples.columns)).distinct()
 
 
+def re_encode(spark: SparkSession, source: str, target: str) -> None:
+    """Triples of URIs and pairs of ids as a model reads them: integers parted by spaces, and a vocabulary.
+
+    ``source`` has ent_ids_1 and _2, rel_ids_1 and _2, triples_1 and _2, sup_pairs and ref_pairs. Relations of the second graph
+    are numbered behind those of the first. An entity in both lists has its later number; triples with an unknown part are
+    left out. The vocabulary holds entities, then relations, by number.
+    """
+    def numbered(name: str) -> DataFrame:
+        parts = [read_tsv(spark, f"{source}/{name}_{kg}", ["id", "uri"]).select(F.lit(kg).alias("kg"), F.col("id").try_cast("long").alias("id"), "uri") for kg in (1, 2) if _exists(spark, f"{source}/{name}_{kg}")]
+        out = spark.createDataFrame([], "kg int, id long, uri string")
+        for part in parts:
+            out = out.unionByName(part.where("id is not null"))
+        return out
+
+    entities = numbered("ent_ids").groupBy("uri").agg(F.max(F.struct("kg", "id"))["id"].alias("id"))
+    relations = numbered("rel_ids")
+    behind = F.broadcast(relations.where("kg = 1").agg(F.coalesce(F.max("id") + 1, F.lit(0)).alias("_behind")))
+    relations = relations.crossJoin(behind).select("kg", "uri", (F.col("id") + F.when(F.col("kg") == 2, F.col("_behind")).otherwise(0)).alias("id"))
+    spaced = lambda rows, path, *cells: rows.select(F.concat_ws(" ", *[F.col(c).cast("string") for c in cells]).alias("value")).write.mode("overwrite").text(path)
+    for kg in (1, 2):
+        if _exists(spark, f"{source}/triples_{kg}"):
+            rows = read_tsv(spark, f"{source}/triples_{kg}", ["s", "p", "o"]).join(entities.toDF("s", "si"), "s").join(entities.toDF("o", "oi"), "o")
+            spaced(rows.join(relations.where(F.col("kg") == kg).select(F.col("uri").alias("p"), F.col("id").alias("pi")), "p"), f"{target}/triples_{kg}", "si", "pi", "oi")
+    for name in ("sup_pairs", "ref_pairs"):
+        if _exists(spark, f"{source}/{name}"):
+            spaced(read_tsv(spark, f"{source}/{name}", ["a", "b"]), f"{target}/{name}", "a", "b")
+    words = entities.select(F.lit(0).alias("_k"), "id", "uri").unionByName(relations.groupBy("uri").agg(F.max(F.struct("kg", "id"))["id"].alias("id")).select(F.lit(1).alias("_k"), "id", "uri"))
+    write_tsv(words, f"{target}/vocab.txt", "id", "uri", order=["_k", "id"])
+
+
 def with_name_vectors(names: DataFrame, vectors: DataFrame, width: int) -> DataFrame:
     """id, embedding: a name's vector, or numbers in [-1, 1) from its hash where there is none."""
     digits = lambda i: (F.conv(F.substring(F.md5(F.concat_ws("|", "id", i.cast("string"))), 1, 8), 16, 10).cast("double") / 2.0**31 - 1)
