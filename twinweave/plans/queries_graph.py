@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from twinweave.operators import dictionary as D
 from twinweave.operators import profile as P
 from twinweave.operators import relational as R
 from twinweave.operators import splits as S
@@ -112,6 +113,8 @@ query("set_kg", f"WITH {SETKG} SELECT * FROM setkg")(lambda s, d: R.set_graph(de
 query("neighbors", "SELECT * FROM edges")(lambda s, d: R.edges(T(s, d)))
 query("bridged_neighbors", "WITH f AS (SELECT 1 AS kg, e1 AS node FROM alignment), i AS (SELECT DISTINCT kg, node, other FROM edges WHERE (kg, node) IN (SELECT (kg, node) FROM f) AND (kg, other) NOT IN (SELECT (kg, node) FROM f)) SELECT DISTINCT x.kg, x.node AS a, y.node AS b FROM i x JOIN i y ON x.kg = y.kg AND x.other = y.other AND x.node < y.node")(lambda s, d: R.bridged(T(s, d), derived(s, d).alignment.select(F.lit(1).alias("kg"), F.col("e1").alias("entity"))))
 query("dictionary_sorted", "SELECT entity, row_number() OVER (ORDER BY entity) - 1 AS id FROM (SELECT DISTINCT s AS entity FROM triples)")(lambda s, d: R.sorted_ids(T(s, d).select(F.col("s").alias("entity")), "entity"))
+query("dictionary_front_coded", """WITH n AS (SELECT entity, row_number() OVER (ORDER BY entity) - 1 AS id FROM (SELECT DISTINCT s AS entity FROM triples)), l AS (SELECT *, id // 64 AS block, lag(entity) OVER (PARTITION BY id // 64 ORDER BY id) AS b FROM n),
+ k AS (SELECT *, CASE WHEN b IS NULL THEN 0 ELSE CAST(coalesce(list_max(list_filter(range(1, least(length(entity), length(b)) + 1), lambda i: left(entity, i) = left(b, i))), 0) AS INTEGER) END AS shared FROM l) SELECT block, id, shared, substr(entity, shared + 1) AS rest FROM k""")(lambda s, d: D.front_coded(T(s, d).select(F.col("s").alias("entity")), "entity"))
 FIRST = "f AS (SELECT kg, entity, row_number() OVER (PARTITION BY kg ORDER BY min(pos)) - 1 AS i FROM (SELECT kg, s AS entity, 2 * rn AS pos FROM o UNION ALL SELECT kg, o, 2 * rn + 1 FROM o WHERE o_kind = 'uri') GROUP BY kg, entity)"
 FIRST = "o AS (SELECT *, row_number() OVER (PARTITION BY kg ORDER BY s, p, o) AS rn FROM triples), " + FIRST
 query("dictionary_first_seen", f"WITH {FIRST} SELECT kg, entity, CASE WHEN kg = 1 THEN i ELSE i + (SELECT count(*) FROM f WHERE kg = 1) END AS id FROM f")(lambda s, d: R.first_seen_ids(T(s, d)))
