@@ -102,6 +102,44 @@ def test_blocks_do_not_change_neighbours(spark):
     assert one == two
 
 
+@pytest.mark.parametrize("metric", ["inner", "cosine", "euclidean", "manhattan"])
+def test_neighbours_by_brute_force(spark, metric):
+    """Equal rows tie exactly and go by id, with biases and a scale, whatever the size of a block."""
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    x, y = rng.normal(size=(150, 33)), rng.normal(size=(40, 33))
+    y = np.concatenate([y] * 15)
+    bias = {"a": np.round(rng.random(len(x)), 2), "b": np.tile(np.round(rng.random(40), 2), 15)}
+    frame = lambda m, c: spark.createDataFrame([(i, r.tolist(), float(b)) for i, (r, b) in enumerate(zip(m, c, strict=True))], "id long, embedding array<double>, bias double")
+    unit = lambda m: m / np.linalg.norm(m, axis=1, keepdims=True)
+    apart = x[:, None] - y[None]
+    score = {"inner": lambda: x @ y.T, "cosine": lambda: unit(x) @ unit(y).T, "euclidean": lambda: 1 - np.sqrt((apart**2).sum(2)), "manhattan": lambda: 1 - np.abs(apart).sum(2)}[metric]()
+    score = np.round(2 * score - bias["a"][:, None] - bias["b"][None], 9)
+    want = [(i, int(j)) for i in range(len(x)) for j in np.lexsort((np.arange(len(y)), -score[i]))[:20]]
+    for rows in (7, 8192):
+        got = [tuple(r) for r in K.block_knn(frame(x, bias["a"]), frame(y, bias["b"]), 20, metric, rows, 2.0).orderBy("e1", "rank").collect()]
+        assert [r[:2] for r in got] == want and np.allclose([r[2] for r in got], [score[p] for p in want])
+        gold = spark.createDataFrame([(i, i + 80) for i in range(len(x))], "e1 long, e2 long")
+        ranks = {r.e1: r["rank"] for r in K.block_gold_ranks(frame(x, bias["a"]), frame(y, bias["b"]), gold, metric, rows, 2.0).collect()}
+        better = lambda i: (score[i] > score[i, i + 80]) | ((score[i] == score[i, i + 80]) & (np.arange(len(y)) < i + 80))
+        assert ranks == {i: 1 + int(better(i).sum()) for i in range(len(x))}
+
+
+def test_right_rows_are_sent_a_fixed_number_of_times(spark):
+    """Smaller blocks send no more rows, and CSLS makes its biases once, not again for each count and ranking."""
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    frames = [spark.createDataFrame([(i, [float(x) for x in rng.normal(size=6)]) for i in range(n)], "id long, embedding array<double>") for n in (300, 500)]
+    read = lambda df: df.where("spark_partition_id() >= 0")._jdf.queryExecution().toRdd().count() and df._jdf.queryExecution().executedPlan().toString()
+    for rows in (2, 1000):
+        plan = read(K.block_knn(*frames, 3, "cosine", rows))
+        assert plan.count("MapInArrow") == 1 and "FlatMapCoGroups" not in plan
+    assert K._dealt(*frames).count() == 300 + 500 * min(spark.sparkContext.defaultParallelism, 300 // 64)
+    assert read(K.csls_knn(*frames, 3)).count("MapInArrow") == 1
+
+
 def test_text_functions(spark):
     row = spark.createDataFrame([("Dr. Smith went home. He slept! Is this it?\nNew line", "a b c", "c b a", "ont/birthPlace", "1,234.5 km")], "t string, a string, b string, p string, n string")
     r = row.select(X.sentences(F.col("t")).alias("s"), X.chunks(F.col("t"), 6).alias("c"), X.is_token_swap(F.col("a"), F.col("b")).alias("w"), X.expand_predicate(F.col("p")).alias("e"), X.first_number(F.col("n")).alias("n"), X.simple_clean(F.lit("see http://x the the a cat.. ")).alias("k"), X.set_members(X.set_uri(F.lit("x"), F.lit("y"))).alias("m"), X.char_ids(F.lit("abz"), F.create_map(F.lit("a"), F.lit(1).cast("long"), F.lit("b"), F.lit(2).cast("long")), 5).alias("i")).first()
