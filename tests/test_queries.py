@@ -140,6 +140,13 @@ def test_right_rows_are_sent_a_fixed_number_of_times(spark):
     assert read(K.csls_knn(*frames, 3)).count("MapInArrow") == 1
 
 
+@pytest.mark.parametrize("name", ["iterative_alignment", "score_shift"])
+def test_tables_of_scores_are_made_once(spark, sf_dir, name):
+    """What the query gives reads stored scores; it doesn't score all rows again for each part that uses them."""
+    plan = catalog.queries()[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" not in plan and "FlatMapCoGroups" not in plan
+
+
 def test_text_functions(spark):
     row = spark.createDataFrame([("Dr. Smith went home. He slept! Is this it?\nNew line", "a b c", "c b a", "ont/birthPlace", "1,234.5 km")], "t string, a string, b string, p string, n string")
     r = row.select(X.sentences(F.col("t")).alias("s"), X.chunks(F.col("t"), 6).alias("c"), X.is_token_swap(F.col("a"), F.col("b")).alias("w"), X.expand_predicate(F.col("p")).alias("e"), X.first_number(F.col("n")).alias("n"), X.simple_clean(F.lit("see http://x the the a cat.. ")).alias("k"), X.set_members(X.set_uri(F.lit("x"), F.lit("y"))).alias("m"), X.char_ids(F.lit("abz"), F.create_map(F.lit("a"), F.lit(1).cast("long"), F.lit("b"), F.lit(2).cast("long")), 5).alias("i")).first()
