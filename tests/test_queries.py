@@ -147,6 +147,23 @@ def test_tables_of_scores_are_made_once(spark, sf_dir, name):
     assert "MapInArrow" not in plan and "FlatMapCoGroups" not in plan
 
 
+def test_equal_values_tie_wherever_they_are_stored(spark, tmp_path):
+    """Two users with the same values rank by number, though one's rows lie in two files: 0.1 + 0.2 + 0.3 depends on the order."""
+    import pandas as pd
+
+    values = [0.1, 0.5, 0.2, 0.4, 0.3]
+    row = lambda user, n, event_id: {"event_id": event_id, "ts": pd.Timestamp("2024-01-01"), "user_id": user, "event_type": "click", "value": values[n], "props": "{}"}
+    ids = [0, 1, 3, 4, 6]
+    first, second = ([row(u, n, 9 * u + i) for n, i in enumerate(ids)] for u in (1, 2))
+    (tmp_path / "events.parquet").mkdir()
+    for n, part in enumerate((first, second[:1], second[1:])):
+        pd.DataFrame(part).astype({"ts": "datetime64[us]"}).to_parquet(tmp_path / "events.parquet" / f"{n}.parquet", index=False)
+    con = duck(str(tmp_path))
+    con.execute("SET threads = 1")
+    assert compare(spark, con, catalog.queries()["improvement_ranking"], catalog.oracle_sql()["improvement_ranking"], str(tmp_path)) == ""
+    assert [r.experiment for r in catalog.queries()["improvement_ranking"](spark, str(tmp_path)).orderBy("rank").collect()] == [1, 2]
+
+
 def test_text_functions(spark):
     row = spark.createDataFrame([("Dr. Smith went home. He slept! Is this it?\nNew line", "a b c", "c b a", "ont/birthPlace", "1,234.5 km")], "t string, a string, b string, p string, n string")
     r = row.select(X.sentences(F.col("t")).alias("s"), X.chunks(F.col("t"), 6).alias("c"), X.is_token_swap(F.col("a"), F.col("b")).alias("w"), X.expand_predicate(F.col("p")).alias("e"), X.first_number(F.col("n")).alias("n"), X.simple_clean(F.lit("see http://x the the a cat.. ")).alias("k"), X.set_members(X.set_uri(F.lit("x"), F.lit("y"))).alias("m"), X.char_ids(F.lit("abz"), F.create_map(F.lit("a"), F.lit(1).cast("long"), F.lit("b"), F.lit(2).cast("long")), 5).alias("i")).first()

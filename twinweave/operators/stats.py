@@ -157,6 +157,17 @@ def top_n(runs: DataFrame, n: int, *keys: str) -> DataFrame:
     return runs.withColumn("rank", rank.cast("long")).where(F.col("rank") <= n)
 
 
+def paired_means(runs: DataFrame, base: str, other: str, order: str, *keys: str) -> DataFrame:
+    """keys, a, b: means of both stages where there are both. Values are added up one by one by ``order``, as a scan of the table
+    does: the same values give the same mean wherever they are stored, so ties stay ties. Running sums hold no group whole."""
+    rows = runs.where(F.col("stage").isin(base, other))
+    upto = W.partitionBy(*keys, "stage").orderBy(order, "value").rowsBetween(W.unboundedPreceding, W.currentRow)
+    at = lambda s, c: F.when(F.col("stage") == s, F.col(c))
+    mean = lambda s: F.try_divide(F.max_by(at(s, "_sum"), at(s, "_n")), F.max(at(s, "_n")))
+    rows = rows.withColumns({"_sum": F.sum("value").over(upto), "_n": F.count("value").over(upto)})
+    return rows.groupBy(*keys).agg(mean(base).alias("a"), mean(other).alias("b")).where("a is not null and b is not null")
+
+
 def improvement_ranking(pairs: DataFrame) -> DataFrame:
     """dataset, experiment, delta, delta_percent (0 for a base of 0) and rank by falling delta in the dataset; rows have a, b."""
     rows = pairs.withColumn("delta", F.col("b") - F.col("a")).withColumn("delta_percent", F.when(F.col("a") == 0, 0.0).otherwise((F.col("b") - F.col("a")) / F.col("a") * 100))

@@ -46,8 +46,7 @@ PAIRS = "pairs AS (SELECT dataset, experiment, avg(value) FILTER (stage = 'basel
 
 
 def pairs(s, d):
-    mean = lambda x: F.avg(F.when(F.col("stage") == x, F.col("value")))
-    return runs(s, d).groupBy("dataset", "experiment").agg(mean("baseline").alias("a"), mean("augmented").alias("b")).where("a is not null and b is not null")
+    return S.paired_means(runs(s, d), "baseline", "augmented", "event_id", "dataset", "experiment")
 
 
 ERFC = "k * (0.254829592 + k * (-0.284496736 + k * (1.421413741 + k * (-1.453152027 + k * 1.061405429)))) * exp(-x * x)"
