@@ -164,6 +164,25 @@ def test_equal_values_tie_wherever_they_are_stored(spark, tmp_path):
     assert [r.experiment for r in catalog.queries()["improvement_ranking"](spark, str(tmp_path)).orderBy("rank").collect()] == [1, 2]
 
 
+def test_bridges_in_blocks(spark, monkeypatch):
+    """Pairs are whole in small blocks; nodes of one neighbour each are paired without making their pairs distinct."""
+    import random
+    from itertools import combinations
+
+    monkeypatch.setattr(relational, "BRIDGE_ROWS", 3, raising=False)
+    rng = random.Random(4)
+    nodes = [f"a{i}" for i in range(30)]
+    frame = lambda links: spark.createDataFrame([(1, n, "p", o, "uri") for n, o in links], "kg int, s string, p string, o string, o_kind string")
+    inside = spark.createDataFrame([(1, n) for n in nodes], "kg int, entity string")
+    shared = {(n, f"h{rng.randrange(6)}") for n in nodes for _ in range(rng.randrange(4))} | {("a1", "a2"), ("z", "h1")}
+    around = {n: {o for m, o in shared if m == n and o[0] == "h"} for n in nodes}
+    want = sorted((1, *sorted(p)) for p in combinations(nodes, 2) if around[p[0]] & around[p[1]])
+    assert sorted(map(tuple, relational.bridged(frame(shared), inside).collect())) == want
+    single = relational.bridged(frame([(n, f"h{i % 2}") for i, n in enumerate(nodes)]), inside)
+    assert single.count() == 2 * 15 * 14 // 2
+    assert "Aggregate" not in single._jdf.queryExecution().optimizedPlan().toString().split("Join")[0]
+
+
 def test_text_functions(spark):
     row = spark.createDataFrame([("Dr. Smith went home. He slept! Is this it?\nNew line", "a b c", "c b a", "ont/birthPlace", "1,234.5 km")], "t string, a string, b string, p string, n string")
     r = row.select(X.sentences(F.col("t")).alias("s"), X.chunks(F.col("t"), 6).alias("c"), X.is_token_swap(F.col("a"), F.col("b")).alias("w"), X.expand_predicate(F.col("p")).alias("e"), X.first_number(F.col("n")).alias("n"), X.simple_clean(F.lit("see http://x the the a cat.. ")).alias("k"), X.set_members(X.set_uri(F.lit("x"), F.lit("y"))).alias("m"), X.char_ids(F.lit("abz"), F.create_map(F.lit("a"), F.lit(1).cast("long"), F.lit("b"), F.lit(2).cast("long")), 5).alias("i")).first()

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from twinweave.plans.kg import Dataset
 from twinweave.plans.ranks import global_row_number
+from twinweave.plans.storage import cut
 
 
 def relation_triples(triples: DataFrame) -> DataFrame:
@@ -165,15 +166,35 @@ def edges(triples: DataFrame) -> DataFrame:
     return out.unionByName(rel.select("kg", F.col("o").alias("node"), "p", F.col("s").alias("other"), F.lit("in").alias("direction")))
 
 
+#: Nodes around one neighbour that a task pairs with as many others at a time.
+BRIDGE_ROWS = 2_048
+
+
 def bridged(triples: DataFrame, nodes: DataFrame) -> DataFrame:
     """a, b: distinct pairs of ``nodes`` (kg, entity) that share a neighbour outside ``nodes``.
 
-    A neighbour with a third of all edges would square: its pairs are counted by key only, so pass a frontier, not all nodes.
+    The nodes around a neighbour are dealt into blocks of about BRIDGE_ROWS, and each two blocks meet in one cell, so a hub is
+    never one task. Only two nodes of several neighbours can share more than one; no other pairs are made distinct.
+    The result has as many rows as there are such pairs: a hub's square, so pass a frontier, not all nodes.
     """
     ends = edges(triples).select("kg", "node", "other").distinct()
-    inner = ends.join(nodes.toDF("kg", "node"), ["kg", "node"], "left_semi").join(nodes.toDF("kg", "other"), ["kg", "other"], "left_anti")
-    x, y = inner.alias("x"), inner.alias("y")
-    return x.join(y, (F.col("x.kg") == F.col("y.kg")) & (F.col("x.other") == F.col("y.other")) & (F.col("x.node") < F.col("y.node"))).select(F.col("x.kg").alias("kg"), F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
+    inner = cut(ends.join(nodes.toDF("kg", "node"), ["kg", "node"], "left_semi").join(nodes.toDF("kg", "other"), ["kg", "other"], "left_anti"))
+    several = inner.groupBy("kg", "node").agg((F.count(F.lit(1)) > 1).alias("several"))
+    blocks = inner.groupBy("kg", "other").agg(F.ceil(F.count(F.lit(1)) / BRIDGE_ROWS).alias("blocks"))
+    rows = inner.join(several, ["kg", "node"]).join(blocks, ["kg", "other"])
+    rows = cut(rows.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks"))))
+    cell = ["kg", "other", "i", "j"]
+    cells = blocks.agg(F.sum(F.col("blocks") * (F.col("blocks") + 1) / 2)).first()[0] or 1
+    tasks = int(min(cells, 32 * triples.sparkSession.sparkContext.defaultParallelism))  # small inputs make large cells: not merged by size
+
+    def pairs(members: DataFrame) -> DataFrame:
+        x = members.select("kg", "other", F.col("block").alias("i"), F.explode(F.sequence(F.col("block"), F.col("blocks") - 1)).alias("j"), F.col("node").alias("x"), F.col("several").alias("x_several"))
+        y = members.select("kg", "other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("block"))).alias("i"), F.col("block").alias("j"), F.col("node").alias("y"), F.col("several").alias("y_several"))
+        return x.repartition(tasks, *cell).join(y.repartition(tasks, *cell).hint("merge"), cell).where((F.col("i") < F.col("j")) | (F.col("x") < F.col("y")))
+
+    named = lambda df: df.select("kg", F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    once, many = named(pairs(rows).where(~(F.col("x_several") & F.col("y_several")))), rows.where("several")
+    return once if many.isEmpty() else once.unionByName(named(pairs(many)).distinct())
 
 
 def disjoint_violations(a: DataFrame, b: DataFrame) -> DataFrame:
