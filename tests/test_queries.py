@@ -147,6 +147,35 @@ def test_tables_of_scores_are_made_once(spark, sf_dir, name):
     assert "MapInArrow" not in plan and "FlatMapCoGroups" not in plan
 
 
+def test_few_pairs_are_settled_in_doubles(monkeypatch):
+    """Tiles are as large as what was met before, so a row settles a few pairs each time that number doubles, not those of a
+    whole batch that pass a floor from 512 rows."""
+    import numpy as np
+
+    from twinweave.functions import nearest as N
+
+    rng = np.random.default_rng(4)
+    x, y = rng.normal(size=(64, 16)), rng.normal(size=(8192, 16))
+    count, settled = [], N.settled
+    monkeypatch.setattr(N, "settled", lambda x, y, rows, cols, metric: count.append(len(rows)) or settled(x, y, rows, cols, metric))
+    for metric in ("inner", "cosine", "euclidean", "manhattan"):
+        count.clear()
+        state = N.Nearest(np.arange(64), x, np.zeros(64), 5, metric)
+        state.add(np.arange(8192), y, np.zeros(8192))
+        whole = np.concatenate([settled(N.prepared(x, metric), N.prepared(y, metric), np.full(8192, i), np.arange(8192), metric) for i in range(64)]).reshape(64, -1)
+        assert np.array_equal(state.best_ids, np.argsort(-whole, axis=1, kind="stable")[:, :5])
+        assert sum(count) < 64 * (250 if metric == "manhattan" else 45)
+    marks = rng.random((5, 13)) < 0.2
+    assert [list(v) for v in N._marked(marks)] == [list(v) for v in np.nonzero(marks)]
+
+
+@pytest.mark.parametrize("name", ["two_sided_negatives", "discovered_ranks", "mutual_best", "hits_bidirectional", "knn_bidirectional", "reciprocal_pairs"])
+def test_second_side_is_joined_once(spark, sf_dir, name):
+    """Passes after the first read the stored second side; none joins the vectors with the following ones anew."""
+    plan = catalog.queries()[name](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert "_next" not in plan and "MapInArrow" in plan
+
+
 def test_equal_values_tie_wherever_they_are_stored(spark, tmp_path):
     """Two users with the same values rank by number, though one's rows lie in two files: 0.1 + 0.2 + 0.3 depends on the order."""
     import pandas as pd
