@@ -169,6 +169,27 @@ def test_few_pairs_are_settled_in_doubles(monkeypatch):
     assert [list(v) for v in N._marked(marks)] == [list(v) for v in np.nonzero(marks)]
 
 
+def test_manhattan_settles_what_float32_leaves():
+    """Of the pairs that whole steps of a component leave, doubles settle those that float32 leaves too; steps are added up right
+    for widths that eight does not divide, and for rows far from zero or far apart."""
+    import numpy as np
+
+    from twinweave.functions import nearest as N
+
+    rng = np.random.default_rng(6)
+    for width, far in ((64, 0.0), (13, 1e4), (3, 0.0)):
+        x, y = rng.normal(size=(70, width)) + far, rng.normal(size=(9000, width)) + far
+        y[5], y[17] = y[5] + 1e6, x[3]
+        whole = 1 - np.abs(x[:, None] - y[None]).sum(2)
+        count, settled = [], N.settled
+        with pytest.MonkeyPatch.context() as patch:
+            patch.setattr(N, "settled", lambda x, y, rows, cols, metric, count=count: count.append(len(rows)) or settled(x, y, rows, cols, metric))
+            state = N.Nearest(np.arange(70), x, np.zeros(70), 5, "manhattan")
+            state.add(np.arange(9000), y, np.zeros(9000))
+        assert np.array_equal(state.best_ids, np.argsort(-whole, axis=1, kind="stable")[:, :5])
+        assert far or sum(count) < 70 * 60
+
+
 @pytest.mark.parametrize("name", ["two_sided_negatives", "discovered_ranks", "mutual_best", "hits_bidirectional", "knn_bidirectional", "reciprocal_pairs"])
 def test_second_side_is_joined_once(spark, sf_dir, name):
     """Passes after the first read the stored second side; none joins the vectors with the following ones anew."""
