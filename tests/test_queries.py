@@ -190,6 +190,39 @@ def test_manhattan_settles_what_float32_leaves():
         assert far or sum(count) < 70 * 60
 
 
+@pytest.mark.parametrize("metric", ["inner", "cosine"])
+def test_mutual_best_by_brute_force(spark, metric):
+    """Both directions, with ties by id, from one pass; copies on both sides settle few pairs, and rows that are not finite take
+    no part."""
+    import numpy as np
+
+    from twinweave.functions import nearest as N
+
+    rng = np.random.default_rng(8)
+    x, y = np.concatenate([rng.normal(size=(40, 9))] * 3 + [rng.normal(size=(90, 9))]), np.concatenate([rng.normal(size=(60, 9))] * 4 + [rng.normal(size=(70, 9))])
+    x[50], y[7] = np.nan, np.nan
+    y[100:200:3] = x[60:94]
+    score = np.stack([N.pair_scores(np.broadcast_to(r, y.shape), N.prepared(y, metric), metric) for r in N.prepared(x, metric)])
+    score = np.where(np.isnan(score), -np.inf, score)
+    there, back = score.argmax(1), score.argmax(0)
+    want = [(i, int(j)) for i, j in enumerate(there) if back[j] == i and np.isfinite(score[i, j])]
+    frame = lambda m: spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(m)], "id long, embedding array<double>")
+    for rows in (7, 8192):
+        assert sorted(map(tuple, K.block_mutual(frame(x), frame(y), metric, rows).collect())) == want
+    count, settled = [], N.settled
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(N, "settled", lambda x, y, rows, cols, metric: count.append(len(rows)) or settled(x, y, rows, cols, metric))
+        state = N.Mutual(np.arange(4000), np.repeat(x[:40], 100, axis=0), metric)
+        state.add(np.arange(6000), np.repeat(y[10:40], 200, axis=0))
+    assert sum(count) <= 40 + 30 and len(state.result()[0]) == 4000 + 6000
+
+
+@pytest.mark.parametrize("name, passes", [("mutual_best", 1), ("discovered_ranks", 2)])
+def test_both_directions_take_one_pass(spark, sf_dir, name, passes):
+    plan = catalog.queries()[name](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == passes
+
+
 @pytest.mark.parametrize("name", ["two_sided_negatives", "discovered_ranks", "mutual_best", "hits_bidirectional", "knn_bidirectional", "reciprocal_pairs"])
 def test_second_side_is_joined_once(spark, sf_dir, name):
     """Passes after the first read the stored second side; none joins the vectors with the following ones anew."""
