@@ -169,6 +169,32 @@ def test_few_pairs_are_settled_in_doubles(monkeypatch):
     assert [list(v) for v in N._marked(marks)] == [list(v) for v in np.nonzero(marks)]
 
 
+@pytest.mark.parametrize("metric", ["inner", "cosine", "euclidean"])
+def test_scores_at_a_time_fit_a_cache(metric):
+    """No more than 2 ** 18 scores stand at a time, and parts of tiles give the ranks of whole ones, whether
+    few or many right rows are better than the answer."""
+    import numpy as np
+
+    from twinweave.functions import nearest as N
+
+    rng = np.random.default_rng(9)
+    x, y = rng.normal(size=(512, 16)), rng.normal(size=(9000, 16))
+    y[:300] = x[:300] + 0.1 * rng.normal(size=(300, 16))
+    y[4000:4100], golds = y[:100], np.arange(512)
+    score = np.stack([N.pair_scores(np.broadcast_to(r, y.shape), N.prepared(y, metric), metric) for r in N.prepared(x, metric)])
+    own = score[golds, golds][:, None]
+    sizes, marked = [], N._marked
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(N, "_marked", lambda marks: sizes.append(marks.size) or marked(marks))
+        better = N.Better(x, golds, y[golds], np.zeros(512), metric, 1.0, True)
+        better.add(np.arange(9000), y, np.zeros(9000))
+        nearest = N.Nearest(golds, x, np.zeros(512), 10, metric)
+        nearest.add(np.arange(9000), y, np.zeros(9000))
+    assert np.array_equal(better.n, ((score > own + 1e-12) | ((np.abs(score - own) <= 1e-12) & (np.arange(9000) < golds[:, None]))).sum(1))
+    assert np.array_equal(nearest.best_ids, np.argsort(-score, axis=1, kind="stable")[:, :10])
+    assert max(sizes) <= 1 << 18
+
+
 def test_manhattan_settles_what_float32_leaves():
     """Of the pairs that whole steps of a component leave, doubles settle those that float32 leaves too; steps are added up right
     for widths that eight does not divide, and for rows far from zero or far apart."""
