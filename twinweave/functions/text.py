@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -294,11 +296,14 @@ def entity_runs(value: Column) -> Column:
 
 def mask_entities(value: Column, key: Column, entity_share: float = 0.5, other_share: float = 0.15, mask: str = "<mask>") -> Column:
     """Words masked one by one, each by the hash of the key and its place: those in capitalised runs with a share of their own.
-    Texts of fewer than two words stay."""
-    draw = lambda i: F.conv(F.substring(F.md5(F.concat_ws("|", key, i.cast("string"))), 1, 8), 16, 10).cast("double") / 2.0**32
-    one = lambda w, i: F.when(draw(i) < F.when(is_capitalised(w), entity_share).otherwise(other_share), mask).otherwise(w)
-    words = words_of(value)
-    return F.when(F.size(words) < 2, value).otherwise(F.array_join(F.transform(words, one), " "))
+    Texts of fewer than two words stay. The key and the words are made once a text, not once a word."""
+    # The first 32 bits are below a share of 2 ** 32 if their digits sort before those of the least number that is not.
+    bound = lambda share: F.lit(f"{max(0, math.ceil(share * 2**32)):08x}" if share < 1 else "g")
+    hashed = lambda k, i: F.md5(F.concat(k, i.cast("string")))
+    one = lambda k: lambda w, i: F.when(hashed(k, i) < F.when(is_capitalised(w), bound(entity_share)).otherwise(bound(other_share)), mask).otherwise(w)
+    text = F.array(F.struct(F.concat_ws("|", key, F.lit("")).alias("key"), words_of(value).alias("words")))
+    masked = F.transform(text, lambda t: F.when(F.size(t["words"]) > 1, F.array_join(F.transform(t["words"], one(t["key"])), " ")).otherwise(value))
+    return F.when(value.isNotNull(), masked[0])
 
 
 #: For a part of a dataset's label, the identifiers' beginnings that its names stand behind.
