@@ -208,6 +208,22 @@ def test_masks_of_long_texts(spark):
     assert {r.m for r in whole} >= {"<mask> went home", "<mask> zz", " one ", "", None}
 
 
+def test_self_bleu_takes_one_pass(spark):
+    """Equal to the mean over ordered pairs in plain Python; texts are split once, and bigrams are grouped without a join."""
+    import random
+
+    from twinweave.operators import quality
+
+    rng = random.Random(3)
+    texts = [" ".join(rng.choice(["A", "b", "c", "d e", "É"]) for _ in range(n)) for n in (0, 1, 2, 3, 5, 8, 13, 13)] + [None, "b  b\tb b", " a b "]
+    grams = [{*zip(w, w[1:], strict=False)} for w in ((t or "").lower().split() for t in texts) if len(w) > 1]
+    want = sum(len(x & y) / len(x) for i, x in enumerate(grams) for j, y in enumerate(grams) if i != j) / (len(grams) * (len(grams) - 1))
+    found = quality.self_bleu(spark.createDataFrame([(t,) for t in texts], "text string"))
+    assert abs(found.first().value - want) < 1e-12
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and plan.count("split(") == 1
+
+
 def test_long_runs_do_not_recurse(spark):
     """Repeated words, escapes and blank lines by the ten thousand."""
     from twinweave.sources import files

@@ -65,7 +65,7 @@ def docs(s, d):
 
 WORDS = "list_filter(regexp_split_to_array(lower(coalesce(text, '')), '\\s+'), lambda w: w <> '')"
 query("type_token_ratio", f"SELECT 'type_token_ratio' AS metric, round(count(DISTINCT w) / count(*), 6) AS value FROM (SELECT unnest({WORDS}) AS w FROM documents)", graphs=False)(lambda s, d: r6(Q.type_token_ratio(docs(s, d))))
-query("self_bleu", f"WITH w AS (SELECT doc_id, {WORDS} AS w FROM documents), g AS (SELECT doc_id, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS g FROM w WHERE len(w) > 1), e AS (SELECT doc_id, len(g) AS n, unnest(g) AS b FROM g), c AS (SELECT b, count(*) AS c FROM e GROUP BY 1) SELECT 'self_bleu' AS metric, round(sum((c - 1) / n) / ((SELECT count(*) FROM g) * ((SELECT count(*) FROM g) - 1)), 6) AS value FROM e JOIN c USING (b)", graphs=False)(lambda s, d: r6(Q.self_bleu(docs(s, d), "doc_id")))
+query("self_bleu", f"WITH w AS (SELECT doc_id, {WORDS} AS w FROM documents), g AS (SELECT doc_id, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS g FROM w WHERE len(w) > 1), e AS (SELECT doc_id, len(g) AS n, unnest(g) AS b FROM g), c AS (SELECT b, count(*) AS c FROM e GROUP BY 1) SELECT 'self_bleu' AS metric, round(sum((c - 1) / n) / ((SELECT count(*) FROM g) * ((SELECT count(*) FROM g) - 1)), 6) AS value FROM e JOIN c USING (b)", graphs=False)(lambda s, d: r6(Q.self_bleu(docs(s, d))))
 
 for name, kind in (("swapped_relation_triples", "uri"), ("swapped_attribute_triples", "lit")):
     tail = "" if kind == "lit" else " UNION SELECT 3 - t.kg, s, p, b FROM triples t JOIN l ON l.kg = t.kg AND o = a WHERE o_kind = 'uri'"
